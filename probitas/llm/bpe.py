@@ -15,8 +15,9 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
+from array import array
 from functools import lru_cache
-from struct import pack
 
 import ahocorasick
 import numpy as np
@@ -25,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Batches, bounded_batches, column, texts_of
+from .common import Batches, bounded_batches, column, steady, texts_of
 
 #: White space as the library's pattern engine has it (fixed values).
 SPACES = r"\t-\r" + "".join(map(chr, (0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
@@ -33,6 +34,10 @@ SPACES = r"\t-\r" + "".join(map(chr, (0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACES}\p{{L}}\p{{N}}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
 #: Ends a word where bytes are written as characters; no rank; bytes of a word from which it is merged by itself.
 END, NEVER, LONG = chr(256), np.int64(1) << 61, 64
+#: The same pattern with the classes spelled out, for texts of these characters only: ASCII and Latin up to U+024F.
+_LETTERS, _NUMBERS = rf"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-{chr(0x24F)}", r"0-9\xb2\xb3\xb9\xbc-\xbe"
+PLAIN = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^\s{_LETTERS}{_NUMBERS}]+|\s+(?!\S)|\s+")
+OTHER = re.compile(rf"[^\t\n\r -\x7e\xa0-{chr(0x24F)}]")
 #: Words whose encoding a worker remembers.
 CACHE_WORDS = 600_000
 
@@ -58,39 +63,45 @@ class WordCoder:
     def encode_words(self, words: list[str]) -> list[list[int]]:
         raise NotImplementedError
 
+    def split(self, text: str) -> list[str]:
+        return (self.pieces if OTHER.search(text) else PLAIN).findall(text)
+
     def cut(self, text: str) -> list[str | int]:
+        """Words, and ids of added tokens, in order."""
         if self.added_pattern is None or not self.added_pattern.search(text):
-            return self.pieces.findall(text)
+            return self.split(text)
         out: list[str | int] = []
         at = 0
         for m in self.added_pattern.finditer(text):
-            out += self.pieces.findall(text[at : m.start()])
+            out += self.split(text[at : m.start()])
             out.append(self.added[m[0]])
             at = m.end()
-        return out + self.pieces.findall(text[at:])
+        return out + self.split(text[at:])
 
-    def learn(self, words: set) -> None:
+    def learn(self, new: list[str | int]) -> None:
         """Encodes words that aren't known."""
-        new = words - self.ids_of.keys()
-        if len(self.ids_of) + len(new) > CACHE_WORDS:
-            self.ids_of, self.name_of = {}, {}
-            new = words
         plain = [w for w in new if isinstance(w, str)]
         for word, ids in [*zip(plain, self.encode_words(plain)), *((w, [w]) for w in new if not isinstance(w, str))]:
-            self.ids_of[word] = pack(f"<{len(ids)}I", *ids)
+            self.ids_of[word] = array(self.code, ids).tobytes()
             if self.named:
                 self.name_of[word] = ",".join(map(str, ids))
 
-    #: Whether decimal texts are kept beside the ids.
-    named = False
+    #: Whether decimal texts are kept beside the ids; how an id is stored (array's type code).
+    named, code = False, "I"
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, str | None]]:
         """For each text its ids and, if named, their decimal text, joined by commas."""
         cut = [self.cut(t) for t in texts]
-        self.learn(set().union(*cut))
-        ids_of, name_of = self.ids_of.__getitem__, self.name_of.__getitem__
-        ids = [np.frombuffer(b"".join(map(ids_of, ws)), np.uint32) for ws in cut]
-        return [(i, ",".join(map(name_of, ws)) if self.named else None) for i, ws in zip(ids, cut)]
+        if len(self.ids_of) > CACHE_WORDS:
+            self.ids_of, self.name_of = {}, {}
+        found = [list(map(self.ids_of.get, ws)) for ws in cut]
+        self.learn(list({w for ws, parts in zip(cut, found) if None in parts for w, part in zip(ws, parts) if part is None}))
+        ids_of, name_of, out = self.ids_of, self.name_of, []
+        for ws, parts in zip(cut, found):
+            if None in parts:
+                parts = [ids_of[w] if part is None else part for w, part in zip(ws, parts)]
+            out.append((np.frombuffer(b"".join(parts), self.code), ",".join(map(name_of.__getitem__, ws)) if self.named else None))
+        return out
 
 
 class LibraryCoder(WordCoder):
@@ -103,6 +114,7 @@ class LibraryCoder(WordCoder):
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.code = "H" if self.size <= 1 << 16 else "I"
         super().__init__({t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()})
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
@@ -328,4 +340,4 @@ def _run(docs: DataFrame, path: str, schema: str, make, kinds: list[pa.DataType]
                 made = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
                 yield pa.RecordBatch.from_arrays([column(batch, "doc_id").slice(at, 512), *made], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(steady(run), schema)

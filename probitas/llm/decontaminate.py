@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Batches, bounded_batches, column, save, texts_of
+from .common import Batches, bounded_batches, column, save, steady, texts_of
 
 #: Words of a seed; score from which a document counts as contaminated; items of a slice.
 SEED_WORDS, CUT, SLICE = 4, 0.5, 20_000
@@ -143,7 +143,7 @@ def _slice(docs: DataFrame, items: Items, cut: float) -> DataFrame:
             kinds = [pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array([m[j] for m in made], kind) for j, kind in enumerate(kinds)], ["doc_id", "item", "words", "seeds"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, "doc_id long, item int, words array<int>, seeds array<long>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(steady(scan), "doc_id long, item int, words array<int>, seeds array<long>")
     found = save(rows, "passages")
     counts = {(r[0], r[1]): r[2] for r in found.select("item", F.explode("seeds").alias("seed")).groupBy("item", "seed").count().collect()}  # a row an n-gram of the items
     usual: dict[int, list[int]] = {}
@@ -178,4 +178,4 @@ def _slice(docs: DataFrame, items: Items, cut: float) -> DataFrame:
                             out.append((names[r], known.ids[item], best / len(words)))
             yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], kind) for j, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["doc_id", "item_id", "score"])
 
-    return found.mapInArrow(score, "doc_id long, item_id long, score double").groupBy("doc_id", "item_id").agg(F.max("score").alias("score"))
+    return found.mapInArrow(steady(score), "doc_id long, item_id long, score double").groupBy("doc_id", "item_id").agg(F.max("score").alias("score"))

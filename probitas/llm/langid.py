@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Batches, bounded_batches, column, texts_of
+from .common import Batches, bounded_batches, column, steady, texts_of
 
 MARK, BLOCK = "▁", 32
 #: Labelled rows of a language that are learned from; rounds of fitting; added to each expected count; probability of a character as such.
@@ -192,4 +192,4 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 got = shared.value.score(texts[at : at + 1024])
                 yield pa.RecordBatch.from_arrays([ids.slice(at, 1024), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(steady(run), "doc_id long, lang_pred string, score double")

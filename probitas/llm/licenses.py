@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Batches, bounded_batches, column, texts_of
+from .common import Batches, bounded_batches, column, steady, texts_of
 
 #: (identifier, pattern of the whole normalised sentence). A version group is added to the identifier.
 SENTENCES: list[tuple[str, str]] = [
@@ -136,4 +136,4 @@ def scan(docs: DataFrame, rules: Sequence[tuple[str, Sequence[str]]] = RULES) ->
             count = pa.array([sum(i == "Copyright" for i, _ in f) for f in found], pa.int64())
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), *made, count], ["doc_id", "identifiers", "licences", "n_copyright"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, identifiers array<string>, licences array<string>, n_copyright long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(steady(run), "doc_id long, identifiers array<string>, licences array<string>, n_copyright long")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Batches, bounded_batches, column, texts_of
+from .common import Batches, bounded_batches, column, steady, texts_of
 
 #: Largest share of characters in duplicated n-grams, by n, and in lines equal to an earlier one.
 NGRAM_LIMITS = {5: 0.50, 7: 0.50, 10: 0.50}
@@ -113,7 +113,7 @@ def quality(docs: DataFrame, limits: dict[int, float] | None = None, line_limit:
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), *made], ["doc_id", *counts, *shares])
 
     schema = "doc_id long, " + ", ".join([*(f"{c} long" for c in counts), *(f"{c} double" for c in shares)])
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(steady(run), schema)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     rejected = F.col("dup_line_share") > line_limit
     for n, most in limits.items():
@@ -134,4 +134,4 @@ def kept_rows(docs: DataFrame, limits: dict[int, float] | None = None, line_limi
         for batch in batches:
             yield batch.filter(pa.array([keeps(measure(t, tuple(limits))) for t in texts_of(batch)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(steady(run), docs.schema)

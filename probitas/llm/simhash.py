@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Batches, bounded_batches, column, save, texts_of
+from .common import Batches, bounded_batches, column, save, steady, texts_of
 from .components import components
 
 SEED = 42
@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
             fps = np.array([fingerprint(shingle_hashes(t, shingle)) for t in texts_of(batch)], np.uint64)
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(steady(run), "doc_id long, fp long")
 
 
 class BKTree:
@@ -170,7 +170,7 @@ def links(distinct: DataFrame, radius: int = 2, tree_size: int = 4096) -> DataFr
         close()
         yield out()
 
-    made = save(dealt.mapInArrow(run, "a long, b long"), "simhash-links")  # a row (x, x): x is in a large shard
+    made = save(dealt.mapInArrow(steady(run), "a long, b long"), "simhash-links")  # a row (x, x): x is in a large shard
     hot = made.where("a = b").select(F.col("a").alias("fp")).distinct()
     flips = F.array(F.lit(0).cast("long"), *[F.lit((1 << i) - (1 << 64) * (i == 63)).cast("long") for i in range(64)])
     near = hot.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("near"))

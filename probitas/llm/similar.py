@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Batches, bounded_batches, column, drop, save, texts_of
+from .common import Batches, bounded_batches, column, drop, save, steady, texts_of
 from .components import components
 from .simhash import BKTree, fingerprint, shingle_hashes
 
@@ -109,7 +109,7 @@ def representatives(docs: DataFrame, shingle: int) -> DataFrame:
             made = [pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sketches, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), *made], ["id", "fp", "sketch", "keys"])
 
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "id long, fp long, sketch binary, keys array<long>")
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(steady(run), "id long, fp long, sketch binary, keys array<long>")
     return save(rows.groupBy("fp", "sketch").agg(F.min_by(F.struct("id", "keys"), "id").alias("r")).select("r.id", "fp", "sketch", "r.keys"), "similar")
 
 
@@ -146,7 +146,7 @@ def kept_ids(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius:
         close()
         yield out()
 
-    groups = components(save(dealt.mapInArrow(run, "a long, b long"), "similar-links"))
+    groups = components(save(dealt.mapInArrow(steady(run), "a long, b long"), "similar-links"))
     gone = groups.where("node != root").select(F.col("node").alias("id"))
     kept = save(reps.select("id").join(gone, "id", "left_anti"), "similar-kept")
     drop(spark, reps.scratch)

@@ -25,24 +25,27 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bpe import LibraryCoder
-from .common import Batches, bounded_batches, column, drop, save, scratch_path, texts_of
+from .common import Batches, bounded_batches, column, drop, save, scratch_path, steady, texts_of
 
 #: A block is closed at so many tokens; a document is never split.
-BLOCK_TOKENS = 1 << 19
+BLOCK_TOKENS = 1 << 18
 HEAD = "shard int, block int, before long, doc_ids array<long>, counts array<int>"
 LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
 
 
 def pack_ranks(values: np.ndarray) -> tuple[bytes, bytes]:
     """Control bytes and data bytes of unsigned 32-bit integers."""
-    values = np.ascontiguousarray(values, np.uint32)
-    extra = (values > 0xFF).astype(np.uint8) + (values > 0xFFFF) + (values > 0xFFFFFF)
+    wide = 2 if not len(values) or values.max() <= 0xFFFF else 4
+    values = np.ascontiguousarray(values, f"<u{wide}")
+    extra = (values > 0xFF).astype(np.uint8)
+    if wide == 4:
+        extra += (values > 0xFFFF).astype(np.uint8) + (values > 0xFFFFFF)
     padded = np.zeros(-(-len(values) // 4) * 4, np.uint8)
     padded[: len(values)] = extra
     quads = padded.reshape(-1, 4)
     control = quads[:, 0] | quads[:, 1] << 2 | quads[:, 2] << 4 | quads[:, 3] << 6
-    wide = values.view(np.uint8).reshape(-1, 4)
-    return control.astype(np.uint8).tobytes(), wide[np.arange(4) <= extra[:, None]].tobytes()
+    used = np.stack([extra >= k for k in range(wide)], axis=1)
+    return control.astype(np.uint8).tobytes(), values.view(np.uint8).reshape(-1, wide)[used].tobytes()
 
 
 def unpack_ranks(control: bytes, data: bytes, count: int) -> np.ndarray:
@@ -93,7 +96,7 @@ def encode_blocks(docs: DataFrame, path: str, end_id: int) -> DataFrame:
             texts, names = [t.decode() for t in texts_of(batch)], column(batch, "doc_id").to_pylist()
             for at in range(0, len(texts), 1024):
                 for name, (got, _) in zip(names[at : at + 1024], code.encode(texts[at : at + 1024])):
-                    ids += [got.astype(kind).tobytes(), end]
+                    ids += [got.astype(kind, copy=False).tobytes(), end]
                     doc_ids.append(name)
                     counts.append(len(got) + 1)
                     held += len(got) + 1
@@ -104,7 +107,7 @@ def encode_blocks(docs: DataFrame, path: str, end_id: int) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
-    return rows.mapInArrow(run, f"{HEAD}, ids binary")
+    return rows.mapInArrow(steady(run), f"{HEAD}, ids binary")
 
 
 def frequency_ranks(blocks: DataFrame, path: str, end_id: int) -> np.ndarray:
@@ -119,7 +122,7 @@ def frequency_ranks(blocks: DataFrame, path: str, end_id: int) -> np.ndarray:
         found = np.nonzero(total)[0]
         yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(total[found])], ["id", "n"])
 
-    counts = blocks.select("ids").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = blocks.select("ids").mapInArrow(steady(run), "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
     return np.array([r[0] for r in counts.orderBy(F.desc("n"), "id").collect()], np.int64)
 
 
@@ -129,7 +132,7 @@ def write_token_files(docs: DataFrame, path: str, end_id: int, out: str) -> None
     raw = save(encode_blocks(docs, path, end_id), "token-ids")
     by_rank = frequency_ranks(raw, path, end_id)
     size = int(by_rank.max()) + 1 if len(by_rank) else 1
-    rank_of = np.zeros(size, np.uint32)
+    rank_of = np.zeros(size, np.uint16 if size <= 1 << 16 else np.uint32)
     rank_of[by_rank] = np.arange(len(by_rank))
     ranks = spark.sparkContext.broadcast(rank_of)  # 4 bytes an id of the vocabulary
 
@@ -143,7 +146,7 @@ def write_token_files(docs: DataFrame, path: str, end_id: int, out: str) -> None
                 control, data = pack_ranks(table[np.frombuffer(ids, kind)])
                 yield pa.RecordBatch.from_arrays([*one.columns[:5], pa.array([control], pa.binary()), pa.array([data], pa.binary())], [*one.schema.names[:5], "control", "data"])
 
-    blocks = raw.mapInArrow(run, f"{HEAD}, control binary, data binary")
+    blocks = raw.mapInArrow(steady(run), f"{HEAD}, control binary, data binary")
     blocks.write.partitionBy("shard").parquet(f"{out}/blocks")
     drop(spark, raw.scratch)
     rows = [(k, int(i)) for k, i in enumerate(by_rank)]
@@ -174,7 +177,7 @@ def read_token_files(spark: SparkSession, out: str, tokens: bool = False) -> Dat
                     made.append(pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(ids.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(made, names)
 
-    rows = blocks.mapInArrow(run, "doc_id long, at long, n_tokens long, ids_crc32 long, shard int" + ", ids array<int>" * tokens)
+    rows = blocks.mapInArrow(steady(run), "doc_id long, at long, n_tokens long, ids_crc32 long, shard int" + ", ids array<int>" * tokens)
     sizes = blocks.select("shard", F.expr("before + aggregate(counts, 0L, (a, c) -> a + c)").alias("n")).groupBy("shard").agg(F.max("n").alias("n"))
     first = sizes.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("first"))  # a row a shard
     out_cols = ["doc_id", (F.col("first") + F.col("at")).alias("start"), "n_tokens", "ids_crc32"] + ["ids"] * tokens
