@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Largest Arrow batch handed to a Python worker, so that a run of very long texts stays within memory.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 _written: list[tuple[SparkSession, str]] = []
 
