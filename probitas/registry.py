@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from .plans import queries as _plans
 
-from pyspark.sql import DataFrame, SparkSession
+flagship = _plans.flagship
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, _plans.Query]:
+    return dict(_plans.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
-
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return dict(_plans.SQL)
