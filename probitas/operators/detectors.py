@@ -14,12 +14,11 @@ from pyspark.sql.window import Window
 from ..functions.stats import binomial_tail, chi2_sf_9
 from .series import arrays, clean, decimals, informative, ranked
 
-NULL_TEXT = F.lit(None).cast("string")
 
 
 def _graded(cases: list[tuple[Column, str | None, int, float]]) -> dict[str, Column]:
     """match_type, severity and confidence of the first case that holds; null severity if none does."""
-    match, severity, confidence = NULL_TEXT, F.lit(None).cast("int"), F.lit(None).cast("double")
+    match, severity, confidence = F.lit(None).cast("string"), F.lit(None).cast("int"), F.lit(None).cast("double")
     for when, name, level, trust in reversed(cases):
         match = F.when(when, F.lit(name)).otherwise(match)
         severity = F.when(when, F.lit(level)).otherwise(severity)
