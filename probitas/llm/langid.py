@@ -174,9 +174,13 @@ def fit(rows: list[tuple[str, str]], path: str) -> Model:
 def train(docs: DataFrame, learned: Column, path: str, sample: int = SAMPLE) -> Model:
     """From at most `sample` rows a language of those where `learned` is true: those of least hash of doc_id."""
     bounded_batches(docs.sparkSession)
-    rows = docs.where(learned & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64(F.col("doc_id")).alias("_h"), F.xxhash64("text").alias("_t"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("_h", "_t"))
-    return fit([(r[0], r[1]) for r in rows.withColumn("_r", rank).where(F.col("_r") <= sample).select("lang", "text").collect()], path)
+    known = docs.where(learned & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
+    ids = known.groupBy("lang", "doc_id").agg(F.lit(1).alias("_k"))  # without texts
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id")))
+    chosen = ids.withColumn("_r", rank).where(F.col("_r") <= sample).select("lang", "doc_id")
+    rows = known.select("lang", "doc_id", "text").join(F.broadcast(chosen), ["lang", "doc_id"])  # `sample` ids a language
+    one = F.row_number().over(Window.partitionBy("lang", "doc_id").orderBy(F.xxhash64("text")))  # of repeated ids
+    return fit([(r[0], r[1]) for r in rows.withColumn("_o", one).where("_o = 1").select("lang", "text").collect()], path)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

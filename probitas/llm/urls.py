@@ -93,7 +93,7 @@ def url_filter(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, s
     if small:
         rows = rows.join(F.broadcast(keys), F.col("_hit") == F.col("listed_key"), "left")
     else:  # rows that can't be listed are dealt by their own id, hits by URL and salt
-        salted = keys.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long")).hint("shuffle_hash")
+        salted = keys.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))).hint("shuffle_hash")
         rows = rows.withColumn("_salt", F.when(F.col("_hit").isNotNull(), F.pmod("_spread", F.lit(SALTS))).otherwise(F.col("_spread")))
         rows = rows.join(salted, (F.col("_hit") == F.col("listed_key")) & (F.col("_salt") == F.col("_s")), "left")
     found = F.col("listed_key").isNotNull()
