@@ -182,15 +182,25 @@ def suffix_overrepresentation(cells: DataFrame) -> DataFrame:
     return out.withColumns(_graded([(F.col("p_value") <= 1e-5, None, 3, 0.90), (F.lit(True), None, 2, 0.76)])).select(F.lit("decimal_suffix_overrepresentation").alias("evidence_type"), F.col("ds").alias("ds_a"), "n", "suffix_length", "suffix", "observed_count", "p_value", "fdr_hypothesis_count", "severity", "confidence")
 
 
-def suffix_reuse(cells: DataFrame) -> DataFrame:
-    """Pairs of series whose multisets of suffixes overlap by at least 85 % of the smaller; counted per suffix first."""
+def suffix_reuse(cells: DataFrame, share: float = 0.85) -> DataFrame:
+    """Pairs of series whose multisets of suffixes overlap by at least 85 % of the smaller.
+
+    A series of n suffixes shares at least t = ceil(.85 n) with such a larger one, so one of its n - t + 1 rarest
+    occurrences (of any order) is among the larger's: only these seed candidates, whose overlap is then counted.
+    """
     out = None
     for size in (2, 3):
-        counts = decimals(clean(cells)).where(F.col(f"suffix{size}").isNotNull()).groupBy("ds", F.col(f"suffix{size}").alias("s")).agg(F.count("*").alias("c"))
-        counts = counts.withColumn("n", F.sum("c").over(Window.partitionBy("ds"))).where("n >= 8")
-        a, b = counts.select(F.col("ds").alias("ds_a"), "s", F.col("c").alias("ca"), F.col("n").alias("na")), counts.select(F.col("ds").alias("ds_b"), "s", F.col("c").alias("cb"), F.col("n").alias("nb"))
-        found = a.join(b, "s").where("ds_a < ds_b").groupBy("ds_a", "ds_b").agg(F.sum(F.least("ca", "cb")).cast("int").alias("shared_suffix_count"), F.first(F.least("na", "nb")).cast("int").alias("n"))
-        found = found.where("shared_suffix_count >= 0.85 * n").withColumn("suffix_length", F.lit(size))
+        counts = decimals(clean(cells)).where(F.col(f"suffix{size}").isNotNull()).groupBy("ds", F.col(f"suffix{size}").cast("long").alias("s")).agg(F.count("*").alias("c"))
+        tokens = counts.select("ds", F.explode(F.sequence(F.lit(1).cast("long"), F.col("c"))).alias("i"), "s").select("ds", (F.col("s") * (1 << 32) + F.col("i")).alias("t"))
+        common = tokens.groupBy("t").agg(F.count("*").alias("df"))
+        series = tokens.join(common, "t").groupBy("ds").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("o"))
+        series = series.select("ds", F.size("o").alias("n"), F.col("o.t").alias("ts")).where("n >= 8")
+        rare = series.select(F.col("ds").alias("x"), F.col("n").alias("nx"), F.col("ts").alias("tx"), F.explode(F.expr(f"slice(ts, 1, cast(n - ceil({share} * n) + 1 as int))")).alias("t"))
+        other = series.select(F.col("ds").alias("y"), F.col("n").alias("ny"), F.explode("ts").alias("t"))
+        seeds = rare.drop("tx").join(other, "t").where((F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y")))).select("x", "y").distinct()
+        pairs = seeds.join(series.select(F.col("ds").alias("x"), "n", F.col("ts").alias("tx")), "x").join(series.select(F.col("ds").alias("y"), F.col("ts").alias("ty")), "y")
+        found = pairs.select("x", "y", "n", F.size(F.array_intersect("tx", "ty")).alias("shared_suffix_count"))
+        found = found.where(F.col("shared_suffix_count") >= share * F.col("n")).select(F.least("x", "y").alias("ds_a"), F.greatest("x", "y").alias("ds_b"), "shared_suffix_count", "n", F.lit(size).alias("suffix_length"))
         out = found if out is None else out.unionByName(found)
     graded = out.withColumns(_graded([(F.col("n") >= 15, None, 3, 0.90), (F.lit(True), None, 2, 0.78)]))
     return graded.select(F.lit("decimal_suffix_reuse_across_datasets").alias("evidence_type"), "ds_a", "ds_b", "suffix_length", "n", "shared_suffix_count", F.round(F.col("shared_suffix_count") / F.col("n"), 6).alias("suffix_multiset_similarity"), "severity", "confidence")
