@@ -20,7 +20,14 @@ MEAN_SD = [
 SAMPLE = re.compile(r"\b[nN]\s*=\s*(\d{1,4})\b")
 PAGE = re.compile(r"^\[Page (\d+)\]", re.M)
 #: Section names and what heads them (fixed values).
-SECTIONS = {"abstract": "abstract", "introduction": "introduction", "background": "introduction", "methods": "methods", "materials and methods": "methods", "results": "results", "discussion": "discussion", "conclusion": "conclusion", "conclusions": "conclusion", "references": "references", "摘要": "abstract", "引言": "introduction", "方法": "methods", "结果": "results", "讨论": "discussion", "结论": "conclusion"}
+SECTIONS = {
+    "abstract": "Abstract", "summary": "Abstract", "摘要": "Abstract",
+    "introduction": "Introduction", "background": "Introduction", "引言": "Introduction", "前言": "Introduction",
+    "methods": "Methods", "materials and methods": "Methods", "methodology": "Methods", "experimental procedures": "Methods", "方法": "Methods", "材料与方法": "Methods",
+    "results": "Results", "result": "Results", "结果": "Results", "discussion": "Discussion", "讨论": "Discussion",
+    "conclusion": "Conclusion", "conclusions": "Conclusion", "结论": "Conclusion", "references": "References", "reference": "References", "参考文献": "References",
+    "figure legends": "Figure legends", "figures": "Figures", "tables": "Tables",
+}
 HEADING = re.compile(r"^[#\s\d.]*([^\n]{2,40}?)[:\s]*$", re.M)
 #: How far back a heading holds; characters of context.
 REACH, CONTEXT = 15_000, 80

@@ -7,35 +7,60 @@ from pyspark.sql import functions as F
 
 #: Vendor keys in order of preference, and the pattern of their catalogue numbers (fixed values).
 VENDORS = [
-    ("abcam", r"^ab\d{4,7}$"), ("cell signaling", r"^\d{4,5}[A-Z]?$"), ("sigma", r"^[A-Z]{0,2}\d{3,6}([-.]\w+)?$"), ("thermo", r"^[A-Z]{0,3}-?\d{3,7}$"),
-    ("invitrogen", r"^[A-Z]{0,2}\d{4,7}$"), ("santa cruz", r"^sc-\d{3,6}$"), ("bd", r"^\d{6}$"), ("r&d", r"^[A-Z]{2,4}\d{3,5}$"), ("millipore", r"^[A-Z]{2,4}\d{3,5}$"),
+    ("abcam", r"^ab\d{4,7}$"),
+    ("sigma", r"^[A-Z]\d{4,6}$"),
+    ("sigma-aldrich", r"^[A-Z]\d{4,6}$|^[A-Z]{2,4}\d{2,5}$"),
+    ("thermo", r"^\d{4,6}[A-Z]{0,2}$|^[A-Z]\d{4,6}$"),
+    ("thermo fisher", r"^\d{4,6}[A-Z]{0,2}$|^[A-Z]\d{4,6}$"),
+    ("invitrogen", r"^\d{4,6}[A-Z]{0,2}$"),
+    ("cst", r"^\d{4,5}[A-S]$"),
+    ("cell signaling", r"^\d{4,5}[A-S]$"),
+    ("santa cruz", r"^sc-\d{4,6}$"),
+    ("r&d", r"^[A-Z]{2,5}\d{4,6}$"),
+    ("r&d systems", r"^[A-Z]{2,5}\d{4,6}$"),
+    ("millipore", r"^[A-Z]{2,5}\d{4,6}$"),
+    ("bd biosciences", r"^\d{6}$|^[A-Z]\d{4,6}[A-Z]{0,2}$"),
+    ("roche", r"^\d{7,11}$"),
+    ("qiagen", r"^\d{5,7}$"),
+    ("promega", r"^[A-Z]\d{3,5}[A-Z]{0,2}$"),
+    ("neb", r"^[A-Z]\d{4,5}[A-Z]{0,2}$"),
+    ("new england biolabs", r"^[A-Z]\d{4,5}[A-Z]{0,2}$"),
 ]
-ANY_CATALOGUE = r"^[A-Za-z0-9][A-Za-z0-9._/-]{2,19}$"
-#: Placeholders that pass for approval numbers, and patterns by country (fixed values).
-FAKE_APPROVALS = [r"^0+$", r"^12345", r"^(n/?a|none|pending|tbd|xxx+)$", r"^(.)\1+$", r"^test"]
-APPROVALS = {"china": r"\d{4}|iacuc|[a-z]{2,}-\d{2,}", "usa": r"iacuc|irb|\d{2,}", "uk": r"(ppl|pil|p)\s?\d+|\d{2}/\d{4}", "japan": r"\d{2,}", "germany": r"\d{2,}[-./]\d+"}
+SUSPICIOUS_VENDORS = ("biosharp", "biotech", "chemical reagents co", "lab supplies inc", "biochem co ltd")
+ANY_CATALOGUE = r"^[A-Z]{0,3}[-]?\d{3,8}[A-Z]{0,3}$"
+#: Patterns of approval numbers by country, and of made-up ones (fixed values).
+APPROVALS = {
+    "china": [r"伦审.*第.*号", r"[A-Z]{2,6}[-_]\d{4}[-_]\d{2,6}", r"\d{4}[-_](?:伦|化|动|医).*\d{2,4}号", r"(?:IACUC|IRB)[-_]\d{4}[-_]\d{2,6}"],
+    "us": [r"(?:IACUC|IRB|A\d{4})[-_]\d{2,4}[-_]\d{2,6}", r"PROTO(?:COL)?[-_]\d{4,8}", r"[A-Z]{2,4}[-_]\d{4}[-_]\d{2,4}"],
+    "eu": [r"2010[/ ]63[/ ]EU", r"[A-Z]{2,4}[/-]\d{4}[/-]\d{2,6}", r"(?:DE|FR|NL|IT|ES)[-_/]\d{2,4}[-_/]\d{2,6}"],
+    "uk": [r"PPL\s*\d{2}[/-]\d{4}", r"P[ABCDEF]\s*\d{2}[/-]\d{4}", r"\d{2}[/-]NW[/-]\d{4}[/-]\d{2}", r"(?:REC|IRAS)\s*\d{2,6}[/-]\d{2,6}"],
+    "japan": [r"第\s*\d{2,4}\s*号", r"[A-Z]{2,5}[-_]\d{2}[-_]\d{2,4}", r"\d{4}[-_]倫\d{2,4}"],
+}
+FAKE_APPROVALS = [r"^12345$", r"^[A-Z]{3}-\d{3}$", r"(?i)^approval[\s_-]?\d+$", r"(?i)^no\.?\s*\d{1,3}$", r"(?i)^[a-z]+$"]
 
 
 def reagents(items: DataFrame) -> DataFrame:
     """(idx, name, catalog_number, vendor): the first vendor key within the vendor's name decides the pattern; else a general one."""
     vendor, number = F.lower(F.coalesce("vendor", F.lit(""))), F.trim(F.coalesce("catalog_number", F.lit("")))
     key, valid = F.lit(None).cast("string"), number.rlike(ANY_CATALOGUE)
+    suspicious = F.greatest(*[vendor.contains(name) for name in SUSPICIOUS_VENDORS])
     for name, pattern in reversed(VENDORS):
         key, valid = F.when(vendor.contains(name), name).otherwise(key), F.when(vendor.contains(name), number.rlike(f"(?i){pattern}")).otherwise(valid)
     missing = number == ""
     antibody = F.lower("name").rlike(r"antibod|anti-|\bigg\b")
-    return items.withColumns({"vendor_key": key, "format_valid": F.when(~missing, valid), "antibody_without_catalog": antibody & missing}).withColumn("flagged", F.coalesce(~F.col("format_valid"), F.lit(False)) | F.col("antibody_without_catalog"))
+    return items.withColumns({"vendor_key": key, "format_valid": F.when(~missing, valid), "suspicious_vendor": suspicious, "antibody_without_catalog": antibody & missing}).withColumn("flagged", F.coalesce(~F.col("format_valid"), F.lit(False)) | F.col("suspicious_vendor") | F.col("antibody_without_catalog"))
 
 
 def ethics(rows: DataFrame) -> DataFrame:
     """(approval_number, country, study_type): missing, placeholder, short, or unlike the country's numbers."""
-    number, country = F.lower(F.trim(F.coalesce("approval_number", F.lit("")))), F.lower(F.coalesce("country", F.lit("unknown")))
+    number, country = F.trim(F.coalesce("approval_number", F.lit(""))), F.lower(F.coalesce("country", F.lit("unknown")))
     fake, fits, known = F.lit(False), F.lit(False), F.lit(False)
     for pattern in FAKE_APPROVALS:
         fake = fake | number.rlike(pattern)
     anywhere = F.lit(False)
-    for name, pattern in APPROVALS.items():
-        fits, known, anywhere = F.when(country == name, number.rlike(pattern)).otherwise(fits), known | (country == name), anywhere | number.rlike(pattern)
+    for name, patterns in APPROVALS.items():
+        own = number.rlike("(?i)" + "|".join(f"(?:{p})" for p in patterns))
+        fits, known, anywhere = F.when(country == name, own).otherwise(fits), known | (country == name), anywhere | own
     finding = F.when(number == "", "missing").when(fake, "placeholder").when(F.length(number) < 5, "too_short").when(known & ~fits, "country_format").when(~known & ~anywhere, "unknown_format")
     return rows.withColumn("finding", finding).withColumn("flagged", F.col("finding").isNotNull())
 

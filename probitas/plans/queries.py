@@ -214,9 +214,9 @@ add("q7_salami", on("select o_custkey as author, o_orderkey as paper_id, concat(
 _CLAIM_TEXT = "select cast(l_suppkey as string) as doc_id, concat('[Page 1]\nMethods\nWe had n = ', cast(l_suppkey % 9000 + 1 as string), ' animals.\n[Page 2]\nResults\nSize was ', cast(cast(avg(l_quantity) as decimal(12,4)) as string), ' ± ', cast(cast(stddev_samp(l_quantity) as decimal(12,4)) as string), ' (p = 0.0', cast(l_suppkey % 9 + 1 as string), ').') as text from {lineitem} group by l_suppkey"
 add("x4_claims", on(_CLAIM_TEXT, lambda df: claims.claims(df).select("doc_id", "claim_id", "claim_type", "p_value", "n", "page", "section")), """
 with s as (select distinct l_suppkey as k from lineitem)
-select k::varchar as doc_id, 'PCL-0001' as claim_id, 'reported_n' as claim_type, null::double as p_value, (k % 9000 + 1)::int as n, 1 as page, 'methods' as section from s
-union all select k::varchar, 'PCL-0002', 'reported_mean_sd', null, null, 2, 'results' from s
-union all select k::varchar, 'PCL-0003', 'reported_p_value', ('0.0' || (k % 9 + 1))::double, null, 2, 'results' from s""")
+select k::varchar as doc_id, 'PCL-0001' as claim_id, 'reported_n' as claim_type, null::double as p_value, (k % 9000 + 1)::int as n, 1 as page, 'Methods' as section from s
+union all select k::varchar, 'PCL-0002', 'reported_mean_sd', null, null, 2, 'Results' from s
+union all select k::varchar, 'PCL-0003', 'reported_p_value', ('0.0' || (k % 9 + 1))::double, null, 2, 'Results' from s""")
 _QUANTITIES = "select l_suppkey as ds, cast(l_linenumber as int) as pos, l_quantity as value, cast(l_quantity as string) as raw from {lineitem}"
 add("d13_alignment", lambda s, d: claims.align(claims.claims(b.frame(s, d, _CLAIM_TEXT)), b.frame(s, d, _QUANTITIES)).select("doc_id", "claim_id", "candidate_match_count", "verdict"), """
 with t as (select l_suppkey as ds, avg(l_quantity) as m, stddev_samp(l_quantity) as s, round(avg(l_quantity), 4) as cm, round(stddev_samp(l_quantity), 4) as cs, count(*) as n from lineitem group by 1),

@@ -19,8 +19,11 @@ NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 BUILT_IN = {0: "General", 1: "0", 2: "0.00", 3: "#,##0", 4: "#,##0.00", 9: "0%", 10: "0.00%", 11: "0.00E+00", 37: "#,##0 ;(#,##0)", 39: "#,##0.00;(#,##0.00)", 48: "##0.0E+0", 49: "@"}
 DATES = {*range(14, 23), *range(45, 48)}
 #: Words in a label or header that mark a designed sequence (fixed values).
-DESIGNED = ("treatment", "group", "batch", "dose", "time", "day", "week", "month", "year", "age", "id", "no", "number", "index", "sample", "replicate", "concentration", "temperature", "cycle", "rank", "编号", "序号", "时间", "剂量", "浓度", "分组")
-TITLE = r"(?i)^\s*(supplementary\s+|extended\s+data\s+)?(fig(ure)?|table|图|表)\s*\.?\s*S?\d+"
+DESIGNED = (
+    "id", "no", "number", "index", "编号", "序号", "sample no", "样本编号", "time", "时间", "day", "week", "month", "月份", "dose", "dosage", "concentration", "conc", "浓度", "剂量",
+    "group", "组别", "分组", "treatment", "处理", "control", "对照", "standard", "标准", "calibrator", "batch", "批次", "replicate", "重复", "年龄", "age",
+)
+TITLE = r"(?i)\b(?:fig(?:ure)?|table)\s*[.\-]?\s*\d*"
 CELLS = "file string, sheet string, row int, col int, num double, txt string, number_format string"
 
 

@@ -103,7 +103,7 @@ def test_tools(spark):
 def test_claims(spark):
     text = "[Page 1]\nMethods\nmice n = 6\n[Page 2]\nResults\nsize 12.3 ± 1.1 and p=0.031, p = 2, p < .05\nMean age was 23.5 (SD = 2.1)."
     found = claims.claims(spark.createDataFrame([("x", text), ("y", None), ("z", "")], "doc_id string, text string")).orderBy("claim_id").collect()
-    assert [(r.claim_type, r.page, r.section) for r in found][:3] == [("reported_n", 1, "methods"), ("reported_mean_sd", 2, "results"), ("reported_p_value", 2, "results")]
+    assert [(r.claim_type, r.page, r.section) for r in found][:3] == [("reported_n", 1, "Methods"), ("reported_mean_sd", 2, "Results"), ("reported_p_value", 2, "Results")]
     assert found[1].char_start == text.index("12.3") and found[-1].mean == 23.5 and len(found) == 5
     first = claims.claims(spark.createDataFrame([("x", "p = .05 " + "1.0 ± 0.1 " * 5)], "doc_id string, text string"), most=3).collect()
     assert len(first) == 3
@@ -130,8 +130,8 @@ def test_texts_and_methods(spark):
     assert got["same"].ratio == 1 and got["none"].ratio < 0.3 and not got["null"].flagged
     items = spark.createDataFrame([(1, "Anti-X antibody", "ab12345", "Abcam plc"), (2, "Anti-X antibody", "", "Abcam"), (3, "salt", "??", "nobody")], "idx int, name string, catalog_number string, vendor string")
     assert [r.flagged for r in methodology.reagents(items).orderBy("idx").collect()] == [False, True, True]
-    rows = spark.createDataFrame([("", "China"), ("00000", "USA"), ("IACUC-2020-17", "usa")], "approval_number string, country string")
-    assert [r.finding for r in methodology.ethics(rows).collect()] == ["missing", "placeholder", None]
+    rows = spark.createDataFrame([("", "China"), ("12345", "US"), ("IACUC-2020-17", "us"), ("00 000", "Atlantis")], "approval_number string, country string")
+    assert [r.finding for r in methodology.ethics(rows).collect()] == ["missing", "placeholder", None, "unknown_format"]
     both = spark.createDataFrame([("male mice n = 5, ANOVA", "n=6 t-test female")], "methods_text string, results_text string")
     r = methodology.methods_agreement(both).first()
     assert r.sample_size_mismatch and r.test_mismatch and r.sex_mismatch
