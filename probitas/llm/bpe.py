@@ -104,23 +104,6 @@ class WordCoder:
         return out
 
 
-class LibraryCoder(WordCoder):
-    """By the tokenizers library."""
-
-    def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.code = "H" if self.size <= 1 << 16 else "I"
-        super().__init__({t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()})
-
-    def encode_words(self, words: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-
-
 class BPE(WordCoder):
     """Encoder and decoder for one tokenizer file."""
 

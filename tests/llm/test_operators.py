@@ -89,6 +89,20 @@ def test_variable_length_coding(values):
     assert tokens.unpack_ranks(control, data, len(values)).tolist() == values and len(control) == -(-len(values) // 4)
 
 
+def test_library_coder_by_chunks():
+    parts = [" "] * 6 + ["\n"] * 4 + ["\t", "\r", chr(0xA0), chr(0x3000), "\x1c", chr(0x85), "a", "the", "é", "中文", "'s", "'", "12", "!", "<|endoftext|>", "<|", "\U0001f600"]
+    rng = random.Random(7)
+    texts = ["", "\n", "  ", "a\n\n\nb", "foo   bar", "foo \n bar ", "x  <|endoftext|> y", "long" * 5000] + ["".join(rng.choices(parts, k=rng.randint(0, 25))) for _ in range(4000)]
+    want = [e.ids for e in Tokenizer.from_file(PATH).encode_batch(texts, add_special_tokens=False)]
+    code = tokens.LibraryCoder(PATH)
+    raw = [t.encode() for t in texts]
+    for _ in range(2):  # the second time from what it knows
+        got = [ids for part in tokens.portions(raw, 1 << 12) for ids in code.encode(raw[part])]
+        assert [np.frombuffer(g, code.kind).tolist() for g in got] == want
+    code.cuts = False
+    assert [np.frombuffer(g, code.kind).tolist() for g in code.encode(raw[:100])] == want[:100]
+
+
 def test_token_files(spark, odd, none, docs):
     assert tokens.token_round_trip(none, PATH).isEmpty()
     got = {(r.doc_id, r.start): r for r in tokens.token_round_trip(odd, PATH).collect()}
