@@ -123,24 +123,54 @@ def fragments_across(cells: DataFrame) -> DataFrame:
 
 
 def similarity(cells: DataFrame) -> DataFrame:
-    """Pairs of informative series (n >= 5) that are equal, permuted, rescaled, or contained in one another.
+    """Pairs of informative series (n >= 5) that are equal, near, permuted, rescaled, or contained in one another.
 
-    Equal series meet on their value arrays, permutations on their sorted arrays, subsets on shared values counted
-    per value first, and linear images on two ratios of their steps, which no affine change alters; the ratios are
-    coarse, and each is tried with its neighbours. Every candidate is then verified by the stated rule.
+    Near and permuted series meet on coarse means, first values and magnitudes of their values in order or sorted;
+    subsets on shared values, counted per value first; linear images on standardised first values. Each grid is tried
+    with its neighbours, and every candidate is then verified by the stated rule. The first rule that holds names a
+    pair: equal, near in order, permuted (equal or near), linear.
     """
     series = informative(arrays(clean(cells)).where("n >= 5"))
-    series = series.withColumns({"vs": F.expr("transform(vs, v -> v + 0D)"), "sorted": F.expr("array_sort(transform(vs, v -> round(v, 10) + 0D))")})
-    a = series.select(F.col("ds").alias("ds_a"), "n", F.col("vs").alias("va"), F.col("sorted").alias("ka"))
-    b = series.select(F.col("ds").alias("ds_b"), F.col("n").alias("nb"), F.col("vs").alias("vb"), F.col("sorted").alias("kb"))
-    same = a.join(b, F.col("ka") == F.col("kb")).where("ds_a < ds_b")
-    exact = F.expr("forall(zip_with(va, vb, (x, y) -> abs(x - y) <= 1e-12), z -> z)")
-    same = same.withColumns(_graded([(exact, "same_order_exact", 4, 0.99), (F.lit(True), "permutation_exact", 4, 0.98)]))
-    line = _linear(series).join(same.select("ds_a", "ds_b"), ["ds_a", "ds_b"], "left_anti")
-    line = line.withColumns(_graded([(F.col("gap") <= 0.001, "same_order_near", 3, 0.91), (F.lit(True), "linear_transform_near", 3, 0.88)]))
+    series = series.withColumn("vs", F.expr("transform(vs, v -> v + 0D)")).withColumn("sorted", F.array_sort("vs"))
+    ordered = _close(series.where("n >= 8"), "vs", 1e-3).select("ds_a", "ds_b", "n", (F.col("gap") == 0).alias("exact"), F.lit(None).cast("boolean").alias("same"))
+    permuted = _close(series, "sorted", 1e-6).join(ordered, ["ds_a", "ds_b"], "left_anti")
+    of = series.select("ds", F.col("vs").alias("v"))
+    permuted = permuted.join(of.toDF("ds_a", "wa"), "ds_a").join(of.toDF("ds_b", "wb"), "ds_b")
+    equal = F.expr("forall(zip_with(va, vb, (x, y) -> round(x, 10) = round(y, 10)), z -> z)")
+    near = ordered.unionByName(permuted.select("ds_a", "ds_b", "n", (F.col("wa") == F.col("wb")).alias("exact"), equal.alias("same")))
+    line = _linear(series).join(near, ["ds_a", "ds_b"], "left_anti").withColumns(_graded([(F.lit(True), "linear_transform_near", 3, 0.88)]))
+    near = near.withColumns(_graded([
+        (F.col("exact"), "same_order_exact", 4, 0.99), (F.col("same").isNull(), "same_order_near", 3, 0.91),
+        (F.col("same"), "permutation_exact", 4, 0.98), (F.lit(True), "permutation_near", 3, 0.90),
+    ]))
     inside = _subsets(cells.join(series.select("ds"), "ds", "left_semi")).withColumns(_graded([(F.col("n") >= 10, "permutation_subset_exact", 4, 0.96), (F.lit(True), "permutation_subset_exact", 3, 0.87)]))
     columns = ["ds_a", "ds_b", "match_type", "n", "severity", "confidence"]
-    return same.select(columns).unionByName(line.select(columns)).unionByName(inside.select(columns)).withColumn("evidence_type", F.lit("raw_numeric_similarity"))
+    return near.select(columns).unionByName(line.select(columns)).unionByName(inside.select(columns)).withColumn("evidence_type", F.lit("raw_numeric_similarity"))
+
+
+def _close(series: DataFrame, values: str, tolerance: float) -> DataFrame:
+    """(ds_a, ds_b, n, va, vb, gap): pairs of one length whose arrays differ by at most tolerance times their largest value, or 1, anywhere.
+
+    Such pairs are neighbours on a grid of the logarithm of the largest value, and on one, in units of twice the
+    tolerance at that size, of the mean and of the first value. Only keys are dealt out; arrays are joined afterwards.
+    """
+    step = 2 * tolerance
+    rows = series.select("ds", "n", F.col(values).alias("v"))
+    rows = rows.withColumns({"size": F.greatest(F.expr("array_max(transform(v, x -> abs(x)))"), F.lit(1.0)), "mean": F.expr("aggregate(v, 0D, (s, x) -> s + x) / n"), "first": F.expr("v[0]"), "mid": F.expr("v[div(n, 2)]")})
+    rows = rows.withColumn("level", F.floor(F.log("size") / step)).drop("v")
+    cell = lambda name, at: F.floor(F.col(name) / (step * F.exp(step * (F.col(at) + 2))))
+    left = rows.select(F.col("ds").alias("ds_a"), "n", "level", cell("mean", "level").alias("m"), cell("first", "level").alias("f"), F.col("mid").alias("mid_a"), F.col("size").alias("size_a"))
+    around = lambda name: F.explode(F.array(*[F.col(name) + d for d in (-1, 0, 1)]))
+    right = rows.withColumn("level", around("level"))
+    right = right.select(F.col("ds").alias("ds_b"), "n", "level", cell("mean", "level").alias("m"), cell("first", "level").alias("f"), F.col("mid").alias("mid_b"), F.col("size").alias("size_b"))
+    for name in ("m", "f"):
+        right = right.withColumn(name, around(name))
+    scale = F.greatest("size_a", "size_b")
+    pairs = left.join(right, ["n", "level", "m", "f"]).where((F.col("ds_a") < F.col("ds_b")) & (F.abs(F.col("mid_a") - F.col("mid_b")) <= tolerance * scale))
+    of = series.select("ds", F.col(values).alias("v"))
+    found = pairs.select("ds_a", "ds_b", "n", scale.alias("scale")).join(of.toDF("ds_a", "va"), "ds_a").join(of.toDF("ds_b", "vb"), "ds_b")
+    found = found.withColumn("gap", F.expr("array_max(zip_with(va, vb, (x, y) -> abs(x - y)))"))
+    return found.where(F.col("gap") / F.col("scale") <= tolerance).drop("scale")
 
 
 def _linear(series: DataFrame, grid: float = 0.05) -> DataFrame:
@@ -156,7 +186,7 @@ def _linear(series: DataFrame, grid: float = 0.05) -> DataFrame:
     right = keyed.select(F.col("ds").alias("ds_b"), F.col("n").alias("nb"), F.col("vs").alias("vb"), F.col("sd").alias("sb"), F.explode(F.transform(wide, lambda d: F.col("c0") + d)).alias("d0"), F.col("c1").alias("c1_"), F.col("c2").alias("c2_"))
     pairs = left.join(right, (F.col("n") == F.col("nb")) & (F.col("c0") == F.col("d0")) & (F.col("ds_a") < F.col("ds_b")) & (F.abs(F.col("c1") - F.col("c1_")) <= 1) & (F.abs(F.col("c2") - F.col("c2_")) <= 1))
     points = pairs.select("ds_a", "ds_b", "n", "sb", F.explode(F.arrays_zip("va", "vb")).alias("p")).select("ds_a", "ds_b", "n", "sb", "p.va", "p.vb")
-    found = points.groupBy("ds_a", "ds_b").agg(F.first("n").alias("n"), F.first("sb").alias("sb"), F.regr_r2("vb", "va").alias("r2"), (F.max(F.abs(F.col("va") - F.col("vb"))) / F.greatest(F.max(F.abs("va")), F.max(F.abs("vb")), F.lit(1.0))).alias("gap"))
+    found = points.groupBy("ds_a", "ds_b").agg(F.first("n").alias("n"), F.first("sb").alias("sb"), F.regr_r2("vb", "va").alias("r2"))
     return found.where((F.col("r2") >= 0.999) & (F.col("sb") * F.sqrt(F.greatest(F.lit(0.0), 1 - F.col("r2"))) / F.greatest(F.col("sb"), F.lit(1.0)) <= 0.01))
 
 

@@ -83,14 +83,14 @@ select 'repeated_numeric_fragment' as evidence_type, ds_a, ds_b, n, w as fragmen
 add("d5_similarity", on(b.CELLS, detectors.similarity), with_cells("""
 z as (select ds, count(*)::int as n, count(*) filter (abs(value) <= 1e-12) as z, stddev_pop(value) as sd from cells group by ds),
 s as (select c.*, z.n, z.sd, row_number() over (partition by c.ds order by value, pos) as r from cells c join z on c.ds = z.ds where z.n >= 5 and z.z < z.n and not (z.z >= 0.8 * z.n and z.n - z.z < 5)),
-perm as (select x.ds as ds_a, y.ds as ds_b, any_value(x.n) as n from s x join s y on x.r = y.r and x.n = y.n and round(x.value, 10) = round(y.value, 10) and x.ds < y.ds group by x.ds, y.ds having count(*) = any_value(x.n)),
+ranks as (select x.ds as ds_a, y.ds as ds_b, max(abs(x.value - y.value)) / greatest(max(abs(x.value)), max(abs(y.value)), 1) as sorted_rel, bool_and(round(x.value, 10) = round(y.value, 10)) as same from s x join s y on x.r = y.r and x.n = y.n and x.ds < y.ds group by x.ds, y.ds),
 place as (select x.ds as ds_a, y.ds as ds_b, any_value(x.n) as n, max(abs(x.value - y.value)) as gap, max(abs(x.value - y.value)) / greatest(max(abs(x.value)), max(abs(y.value)), 1) as rel, regr_r2(y.value, x.value) as r2, any_value(y.sd) as sb, any_value(x.sd) as sa from s x join s y on x.pos = y.pos and x.n = y.n and x.ds < y.ds group by x.ds, y.ds),
-one as (select perm.*, case when gap <= 1e-12 then 'same_order_exact' else 'permutation_exact' end as match_type from perm join place using (ds_a, ds_b)),
-line as (select ds_a, ds_b, n, case when rel <= 0.001 then 'same_order_near' else 'linear_transform_near' end as match_type from place anti join perm using (ds_a, ds_b) where n >= 8 and sa > 1e-9 and sb > 1e-9 and r2 >= 0.999 and sb * sqrt(greatest(0, 1 - r2)) / greatest(sb, 1) <= 0.01),
+pairs as (select ds_a, ds_b, n, case when gap = 0 then 'same_order_exact' when n >= 8 and rel <= 0.001 then 'same_order_near' when sorted_rel <= 1e-6 and same then 'permutation_exact' when sorted_rel <= 1e-6 then 'permutation_near'
+  when n >= 8 and sa > 1e-9 and sb > 1e-9 and r2 >= 0.999 and sb * sqrt(greatest(0, 1 - r2)) / greatest(sb, 1) <= 0.01 then 'linear_transform_near' end as match_type from place join ranks using (ds_a, ds_b)),
 c as (select ds, round(value, 10) as v, count(*) as k, any_value(n) as n from s group by ds, round(value, 10)),
 sub as (select least(x.ds, y.ds) as ds_a, greatest(x.ds, y.ds) as ds_b, any_value(x.n) as n, 'permutation_subset_exact' as match_type from c x join c y on x.v = y.v and x.n < y.n group by x.ds, y.ds having sum(least(x.k, y.k)) = any_value(x.n)),
-u as (select ds_a, ds_b, n, match_type from one union all select * from line union all select * from sub)""", f"""
-select 'raw_numeric_similarity' as evidence_type, ds_a, ds_b, match_type, n, {graded([("match_type = 'same_order_exact'", 4, 0.99), ("match_type = 'permutation_exact'", 4, 0.98), ("match_type = 'same_order_near'", 3, 0.91), ("match_type = 'linear_transform_near'", 3, 0.88), ("n >= 10", 4, 0.96), ("true", 3, 0.87)])} from u"""))
+u as (from pairs where match_type is not null union all select * from sub)""", f"""
+select 'raw_numeric_similarity' as evidence_type, ds_a, ds_b, match_type, n, {graded([("match_type = 'same_order_exact'", 4, 0.99), ("match_type = 'permutation_exact'", 4, 0.98), ("match_type = 'same_order_near'", 3, 0.91), ("match_type = 'permutation_near'", 3, 0.9), ("match_type = 'linear_transform_near'", 3, 0.88), ("n >= 10", 4, 0.96), ("true", 3, 0.87)])} from u"""))
 
 _TAIL = "list_sum(list_transform(range(c, n + 1), lambda k: exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln({p}) + (n - k) * ln(1 - {p}))))"
 add("d6a_suffix_overrepresentation", on(b.RATES, lambda c: detectors.suffix_overrepresentation(c.where("value between 0.02 and 0.05")).withColumn("p_value", F.round("p_value", 9)), column="l_discount"), f"""

@@ -45,6 +45,14 @@ def test_permutation_and_zero_guard(spark):
     assert detectors.similarity(cells(spark, s1=z, s2=z)).first().match_type == "same_order_exact"
 
 
+def test_near_and_permuted_rules_in_order(spark):
+    v = [1001.4, 1000.2, 1000.9, 1000.1, 1000.6, 1000.3, 1000.8, 1000.5]  # near in order whatever the order
+    w = [31.2, 5.7, 18.4, 77.1, 60.3, 2.9, 44.6]
+    found = {(r.ds_a, r.ds_b): (r.match_type, r.severity, r.confidence) for r in detectors.similarity(cells(spark, s1=v, s2=v[::-1], s3=w, s4=[x + 2e-5 for x in w[::-1]], s5=[x + 2e-3 for x in w], s6=w)).collect()}
+    assert found == {(1, 2): ("same_order_near", 3, 0.91), (3, 4): ("permutation_near", 3, 0.9), (4, 6): ("permutation_near", 3, 0.9), (3, 6): ("same_order_exact", 4, 0.99)}
+    assert {r.match_type for r in detectors.similarity(cells(spark, s1=[-999.9995, *v], s2=[-1000.0, *(x - 0.9 for x in v)])).collect()} == {"same_order_near"}
+
+
 def test_metamorphic_linear_and_subset(spark):
     v = [3.17, 9.31, 1.73, 6.41, 8.83, 2.29, 7.57, 4.91, 5.05, 0.77]
     got = {(r.ds_a, r.ds_b): r.match_type for r in detectors.similarity(cells(spark, s1=v, s2=[-2.5 * x + 7 for x in v], s3=v[2:8])).collect()}
