@@ -4,9 +4,11 @@
    length on either side) is written down as numbers of the items' words, with the n-grams found in it.
 2. The corpus frequency of each n-gram (passages that have it) tells rare from common. An n-gram is common if far
    more passages have it than have its item's typical n-gram, so copies of an item don't make its n-grams common.
-   Passages that have no rare n-gram of the item are no candidates.
-3. Candidates are aligned with their item word by word (local alignment: +1 equal, -1 different, -1 gap). The score
-   is the best alignment divided by the item's length: 1 for a whole copy, lower the more is edited or left out.
+   Rarity only orders the work: passages that have a rare n-gram are aligned at once, the others after a count of the
+   words they share with the item, which no alignment's score exceeds, has shown that they can reach the cut.
+3. Passages are aligned with their item word by word (local alignment: +1 equal, -1 different, -1 gap), equal ones of
+   a batch once. The score is the best alignment divided by the item's length: 1 for a whole copy, lower the more is
+   edited or left out.
 
 Items are held in slices of bounded size, one scan of the corpus a slice. Words are runs of letters, digits and
 underscores, lower-cased; an item of fewer words than an n-gram is one n-gram.
@@ -18,6 +20,7 @@ Repeated items match each; repeated doc_ids are one document whose best score co
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -116,6 +119,11 @@ def align(item: np.ndarray, windows: np.ndarray) -> np.ndarray:
     return best
 
 
+def shared_words(item: np.ndarray, window: list[int]) -> int:
+    """Words that item and window have in common, repeats counted: no alignment of the two scores more."""
+    return sum((Counter(item.tolist()) & Counter(window)).values())
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = SEED_WORDS, cut: float = CUT, slice_items: int = SLICE) -> DataFrame:
     """(doc_id, item_id, score) for every document and item with a score of at least `cut`."""
     spark = docs.sparkSession
@@ -161,21 +169,21 @@ def _slice(docs: DataFrame, items: Items, cut: float) -> DataFrame:
         for batch in batches:
             names, of = column(batch, "doc_id").to_pylist(), column(batch, "item").to_pylist()
             windows, seeds = column(batch, "words").to_pylist(), column(batch, "seeds").to_pylist()
-            by_item: dict[int, list[int]] = {}
+            by_item: dict[int, dict[tuple[int, ...], list[int]]] = {}
             for row, item in enumerate(of):
-                if not skip.get(item) or not skip[item].issuperset(seeds[row]):
-                    by_item.setdefault(item, []).append(row)
+                by_item.setdefault(item, {}).setdefault(tuple(windows[row]), []).append(row)
             out = []
             for item, own in by_item.items():
-                words = known.words[item]
-                for at in range(0, len(own), 2000):
-                    part = own[at : at + 2000]
-                    grid = np.full((len(part), max(len(windows[r]) for r in part)), -2, np.int32)
-                    for i, r in enumerate(part):
-                        grid[i, : len(windows[r])] = windows[r]
-                    for r, best in zip(part, align(words, grid).tolist()):
+                words, usual_seeds = known.words[item], skip.get(item, set())
+                reach = [w for w, rows in own.items() if any(not usual_seeds.issuperset(seeds[r]) for r in rows) or shared_words(words, w) >= cut * len(words)]
+                for at in range(0, len(reach), 2000):
+                    part = reach[at : at + 2000]
+                    grid = np.full((len(part), max(map(len, part))), -2, np.int32)
+                    for i, window in enumerate(part):
+                        grid[i, : len(window)] = window
+                    for window, best in zip(part, align(words, grid).tolist()):
                         if best >= cut * len(words):
-                            out.append((names[r], known.ids[item], best / len(words)))
+                            out += [(names[r], known.ids[item], best / len(words)) for r in own[window]]
             yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], kind) for j, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["doc_id", "item_id", "score"])
 
     return found.mapInArrow(steady(score), "doc_id long, item_id long, score double").groupBy("doc_id", "item_id").agg(F.max("score").alias("score"))

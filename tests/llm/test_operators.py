@@ -316,6 +316,16 @@ def test_decontamination(spark, odd, none, docs):
     assert {r.doc_id for r in decontaminate.contaminated(odd, extra).collect()} == {5}
 
 
+def test_decontamination_of_many_equal_edited_copies(spark):
+    words = [f"w{k}" for k in range(40)]
+    edited = ["x" if k in (2, 6, 11, 15, 20, 24, 29, 33) else w for k, w in enumerate(words)]
+    few = ["pad"] * 90 + words[34:] + ["pad"] * 90  # shares common seeds, but too few words
+    texts = [words] + [edited] * 300 + [[f"a{k}", "w1", *edited, f"b{k}"] for k in range(20)] + [few] * 3
+    table = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in decontaminate.contaminated(table, spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")).collect()}
+    assert got == {k: brute_align(words, t) / 40 for k, t in enumerate(texts[:321])} and got[1] == 0.6
+
+
 def test_sharding(docs, odd, none):
     assert sharding.shard_by_bytes(none).isEmpty()
     for table, shards in ((docs, 7), (odd, 3), (docs, 40)):
