@@ -1,13 +1,15 @@
-"""Near-duplicate groups of documents by similarity of their word shingles: SimHash, BK-trees in shards, sketches.
+"""Near-duplicate groups of documents by similarity of their word shingles: SimHash, BK-trees in shards, exact sets.
 
-Two documents are linked when the Jaccard similarity of their sets of five-word shingles, as estimated by a sketch of
-256 minima (two bits each; standard error 0.03 at 0.8), is at least `similarity` less one standard error, and their
-64-bit SimHash fingerprints differ in at most `radius` bits. They meet in shards: each of ten bands of three minima
-names one, so two documents of similarity 0.8 share a shard with a probability of 0.999, and unrelated ones hardly
-ever. Documents of equal fingerprint and sketch go in as one. A shard's BK-tree has children keyed by the integer
-Hamming distance to the parent, and a search follows only the edges within the radius; what it finds is compared by
-sketch. A large shard is searched breadth first in numpy instead, each document once against those not yet reached.
-Either way a shard gives a spanning star of each group, never its pairs.
+Two documents are linked when the Jaccard similarity of their sets of five-word shingles is at least `similarity`.
+Candidates are pairs whose 64-bit SimHash fingerprints differ in at most `radius` bits and whose similarity, as
+estimated by a sketch of 256 minima (two bits each; standard error 0.03 at 0.8), is at least `similarity` less five
+standard errors. They meet in shards: each of sixteen bands of three minima names one, so two documents of similarity
+0.8 share a shard with a probability of 0.99999, and unrelated ones hardly ever. Documents of equal sets go in as one.
+A shard's BK-tree has children keyed by the integer Hamming distance to the parent, and a search follows only the
+edges within the radius; what it finds is compared by sketch. A large shard is searched breadth first in numpy
+instead, each document once against those not yet reached. Either way a shard gives a spanning star of each group of
+candidates, never its pairs. The shingle sets of each connected group of candidates then meet in one task, which
+links them by exact similarity, again breadth first.
 
 Cases: null and wordless texts have no shingle and count as equal; a text of fewer words than a shingle is one
 shingle; rows of null doc_id can't be named and stay alone; empty tables give empty results.
@@ -15,6 +17,10 @@ shingle; rows of null doc_id can't be named and stay alone; empty tables give em
 
 from __future__ import annotations
 
+import hashlib
+import tempfile
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,8 +30,11 @@ from .common import Batches, bounded_batches, column, drop, save, steady, texts_
 from .components import components
 from .simhash import BKTree, fingerprint, shingle_hashes
 
-MINIMA, ROWS, BANDS = 256, 3, 10
-ERROR = 0.03
+MINIMA, ROWS, BANDS = 256, 3, 16
+#: Standard error of the sketch at 0.8, and how many of them a candidate may lie below the similarity.
+ERROR, MARGIN = 0.03, 5
+#: Bytes of a group's shingle sets that a task holds in memory, and hashes that it compares at once.
+HELD, AT_ONCE = 64 << 20, 1 << 21
 #: Documents of a shard up to which a BK-tree is used.
 TREE_SIZE = 512
 _rng = np.random.default_rng(20)
@@ -93,33 +102,125 @@ def group_links(ids: list[int], fps: np.ndarray, sketches: np.ndarray, radius: i
     return out
 
 
+class Sets:
+    """Sorted shingle hashes of a group's rows; what exceeds HELD bytes lies in a local file."""
+
+    def __init__(self) -> None:
+        self.rows: list[np.ndarray | tuple[int, int]] = []
+        self.held, self.file = 0, None
+
+    def add(self, raw: bytes) -> None:
+        if self.held + len(raw) <= HELD:
+            self.held += len(raw)
+            self.rows.append(np.frombuffer(raw, np.uint64))
+            return
+        self.file = self.file or tempfile.TemporaryFile()
+        at = self.file.tell() // 8
+        self.file.write(raw)
+        self.rows.append((at, at + len(raw) // 8))
+
+    def arrays(self) -> list[np.ndarray]:
+        if not self.file:
+            return self.rows
+        self.file.flush()
+        filed = np.memmap(self.file, np.uint64, "r")
+        return [filed[r[0] : r[1]] if isinstance(r, tuple) else r for r in self.rows]
+
+
+def alike(one: np.ndarray, others: list[np.ndarray], least: float) -> np.ndarray:
+    """Which of the other sets (none empty, unless `one` is) have a Jaccard similarity of at least `least` with one."""
+    sizes = np.array([len(o) for o in others])
+    if not len(one):
+        return sizes == 0
+    flat = np.concatenate(others)
+    equal = one[np.minimum(np.searchsorted(one, flat), len(one) - 1)] == flat
+    both = np.add.reduceat(equal, np.cumsum(sizes) - sizes, dtype=np.int64)
+    return both >= least * (sizes + len(one) - both) - 1e-9
+
+
+def exact_links(ids: list[int], sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """(id, smallest id of its group) of one group of candidates; an id of several rows joins their groups."""
+    sizes, left, parent = np.array([len(s) for s in sets]), np.arange(len(sets)), {i: i for i in ids}
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    def portions(rows: np.ndarray) -> Iterator[np.ndarray]:
+        return iter(np.split(rows, np.nonzero(np.diff(np.cumsum(sizes[rows]) // AT_ONCE))[0] + 1)) if len(rows) else iter(())
+
+    while len(left):
+        front, left = [int(left[0])], left[1:]
+        while front and len(left):
+            i = front.pop()
+            fits = left[np.minimum(sizes[left], sizes[i]) >= least * np.maximum(sizes[left], sizes[i]) - 1e-9]
+            found = [j for part in portions(fits) for j in part[alike(sets[i], [sets[j] for j in part], least)].tolist()]
+            for j in found:
+                a, b = root(ids[i]), root(ids[j])
+                parent[max(a, b)] = min(a, b)
+            if found:
+                left = np.setdiff1d(left, found, assume_unique=True)
+                front += found
+    return [(i, root(i)) for i in parent if root(i) != i]
+
+
 def representatives(docs: DataFrame, shingle: int) -> DataFrame:
-    """(id, fp, sketch, keys): the smallest doc_id of each distinct fingerprint and sketch."""
+    """(id, fp, sketch, keys): the smallest doc_id of each distinct set of shingles."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
-            fps, sketches, keys = [], [], []
+            digests, fps, sketches, keys = [], [], [], []
             for text in texts_of(batch):
                 hashes = np.unique(shingle_hashes(text, shingle))
+                digests.append(hashlib.blake2b(hashes.tobytes(), digest_size=16).digest())
                 fps.append(fingerprint(hashes))
                 packed, own = sketch(hashes)
                 sketches.append(packed)
                 keys.append(own)
-            made = [pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sketches, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), *made], ["id", "fp", "sketch", "keys"])
+            made = [pa.array(digests, pa.binary()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sketches, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), *made], ["id", "digest", "fp", "sketch", "keys"])
+
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(steady(run), "id long, digest binary, fp long, sketch binary, keys array<long>")
+    return save(rows.groupBy("digest").agg(F.min_by(F.struct("id", "fp", "sketch", "keys"), "id").alias("r")).select("r.*"), "similar")
+
+
+def exact_groups(docs: DataFrame, groups: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(node, root) for the members of groups of candidates (node, root) that exact similarity links to a smaller id."""
+
+    def hashed(batches: Batches) -> Batches:
+        for batch in batches:
+            raw = [np.unique(shingle_hashes(t, shingle)).tobytes() for t in texts_of(batch)]
+            yield pa.RecordBatch.from_arrays([column(batch, "root"), column(batch, "node"), pa.array(raw, pa.binary())], ["root", "node", "hashes"])
+
+    def run(batches: Batches) -> Batches:
+        group, ids, sets, links = None, [], Sets(), []
+        for batch in batches:
+            for root, node, raw in zip(*(column(batch, c).to_pylist() for c in ("root", "node", "hashes"))):
+                if root != group:
+                    links += exact_links(ids, sets.arrays(), similarity)
+                    group, ids, sets = root, [], Sets()
+                ids.append(node)
+                sets.add(raw)
+            yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in links], pa.int64()) for j in (0, 1)], ["node", "root"])
+            links = []
+        links = exact_links(ids, sets.arrays(), similarity)
+        yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in links], pa.int64()) for j in (0, 1)], ["node", "root"])
 
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(steady(run), "id long, fp long, sketch binary, keys array<long>")
-    return save(rows.groupBy("fp", "sketch").agg(F.min_by(F.struct("id", "keys"), "id").alias("r")).select("r.id", "fp", "sketch", "r.keys"), "similar")
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("node"), "text").join(groups.select("node", "root"), "node")
+    sets = texts.select("root", "node", "text").mapInArrow(steady(hashed), "root long, node long, hashes binary")
+    return sets.repartition("root").sortWithinPartitions("root", "node").mapInArrow(steady(run), "node long, root long")
 
 
-def kept_ids(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 20) -> DataFrame:
+def kept_ids(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 24) -> DataFrame:
     """doc_id of the one document that stays of each group: the smallest."""
     spark = docs.sparkSession
     reps = representatives(docs, shingle)
     shards = reps.select("id", "fp", "sketch", F.posexplode("keys").alias("band", "key"))
     dealt = shards.repartition("band", "key").sortWithinPartitions("band", "key", "id")
-    least = similarity - ERROR
+    least = similarity - MARGIN * ERROR
 
     def run(batches: Batches) -> Batches:
         key, ids, fps, sketches, edges = None, [], [], [], []
@@ -147,13 +248,13 @@ def kept_ids(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius:
         yield out()
 
     groups = components(save(dealt.mapInArrow(steady(run), "a long, b long"), "similar-links"))
-    gone = groups.where("node != root").select(F.col("node").alias("id"))
+    gone = exact_groups(docs, groups, shingle, similarity).select(F.col("node").alias("id")).distinct()
     kept = save(reps.select("id").join(gone, "id", "left_anti"), "similar-kept")
     drop(spark, reps.scratch)
     return kept.withColumnRenamed("id", "doc_id")
 
 
-def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 20) -> DataFrame:
+def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 24) -> DataFrame:
     """The rows of docs that stay. Rows that repeat another's doc_id and text go too; rows of null doc_id stay."""
     alone = docs.where("doc_id is null")
     kept = docs.where("doc_id is not null").join(kept_ids(docs, shingle, similarity, radius), "doc_id", "left_semi")

@@ -268,6 +268,47 @@ def test_near_copies(spark, odd, none):
     assert abs(similar.estimate(packed[0], packed[1][None])[0] - exact) < 0.1
 
 
+def test_similarity_near_the_threshold(spark):
+    rng, rows, want = random.Random(4), [], set()
+
+    def grams(words):
+        return set(zip(*(words[i:] for i in range(5))))
+
+    for k in range(120):
+        words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(500)]
+        other = list(words)
+        for at in rng.sample(range(5, 495, 6), 6 + k % 11):  # similarities of 0.88 to 0.72
+            other[at] = "changed" + str(at)
+        a, b = grams(words), grams(other)
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+        want |= {2 * k} | ({2 * k + 1} if len(a & b) < 0.8 * len(a | b) else set())
+    rows += [(1000 + k, " ".join(f"t{j}" if j % 50 else f"own{k}" for j in range(400))) for k in range(60)]  # all alike
+    want.add(1000)
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert 150 < len(want) < 230
+    assert {r.doc_id for r in similar.one_of_each(table).collect()} == want
+
+
+def test_exact_links(monkeypatch):
+    rng = np.random.default_rng(6)
+    base = [rng.choice(60, 40, replace=False) for _ in range(12)]
+    sets = [np.unique(np.append(b[: rng.integers(30, 41)], rng.integers(60, 70, 3))).astype(np.uint64) for b in base for _ in range(8)]
+    ids = list(range(len(sets)))
+    links = {(a, b) for a in ids for b in ids if a < b and len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b])) - 1e-9}
+    want = {i: i for i in ids}
+    for _ in ids:
+        for a, b in links:
+            want[a] = want[b] = min(want[a], want[b])
+    assert dict(similar.exact_links(ids, sets, 0.8)) == {i: r for i, r in want.items() if i != r} and len(set(want.values())) > 12
+    monkeypatch.setattr(similar, "HELD", 1000)
+    monkeypatch.setattr(similar, "AT_ONCE", 100)
+    filed = similar.Sets()
+    for s in sets:
+        filed.add(s.tobytes())
+    assert filed.file and dict(similar.exact_links(ids, filed.arrays(), 0.8)) == {i: r for i, r in want.items() if i != r}
+    assert similar.exact_links([5, 5, 3], [sets[0][:0], sets[0], sets[0][:0]], 0.8) == [(5, 3)]
+
+
 def test_large_shards_group_alike():
     rng = np.random.default_rng(2)
     base = rng.integers(0, 1 << 63, (30, 8), dtype=np.uint64)
