@@ -1,7 +1,7 @@
 """License scans by sentence rules: sentences are mapped to identifiers, identifier sequences to licences.
 
-A text is cut into sentences (at ``. ! ? ; :`` before white space and at blank lines; a sentence that isn't known is
-tried line by line). Sentences are normalised: lower case, comment marks and quotes dropped, spelling unified, white
+A text is cut into sentences (at ``. ! ? ; :`` before white space, but not after ``v.`` or the colon of an SPDX tag; at
+blank lines; and before the version clause of the GPL notices; a sentence that isn't known is tried line by line). Sentences are normalised: lower case, comment marks and quotes dropped, spelling unified, white
 space collapsed. A known sentence gives an identifier. The sequence of identifiers is then read from the left: at
 each place the first rule, in the given order, whose identifiers follow there names a licence and takes them.
 
@@ -67,8 +67,9 @@ RULES: list[tuple[str, Sequence[str]]] = [
     ("PublicDomain", ("PublicDomain",)),
 ]
 KINDS = {"lesser ": "L", "library ": "L", "affero ": "A"}
-TRIGGERS = re.compile(r"licen[sc]e|copyright|\(c\)|all rights|permission|redistribut|as is|public domain|free software|general public", re.I)
-CUT = re.compile(r"(?<=[.!?;:])\s+|\n\s*\n")
+#: Each pattern of SENTENCES needs one of these; single words, as a line may break between any two.
+TRIGGERS = re.compile(r"licen[sc]e|copyright|\(c\)|©|rights|permission|redistribut|under|basis|free|endorse|provided|public", re.I)
+CUT = re.compile(r"(?<=[.!?;:])(?<!\bv\.)(?<!license-identifier:)(?<!licence-identifier:)\s+|\n\s*\n|(?<=foundation,)[\s/*#;%<!\-]+(?=either\s)", re.I)
 MARKS = re.compile(r"^[\s/*#;%<!\-]+|[\s*/>\-]+$", re.M)
 _PATTERNS = [(name, re.compile(pattern)) for name, pattern in SENTENCES]
 
@@ -97,7 +98,7 @@ def identifiers(text: str) -> list[tuple[str, dict]]:
         return []
     out = []
     for sentence in CUT.split(text):
-        if not TRIGGERS.search(sentence) and "license" not in sentence.lower() and "under" not in sentence.lower():
+        if not TRIGGERS.search(sentence):
             continue
         if found := identify(sentence):
             out.append(found)

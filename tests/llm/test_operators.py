@@ -56,6 +56,33 @@ def test_licenses(spark, odd, none):
     assert licenses.licences(licenses.identifiers("He had a license to drive. Permission was given.")) == []
 
 
+GPL = "This program is free software: you can redistribute it and/or modify\n it under the terms of the GNU General Public License as published by\n the Free Software Foundation, either version 3 of the License, or\n (at your option) any later version.\n"
+
+
+@pytest.mark.parametrize(
+    "text, names",
+    [
+        ("This work is released under CC BY 4.0.", ["CC-BY-4.0"]),
+        ("// SPDX-License-Identifier: MIT\nint main() {}", ["SPDX:mit"]),
+        ("SPDX-License-Identifier: Apache-2.0", ["SPDX:apache-2.0"]),
+        ("This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/.", ["MPL-2.0"]),
+        (GPL, ["GPL-3-or-later"]),
+        ("/*\n * " + GPL.replace("\n ", "\n * ").replace("Foundation, either", "Foundation,\n * either").replace("General", "Affero General") + " */", ["AGPL-3-or-later"]),
+        (GPL.replace("software:", "software;").replace("Foundation, either version 3", "Foundation; either version 2"), ["GPL-2-or-later"]),
+        ("This file is in the public\ndomain.", ["PublicDomain"]),
+    ],
+)
+def test_standard_headers(text, names):
+    assert licenses.licences(licenses.identifiers(text)) == names
+
+
+def test_triggers_hide_no_sentence():
+    assert licenses.identifiers("© 2019 Acme") == [("Copyright", {})]
+    known = ["All rights\nreserved.", "This program is free\n# software;", "The software is provided\nas\nis, without warranty of any kind.", "Neither the name of Acme may be used to endorse\nor promote products derived from it.", "This software is provided by Acme as\nis."]
+    assert [[i for i, _ in licenses.identifiers(t)] for t in known] == [["AllRights"], ["GPLFree"], ["MITAsIs"], ["BSDEndorse"], ["BSDAsIs"]]
+    assert licenses.identifiers("Unless required by applicable law or agreed to in writing, software is on an as\nis basis.")[0][0] == "ApacheAsIs"
+
+
 def brute_repeats(words, n):
     seen = {}
     for i in range(len(words) - n + 1):
