@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
-from functools import wraps
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,14 +22,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Limits Arrow batches by bytes as well as rows."""
+    """Limits the session's Arrow batches by bytes as well as rows. Plans run later, so the setting stays."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
+    """The folder that driver and executors share. Only a local session (tests) gets a temporary one where none is named."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="probitas-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -86,17 +86,3 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
 
 
 Batches = Iterator[pa.RecordBatch]
-
-
-def steady(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
-    """Runs a partition without the collector of cycles: the operators make millions of small objects and no cycles."""
-
-    @wraps(run)
-    def wrapped(batches: Batches) -> Batches:
-        gc.disable()
-        try:
-            yield from run(batches)
-        finally:
-            gc.enable()
-
-    return wrapped

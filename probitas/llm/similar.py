@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Batches, bounded_batches, column, drop, save, steady, texts_of
+from .common import Batches, bounded_batches, column, drop, save, texts_of
 from .components import components
 from .simhash import BKTree, fingerprint, shingle_hashes
 
@@ -183,7 +183,7 @@ def representatives(docs: DataFrame, shingle: int) -> DataFrame:
             made = [pa.array(digests, pa.binary()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sketches, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), *made], ["id", "digest", "fp", "sketch", "keys"])
 
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(steady(run), "id long, digest binary, fp long, sketch binary, keys array<long>")
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "id long, digest binary, fp long, sketch binary, keys array<long>")
     return save(rows.groupBy("digest").agg(F.min_by(F.struct("id", "fp", "sketch", "keys"), "id").alias("r")).select("r.*"), "similar")
 
 
@@ -210,8 +210,8 @@ def exact_groups(docs: DataFrame, groups: DataFrame, shingle: int, similarity: f
         yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in links], pa.int64()) for j in (0, 1)], ["node", "root"])
 
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("node"), "text").join(groups.select("node", "root"), "node")
-    sets = texts.select("root", "node", "text").mapInArrow(steady(hashed), "root long, node long, hashes binary")
-    return sets.repartition("root").sortWithinPartitions("root", "node").mapInArrow(steady(run), "node long, root long")
+    sets = texts.select("root", "node", "text").mapInArrow(hashed, "root long, node long, hashes binary")
+    return sets.repartition("root").sortWithinPartitions("root", "node").mapInArrow(run, "node long, root long")
 
 
 def kept_ids(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 24) -> DataFrame:
@@ -247,7 +247,7 @@ def kept_ids(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius:
         close()
         yield out()
 
-    groups = components(save(dealt.mapInArrow(steady(run), "a long, b long"), "similar-links"))
+    groups = components(save(dealt.mapInArrow(run, "a long, b long"), "similar-links"))
     gone = exact_groups(docs, groups, shingle, similarity).select(F.col("node").alias("id")).distinct()
     kept = save(reps.select("id").join(gone, "id", "left_anti"), "similar-kept")
     drop(spark, reps.scratch)
