@@ -1,26 +1,30 @@
-"""Benchmark decontamination: rare n-gram seeds join passages to test items, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: rare n-gram seeds join training passages to test items, Smith-Waterman alignment scores them.
 
-1. Every text is scanned for the items' word n-grams. Where some are found, the passage around them (the item's
-   length on either side) is written down as numbers of the items' words, with the n-grams found in it.
-2. The corpus frequency of each n-gram (passages that have it) tells rare from common. An n-gram is common if far
-   more passages have it than have its item's typical n-gram, so copies of an item don't make its n-grams common.
-   Rarity only orders the work: passages that have a rare n-gram are aligned at once, the others after a count of the
-   words they share with the item, which no alignment's score exceeds, has shown that they can reach the cut.
-3. Passages are aligned with their item word by word (local alignment: +1 equal, -1 different, -1 gap), equal ones of
-   a batch once. The score is the best alignment divided by the item's length: 1 for a whole copy, lower the more is
-   edited or left out.
+A document holds an item if some passage of it aligns with the item word by word (local alignment: +1 equal, -1
+different, -1 gap) with at least `cut` of the item's length, and at least LEAST words or the whole of a shorter item.
+The score is that alignment divided by the item's length: 1 for a whole copy, lower the more is edited or left out.
 
-Items are held in slices of bounded size, one scan of the corpus a slice. Words are runs of letters, digits and
-underscores, lower-cased; an item of fewer words than an n-gram is one n-gram.
+Nothing that reaches the cut is missed. An alignment of m matches and e errors scores m - e and its matches stand in at
+most e + 1 runs, so at least score - 1 of the item's two-word grams are whole in the passage. Hence:
+
+1. A scan counts in how many documents each two-word gram of the items stands.
+2. Of an item's L - 1 grams the L - need + 1 rarest are its seeds (need: the least score): every passage that reaches the
+   cut has one of them, however common they are. No gram is dropped for being common; rarity only chooses.
+3. A second scan takes the items whose seeds a text holds. Where need - 1 of the item's grams stand close enough
+   together, the passage around them is aligned with the item, equal passages of a batch once.
+
+Items are held in slices of bounded bytes (words and grams of a slice are broadcast); a larger benchmark takes two scans
+of the corpus for each slice. Words are runs of letters, digits and underscores, lower-cased.
 
 Cases: null and empty texts, and items without a word, match nothing. An empty corpus or benchmark gives no rows.
-Repeated items match each; repeated doc_ids are one document whose best score counts. Extra columns are ignored.
+Repeated items count once; repeated doc_ids are one document whose best score counts. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,80 +33,92 @@ from pyspark.sql import functions as F
 
 from .common import Batches, bounded_batches, column, save, texts_of
 
-#: Words of a seed; score from which a document counts as contaminated; items of a slice.
-SEED_WORDS, CUT, SLICE = 4, 0.5, 20_000
-#: An n-gram is common above so many times its item's median count, and at least so many more.
-COMMON_TIMES, COMMON_MORE = 10, 200
+#: Score from which a document counts as contaminated, words that must match at least; bytes of items in a slice.
+CUT, LEAST, SLICE_BYTES = 0.5, 5, 32 << 20
+#: Words of passages that wait for their alignment, that are aligned at once, and of a passage (longer ones are cut, with an overlap).
+WAITING, AT_ONCE, LONGEST = 1 << 20, 1 << 19, 1 << 16
 WORD = re.compile(r"\w+")
-MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _roll(ids: np.ndarray, n: int) -> np.ndarray:
-    """A 64-bit hash of each n consecutive word numbers."""
-    x = (ids.astype(np.uint64) + np.uint64(1)) * MIX
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(32)
-    out = np.zeros(len(x) - n + 1, np.uint64)
-    for k in range(n):
-        out = out * MIX + x[k : len(x) - n + 1 + k]
-    return out
+def words_of(text: str) -> list[str]:
+    return WORD.findall(text.lower())
+
+
+def least_score(length: int, cut: float = CUT) -> int:
+    """Matches less errors that an item of so many words must reach."""
+    return max(int(np.ceil(cut * length - 1e-9)), min(length, LEAST), 1)
 
 
 class Items:
-    """Word numbers and n-grams of a slice of the benchmark."""
+    """A slice of the benchmark: words as numbers, two-word grams as sorted codes, and each item's grams and seeds."""
 
-    def __init__(self, rows: list[tuple[int, str]], n: int) -> None:
+    def __init__(self, rows: list[tuple[int | None, str]], cut: float = CUT) -> None:
         self.number: dict[str, int] = {}
         self.ids, self.words = [], []
         for item, text in rows:
-            words = WORD.findall((text or "").lower())
-            if words:
+            if words := words_of(text or ""):
                 self.ids.append(item)
                 self.words.append(np.array([self.number.setdefault(w, len(self.number)) for w in words], np.int64))
-        grams: dict[int, list[tuple[int, int]]] = {}
-        for k, words in enumerate(self.words):
-            size = min(n, len(words))
-            for h in np.unique(_roll(words, size)).tolist():
-                grams.setdefault(size, []).append((h, k))
-        #: By n-gram length: sorted hashes, and the items (as positions) of each hash.
-        self.grams = {}
-        for size, pairs in grams.items():
-            pairs.sort()
-            hashes = np.array([h for h, _ in pairs], np.uint64)
-            kinds, first = np.unique(hashes, return_index=True)
-            self.grams[size] = (kinds, np.append(first, len(pairs)), np.array([k for _, k in pairs], np.int64))
-        self.lengths = np.array([len(w) for w in self.words], np.int64)
-
-
-def passages(items: Items, words: list[str]) -> tuple[list[tuple[int, int, int, list[int]]], np.ndarray]:
-    """(item position, first word, word after the last, n-grams found) for each passage of a text; its word numbers."""
-    get = items.number.get
-    ids = np.array([get(w, -1) for w in words], np.int64)
-    found: list[tuple[int, int, int]] = []
-    for size, (kinds, first, of) in items.grams.items():
-        if len(ids) < size:
-            continue
-        known = np.cumsum(np.append(0, ids >= 0))
-        at = np.nonzero(known[size:] - known[:-size] == size)[0]
-        if not len(at):
-            continue
-        hashes = _roll(ids, size)[at]
-        place = np.minimum(np.searchsorted(kinds, hashes), len(kinds) - 1)
-        hit = kinds[place] == hashes
-        for p, k in zip(at[hit].tolist(), place[hit].tolist()):
-            h = int(kinds[k].astype(np.int64))
-            found += [(int(item), p, h) for item in of[first[k] : first[k + 1]]]
-    found.sort()
-    out, i = [], 0
-    while i < len(found):
-        item, begin, _ = found[i]
-        size, j, seeds = int(items.lengths[item]), i, set()
-        while j < len(found) and found[j][0] == item and found[j][1] < begin + 2 * size:
-            seeds.add(found[j][2])
-            j += 1
-        out.append((item, max(0, begin - size), min(len(ids), found[j - 1][1] + 2 * size), sorted(seeds)))
-        i = j
-    return out, ids
+        self.need = [least_score(len(w), cut) for w in self.words]
+        #: By item, the code of the gram that begins at each word; an item of one word has that word's own code.
+        codes = [self.codes(w) if len(w) > 1 else -1 - w for w in self.words]
+        self.grams = np.unique(np.concatenate([*codes, np.zeros(0, np.int64)]))
+        self.of_item = [np.searchsorted(self.grams, c) for c in codes]
+        self.choose(np.zeros(len(self.grams), np.int64))
+
+    def codes(self, words: np.ndarray) -> np.ndarray:
+        """Of each two consecutive words; that of an unknown word is nobody's."""
+        size = len(self.number)
+        return np.where((words[:-1] >= 0) & (words[1:] >= 0), words[:-1] * size + words[1:], np.int64(size) * size)
+
+    def choose(self, counts: np.ndarray) -> None:
+        """Takes each item's rarest grams, by these counts, as its seeds."""
+        seeds = [np.unique(own[np.argsort(counts[own], kind="stable")[: max(1, len(self.words[k]) - self.need[k] + 1)]]) for k, own in enumerate(self.of_item)]
+        gram = np.concatenate([*seeds, np.zeros(0, np.int64)])
+        item = np.repeat(np.arange(len(seeds)), [len(s) for s in seeds])
+        order = np.argsort(gram, kind="stable")
+        #: Items of gram g: items[first[g] : first[g + 1]].
+        self.items, self.first = item[order], np.searchsorted(gram[order], np.arange(len(self.grams) + 1))
+
+    def found(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Word numbers of a text (-1: no item's), the places where some item's gram begins, and which gram it is."""
+        words = words_of(text)
+        ids = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
+        known = np.nonzero(ids >= 0)[0]
+        if not len(known) or not len(self.grams):
+            return ids, known[:0], known[:0]
+        codes = np.append(self.codes(ids), np.int64(len(self.number)) ** 2)
+        places, codes = (known, codes[known]) if self.grams[0] >= 0 else (np.concatenate([known, known]), np.concatenate([codes[known], -1 - ids[known]]))
+        at = np.minimum(np.searchsorted(self.grams, codes), len(self.grams) - 1)
+        hit = self.grams[at] == codes
+        return ids, places[hit], at[hit]
+
+    def passages(self, text: str) -> list[tuple[int, np.ndarray]]:
+        """(item, words as the item's numbers, -1 for others) of all passages that may reach the item's least score."""
+        ids, places, grams = self.found(text)
+        here = np.unique(grams)
+        if not len(here):
+            return []
+        out = []
+        for k in np.unique(np.concatenate([self.items[a:b] for a, b in zip(self.first[here], self.first[here + 1])])).tolist():
+            length, need = len(self.words[k]), self.need[k]
+            own = places[np.isin(grams, self.of_item[k])]
+            least = max(1, need - 1)
+            if len(own) < least:
+                continue
+            reach = 2 * length - need  # words of the text that an alignment takes at most
+            begin, end = own[: len(own) - least + 1], own[least - 1 :]
+            close = end - begin <= reach
+            if not close.any():
+                continue
+            begin, end = np.maximum(end[close] - reach, 0), np.minimum(begin[close] + reach + 2, len(ids))
+            cuts = np.nonzero(begin[1:] > end[:-1])[0]  # both ascend
+            for a, b in zip(begin[np.append(0, cuts + 1)].tolist(), end[np.append(cuts, len(end) - 1)].tolist()):
+                step = max(LONGEST, 4 * reach)
+                for start in range(a, max(a + 1, b - reach), step - reach):
+                    part = ids[start : min(b, start + step)]
+                    out.append((k, np.where(np.isin(part, self.words[k]), part, -1)))
+        return out
 
 
 def align(item: np.ndarray, windows: np.ndarray) -> np.ndarray:
@@ -119,71 +135,87 @@ def align(item: np.ndarray, windows: np.ndarray) -> np.ndarray:
     return best
 
 
-def shared_words(item: np.ndarray, window: list[int]) -> int:
-    """Words that item and window have in common, repeats counted: no alignment of the two scores more."""
-    return sum((Counter(item.tolist()) & Counter(window)).values())
+@lru_cache(maxsize=1)
+def _held(shared) -> Items:
+    """The items of a broadcast, made once a worker process."""
+    rows, cut, counts = shared.value
+    items = Items(rows, cut)
+    if counts is not None:
+        items.choose(counts)
+    return items
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = SEED_WORDS, cut: float = CUT, slice_items: int = SLICE) -> DataFrame:
-    """(doc_id, item_id, score) for every document and item with a score of at least `cut`."""
+def contaminated(docs: DataFrame, benchmark: DataFrame, cut: float = CUT, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """(doc_id, item_id, score) for every document and item whose score reaches the cut."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    slices = max(1, -(-benchmark.count() // slice_items))
+    items = save(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null").distinct(), "items")
+    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    slices = max(1, -(-total // slice_bytes))
     out = spark.createDataFrame([], "doc_id long, item_id long, score double")
     for k in range(slices):
-        part = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k) if slices > 1 else benchmark
-        rows = [(r[0], r[1]) for r in part.select(F.col("item_id").cast("long"), "text").collect()]  # about slice_items
-        out = out.unionByName(_slice(docs, Items(sorted(rows, key=str), n), cut))
+        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k)
+        rows = part.orderBy("item_id", "text").toArrow()  # about slice_bytes
+        out = out.unionByName(_slice(docs, list(zip(*(rows.column(c).to_pylist() for c in ("item_id", "text")))), cut))
     return out
 
 
-def _slice(docs: DataFrame, items: Items, cut: float) -> DataFrame:
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(items)  # of slice_items items
+def _slice(docs: DataFrame, rows: list[tuple[int | None, str]], cut: float) -> DataFrame:
+    context, texts = docs.sparkSession.sparkContext, docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    plain = context.broadcast((rows, cut, None))  # of slice_bytes
 
-    def scan(batches: Batches) -> Batches:
-        known = shared.value
+    def count(batches: Batches) -> Batches:
+        items = _held(plain)
+        total = np.zeros(len(items.grams), np.int64)
         for batch in batches:
-            made = []
-            for name, text in zip(column(batch, "doc_id").to_pylist(), texts_of(batch)):
-                found, ids = passages(known, WORD.findall(text.decode().lower()))
-                made += [(name, item, ids[a:b].astype(np.int32), seeds) for item, a, b, seeds in found]
-            kinds = [pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array([m[j] for m in made], kind) for j, kind in enumerate(kinds)], ["doc_id", "item", "words", "seeds"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, "doc_id long, item int, words array<int>, seeds array<long>")
-    found = save(rows, "passages")
-    counts = {(r[0], r[1]): r[2] for r in found.select("item", F.explode("seeds").alias("seed")).groupBy("item", "seed").count().collect()}  # a row an n-gram of the items
-    usual: dict[int, list[int]] = {}
-    for (item, _), count in counts.items():
-        usual.setdefault(item, []).append(count)
-    common: dict[int, set[int]] = {}
-    for (item, seed), count in counts.items():
-        middle = float(np.median(usual[item]))
-        if count > COMMON_TIMES * middle and count > middle + COMMON_MORE:
-            common.setdefault(item, set()).add(seed)
-    blocked = spark.sparkContext.broadcast(common)
+            for text in texts_of(batch):
+                total[np.unique(items.found(text.decode())[2])] += 1
+        found = np.nonzero(total)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["gram", "n"])
+
+    got = texts.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()  # a row a gram of the slice
+    counts = np.zeros(len(Items(rows, cut).grams), np.int64)
+    counts[got.column("gram").to_numpy()] = got.column("n").to_numpy()
+    seeded = context.broadcast((rows, cut, counts))
 
     def score(batches: Batches) -> Batches:
-        known, skip = shared.value, blocked.value
+        items = _held(seeded)
+        waiting: dict[int, dict[bytes, list[int | None]]] = {}
+        size = 0
         for batch in batches:
-            names, of = column(batch, "doc_id").to_pylist(), column(batch, "item").to_pylist()
-            windows, seeds = column(batch, "words").to_pylist(), column(batch, "seeds").to_pylist()
-            by_item: dict[int, dict[tuple[int, ...], list[int]]] = {}
-            for row, item in enumerate(of):
-                by_item.setdefault(item, {}).setdefault(tuple(windows[row]), []).append(row)
-            out = []
-            for item, own in by_item.items():
-                words, usual_seeds = known.words[item], skip.get(item, set())
-                reach = [w for w, rows in own.items() if any(not usual_seeds.issuperset(seeds[r]) for r in rows) or shared_words(words, w) >= cut * len(words)]
-                for at in range(0, len(reach), 2000):
-                    part = reach[at : at + 2000]
-                    grid = np.full((len(part), max(map(len, part))), -2, np.int32)
-                    for i, window in enumerate(part):
-                        grid[i, : len(window)] = window
-                    for window, best in zip(part, align(words, grid).tolist()):
-                        if best >= cut * len(words):
-                            out += [(names[r], known.ids[item], best / len(words)) for r in own[window]]
-            yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], kind) for j, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["doc_id", "item_id", "score"])
-
-    return found.mapInArrow(score, "doc_id long, item_id long, score double").groupBy("doc_id", "item_id").agg(F.max("score").alias("score"))
+            for name, text in zip(column(batch, "doc_id").to_pylist(), texts_of(batch)):
+                for item, window in items.passages(text.decode()):
+                    waiting.setdefault(item, {}).setdefault(window.astype(np.int32).tobytes(), []).append(name)
+                    size += len(window)
+                    if size >= WAITING:
+                        yield _scored(items, waiting)
+                        waiting, size = {}, 0
+        yield _scored(items, waiting)
+
+    return texts.mapInArrow(score, "doc_id long, item_id long, score double").groupBy("doc_id", "item_id").agg(F.max("score").alias("score"))
+
+
+def _scored(items: Items, waiting: dict[int, dict[bytes, list[int | None]]]) -> pa.RecordBatch:
+    """Rows (doc_id, item_id, score) of the passages that reach their item's least score."""
+    names: list[int | None] = []
+    of: list[int | None] = []
+    scores: list[float] = []
+    for item, by_window in waiting.items():
+        words, windows = items.words[item], sorted(by_window, key=len)
+        at = 0
+        while at < len(windows):
+            end = min(len(windows), at + max(1, 4 * AT_ONCE // len(windows[at])))
+            while end > at + 1 and (end - at) * len(windows[end - 1]) > 4 * AT_ONCE:  # the longest sets the width
+                end = at + (end - at) // 2
+            part = [np.frombuffer(w, np.int32) for w in windows[at:end]]
+            grid = np.full((len(part), max(map(len, part))), -2, np.int32)
+            for i, window in enumerate(part):
+                grid[i, : len(window)] = window
+            for window, best in zip(windows[at:end], align(words, grid).tolist()):
+                if best >= items.need[item]:
+                    own = by_window[window]
+                    names += own
+                    of += [items.ids[item]] * len(own)
+                    scores += [best / len(words)] * len(own)
+            at = end
+    return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(of, pa.int64()), pa.array(scores, pa.float64())], ["doc_id", "item_id", "score"])

@@ -387,30 +387,76 @@ def test_alignment(a, b):
     assert decontaminate.align(np.array(a), np.array([b + [-2, -2]]))[0] == brute_align(a, b)
 
 
+def brute_contaminated(texts, items):
+    """(doc, item): score of every pair that reaches the least score, by aligning all with all."""
+    out = {}
+    for d, text in texts.items():
+        words = decontaminate.words_of(text or "")
+        for i, item in items.items():
+            own = decontaminate.words_of(item or "")
+            if own and (best := brute_align(own, words)) >= max(-(-len(own) // 2), min(5, len(own))):
+                out[d, i] = best / len(own)
+    return out
+
+
+def contaminated(spark, texts, items, **more):
+    docs, tests = spark.createDataFrame(list(texts.items()), "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string")
+    return {(r.doc_id, r.item_id): r.score for r in decontaminate.contaminated(docs, tests, **more).collect()}
+
+
 def test_decontamination(spark, odd, none, docs):
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
-    words = {r.item_id: decontaminate.WORD.findall(r.text.lower()) for r in items.collect()}
-    want = set()
-    for r in docs.collect():
-        text = decontaminate.WORD.findall(r.text.lower())
-        want |= {(r.doc_id, i) for i, w in words.items() if len(set(zip(w, w[1:], w[2:], w[3:])) & set(zip(text, text[1:], text[2:], text[3:]))) and brute_align(w, text) >= 0.5 * len(w)}
-    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, items).collect()} == want and want
-    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, items, slice_items=15).collect()} == want
-    edited = " ".join(w if k % 9 else "edited" for k, w in enumerate(max(words.values(), key=len)))
-    assert decontaminate.contaminated(spark.createDataFrame([(1, f"before {edited} after")], "doc_id long, text string"), items).count() == 1
+    want = brute_contaminated({r.doc_id: r.text for r in docs.collect()}, {r.item_id: r.text for r in items.collect()})
+    assert {(r.doc_id, r.item_id): r.score for r in decontaminate.contaminated(docs, items).collect()} == want and want
+    assert {(r.doc_id, r.item_id): r.score for r in decontaminate.contaminated(docs, items.union(items), slice_bytes=2000).collect()} == want
     assert decontaminate.contaminated(none, items).isEmpty() and decontaminate.contaminated(docs, items.limit(0)).isEmpty()
-    extra = spark.createDataFrame([(1, None), (2, ""), (3, "a b")], "item_id long, text string").withColumn("doc_id", F.lit(5))
-    assert {r.doc_id for r in decontaminate.contaminated(odd, extra).collect()} == {5}
-
-
-def test_decontamination_of_many_equal_edited_copies(spark):
+    extra = spark.createDataFrame([(1, None), (2, ""), (3, "a b"), (4, "text"), (None, "no id")], "item_id long, text string").withColumns({c: F.lit(5) for c in ("doc_id", "score", "n", "gram")})
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(odd, extra).collect()}
+    assert got == {(5, 3), (5, 4), (None, None)}
+
+
+def test_decontamination_by_brute_force(spark):
+    """Items and texts of few words, so that grams are shared, and edits of every kind and rate around the cut."""
+    rng = random.Random(12)
+    vocab = ["the", "of", "and", *(f"v{k}" for k in range(25))]
+    items = {k: " ".join(rng.choices(vocab, k=rng.choice((1, 2, 3, 5, 6, 9, 14, 30, 41)))) for k in range(40)}
+    texts = {}
+    for k in range(300):
+        words = []
+        for _ in range(rng.randint(0, 3)):
+            words += rng.choices(vocab + [f"u{j}" for j in range(200)], k=rng.randint(0, 40))
+            rate = rng.choice((0, 0.1, 0.2, 0.25, 0.3, 0.5))
+            for w in items[rng.randrange(40)].split()[rng.choice((0, 0, 3, 10)) :]:
+                edit = rng.random()
+                words += [w] if edit >= rate else [[], ["new"], [w, "put"], ["put", w]][rng.randrange(4)]
+        texts[k] = " ".join(words)
+    want = brute_contaminated(texts, items)
+    assert contaminated(spark, texts, items) == want and contaminated(spark, texts, items, slice_bytes=600) == want
+    assert any(0.5 <= v < 0.55 for v in want.values()) and len(want) > 300
+
+
+def test_decontamination_does_not_depend_on_how_common_a_gram_is(spark):
+    """Copies that hold six of an item's ten words, in numbers that make each of their grams far commoner than the rest."""
+    item = "a0 a1 a2 a3 a4 a5 a6 a7 a8 a9"
+    for many in (30, 1500):
+        texts = {k: f"p{k} {item} q{k}" for k in range(5)} | {100 + k: f"x{k} a0 a1 a2 a3 a4 a5 y{k} z{k}" for k in range(many)}
+        texts |= {9000 + k: "a0 a1 pad a3 pad a5 a6 pad" for k in range(40)}  # too few words
+        assert contaminated(spark, texts, {1: item}) == {(k, 1): 1.0 for k in range(5)} | {(100 + k, 1): 0.6 for k in range(many)}
+
+
+def test_decontamination_of_many_equal_edited_copies(spark, monkeypatch):
     words = [f"w{k}" for k in range(40)]
     edited = ["x" if k in (2, 6, 11, 15, 20, 24, 29, 33) else w for k, w in enumerate(words)]
     few = ["pad"] * 90 + words[34:] + ["pad"] * 90  # shares common seeds, but too few words
-    texts = [words] + [edited] * 300 + [[f"a{k}", "w1", *edited, f"b{k}"] for k in range(20)] + [few] * 3
-    table = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
-    got = {r.doc_id: r.score for r in decontaminate.contaminated(table, spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")).collect()}
-    assert got == {k: brute_align(words, t) / 40 for k, t in enumerate(texts[:321])} and got[1] == 0.6
+    long = ["pad", "w3", "w4"] * 400 + edited + ["w3", "w4", "pad"] * 400
+    texts = [words] + [edited] * 300 + [[f"a{k}", "w1", *edited, f"b{k}"] for k in range(20)] + [long] + [few] * 3
+    want = {(k, 1): brute_align(words, t) / 40 for k, t in enumerate(texts[:322])}
+    texts = {k: " ".join(t) for k, t in enumerate(texts)}
+    assert want[1, 1] == 0.6 and contaminated(spark, texts, {1: " ".join(words)}) == want
+    held = decontaminate.Items([(1, " ".join(words))])
+    monkeypatch.setattr(decontaminate, "LONGEST", 100)
+    parts = [w for _, w in held.passages(texts[321])]
+    assert len(parts) > 10 and max(map(len, parts)) <= 240 and max(decontaminate.align(held.words[0], w[None])[0] for w in parts) == 24
 
 
 def test_sharding(docs, odd, none):
