@@ -75,6 +75,14 @@ def id_mod(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % n
 
 
+def join_hot(rows: DataFrame, of: DataFrame, key: str, share: int = 1000) -> DataFrame:
+    """rows joined with `of` (one row a key). Keys that hold over 1/share of the rows, so `share` at most, go by broadcast."""
+    least = rows.count() // share
+    hot = save(rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > max(least, 1)).select(key), "hot")
+    common = rows.join(F.broadcast(of.join(F.broadcast(hot), key, "left_semi")), key)
+    return common.unionByName(rows.join(F.broadcast(hot), key, "left_anti").join(of, key))
+
+
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     """UTF-8 bytes of a string column, null as empty."""
     col = batch.column(batch.schema.get_field_index(name))

@@ -2,28 +2,30 @@
 
 A fingerprint has 64 bits; a bit is set where over half of the shingle hashes have it. Distinct fingerprints are
 dealt into shards such that two fingerprints within the radius share a shard: for a radius of r, the 64 bits are cut
-into r + 1 fields, and equal fields make a shard (two that differ in r bits agree in a field). One BK-tree is built
-for each shard, children keyed by their integer Hamming distance to the parent; a search follows only the edges
-within the radius. Trees go to the one task that asks them (a broadcast of all trees would grow with the corpus).
-A tree emits a spanning star for each of its groups, never all pairs.
+into r + 1 fields, and equal fields make a shard (two that differ in r bits agree in a field). A shard of more than
+`tree_size` fingerprints is split in the same way by r + 1 fields of the bits that its fingerprints needn't share, again
+and again, so every shard, however common its field, ends in trees of bounded size and no link is lost.
 
-A shard of more than `tree_size` fingerprints isn't put in one tree. Its fingerprints are linked exactly by shared
-neighbours instead: two fingerprints differ in at most two bits if and only if some value is within one bit of both.
-That is 65 values a fingerprint, and at most 65 fingerprints a value, however large the shard.
+One BK-tree is built for each shard, children keyed by their integer Hamming distance to the parent; a search follows
+only the edges within the radius. Trees go to the one task that asks them: broadcasting them all would grow with the
+corpus. A tree emits a spanning star for each of its groups, never all pairs.
 
 Cases: null and wordless texts have fingerprint zero and link like any other; a text shorter than a shingle is one
-shingle; repeated rows give repeated results; an empty table gives an empty result; other columns are ignored.
+shingle; repeated rows give repeated results; rows of null doc_id have the component of their fingerprint, null if
+nothing named is in it; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Batches, bounded_batches, column, save, texts_of
+from .common import Batches, bounded_batches, column, join_hot, save, texts_of
 from .components import components
 
 SEED = 42
@@ -61,132 +63,158 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
+def _ranges(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """begin[k] to begin[k] + count[k], one after the other."""
+    ends = np.cumsum(count)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begin - ends + count, count)
+
+
 class BKTree:
-    """Of unsigned 64-bit integers under the Hamming distance."""
-
-    def __init__(self) -> None:
-        self.values: list[int] = []
-        self.edges: list[dict[int, int]] = []
-
-    def add(self, value: int) -> int:
-        """Its node; the present one if the value is there."""
-        if not self.values:
-            self.values.append(value)
-            self.edges.append({})
-            return 0
-        at = 0
-        while d := (self.values[at] ^ value).bit_count():
-            child = self.edges[at].get(d)
-            if child is None:
-                self.edges[at][d] = child = len(self.values)
-                self.values.append(value)
-                self.edges.append({})
-                return child
-            at = child
-        return at
-
-    def within(self, value: int, radius: int) -> list[int]:
+    """Of distinct unsigned 64-bit integers under the Hamming distance, in arrays: built and searched level by level."""
+
+    def __init__(self, values: np.ndarray) -> None:
+        n = len(values)
+        self.values, self.edge = values, np.zeros(n, np.int64)
+        parent = np.zeros(n, np.int64)
+        items, at = np.arange(1, n), np.zeros(max(0, n - 1), np.int64)
+        while len(items):  # all go down one edge; the first on an edge becomes its child
+            d = np.bitwise_count(values[items] ^ values[at]).astype(np.int64)
+            _, first, back = np.unique(at * 65 + d, return_index=True, return_inverse=True)
+            parent[items[first]], self.edge[items[first]] = at[first], d[first]
+            at = items[first][back]
+            items, at = items[items != at], at[items != at]
+        self.children = 1 + np.argsort(parent[1:], kind="stable")
+        self.first = np.searchsorted(parent[self.children], np.arange(n + 1))
+
+    def within(self, value: np.uint64, radius: int) -> np.ndarray:
         """Nodes at most radius away."""
-        found, stack = [], [0] if self.values else []
-        while stack:
-            at = stack.pop()
-            d = (self.values[at] ^ value).bit_count()
-            if d <= radius:
-                found.append(at)
-            stack.extend(child for key, child in self.edges[at].items() if d - radius <= key <= d + radius)
-        return found
-
-
-def tree_links(values: list[int], radius: int) -> list[tuple[int, int]]:
-    """A spanning star (value, first value of its group) for the groups of one shard."""
-    if len(values) == 2:
-        return [(values[1], values[0])] if (values[0] ^ values[1]).bit_count() <= radius else []
-    tree, parent = BKTree(), []
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for value in values:
-        near = tree.within(value, radius)
-        node = tree.add(value)
-        if node == len(parent):
-            parent.append(node)
-        for other in near:
-            a, b = root(node), root(other)
-            parent[max(a, b)] = min(a, b)
-    return [(tree.values[x], tree.values[root(x)]) for x in range(len(parent)) if root(x) != x]
-
-
-def shard_fields(radius: int) -> list[tuple[int, int]]:
-    """(shift, width) of radius + 1 fields that cover the 64 bits."""
-    cuts = [64 * i // (radius + 1) for i in range(radius + 2)]
-    return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
+        found, now = [], np.zeros(min(1, len(self.values)), np.int64)
+        while len(now):
+            d = np.bitwise_count(self.values[now] ^ value).astype(np.int64)
+            found.append(now[d <= radius])
+            begin, count = self.first[now], self.first[now + 1] - self.first[now]
+            kids = self.children[_ranges(begin, count)]
+            now = kids[np.abs(self.edge[kids] - np.repeat(d, count)) <= radius]
+        return np.concatenate(found) if found else now
+
+
+def tree_links(fps: np.ndarray, radius: int, close: Callable[[int, np.ndarray], np.ndarray] | None = None) -> list[tuple[int, int]]:
+    """(place, first place of its group) of the places in fps that others reach, by BK-tree.
+
+    Groups are walked breadth first: each place asks the tree for those not yet reached. `close` says which of the
+    places within the radius count. Once half of a tree is reached, the rest is put into a new one.
+    """
+    if len(fps) == 2 and close is None:
+        return [(1, 0)] if int(np.bitwise_count(fps[0] ^ fps[1])) <= radius else []
+    out, alive, left = [], np.ones(len(fps), bool), len(fps)
+
+    def plant() -> tuple[BKTree, np.ndarray, np.ndarray, int]:
+        places = np.nonzero(alive)[0]
+        values, of = np.unique(fps[places], return_inverse=True)
+        order = np.argsort(of, kind="stable")
+        return BKTree(values), places[order], np.searchsorted(of[order], np.arange(len(values) + 1)), len(places)
+
+    tree, places, first, held = plant()
+    for start in range(len(fps)):
+        if not alive[start]:
+            continue
+        alive[start], left, front = False, left - 1, [start]
+        while front and left:
+            i = front.pop()
+            nodes = tree.within(fps[i], radius)
+            near = places[_ranges(first[nodes], first[nodes + 1] - first[nodes])]
+            near = near[alive[near]]
+            if close is not None and len(near):
+                near = near[close(i, near)]
+            alive[near] = False
+            left -= len(near)
+            front += near.tolist()
+            out += [(j, start) for j in near.tolist()]
+            if left < held // 2 and held > 64:
+                tree, places, first, held = plant()
+    return out
+
+
+def fields(mask: int, radius: int) -> list[int]:
+    """Masks that fix, beside the bits of `mask`, one of radius + 1 parts of the others; none if there are too few."""
+    free = [b for b in range(64) if not mask >> b & 1]
+    if len(free) <= radius:
+        return []
+    cuts = [len(free) * i // (radius + 1) for i in range(radius + 2)]
+    return [mask | sum(1 << b for b in free[x:y]) for x, y in zip(cuts, cuts[1:])]
+
+
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def shards(distinct: DataFrame, radius: int, tree_size: int) -> DataFrame:
+    """(mask, part, fp): each fingerprint in all its shards, of at most tree_size fingerprints each."""
+    spark = distinct.sparkSession
+
+    def dealt(rows: DataFrame, masks: list[int]) -> DataFrame:
+        return rows.select("fp", F.explode(F.array(*[F.lit(_signed(m)) for m in masks])).alias("mask")).select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("part"), "fp")
+
+    masks, out = fields(0, radius), None
+    rows = dealt(distinct, masks)
+    while True:
+        final = [m for m in masks if not fields(m, radius)]
+        large = rows.groupBy("mask", "part").agg(F.count("*").alias("n")).where(F.col("n") > tree_size).where(~F.col("mask").isin(*map(_signed, final)) if final else F.lit(True))
+        large = save(large.select("mask", "part"), "simhash-large")
+        none = large.isEmpty()
+        small = rows if none else rows.join(large, ["mask", "part"], "left_anti")
+        out = small if out is None else out.unionByName(small)
+        if none:
+            return out
+        hot = save(rows.join(large, ["mask", "part"], "left_semi").select("fp", "mask"), "simhash-hot")
+        split = [m for m in masks if fields(m, radius)]
+        inner = spark.createDataFrame([(_signed(m), [_signed(k) for k in fields(m, radius)]) for m in split], "mask long, inner array<long>")  # (radius + 1) ** level rows
+        rows = hot.join(F.broadcast(inner), "mask").select("fp", F.explode("inner").alias("mask")).select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("part"), "fp").distinct()
+        masks = sorted({k for m in split for k in fields(m, radius)})
 
 
 def links(distinct: DataFrame, radius: int = 2, tree_size: int = 4096) -> DataFrame:
     """Edges (a, b) between distinct fingerprints that connect all that lie within the radius of each other."""
-    if radius > 2:
-        raise ValueError("shards above tree_size are linked exactly for a radius of at most 2")
-    spark = distinct.sparkSession
-    bounded_batches(spark)
-    shards = F.array(*[F.struct(F.lit(i).alias("field"), F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << w) - 1)).alias("part")) for i, (s, w) in enumerate(shard_fields(radius))])
-    dealt = distinct.select("fp", F.inline(shards)).repartition("field", "part").sortWithinPartitions("field", "part", "fp")
+    bounded_batches(distinct.sparkSession)
+    dealt = shards(distinct, radius, tree_size).repartition("mask", "part").sortWithinPartitions("mask", "part", "fp")
 
     def run(batches: Batches) -> Batches:
-        group, key, large = [], None, False
-        edges: list[tuple[int, int]] = []
-        hot: list[int] = []
-
-        def close() -> None:
-            if len(group) > 1 and not large:
-                edges.extend(tree_links(group, radius))
-
-        def out() -> pa.RecordBatch:
-            a = np.array([e[0] for e in edges] + hot, np.uint64).view(np.int64)
-            b = np.array([e[1] for e in edges] + hot, np.uint64).view(np.int64)
-            made = pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-            edges.clear()
-            hot.clear()
-            return made
+        held, key = [], None  # the shard that may go on in the next batch
+
+        def edges(fps: np.ndarray) -> list[tuple[int, int]]:
+            return [(fps[a], fps[b]) for a, b in tree_links(fps, radius)] if len(fps) > 1 else []
+
+        def rows(found: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.array([e[j] for e in found], np.uint64).view(np.int64)) for j in (0, 1)], ["a", "b"])
 
         for batch in batches:
-            fields, parts = column(batch, "field").to_pylist(), column(batch, "part").to_pylist()
-            fps = np.asarray(column(batch, "fp")).view(np.uint64).tolist()
-            for at in zip(fields, parts, fps):
-                if at[:2] != key:
-                    close()
-                    group, key, large = [], at[:2], False
-                if large:
-                    hot.append(at[2])
-                elif len(group) == tree_size:
-                    hot += [*group, at[2]]
-                    group, large = [], True
-                else:
-                    group.append(at[2])
-            yield out()
-        close()
-        yield out()
-
-    made = save(dealt.mapInArrow(run, "a long, b long"), "simhash-links")  # a row (x, x): x is in a large shard
-    hot = made.where("a = b").select(F.col("a").alias("fp")).distinct()
-    flips = F.array(F.lit(0).cast("long"), *[F.lit((1 << i) - (1 << 64) * (i == 63)).cast("long") for i in range(64)])
-    near = hot.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("near"))
-    near = near.groupBy("near").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)  # 65 at most
-    stars = near.select(F.array_min("fps").alias("b"), F.explode("fps").alias("a")).where("a != b").select("a", "b").distinct()
-    return made.where("a != b").unionByName(stars)
+            masks, parts, fps = (np.asarray(column(batch, c)) for c in ("mask", "part", "fp"))
+            if not len(fps):
+                continue
+            cuts = np.nonzero((masks[1:] != masks[:-1]) | (parts[1:] != parts[:-1]))[0] + 1
+            found = []
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(fps)]):
+                own = (masks[a], parts[a])
+                if own != key:
+                    if held and sum(map(len, held)) > 1:
+                        found += edges(np.concatenate(held))
+                    held, key = [], own
+                held.append(fps[a:b].view(np.uint64))
+            yield rows(found)
+        if held:
+            yield rows(edges(np.concatenate(held)))
+
+    return save(dealt.mapInArrow(run, "a long, b long"), "simhash-links")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, tree_size: int = 4096) -> DataFrame:
     """Per row: doc_id, fp, component_id (the smallest doc_id reachable over links within the radius)."""
     marked = save(fingerprints(docs, shingle), "simhash")
     distinct = save(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
-    groups = components(links(distinct.select("fp"), radius, tree_size)).withColumnRenamed("node", "fp")
+    groups = save(components(links(distinct.select("fp"), radius, tree_size)).withColumnRenamed("node", "fp"), "simhash-groups")
     of_root = groups.join(distinct, "fp").groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of_fp = distinct.join(groups.join(of_root, "root"), "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
-    return marked.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+    of_fp = distinct.join(join_hot(groups, of_root, "root").select("fp", "component_id"), "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
+    return join_hot(marked, save(of_fp, "simhash-of"), "fp").select("doc_id", "fp", "component_id")
 
 
 def hex_digits(fp):

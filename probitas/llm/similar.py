@@ -1,24 +1,29 @@
 """Near-duplicate groups of documents by similarity of their word shingles: SimHash, BK-trees in shards, exact sets.
 
 Two documents are linked when the Jaccard similarity of their sets of five-word shingles is at least `similarity`.
-Candidates are pairs whose 64-bit SimHash fingerprints differ in at most `radius` bits and whose similarity, as
-estimated by a sketch of 256 minima (two bits each; standard error 0.03 at 0.8), is at least `similarity` less five
-standard errors. They meet in shards: each of sixteen bands of three minima names one, so two documents of similarity
-0.8 share a shard with a probability of 0.99999, and unrelated ones hardly ever. Documents of equal sets go in as one.
-A shard's BK-tree has children keyed by the integer Hamming distance to the parent, and a search follows only the
-edges within the radius; what it finds is compared by sketch. A large shard is searched breadth first in numpy
-instead, each document once against those not yet reached. Either way a shard gives a spanning star of each group of
-candidates, never its pairs. The shingle sets of each connected group of candidates then meet in one task, which
-links them by exact similarity, again breadth first.
+
+1. Documents of equal sets are represented by one. It has a 64-bit SimHash fingerprint, a sketch of 256 minima (two
+   bits each; standard error 0.03 at 0.8) and sixteen bands of three minima.
+2. Each band names a shard, so two documents of similarity 0.8 share one with a probability of 0.99999, and unrelated
+   ones hardly ever. A shard's BK-tree has children keyed by the integer Hamming distance to the parent; a search follows
+   only the edges within `radius`; what it finds is a candidate if the sketches are alike, less five standard errors. A
+   shard gives a spanning star of each group of candidates, never its pairs.
+3. Connected groups of candidates are linked by the exact similarity of their shingle sets, breadth first.
+
+Nothing unbounded comes into one task. A shard of more than BLOCK documents is cut into blocks, and a task has two of
+them; their stars together connect what the shard connects. A group of candidates of more than BLOCK_BYTES is first
+compared with one of it, in blocks. Those within the similarity of that one are linked by it. As the Jaccard distance
+is a metric, a document at distance d from it can only be linked to those at least d less the tolerated distance away,
+so all but the rest and its possible neighbours are done; these then meet in pairs of blocks.
 
 Cases: null and wordless texts have no shingle and count as equal; a text of fewer words than a shingle is one
-shingle; rows of null doc_id can't be named and stay alone; empty tables give empty results.
+shingle; rows of null doc_id can't be named and stay alone. Rows of one doc_id are one document, which is linked by the
+texts of all of them, and stays or goes as one; those equal in text stay once. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
 import hashlib
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,17 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Batches, bounded_batches, column, drop, save, texts_of
+from .common import Batches, bounded_batches, column, save, texts_of
 from .components import components
-from .simhash import BKTree, fingerprint, shingle_hashes
+from .simhash import fingerprint, shingle_hashes, tree_links
 
 MINIMA, ROWS, BANDS = 256, 3, 16
 #: Standard error of the sketch at 0.8, and how many of them a candidate may lie below the similarity.
 ERROR, MARGIN = 0.03, 5
-#: Bytes of a group's shingle sets that a task holds in memory, and hashes that it compares at once.
-HELD, AT_ONCE = 64 << 20, 1 << 21
-#: Documents of a shard up to which a BK-tree is used.
-TREE_SIZE = 512
+#: Documents of a block of a shard; bytes of shingle hashes of a block of a group; hashes that are compared at once.
+BLOCK, BLOCK_BYTES, AT_ONCE = 4096, 16 << 20, 1 << 21
 _rng = np.random.default_rng(20)
 _FACTORS = _rng.integers(1, 1 << 63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 LOW = np.uint64(0x5555555555555555)
@@ -66,76 +69,20 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def group_links(ids: list[int], fps: np.ndarray, sketches: np.ndarray, radius: int, least: float) -> list[tuple[int, int]]:
-    """Spanning stars (id, first id of its group) of one shard."""
-    n = len(ids)
-    if n <= TREE_SIZE:
-        tree, at_node, parent, values = BKTree(), {}, list(range(n)), fps.tolist()
-
-        def root(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        for i in range(n):
-            near = [j for node in tree.within(values[i], radius) for j in at_node[node]]
-            at_node.setdefault(tree.add(values[i]), []).append(i)
-            if near:
-                for j in np.array(near)[estimate(sketches[i], sketches[near]) >= least].tolist():
-                    a, b = root(i), root(j)
-                    parent[max(a, b)] = min(a, b)
-        return [(ids[i], ids[root(i)]) for i in range(n) if root(i) != i]
-    out, left = [], np.arange(n)
-    while len(left):
-        first, left = left[0], left[1:]
-        front = [first]
-        while len(front) and len(left):
-            now, front = front, []
-            for i in now:
-                if not len(left):
-                    break
-                close = np.bitwise_count(fps[left] ^ fps[i]) <= radius
-                close[close] = estimate(sketches[i], sketches[left[close]]) >= least
-                front += left[close].tolist()
-                left = left[~close]
-            out += [(ids[i], ids[first]) for i in front]
-    return out
-
-
-class Sets:
-    """Sorted shingle hashes of a group's rows; what exceeds HELD bytes lies in a local file."""
-
-    def __init__(self) -> None:
-        self.rows: list[np.ndarray | tuple[int, int]] = []
-        self.held, self.file = 0, None
-
-    def add(self, raw: bytes) -> None:
-        if self.held + len(raw) <= HELD:
-            self.held += len(raw)
-            self.rows.append(np.frombuffer(raw, np.uint64))
-            return
-        self.file = self.file or tempfile.TemporaryFile()
-        at = self.file.tell() // 8
-        self.file.write(raw)
-        self.rows.append((at, at + len(raw) // 8))
-
-    def arrays(self) -> list[np.ndarray]:
-        if not self.file:
-            return self.rows
-        self.file.flush()
-        filed = np.memmap(self.file, np.uint64, "r")
-        return [filed[r[0] : r[1]] if isinstance(r, tuple) else r for r in self.rows]
-
-
-def alike(one: np.ndarray, others: list[np.ndarray], least: float) -> np.ndarray:
-    """Which of the other sets (none empty, unless `one` is) have a Jaccard similarity of at least `least` with one."""
+    """Spanning stars (id, first id of its group) of the candidates of one shard."""
+    found = tree_links(fps, radius, lambda i, near: estimate(sketches[i], sketches[near]) >= least)
+    return [(ids[j], ids[start]) for j, start in found]
+
+
+def alike(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Jaccard similarity of one sorted set with each of the others (none of which is empty, unless `one` is)."""
     sizes = np.array([len(o) for o in others])
     if not len(one):
-        return sizes == 0
+        return (sizes == 0).astype(float)
     flat = np.concatenate(others)
     equal = one[np.minimum(np.searchsorted(one, flat), len(one) - 1)] == flat
     both = np.add.reduceat(equal, np.cumsum(sizes) - sizes, dtype=np.int64)
-    return both >= least * (sizes + len(one) - both) - 1e-9
+    return both / (sizes + len(one) - both)
 
 
 def exact_links(ids: list[int], sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
@@ -156,7 +103,7 @@ def exact_links(ids: list[int], sets: list[np.ndarray], least: float) -> list[tu
         while front and len(left):
             i = front.pop()
             fits = left[np.minimum(sizes[left], sizes[i]) >= least * np.maximum(sizes[left], sizes[i]) - 1e-9]
-            found = [j for part in portions(fits) for j in part[alike(sets[i], [sets[j] for j in part], least)].tolist()]
+            found = [j for part in portions(fits) for j in part[alike(sets[i], [sets[j] for j in part]) >= least - 1e-9].tolist()]
             for j in found:
                 a, b = root(ids[i]), root(ids[j])
                 parent[max(a, b)] = min(a, b)
@@ -166,96 +113,154 @@ def exact_links(ids: list[int], sets: list[np.ndarray], least: float) -> list[tu
     return [(i, root(i)) for i in parent if root(i) != i]
 
 
-def representatives(docs: DataFrame, shingle: int) -> DataFrame:
-    """(id, fp, sketch, keys): the smallest doc_id of each distinct set of shingles."""
+def _described(docs: DataFrame, shingle: int) -> DataFrame:
+    """(id, digest, size, fp, sketch, keys) of every named row: of its set of shingles."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
-            digests, fps, sketches, keys = [], [], [], []
+            digests, sizes, fps, sketches, keys = [], [], [], [], []
             for text in texts_of(batch):
                 hashes = np.unique(shingle_hashes(text, shingle))
                 digests.append(hashlib.blake2b(hashes.tobytes(), digest_size=16).digest())
+                sizes.append(len(hashes))
                 fps.append(fingerprint(hashes))
                 packed, own = sketch(hashes)
                 sketches.append(packed)
                 keys.append(own)
-            made = [pa.array(digests, pa.binary()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sketches, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), *made], ["id", "digest", "fp", "sketch", "keys"])
+            made = [pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sketches, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), *made], ["id", "digest", "size", "fp", "sketch", "keys"])
 
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "id long, digest binary, fp long, sketch binary, keys array<long>")
-    return save(rows.groupBy("digest").agg(F.min_by(F.struct("id", "fp", "sketch", "keys"), "id").alias("r")).select("r.*"), "similar")
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return save(rows.mapInArrow(run, "id long, digest binary, size long, fp long, sketch binary, keys array<long>"), "similar")
 
 
-def exact_groups(docs: DataFrame, groups: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(node, root) for the members of groups of candidates (node, root) that exact similarity links to a smaller id."""
+def _in_blocks(rows: DataFrame, keys: list[str], hot: DataFrame, by: str) -> DataFrame:
+    """rows with (i, j): (0, 0) for most; rows of a hot key (`hot`: keys, blocks) in all pairs of blocks with their own."""
+    own = F.pmod(F.xxhash64(by), F.col("blocks"))
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda other: F.struct(F.least(other, own).alias("i"), F.greatest(other, own).alias("j")))
+    return rows.join(hot, keys, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long"))).select(*rows.columns, F.inline(pairs))
 
-    def hashed(batches: Batches) -> Batches:
-        for batch in batches:
-            raw = [np.unique(shingle_hashes(t, shingle)).tobytes() for t in texts_of(batch)]
-            yield pa.RecordBatch.from_arrays([column(batch, "root"), column(batch, "node"), pa.array(raw, pa.binary())], ["root", "node", "hashes"])
+
+def _edges(rows: DataFrame, keys: list[str], values: list[str], link) -> DataFrame:
+    """Edges (a, b) that `link`(lists of ids and of the values) gives for the rows of each key; ids are in column id."""
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, "id")
 
     def run(batches: Batches) -> Batches:
-        group, ids, sets, links = None, [], Sets(), []
+        key, held = None, [[] for _ in range(1 + len(values))]
+
+        def out(found: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([e[j] for e in found], pa.int64()) for j in (0, 1)], ["a", "b"])
+
         for batch in batches:
-            for root, node, raw in zip(*(column(batch, c).to_pylist() for c in ("root", "node", "hashes"))):
-                if root != group:
-                    links += exact_links(ids, sets.arrays(), similarity)
-                    group, ids, sets = root, [], Sets()
-                ids.append(node)
-                sets.add(raw)
-            yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in links], pa.int64()) for j in (0, 1)], ["node", "root"])
-            links = []
-        links = exact_links(ids, sets.arrays(), similarity)
-        yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in links], pa.int64()) for j in (0, 1)], ["node", "root"])
-
-    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("node"), "text").join(groups.select("node", "root"), "node")
-    sets = texts.select("root", "node", "text").mapInArrow(hashed, "root long, node long, hashes binary")
-    return sets.repartition("root").sortWithinPartitions("root", "node").mapInArrow(run, "node long, root long")
-
-
-def kept_ids(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 24) -> DataFrame:
-    """doc_id of the one document that stays of each group: the smallest."""
-    spark = docs.sparkSession
-    reps = representatives(docs, shingle)
-    shards = reps.select("id", "fp", "sketch", F.posexplode("keys").alias("band", "key"))
-    dealt = shards.repartition("band", "key").sortWithinPartitions("band", "key", "id")
+            found = []
+            own = zip(*(column(batch, c).to_pylist() for c in keys))
+            for at, row in zip(own, zip(*(column(batch, c).to_pylist() for c in ["id", *values]))):
+                if at != key:
+                    if len(held[0]) > 1:
+                        found += link(*held)
+                    key, held = at, [[] for _ in range(1 + len(values))]
+                for part, value in zip(held, row):
+                    part.append(value)
+            yield out(found)
+        yield out(link(*held) if len(held[0]) > 1 else [])
+
+    return dealt.select(*keys, "id", *values).mapInArrow(run, "a long, b long")
+
+
+def candidates(reps: DataFrame, similarity: float, radius: int) -> DataFrame:
+    """Edges (a, b) that span the groups of candidates."""
     least = similarity - MARGIN * ERROR
+    shards = reps.select("id", "fp", "sketch", F.posexplode("keys").alias("band", "key"))
+    blocks = F.ceil(F.col("n") / BLOCK).cast("long")
+    hot = save(shards.groupBy("band", "key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("band", "key", blocks.alias("blocks")), "similar-hot")
 
-    def run(batches: Batches) -> Batches:
-        key, ids, fps, sketches, edges = None, [], [], [], []
+    def link(ids: list[int], fps: list[int], sketches: list[bytes]) -> list[tuple[int, int]]:
+        grid = np.frombuffer(b"".join(sketches), np.uint64).reshape(len(ids), -1)
+        return group_links(ids, np.array(fps, np.int64).view(np.uint64), grid, radius, least)
+
+    keys = ["band", "key"]
+    if not hot.isEmpty():
+        shards, keys = _in_blocks(shards, keys, hot, "id"), [*keys, "i", "j"]
+    return save(_edges(shards, keys, ["fp", "sketch"], link), "similar-links")
 
-        def close() -> None:
-            if len(ids) > 1:
-                grid = np.frombuffer(b"".join(sketches), np.uint64).reshape(len(ids), -1)
-                edges.extend(group_links(ids, np.array(fps, np.int64).view(np.uint64), grid, radius, least))
 
-        def out() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array([e[j] for e in edges], pa.int64()) for j in (0, 1)], ["a", "b"])
-            edges.clear()
-            return made
+def exact(docs: DataFrame, groups: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Edges (a, b) that connect what exact similarity links within groups of candidates (node, root)."""
+
+    def hashed(batches: Batches) -> Batches:
+        for batch in batches:
+            found = [np.unique(shingle_hashes(t, shingle)) for t in texts_of(batch)]
+            made = [pa.array([len(h) for h in found], pa.int64()), pa.array([h.tobytes() for h in found], pa.binary())]
+            yield pa.RecordBatch.from_arrays([column(batch, "root"), column(batch, "id"), *made], ["root", "id", "size", "hashes"])
+
+    def link(ids: list[int], raw: list[bytes]) -> list[tuple[int, int]]:
+        return exact_links(ids, [np.frombuffer(r, np.uint64) for r in raw], similarity)
+
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text").join(groups.select(F.col("node").alias("id"), "root"), "id")
+    sets = save(texts.select("root", "id", "text").mapInArrow(hashed, "root long, id long, size long, hashes binary"), "similar-sets")
+    hot = save(_hot(sets), "similar-hot")
+    if hot.isEmpty():
+        return _edges(sets, ["root"], ["hashes"], link)
+    small = _edges(sets.join(hot, "root", "left_anti"), ["root"], ["hashes"], link)
+    large = sets.join(hot.select("root"), "root", "left_semi")
+    far = save(_from_first(large, hot), "similar-distances")  # of each to the one that names the group
+    least = far.where(F.col("near") < similarity - 1e-9).groupBy("root").agg(F.min(1 - F.col("near")).alias("closest"))
+    rest = far.join(least, "root").where((F.col("near") < similarity - 1e-9) | (1 - F.col("near") >= F.col("closest") - (1 - similarity) - 1e-6)).select("root", "id").distinct()
+    open_sets = save(large.join(rest, ["root", "id"], "left_semi"), "similar-rest")
+    pairs = _edges(_in_blocks(open_sets, ["root"], _hot(open_sets), "id"), ["root", "i", "j"], ["hashes"], link)
+    by_first = far.where((F.col("near") >= similarity - 1e-9) & (F.col("id") != F.col("root"))).select(F.col("id").alias("a"), F.col("root").alias("b"))
+    return small.unionByName(pairs).unionByName(by_first)
+
+
+def _hot(sets: DataFrame) -> DataFrame:
+    """(root, blocks) of the groups over BLOCK_BYTES."""
+    blocks = F.ceil(8 * F.sum("size") / BLOCK_BYTES).cast("long")
+    return sets.groupBy("root").agg(blocks.alias("blocks")).where("blocks > 1")
+
+
+def _from_first(sets: DataFrame, hot: DataFrame) -> DataFrame:
+    """(root, id, near): exact similarity of each set with one of the document that names its group, which goes to each block."""
+    first = sets.where("id = root").groupBy("root").agg(F.min("hashes").alias("hashes")).join(hot, "root")
+    first = first.select("root", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("i"), F.col("root").alias("id"), "hashes", F.lit(0).alias("later"))
+    rows = sets.join(hot, "root").select("root", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("i"), "id", "hashes", F.lit(1).alias("later"))
+    dealt = first.unionByName(rows).repartition("root", "i").sortWithinPartitions("root", "i", "later")
 
+    def run(batches: Batches) -> Batches:
+        one = np.zeros(0, np.uint64)
         for batch in batches:
-            for i, fp, packed, band, own in zip(*(column(batch, c).to_pylist() for c in ("id", "fp", "sketch", "band", "key"))):
-                if (band, own) != key:
-                    close()
-                    key, ids, fps, sketches = (band, own), [], [], []
+            roots, ids, near = [], [], []
+            for root, i, later, raw in zip(*(column(batch, c).to_pylist() for c in ("root", "id", "later", "hashes"))):
+                own = np.frombuffer(raw, np.uint64)
+                if not later:
+                    one = own
+                    continue
+                roots.append(root)
                 ids.append(i)
-                fps.append(fp)
-                sketches.append(packed)
-            yield out()
-        close()
-        yield out()
+                near.append(float(alike(one, [own])[0]) if len(own) else float(not len(one)))
+            yield pa.RecordBatch.from_arrays([pa.array(roots, pa.int64()), pa.array(ids, pa.int64()), pa.array(near, pa.float64())], ["root", "id", "near"])
+
+    return dealt.select("root", "id", "later", "hashes").mapInArrow(run, "root long, id long, near double")
+
 
-    groups = components(save(dealt.mapInArrow(run, "a long, b long"), "similar-links"))
-    gone = exact_groups(docs, groups, shingle, similarity).select(F.col("node").alias("id")).distinct()
-    kept = save(reps.select("id").join(gone, "id", "left_anti"), "similar-kept")
-    drop(spark, reps.scratch)
-    return kept.withColumnRenamed("id", "doc_id")
+def gone_ids(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 24) -> tuple[DataFrame, DataFrame]:
+    """(doc_id) of the documents that go, all but the smallest of each group; and of those that have several rows."""
+    rows = _described(docs, shingle)
+    reps = save(rows.groupBy("digest").agg(F.min_by(F.struct("id", "fp", "sketch", "keys"), "id").alias("r")).select("digest", "r.*"), "similar-reps")
+    several = save(rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"), "similar-several")
+    same = rows.select("id", "digest").join(several, "id", "left_semi").join(reps.select("digest", F.col("id").alias("b")), "digest").select(F.col("id").alias("a"), "b")
+    groups = components(candidates(reps, similarity, radius))
+    linked = components(exact(docs, groups, shingle, similarity).unionByName(same))
+    copies = rows.select("id").join(several, "id", "left_anti").join(reps.select("id"), "id", "left_anti")
+    gone = save(copies.unionByName(linked.where("node != root").select(F.col("node").alias("id"))).distinct(), "similar-gone")
+    return gone.withColumnRenamed("id", "doc_id"), several.withColumnRenamed("id", "doc_id")
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 24) -> DataFrame:
-    """The rows of docs that stay. Rows that repeat another's doc_id and text go too; rows of null doc_id stay."""
-    alone = docs.where("doc_id is null")
-    kept = docs.where("doc_id is not null").join(kept_ids(docs, shingle, similarity, radius), "doc_id", "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"]).select(*docs.columns).unionByName(alone)
+    """The rows of docs that stay: of each group the document of smallest doc_id, and all rows of null doc_id."""
+    gone, several = gone_ids(docs, shingle, similarity, radius)
+    stay = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    if several.isEmpty():
+        return stay
+    again = stay.join(several, "doc_id", "left_semi").withColumn("_text", F.sha2(F.coalesce("text", F.lit("")), 256)).dropDuplicates(["doc_id", "_text"])
+    return stay.join(several, "doc_id", "left_anti").select(*docs.columns).unionByName(again.select(*docs.columns))

@@ -345,29 +345,83 @@ def test_exact_links(monkeypatch):
     for _ in ids:
         for a, b in links:
             want[a] = want[b] = min(want[a], want[b])
-    assert dict(similar.exact_links(ids, sets, 0.8)) == {i: r for i, r in want.items() if i != r} and len(set(want.values())) > 12
-    monkeypatch.setattr(similar, "HELD", 1000)
-    monkeypatch.setattr(similar, "AT_ONCE", 100)
-    filed = similar.Sets()
-    for s in sets:
-        filed.add(s.tobytes())
-    assert filed.file and dict(similar.exact_links(ids, filed.arrays(), 0.8)) == {i: r for i, r in want.items() if i != r}
+    for at_once in (similar.AT_ONCE, 100):
+        monkeypatch.setattr(similar, "AT_ONCE", at_once)
+        assert dict(similar.exact_links(ids, sets, 0.8)) == {i: r for i, r in want.items() if i != r} and len(set(want.values())) > 12
     assert similar.exact_links([5, 5, 3], [sets[0][:0], sets[0], sets[0][:0]], 0.8) == [(5, 3)]
 
 
-def test_large_shards_group_alike():
-    rng = np.random.default_rng(2)
-    base = rng.integers(0, 1 << 63, (30, 8), dtype=np.uint64)
-    grid = np.concatenate([base] * 25)
-    grid[::7, 0] ^= np.uint64(1 << 5)
-    fps, ids = np.zeros(len(grid), np.uint64), list(range(len(grid)))
-    parts = []
-    for size in (1, 10**6):
-        similar.TREE_SIZE = size
-        root = dict(similar.group_links(ids, fps, grid, 20, 0.77))
-        parts.append([root.get(k, k) for k in ids])
-    similar.TREE_SIZE = 512
-    assert parts[0] == parts[1] and len(set(parts[0])) == 30
+def brute_similar(texts, least=0.8):
+    """Smallest id of each document's group, by the similarity of all pairs that share a shingle."""
+    sets = {i: frozenset(simhash.shingle_hashes((t or "").encode(), 5).tolist()) for i, t in texts.items()}
+    of: dict = {}
+    for i, own in sets.items():
+        for h in own or [None]:
+            of.setdefault(h, []).append(i)
+    root = {i: i for i in texts}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in {(a, b) for ids in of.values() for a in ids for b in ids if a < b}:
+        if len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]) - 1e-9:
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    return {i: find(i) for i in texts}
+
+
+@pytest.mark.parametrize("block, size", [(4096, 16 << 20), (3, 4000)])
+def test_similar_groups_by_brute_force(spark, monkeypatch, block, size):
+    """Also where shards and groups are cut into blocks: chains, a large group of near copies, and outliers of it."""
+    monkeypatch.setattr(similar, "BLOCK", block)
+    monkeypatch.setattr(similar, "BLOCK_BYTES", size)
+    rng, texts = random.Random(9), {}
+
+    def edited(words, n):
+        out = list(words)
+        for at in rng.sample(range(len(words)), n):
+            out[at] = f"n{rng.randrange(10**9)}"
+        return out
+
+    for k in range(4):
+        words = [f"b{k}x{j}" for j in range(120)]
+        for _ in range(12):
+            texts[len(texts)] = " ".join(edited(words, rng.randint(0, 5)))
+        for _ in range(6):  # a chain, each from the one before
+            words = edited(words, 2)
+            texts[len(texts)] = " ".join(words)
+    got = {r.doc_id for r in similar.one_of_each(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == set(brute_similar(texts).values()) and 4 <= len(got) < 60
+
+
+def test_similar_documents_of_several_rows(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    rows = [(1, a), (2, b), (3, a), (3, c), (4, c), (5, "alone"), (5, "alone"), (5, "other words"), (6, b), (6, "sixth text")]
+    got = similar.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(tuple(r) for r in got) == sorted([(1, a), (2, b), (5, "alone"), (5, "other words")])  # 3 joins 1 and 4; 6 goes with 2
+
+
+def test_similar_recall(spark):
+    """Of the links of exact similarity among all documents of sf0.01, none is lost and none is added."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = brute_similar({r.doc_id: r.text for r in docs.collect()})
+    assert {r.doc_id for r in similar.one_of_each(docs).collect()} == set(want.values()) and len(set(want.values())) < len(want) - 50
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.sets(st.integers(0, 2**64 - 1) | st.integers(0, 500), min_size=1, max_size=60), st.integers(0, 2**64 - 1) | st.integers(0, 500), st.integers(0, 30))
+def test_bk_tree(values, asked, radius):
+    values = np.array(sorted(values, key=lambda v: v % 7), np.uint64)
+    tree = simhash.BKTree(values)
+    assert sorted(tree.within(np.uint64(asked), radius).tolist()) == [k for k, v in enumerate(values.tolist()) if (v ^ asked).bit_count() <= radius]
+    near = {k: {j for j, v in enumerate(values.tolist()) if (v ^ int(values[k])).bit_count() <= radius} for k in range(len(values))}
+    want = {k: k for k in near}
+    for _ in near:
+        want = {k: min(want[j] for j in own) for k, own in near.items()}
+    found = dict(simhash.tree_links(values, radius))
+    assert {k: found.get(k, k) for k in near} == want
 
 
 def brute_align(a, b):
