@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Largest Arrow batch handed to a Python worker, so that a run of very long texts stays within memory.
 BATCH_BYTES = 8 << 20
@@ -75,6 +76,19 @@ def id_mod(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % n
 
 
+def sample_ids(rows: DataFrame, group: str, sample: int) -> DataFrame:
+    """(group, doc_id): of each group the `sample` ids of least hash (fewer where it has fewer).
+
+    Only ids under a cut of the hash, which is expected to leave twice the sample, are ranked, so no group is in one
+    task. Groups are labels or languages: a row each is broadcast.
+    """
+    mark = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32))
+    counts = F.broadcast(rows.groupBy(group).agg(F.count("*").alias("_n")))
+    few = rows.select(group, "doc_id").join(counts, group).where(mark * F.col("_n") < (2.0 * sample + 200) * 2.0**32).select(group, "doc_id").distinct()
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(mark, "doc_id"))
+    return few.withColumn("_r", rank).where(F.col("_r") <= sample).select(group, "doc_id")
+
+
 def join_hot(rows: DataFrame, of: DataFrame, key: str, share: int = 1000) -> DataFrame:
     """rows joined with `of` (one row a key). Keys that hold over 1/share of the rows, so `share` at most, go by broadcast."""
     least = rows.count() // share

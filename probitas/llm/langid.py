@@ -6,8 +6,11 @@ it) has as its probability the sum over all its segmentations into pieces, by th
 is the sum of its words' logarithms. The best language wins; its score is its posterior with the logarithms divided
 by the root of the number of words, as words of a text aren't independent.
 
+Sums over words of up to LINEAR letters can't underflow and are taken as they are; those over longer words, such as
+those of scripts without spaces, are taken in logarithms, for a word of any length.
+
 Cases: a null text, or one without letters, is ``und`` with score 0, and so is everything if no labelled row is
-there. A run of letters is scored in blocks of 32. Repeated rows are judged each; other columns are ignored.
+there. Repeated rows are judged each; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,23 +24,29 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import Batches, bounded_batches, column, texts_of
+from .common import Batches, bounded_batches, column, sample_ids, texts_of
 
-MARK, BLOCK = "▁", 32
+MARK, LINEAR = "▁", 32
 #: Labelled rows of a language that are learned from; rounds of fitting; added to each expected count; probability of a character as such.
 SAMPLE, ROUNDS, ADDED, UNKNOWN = 300, 4, 0.05, 1e-7
-#: Words that a worker remembers.
-CACHE_WORDS = 300_000
+#: Words, and letters of words, that a worker remembers; cells (letters times languages) of words that are summed at once.
+CACHE_WORDS, CACHE_LETTERS, AT_ONCE = 300_000, 16 << 20, 4 << 20
 WORD, LETTER = re.compile(r"[^\W\d_]+"), regex.compile(r"\p{L}")
 
 
 def words_of(text: str) -> list[str]:
-    found = WORD.findall(text.lower())
-    if found and max(map(len, found)) > BLOCK:
-        found = [w[i : i + BLOCK] for w in found for i in range(0, len(w), BLOCK)]
-    return found
+    return WORD.findall(text.lower())
+
+
+def portions(words: list[str], langs: int) -> list[list[str]]:
+    """The words by length, in lists of a bounded number of cells (of the longest word by the number of words); short ones apart."""
+    out: list[list[str]] = []
+    for word in sorted(words, key=len):
+        if not out or (len(out[-1]) + 1) * (len(word) + 2) * max(1, langs) > AT_ONCE or (len(word) > LINEAR) != (len(out[-1][-1]) > LINEAR):
+            out.append([])
+        out[-1].append(word)
+    return out
 
 
 def vocabulary(path: str) -> list[str]:
@@ -79,27 +88,60 @@ class Lattice:
                 a[:, end, k] += np.bincount(word, part[:, k], n)
         return a
 
+    def forward_logs(self, p: np.ndarray) -> np.ndarray:
+        """The logarithms of the same, for words of any length."""
+        n, langs = len(self.lengths), p.shape[1]
+        with np.errstate(divide="ignore"):
+            logs, unknown = np.log(p), np.log(UNKNOWN)
+        a = np.zeros((n, self.width + 1, langs))
+        for end in range(1, self.width + 1):
+            a[:, end] = self._joined(a[:, end - 1] + unknown, slice(self.cuts[end], self.cuts[end + 1]), a, self.start, logs)
+        return a
+
+    def _joined(self, least: np.ndarray, rows, a: np.ndarray, at: np.ndarray, logs: np.ndarray) -> np.ndarray:
+        """Logarithm of the sum, by word, of exp(least) and of what the pieces of `rows` add to the places `at` of a."""
+        word = self.word[rows]
+        part = a[word, at[rows]] + logs[self.piece[rows]]
+        most = least.copy()
+        np.maximum.at(most, word, part)
+        total, part = np.exp(least - most), np.exp(part - most[word])
+        for k in range(total.shape[1]):
+            total[:, k] += np.bincount(word, part[:, k], len(total))
+        return most + np.log(total)
+
     def totals(self, p: np.ndarray) -> np.ndarray:
-        return self.forward(p)[np.arange(len(self.lengths)), self.lengths]
+        """(word, language): logarithm of the probability of all segmentations."""
+        last = np.arange(len(self.lengths)), self.lengths
+        return self.forward_logs(p)[last] if self.width > LINEAR + len(MARK) else np.log(self.forward(p)[last])
 
     def expected(self, p: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Expected uses of each piece by language, where words occur `counts` (word, language) times."""
         n, langs = len(self.lengths), p.shape[1]
-        a = self.forward(p)
+        long = self.width > LINEAR + len(MARK)
+        a = self.forward_logs(p) if long else self.forward(p)
         total = a[np.arange(n), self.lengths]
-        b = np.zeros_like(a)
-        b[np.arange(n), self.lengths] = counts / total
+        with np.errstate(divide="ignore"):
+            logs, unknown = np.log(p), np.log(UNKNOWN)
+        b = np.full_like(a, -np.inf) if long else np.zeros_like(a)
+        b[np.arange(n), self.lengths] = -total if long else counts / total
         order = np.argsort(self.start, kind="stable")
         cuts = np.searchsorted(self.start[order], np.arange(self.width + 1))
         out = np.zeros_like(p)
         for begin in range(self.width - 1, -1, -1):
             here = order[cuts[begin] : cuts[begin + 1]]
             word, piece = self.word[here], self.piece[here]
-            onward = b[word, self.stop[here]] * p[piece]
-            b[:, begin] += b[:, begin + 1] * UNKNOWN
-            used = a[word, self.start[here]] * onward
+            if long:
+                inside = begin < self.lengths  # beyond a word's end there is nothing
+                with np.errstate(invalid="ignore"):
+                    b[:, begin] = np.where(inside[:, None], self._joined(b[:, begin + 1] + unknown, here, b, self.stop, logs), b[:, begin])
+                used = np.exp(a[word, begin] + logs[piece] + b[word, self.stop[here]]) * counts[word]
+            else:
+                onward = b[word, self.stop[here]] * p[piece]
+                b[:, begin] += b[:, begin + 1] * UNKNOWN
+                used = a[word, begin] * onward
+                for k in range(langs):
+                    b[:, begin, k] += np.bincount(word, onward[:, k], n)
             for k in range(langs):
-                b[:, begin, k] += np.bincount(word, onward[:, k], n)
                 out[:, k] += np.bincount(piece, used[:, k], len(p))
         return out
 
@@ -110,8 +152,9 @@ class Model:
     def __init__(self, langs: list[str], pieces: list[str], p: np.ndarray) -> None:
         self.langs, self.pieces, self.p = langs, pieces, p
         self.automaton, self.sizes = _automaton(pieces)
+        #: Words that are known, with their letters in all, and their logarithms by language.
         self.rows: dict[str, int] = {}
-        self.table = np.zeros((0, len(langs)))
+        self.letters, self.table = 0, np.zeros((0, len(langs)))
 
     def __reduce__(self):
         return Model, (self.langs, self.pieces, self.p)
@@ -120,13 +163,14 @@ class Model:
         found = [words_of(t) for t in texts]
         wanted = set().union(*found)
         new = list(wanted - self.rows.keys())
-        if len(self.rows) + len(new) > CACHE_WORDS:
+        self.letters += sum(map(len, new))
+        if len(self.rows) + len(new) > CACHE_WORDS or self.letters > CACHE_LETTERS:
             self.rows, self.table, new = {}, self.table[:0], list(wanted)
+            self.letters = sum(map(len, new))
         parts = [self.table]
-        new.sort(key=len)
-        for at in range(0, len(new), 20_000):
-            parts.append(np.log(Lattice(self.automaton, self.sizes, new[at : at + 20_000]).totals(self.p)))
-        self.rows.update(zip(new, range(len(self.rows), len(self.rows) + len(new))))
+        for words in portions(new, len(self.langs)):
+            parts.append(Lattice(self.automaton, self.sizes, words).totals(self.p))
+            self.rows.update(zip(words, range(len(self.rows), len(self.rows) + len(words))))
         self.table = np.concatenate(parts)
         out = []
         for text, ws in zip(texts, found):
@@ -161,9 +205,7 @@ def fit(rows: list[tuple[str, str]], path: str) -> Model:
     pieces = vocabulary(path)
     pieces = [p for p in pieces if "\n" not in p]
     automaton, sizes = _automaton(pieces)
-    words = list(tally)
-    parts = [words[at : at + 20_000] for at in range(0, len(words), 20_000)]
-    lattices = [(Lattice(automaton, sizes, part), np.array([tally[w] for w in part])) for part in parts]
+    lattices = [(Lattice(automaton, sizes, part), np.array([tally[w] for w in part])) for part in portions(list(tally), len(langs))]
     p = np.full((len(pieces), max(1, len(langs))), 1 / len(pieces))
     for _ in range(ROUNDS if langs else 0):
         counts = sum((lattice.expected(p, n) for lattice, n in lattices), np.zeros_like(p)) + ADDED
@@ -172,15 +214,12 @@ def fit(rows: list[tuple[str, str]], path: str) -> Model:
 
 
 def train(docs: DataFrame, learned: Column, path: str, sample: int = SAMPLE) -> Model:
-    """From at most `sample` rows a language of those where `learned` is true: those of least hash of doc_id."""
+    """From at most `sample` documents a language of those where `learned` is true: those of least hash of doc_id."""
     bounded_batches(docs.sparkSession)
-    known = docs.where(learned & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    ids = known.groupBy("lang", "doc_id").agg(F.lit(1).alias("_k"))  # without texts
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id")))
-    chosen = ids.withColumn("_r", rank).where(F.col("_r") <= sample).select("lang", "doc_id")
-    rows = known.select("lang", "doc_id", "text").join(F.broadcast(chosen), ["lang", "doc_id"])  # `sample` ids a language
-    one = F.row_number().over(Window.partitionBy("lang", "doc_id").orderBy(F.xxhash64("text")))  # of repeated ids
-    return fit([(r[0], r[1]) for r in rows.withColumn("_o", one).where("_o = 1").select("lang", "text").collect()], path)
+    known = docs.where(learned & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("lang", "doc_id", "text")
+    rows = known.join(F.broadcast(sample_ids(known, "lang", sample)), ["lang", "doc_id"])  # `sample` ids a language
+    texts = rows.groupBy("lang", "doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # of repeated ids
+    return fit(sorted((r[0], r[1]) for r in texts.select("lang", "text").collect()), path)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

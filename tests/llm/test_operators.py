@@ -1,8 +1,10 @@
 """The training-data operators: awkward rows for each, and brute force on small tables."""
 
 import hashlib
+import math
 import random
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -318,6 +320,69 @@ def test_toxicity(spark, odd, none):
     assert len(got) == 11 and all(0 <= r.score <= 1 for r in got) and toxicity.score(none, net).isEmpty()
     assert toxicity.kept_rows(odd, net).columns == odd.columns
     assert len(toxicity.score(odd, toxicity.train(table, labels, F.lit(False))).collect()) == 11
+    clash = lambda df: df.withColumns({c: F.lit(9) for c in ("_y", "y", "score", "lang", "text2")})
+    again = toxicity.train(clash(table), clash(labels), F.col("doc_id") < 600)
+    assert np.array_equal(again.filters, net.filters) and again.thresholds.tolist() == net.thresholds.tolist()
+
+
+def test_toxicity_of_one_label(spark, odd):
+    """Without a row of label 1 nothing is toxic, the empty text included; empty texts never are."""
+    table = spark.createDataFrame([(k, f"some words {k}") for k in range(40)] + [(50, ""), (51, None)], "doc_id long, text string")
+    for labels, want in (([], 0), ([(k, 0) for k in range(30)], 0), ([(k, 1) for k in range(30)], 40), ([(50, 1), (51, 1)], 0)):
+        net = toxicity.train(table, spark.createDataFrame(labels, "doc_id long, toxic int"), F.lit(True))
+        got = {r.doc_id: r.score for r in toxicity.score(table, net).collect()}
+        assert sum(v >= 0.7 for v in got.values()) == want and got[50] == got[51] == toxicity.EMPTY
+        assert toxicity.kept_rows(table, net).count() == 42 - want
+
+
+def test_convolution_by_brute_force():
+    """Activations and logits by loops; the gradient by differences of the loss."""
+    rng = np.random.default_rng(5)
+    net = toxicity.Net(3)
+    net.shift[:], net.only = 0.2, None
+    net.bias[:] = rng.normal(0, 0.3, len(net.bias))
+    words = ["alpha", "beta", "gammas", "delta", "beta", "omega"]
+    buckets = toxicity.features(words)
+
+    def logit(net, at):
+        vectors = [net.embed[buckets[k]].astype(float).mean(axis=0) for k in at]
+        tops, place = [], 0
+        for j, width in enumerate(toxicity.WIDTHS):
+            for f in range(toxicity.FILTERS):
+                sums = [sum(vectors[i + k] @ net.filters[:, (place + k) * toxicity.FILTERS + f].astype(float) for k in range(width) if i + k < len(at)) for i in range(len(at))]
+                tops.append(max(sums) + net.bias[j * toxicity.FILTERS + f])
+            place += width
+        return sum(max(t, 0) * o for t, o in zip(tops, net.out.astype(float))) + net.shift[0]
+
+    for at in ([0, 1, 2, 3, 4, 5], [2], [3, 1]):
+        parts = toxicity._parts(net, buckets, np.array(at))
+        assert net.logit(parts) == pytest.approx(logit(net, at), abs=1e-4)
+
+    class Catch(toxicity.Adam):
+        def step(self, name, value, grad, rows=None):
+            self.state[name] = (grad.copy(), rows)
+
+    texts, labels, weight = [np.array([0, 1, 2, 3, 4, 5]), np.array([3, 1])], np.array([1, 0], np.float32), np.array([1.5, 0.5], np.float32)
+    catch = Catch(0.1)
+    toxicity._step(net, catch, texts, labels, weight, buckets)
+
+    def loss():
+        z = np.array([logit(net, t.tolist()) for t in texts])
+        return float((weight * np.where(labels == 1, np.log1p(np.exp(-z)), np.log1p(np.exp(z)))).sum() / 2)
+
+    rows = catch.state["embed"][1]
+    for name, value in (("filters", net.filters), ("bias", net.bias), ("out", net.out), ("shift", net.shift), ("embed", net.embed)):
+        grad = catch.state[name][0]
+        flat = np.argsort(-np.abs(grad).ravel())[:6]
+        for k in flat.tolist():
+            at = np.unravel_index(k, grad.shape)
+            at = (int(rows[at[0]]), *at[1:]) if name == "embed" else at
+            was, ends = value[at], []
+            for step in (1e-3, -1e-3):
+                value[at] = was + step
+                ends.append(loss())
+            value[at] = was
+            assert grad.ravel()[k] == pytest.approx((ends[0] - ends[1]) / 2e-3, rel=0.05, abs=2e-4)
 
 
 def test_language(spark, odd, none, docs):
@@ -328,11 +393,31 @@ def test_language(spark, odd, none, docs):
     assert rows[1].lang_pred == rows[2].lang_pred == "und" and 0 <= rows[4].score <= 1 and langid.identify(none, model).isEmpty()
     assert langid.identify(odd, langid.train(none.withColumn("lang", F.lit("en")), F.lit(True), PIECES)).first().lang_pred == "und"
     number = {p: k for k, p in enumerate(model.pieces)}
-    for word in ("the", "öffnung", "x", "abcdefghij"):
-        w, a = langid.MARK + word, [np.ones(len(model.langs))]
+    words = ["the", "öffnung", "x", "abcdefghij", "q" * 32, "ab" * 17, "ausgangs" * 9, "zß" * 200]
+    want = []
+    for word in words:
+        w, a = langid.MARK + word, [np.full(len(model.langs), Fraction(1))]
         for j in range(1, len(w) + 1):
-            a.append(a[j - 1] * langid.UNKNOWN + sum((a[i] * model.p[number[w[i:j]]] for i in range(j) if w[i:j] in number), np.zeros(len(model.langs))))
-        assert np.allclose(langid.Lattice(model.automaton, model.sizes, [word]).totals(model.p)[0], a[-1], rtol=1e-12)
+            a.append(a[j - 1] * Fraction(langid.UNKNOWN) + sum((a[i] * np.array(list(map(Fraction, model.p[number[w[i:j]]]))) for i in range(max(0, j - 20), j) if w[i:j] in number), np.full(len(model.langs), Fraction(0))))
+        want.append([math.log(v.numerator) - math.log(v.denominator) for v in a[-1]])
+    assert max(map(len, number)) <= 20
+    for part in langid.portions(words, len(model.langs)):
+        got = langid.Lattice(model.automaton, model.sizes, part).totals(model.p)
+        assert np.allclose(got, [want[words.index(w)] for w in part], rtol=1e-9)
+    text = "ausgangs" * 9 + " the " + "zß" * 200
+    total = sum(np.array(want[words.index(w)]) for w in text.split())
+    assert model.score([text])[0][0] == model.langs[int(total.argmax())]
+
+
+def test_language_expected_uses_are_the_same_in_logarithms(monkeypatch):
+    automaton, sizes = langid._automaton(["▁a", "a", "b", "ab", "ba", "aba", "▁"])
+    rng = np.random.default_rng(3)
+    p, words = rng.dirichlet(np.ones(7), 2).T, ["ab", "abab", "xbaab", "a", "abcabab"]
+    counts = rng.integers(1, 5, (5, 2)).astype(float)
+    plain = langid.Lattice(automaton, sizes, words).expected(p, counts)
+    totals = langid.Lattice(automaton, sizes, words).totals(p)
+    monkeypatch.setattr(langid, "LINEAR", 0)
+    assert np.allclose(langid.Lattice(automaton, sizes, words).expected(p, counts), plain) and np.allclose(langid.Lattice(automaton, sizes, words).totals(p), totals)
 
 
 def test_urls(spark, monkeypatch):
