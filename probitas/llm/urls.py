@@ -4,6 +4,10 @@ Everything here is DataFrame expressions. A rule decides where one fits (the lon
 canonical URL is looked up in a list: a blocked Bloom filter (one 512-bit block a key, one bit in each of its eight
 64-bit lanes) lets possible hits through, and a hash join on the canonical URL itself removes the false positives.
 
+The filter is always broadcast: it has at most BROADCAST_BLOCKS blocks, so a very long list makes it denser and lets more
+false hits through, which the join removes. A list of up to BROADCAST_KEYS entries is broadcast too. Beyond that only the
+possible hits are dealt by URL, those of a hot one over SALTS tasks, and all other rows stay where they are.
+
 Cases: a null URL, or one without ``://``, has an empty host and path, no canonical URL, and is allowed. Repeated
 rows are judged each. An empty list blocks nothing. Columns other than the id and the URL are ignored.
 """
@@ -16,10 +20,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import save
+
 #: Query parameters that say where a visitor came from, not which page this is.
 TRACKING = r"^(utm_[^=]*|ref|fbclid|gclid)(=|$)"
-#: The list is broadcast up to so many entries, and the filter up to so many blocks (72 bytes each).
-BROADCAST_KEYS, BROADCAST_BLOCKS = 200_000, 100_000
+#: The list is broadcast up to so many entries; the filter has up to so many blocks (72 bytes each).
+BROADCAST_KEYS, BROADCAST_BLOCKS = 200_000, 1 << 18
 #: Copies of the list that a hot URL's rows are dealt over when the list is not broadcast.
 SALTS = 16
 LANES, BITS_PER_KEY = 8, 16
@@ -69,33 +75,27 @@ def bloom(keys: DataFrame, key: str, blocks: int) -> DataFrame:
 
 def url_filter(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", list_col: str = "url") -> DataFrame:
     """Per row of pages: id, host, path, rule, verdict, listed (null where a rule decided). `listed` has the listed URLs."""
-    keys = listed.select(canonical(F.col(list_col)).alias("listed_key")).where("listed_key is not null").distinct()
+    keys = save(listed.select(canonical(F.col(list_col)).alias("listed_key")).where("listed_key is not null").distinct(), "listed")
     n = keys.count()
-    blocks = 1 << max(0, math.ceil(math.log2(max(1, n) * BITS_PER_KEY / (64 * LANES))))
+    blocks = min(BROADCAST_BLOCKS, 1 << max(0, math.ceil(math.log2(max(1, n) * BITS_PER_KEY / (64 * LANES)))))
     host, path = host_path(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"), canonical(F.col(url_col)).alias("_key"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumns({"rule": rule, "_verdict": verdict})
-    rows = rows.withColumns({"_key": F.when(F.col("rule").isNull(), F.col("_key")), "_spread": F.xxhash64("page_id", "path")})
-
-    filt = bloom(keys, "listed_key", blocks)
-    small = n <= BROADCAST_KEYS
-    if blocks <= BROADCAST_BLOCKS:
-        rows = rows.withColumn("_block", F.pmod(F.xxhash64("_key"), F.lit(blocks))).join(F.broadcast(filt.withColumnRenamed("block", "_block")), "_block", "left")
-    else:
-        salted = filt.withColumnRenamed("block", "_block").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        rows = rows.withColumns({"_block": F.pmod(F.xxhash64("_key"), F.lit(blocks)), "_salt": F.pmod("_spread", F.lit(SALTS)).cast("int")}).join(salted, ["_block", "_salt"], "left").drop("_salt")
+    rows = rows.withColumns({"rule": rule, "_verdict": verdict}).withColumn("_key", F.when(F.col("rule").isNull(), F.col("_key")))
+    filt = bloom(keys, "listed_key", blocks).withColumnRenamed("block", "_block")
+    rows = rows.withColumn("_block", F.pmod(F.xxhash64("_key"), F.lit(blocks))).join(F.broadcast(filt), "_block", "left")
     possible = F.lit(True)
     for i, bit in enumerate(_bits(F.col("_key"))):
         possible = possible & (F.coalesce(F.col(f"w{i}"), F.lit(0)).bitwiseAND(bit) != 0)
     possible = F.col("_key").isNotNull() & possible
-    rows = rows.withColumn("_hit", F.when(possible, F.col("_key"))).drop("_block", *[f"w{i}" for i in range(LANES)])
-    if small:
+    rows = rows.withColumn("_hit", F.when(possible, F.col("_key"))).drop("_block", "_key", *[f"w{i}" for i in range(LANES)])
+    if n <= BROADCAST_KEYS:
         rows = rows.join(F.broadcast(keys), F.col("_hit") == F.col("listed_key"), "left")
-    else:  # rows that can't be listed are dealt by their own id, hits by URL and salt
-        salted = keys.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))).hint("shuffle_hash")
-        rows = rows.withColumn("_salt", F.when(F.col("_hit").isNotNull(), F.pmod("_spread", F.lit(SALTS))).otherwise(F.col("_spread")))
-        rows = rows.join(salted, (F.col("_hit") == F.col("listed_key")) & (F.col("_salt") == F.col("_s")), "left")
+    else:
+        salted = keys.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        hits = rows.where("_hit is not null").withColumn("_salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS)))
+        hits = hits.join(salted, (F.col("_hit") == F.col("listed_key")) & (F.col("_salt") == F.col("_s")), "left").drop("_salt", "_s")
+        rows = hits.unionByName(rows.where("_hit is null").withColumn("listed_key", F.lit(None).cast("string")))
     found = F.col("listed_key").isNotNull()
     return rows.select(
         "page_id", "host", "path", "rule", F.coalesce("_verdict", F.when(found, "block").otherwise("allow")).alias("verdict"),
