@@ -14,8 +14,7 @@ ordered by a hash of their text. An empty table writes no block. Columns other t
 
 from __future__ import annotations
 
-import json
-import re
+import os
 import zlib
 from functools import lru_cache
 
@@ -30,10 +29,6 @@ from .common import Batches, bounded_batches, column, drop, save, scratch_path,
 
 #: A block is closed at so many tokens; a document is never split.
 BLOCK_TOKENS = 1 << 18
-#: New chunks that are encoded in one go; bytes that a worker's known chunks may take, and one besides its own.
-RUN_CHUNKS, CACHE_BYTES, CHUNK_COST = 4096, 160 << 20, 200
-#: Before a space or line break that another character follows (Python's white space includes all of the library's).
-CUT = re.compile(r"(?=[ \n]\S)")
 HEAD = "shard int, block int, before long, doc_ids array<long>, counts array<int>"
 LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
 
@@ -67,102 +62,24 @@ def unpack_ranks(control: bytes, data: bytes, count: int) -> np.ndarray:
 
 
 class LibraryCoder:
-    """The tokenizers library, asked once for each distinct chunk of the texts rather than once for each occurrence.
-
-    In the byte-level pattern a space or line break straight before another character always starts a piece, whatever
-    comes before it. So texts are cut there and a chunk's ids don't depend on its neighbours. A chunk is kept without
-    its space but with its line break. New chunks are encoded in long runs, whose ids are told apart by the bytes each
-    stands for. Texts that hold an added token, and all texts of tokenizers of another kind, are encoded uncut.
-    """
+    """The tokenizers library with one tokenizer file; it is given whole texts."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallel part
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.kind = np.uint16 if self.size <= 1 << 16 else np.uint32
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        cutter = spec.get("pre_tokenizer") or {}
-        plain = cutter.get("type") == "ByteLevel" and cutter.get("use_regex", True) and not cutter.get("add_prefix_space", True)
-        self.cuts = plain and not spec.get("normalizer") and not any(c.isspace() for t in self.added for c in t)
-        self.bytes_of = np.zeros(self.size, np.int64)
-        for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
-            self.bytes_of[i] = len(token.encode() if token in self.added else token)  # a character a byte
-        self.line_break = len(self.whole("\n"))
-        #: Ids by chunk; empty where the text must be cut with more care.
-        self.ids_of: dict[bytes, bytes] = {}
-        self.held = 0
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind).tobytes()
-
-    def learn(self, chunks: list[bytes]) -> None:
-        """Encodes chunks that aren't known."""
-        cut = [c for c in chunks if c and 32 < c[0] < 128 or self.can_be_cut(c)]
-        self.ids_of.update(dict.fromkeys(chunks, b"") if len(cut) < len(chunks) else ())
-        for at in range(0, len(cut), RUN_CHUNKS):
-            self.learn_run(cut[at : at + RUN_CHUNKS])
-        self.held += sum(map(len, chunks)) + CHUNK_COST * len(chunks)
-
-    @staticmethod
-    def can_be_cut(chunk: bytes) -> bool:
-        """Whether its space or line break stands straight before another character."""
-        first = chunk.removeprefix(b"\n").decode()[:1]
-        return first != "" and not first.isspace()
-
-    def learn_run(self, run: list[bytes]) -> None:
-        parts = [c if c[:1] == b"\n" else b" " + c for c in run]
-        own = b"".join(parts).decode()
-        if any(t in own for t in self.added):
-            added = [t.encode() for t in self.added]
-            self.ids_of.update({c: b"" for c in run if any(t in c for t in added)})
-            run = [c for c in run if not any(t in c for t in added)]
-            if run:
-                self.learn_run(run)
-            return
-        ids = np.frombuffer(self.whole(own), self.kind)
-        ends = np.cumsum(self.bytes_of[ids])
-        wanted = np.cumsum(np.fromiter(map(len, parts), np.int64, len(run)))
-        at = np.searchsorted(ends, wanted)
-        if at[-1] >= len(ends) or (ends[at] != wanted).any():
-            raise ValueError("token bytes do not add up to the chunks")
-        raw, stops = ids.tobytes(), ((at + 1) * self.kind().itemsize).tolist()
-        self.ids_of.update(zip(run, map(raw.__getitem__, map(slice, [0, *stops[:-1]], stops))))
-
-    def known(self, chunks: list[list[bytes]]) -> list[list[bytes]]:
-        """Ids of each chunk of each text."""
-        get = self.ids_of.get
-        found = [list(map(get, cs)) for cs in chunks]
-        gaps = [k for k, parts in enumerate(found) if None in parts]
-        self.learn(list({c for k in gaps for c, part in zip(chunks[k], found[k]) if part is None}))
-        for k in gaps:
-            found[k] = list(map(get, chunks[k]))
-        return found
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text as bytes of `kind`. Hand in a few MB at most."""
-        if not self.cuts:
-            return [self.whole(t.decode()) for t in texts]
-        if self.held > CACHE_BYTES:
-            self.ids_of, self.held = {}, 0
-        # a line break before the text, so that its first chunk is like the others; its ids are dropped again
-        found = self.known([(b"\n" + t).replace(b"\n", b" \n").split(b" ")[1:] for t in texts])
-        out = [b"" if b"" in parts else b"".join(parts)[self.line_break :] for parts in found]
-        for k, parts in enumerate(found):
-            if b"" in parts:
-                out[k] = self.carefully(texts[k].decode())
-        return out
-
-    def carefully(self, text: str) -> bytes:
-        """Of a text with runs of white space or added tokens."""
-        if any(t in text for t in self.added):
-            return self.whole(text)
-        first, *rest = CUT.split(text)
-        return self.whole(first) + b"".join(self.known([[c.removeprefix(" ").encode() for c in rest]])[0])
+        """The ids of each text as bytes of `kind`; equal texts are encoded once. Hand in a few MB at most."""
+        distinct = list(dict.fromkeys(texts))
+        found = self.tokenizer.encode_batch_fast([t.decode() for t in distinct], add_special_tokens=False)
+        ids_of = {t: np.array(e.ids, self.kind).tobytes() for t, e in zip(distinct, found)}
+        return [ids_of[t] for t in texts]
 
 
 @lru_cache(maxsize=2)
