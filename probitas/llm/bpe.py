@@ -38,8 +38,10 @@ END, NEVER, LONG = chr(256), np.int64(1) << 61, 64
 _LETTERS, _NUMBERS = rf"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-{chr(0x24F)}", r"0-9\xb2\xb3\xb9\xbc-\xbe"
 PLAIN = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^\s{_LETTERS}{_NUMBERS}]+|\s+(?!\S)|\s+")
 OTHER = re.compile(rf"[^\t\n\r -\x7e\xa0-{chr(0x24F)}]")
-#: Words whose encoding a worker remembers.
-CACHE_WORDS = 600_000
+#: Bytes of the words, ids and texts that a worker remembers, each with so many for its places in the tables; longer words aren't kept.
+CACHE_BYTES, ENTRY_BYTES, KEPT_BYTES = 256 << 20, 250, 1 << 12
+#: Characters of the texts that are encoded in one go, a text at least.
+AT_ONCE = 1 << 20
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -59,6 +61,7 @@ class WordCoder:
         #: By word; an added token's word is its id.
         self.ids_of: dict[str | int, bytes] = {}
         self.name_of: dict[str | int, str] = {}
+        self.held, self.long = 0, []
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
         raise NotImplementedError
@@ -82,9 +85,22 @@ class WordCoder:
         """Encodes words that aren't known."""
         plain = [w for w in new if isinstance(w, str)]
         for word, ids in [*zip(plain, self.encode_words(plain)), *((w, [w]) for w in new if not isinstance(w, str))]:
-            self.ids_of[word] = array(self.code, ids).tobytes()
+            raw = array(self.code, ids).tobytes()
+            name = ",".join(map(str, ids)) if self.named else ""
+            self.ids_of[word] = raw
             if self.named:
-                self.name_of[word] = ",".join(map(str, ids))
+                self.name_of[word] = name
+            self.held += ENTRY_BYTES + len(raw) + len(name) + (4 * len(word) if isinstance(word, str) else 0)
+
+    def forget(self) -> None:
+        """Drops long words, and all words once they take too many bytes."""
+        if self.held > CACHE_BYTES:
+            self.ids_of, self.name_of, self.held = {}, {}, 0
+            return
+        for word in [w for w in self.long if w in self.ids_of]:
+            raw, name = self.ids_of.pop(word), self.name_of.pop(word, "")
+            self.held -= ENTRY_BYTES + len(raw) + len(name) + 4 * len(word)
+        self.long = []
 
     #: Whether decimal texts are kept beside the ids; how an id is stored (array's type code).
     named, code = False, "I"
@@ -92,10 +108,11 @@ class WordCoder:
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, str | None]]:
         """For each text its ids and, if named, their decimal text, joined by commas."""
         cut = [self.cut(t) for t in texts]
-        if len(self.ids_of) > CACHE_WORDS:
-            self.ids_of, self.name_of = {}, {}
+        self.forget()
         found = [list(map(self.ids_of.get, ws)) for ws in cut]
-        self.learn(list({w for ws, parts in zip(cut, found) if None in parts for w, part in zip(ws, parts) if part is None}))
+        new = list({w for ws, parts in zip(cut, found) if None in parts for w, part in zip(ws, parts) if part is None})
+        self.learn(new)
+        self.long = [w for w in new if isinstance(w, str) and len(w) > KEPT_BYTES]
         ids_of, name_of, out = self.ids_of, self.name_of, []
         for ws, parts in zip(cut, found):
             if None in parts:
@@ -318,9 +335,11 @@ def _run(docs: DataFrame, path: str, schema: str, make, kinds: list[pa.DataType]
         bpe = load(path)
         for batch in batches:
             texts = [t.decode() for t in texts_of(batch)]
-            for at in range(0, len(texts), 512):
-                rows = [make(bpe, ids, text) for ids, text in bpe.encode(texts[at : at + 512])]
+            ends = np.cumsum([len(t) for t in texts]) // AT_ONCE
+            cuts = [0, *(np.nonzero(np.diff(ends))[0] + 1).tolist(), len(texts)]
+            for at, end in zip(cuts, cuts[1:]):
+                rows = [make(bpe, ids, text) for ids, text in bpe.encode(texts[at:end])]
                 made = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
-                yield pa.RecordBatch.from_arrays([column(batch, "doc_id").slice(at, 512), *made], names)
+                yield pa.RecordBatch.from_arrays([column(batch, "doc_id").slice(at, end - at), *made], names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)

@@ -42,8 +42,11 @@ def none(odd):
     return save(odd.limit(0), "none")
 
 
+LIBRARY = Tokenizer.from_file(PATH)
+
+
 def reference_ids(text):
-    return Tokenizer.from_file(PATH).encode(text or "", add_special_tokens=False).ids
+    return LIBRARY.encode(text or "", add_special_tokens=False).ids
 
 
 #: Published notices as they stand.
@@ -261,18 +264,13 @@ def test_variable_length_coding(values):
     assert tokens.unpack_ranks(control, data, len(values)).tolist() == values and len(control) == -(-len(values) // 4)
 
 
-def test_library_coder_by_chunks():
+def test_library_coder():
     parts = [" "] * 6 + ["\n"] * 4 + ["\t", "\r", chr(0xA0), chr(0x3000), "\x1c", chr(0x85), "a", "the", "é", "中文", "'s", "'", "12", "!", "<|endoftext|>", "<|", "\U0001f600"]
     rng = random.Random(7)
-    texts = ["", "\n", "  ", "a\n\n\nb", "foo   bar", "foo \n bar ", "x  <|endoftext|> y", "long" * 5000] + ["".join(rng.choices(parts, k=rng.randint(0, 25))) for _ in range(4000)]
-    want = [e.ids for e in Tokenizer.from_file(PATH).encode_batch(texts, add_special_tokens=False)]
-    code = tokens.LibraryCoder(PATH)
-    raw = [t.encode() for t in texts]
-    for _ in range(2):  # the second time from what it knows
-        got = [ids for part in tokens.portions(raw, 1 << 12) for ids in code.encode(raw[part])]
-        assert [np.frombuffer(g, code.kind).tolist() for g in got] == want
-    code.cuts = False
-    assert [np.frombuffer(g, code.kind).tolist() for g in code.encode(raw[:100])] == want[:100]
+    texts = ["", "\n", "  ", "a\n\n\nb", "foo   bar", "foo \n bar ", "x  <|endoftext|> y", "long" * 5000] + ["".join(rng.choices(parts, k=rng.randint(0, 25))) for _ in range(500)]
+    code, raw = tokens.LibraryCoder(PATH), [t.encode() for t in texts]
+    got = [ids for part in tokens.portions(raw, 1 << 12) for ids in code.encode(raw[part])]
+    assert [np.frombuffer(g, code.kind).tolist() for g in got] == [reference_ids(t) for t in texts]
 
 
 def test_token_files(spark, odd, none, docs):
@@ -307,6 +305,19 @@ def test_bpe_rows(odd, none):
     assert bpe.encode_decode(odd, PATH).where("doc_id = 7").first().decoded == "¹²³ <|endoftext|> 漢字"
 
 
+def test_bpe_forgets_by_bytes(monkeypatch):
+    rng, coder = random.Random(2), bpe.BPE(PATH)
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 50_000)
+    monkeypatch.setattr(bpe, "KEPT_BYTES", 40)
+    for _ in range(30):
+        texts = [" ".join("".join(rng.choices("abcdefgh", k=rng.choice((3, 8, 90)))) for _ in range(20)) for _ in range(5)]
+        assert [ids.tolist() for ids, _ in coder.encode(texts)] == [reference_ids(t) for t in texts]
+        coder.forget()
+        words = coder.ids_of.keys() & coder.name_of.keys()
+        assert len(words) == len(coder.ids_of) and max(map(len, words), default=0) <= 40
+        assert coder.held == sum(bpe.ENTRY_BYTES + len(coder.ids_of[w]) + len(coder.name_of[w]) + 4 * len(w) for w in words) <= 50_000
+
+
 def test_toxicity(spark, odd, none):
     rng = random.Random(3)
     clean = ["the cat of and sat mat dog house tree sun moon star".split()[k] for k in range(12)]
@@ -434,7 +445,11 @@ def test_urls(spark, monkeypatch):
     assert [got[k].verdict for k in (4, 5, 6, 7, 8, 9)] == ["allow", "block", "block", "block", "block", "block"]
     small = run()
     monkeypatch.setattr(urls, "BROADCAST_KEYS", -1)
-    monkeypatch.setattr(urls, "BROADCAST_BLOCKS", -1)
+    assert run() == small
+    monkeypatch.setattr(urls, "BROADCAST_BLOCKS", 1)
+    many = spark.range(3000).select(F.concat(F.lit("http://l.org/"), "id").alias("url"))  # far more than the filter is made for
+    asked = spark.range(4000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://l.org/"), "id").alias("url"))
+    assert {r.page_id for r in urls.url_filter(asked, many, []).where("listed").collect()} == set(range(3000))
     assert run() == small
     assert urls.url_filter(pages.limit(0), listed.limit(0), []).isEmpty()
 
@@ -722,24 +737,36 @@ def test_decontamination_of_many_equal_edited_copies(spark, monkeypatch):
     assert len(parts) > 10 and max(map(len, parts)) <= 240 and max(decontaminate.align(held.words[0], w[None])[0] for w in parts) == 24
 
 
-def test_sharding(docs, odd, none):
+def by_bytes(rows, shards):
+    """{(text, doc_id): sorted shards} by the rule, from (doc_id, text) rows; slots aside."""
+    rows = sorted((hashlib.md5((t or "").encode()).hexdigest()[:16], (0, 0) if d is None else (1, d), len((t or "").encode()) + 16) for d, t in rows)
+    total, below, want = sum(r[2] for r in rows), 0, []
+    sizes: dict = {}
+    for digest, _, size in rows:
+        sizes[digest] = sizes.get(digest, 0) + size
+    started: dict = {}
+    for digest, ident, size in rows:
+        first = started.setdefault(digest, below)
+        whole = sizes[digest] * shards * sharding.WHOLE <= total
+        at, wide = (first, sizes[digest]) if whole else (below, size)
+        want.append((min(shards - 1, (2 * at + wide) * shards // (2 * total)), ident, size))
+        below += size
+    return want
+
+
+def test_sharding(spark, docs, odd, none):
     assert sharding.shard_by_bytes(none).isEmpty()
-    for table, shards in ((docs, 7), (odd, 3), (docs, 40)):
+    hot = spark.createDataFrame([(1, "same text")] * 400 + [(None, None)] * 300 + [(k, f"text {k} " * (k % 7)) for k in range(400)] + [(500 + k, "a group of copies") for k in range(6)], "doc_id long, text string")
+    for table, shards in ((docs, 7), (odd, 3), (docs, 40), (hot, 40)):
         got = sharding.shard_by_bytes(table, shards).collect()
-        assert len(got) == table.count()
-        rows = sorted((hashlib.md5((r.text or "").encode()).hexdigest()[:16] + ("" if r.doc_id is None else f"{r.doc_id + 2**63:016x}"), len((r.text or "").encode()) + 16, r.doc_id) for r in table.collect())
-        rows = [(k[:16] + k[16:].upper(), s, d) for k, s, d in rows]
-        total, below, want, groups = sum(s for _, s, _ in rows), 0, [], {}
-        for k, s, d in rows:
-            groups.setdefault(k, []).append((s, d))
-        for k in sorted(groups):
-            size = sum(s for s, _ in groups[k])
-            want += [(min(shards - 1, (2 * below + size) * shards // (2 * total)), str(d), s) for s, d in groups[k]]
-            below += size
-        assert sorted((r.shard, str(r.doc_id), r.size) for r in got) == sorted(want)
+        want = by_bytes([(r.doc_id, r.text) for r in table.collect()], shards)
+        assert sorted((r.shard, (0, 0) if r.doc_id is None else (1, r.doc_id), r.size) for r in got) == sorted(want)
         for k in range(shards):
             slots = sorted(r.slot for r in got if r.shard == k)
             assert slots == list(range(len(slots)))
+    sizes = [sum(r.size for r in got if r.shard == k) for k in range(40)]
+    fair = sum(sizes) / 40
+    assert all(abs(s - fair) <= fair / sharding.WHOLE + 80 for s in sizes) and len({r.shard for r in got if r.doc_id and r.doc_id >= 500}) == 1
 
 
 def test_pipeline_by_brute_force(spark, docs):
