@@ -39,58 +39,104 @@ APPROVALS = {
 FAKE_APPROVALS = [r"^12345$", r"^[A-Z]{3}-\d{3}$", r"(?i)^approval[\s_-]?\d+$", r"(?i)^no\.?\s*\d{1,3}$", r"(?i)^[a-z]+$"]
 
 
+def strip(c: Column) -> Column:
+    """Without white space at both ends; null as empty."""
+    return F.regexp_replace(F.coalesce(c, F.lit("")), r"^\s+|\s+$", "")
+
+
+def _named(*cases: tuple[str, Column]) -> Column:
+    """Names of the cases that hold, in order."""
+    return F.array_compact(F.array(*[F.when(F.coalesce(when, F.lit(False)), F.lit(name)) for name, when in cases]))
+
+
 def reagents(items: DataFrame) -> DataFrame:
-    """(idx, name, catalog_number, vendor): the first vendor key within the vendor's name decides the pattern; else a general one."""
-    vendor, number = F.lower(F.coalesce("vendor", F.lit(""))), F.trim(F.coalesce("catalog_number", F.lit("")))
-    key, valid = F.lit(None).cast("string"), number.rlike(ANY_CATALOGUE)
-    suspicious = F.greatest(*[vendor.contains(name) for name in SUSPICIOUS_VENDORS])
+    """(name, vendor, catalog_number[, model]): the first vendor key within the vendor's name decides the number's pattern,
+    a general one any other vendor's; a number without a vendor isn't judged. Vague vendors and antibodies without a number."""
+    given, vendor = F.coalesce("vendor", F.lit("")), F.lower(strip(F.col("vendor")))
+    number = F.coalesce(F.nullif("catalog_number", F.lit("")), *(["model"] if "model" in items.columns else []), F.lit(""))
+    key, fits = F.lit(None).cast("string"), F.lit(True)
     for name, pattern in reversed(VENDORS):
-        key, valid = F.when(vendor.contains(name), name).otherwise(key), F.when(vendor.contains(name), number.rlike(f"(?i){pattern}")).otherwise(valid)
-    missing = number == ""
-    antibody = F.lower("name").rlike(r"antibod|anti-|\bigg\b")
-    return items.withColumns({"vendor_key": key, "format_valid": F.when(~missing, valid), "suspicious_vendor": suspicious, "antibody_without_catalog": antibody & missing}).withColumn("flagged", F.coalesce(~F.col("format_valid"), F.lit(False)) | F.col("suspicious_vendor") | F.col("antibody_without_catalog"))
+        here = vendor.contains(name)
+        key, fits = F.when(here, F.lit(name)).otherwise(key), F.when(here, strip(number).rlike(f"(?i){pattern}")).otherwise(fits)
+    vague = F.greatest(*[vendor.contains(name) for name in SUSPICIOUS_VENDORS])
+    out = items.withColumns({"vendor_key": F.when(number != "", key)})
+    issues = _named(
+        ("format_mismatch", (number != "") & key.isNotNull() & ~fits), ("unrecognized_format", (number != "") & key.isNull() & (given != "") & ~strip(number).rlike(ANY_CATALOGUE)),
+        ("vague_vendor", vague), ("missing_catalog", (number == "") & F.lower(F.coalesce("name", F.lit(""))).contains("antibod")),
+    )
+    return out.withColumn("issues", issues).withColumn("flagged", F.size("issues") > 0)
 
 
 def ethics(rows: DataFrame) -> DataFrame:
-    """(approval_number, country, study_type): missing, placeholder, short, or unlike the country's numbers."""
-    number, country = F.trim(F.coalesce("approval_number", F.lit(""))), F.lower(F.coalesce("country", F.lit("unknown")))
-    fake, fits, known = F.lit(False), F.lit(False), F.lit(False)
+    """(approval_number, country, study_type): a missing number; else a made-up one, a short one, one unlike its country's
+    (of the countries with patterns), and one unlike any country's if the country is unknown and nothing else was found."""
+    number, country = strip(F.col("approval_number")), F.lower(strip(F.coalesce("country", F.lit("unknown"))))
+    fake, unlike, like_any = F.lit(False), F.lit(False), F.lit(False)
     for pattern in FAKE_APPROVALS:
         fake = fake | number.rlike(pattern)
-    anywhere = F.lit(False)
     for name, patterns in APPROVALS.items():
         own = number.rlike("(?i)" + "|".join(f"(?:{p})" for p in patterns))
-        fits, known, anywhere = F.when(country == name, own).otherwise(fits), known | (country == name), anywhere | own
-    finding = F.when(number == "", "missing").when(fake, "placeholder").when(F.length(number) < 5, "too_short").when(known & ~fits, "country_format").when(~known & ~anywhere, "unknown_format")
-    return rows.withColumn("finding", finding).withColumn("flagged", F.col("finding").isNotNull())
+        unlike, like_any = unlike | ((country == name) & ~own), like_any | own
+    short, there = F.length(number) < 5, number != ""
+    findings = _named(
+        ("missing", ~there), ("likely_fabricated", there & fake), ("too_short", there & short), ("format_mismatch_country", there & unlike),
+        ("format_unknown", there & (country == "unknown") & ~like_any & ~fake & ~short),
+    )
+    return rows.withColumn("findings", findings).withColumn("flagged", F.size("findings") > 0)
+
+
+def _numbers(text: Column, pattern: str) -> Column:
+    """The first group of all matches, as whole numbers."""
+    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), 1), lambda x: x.cast("long"))
 
 
-def days(text: Column) -> Column:
-    """Sum of the durations named in a text: weeks of 7, months of 30."""
-    total = F.lit(0)
-    for unit, size in (("week", 7), ("month", 30), ("day", 1)):
-        found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(rf"(\d{{1,4}})\s*-?\s*{unit}s?"), 1)
-        total = total + size * F.aggregate(found, F.lit(0), lambda a, x: a + x.cast("int"))
-    return total
+def _total(numbers: Column) -> Column:
+    return F.aggregate(numbers, F.lit(0).cast("long"), lambda total, x: total + x)
+
+
+def _date(text: Column) -> Column:
+    """Of its first ten characters, as year, month and day; null if they aren't a date."""
+    head = F.substring(strip(text), 1, 10)
+    return F.when(head.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), F.try_to_date(head, "yyyy-M-d"))
 
 
 def timelines(rows: DataFrame) -> DataFrame:
-    """Claimed duration against age and treatment; over a year with a date given is long; dates that don't parse are findings."""
-    date = F.try_to_date("submission_date", "yyyy-MM-dd") if hasattr(F, "try_to_date") else F.to_date("submission_date", "yyyy-MM-dd")
-    out = rows.withColumns({"claimed_days": days(F.col("claimed_duration")), "needed_days": days(F.col("animal_age_at_start")) + days(F.col("treatment_duration")), "_date": date})
-    return out.withColumns({
-        "long_timeline": (F.col("needed_days") > 52 * 7) & F.col("submission_date").isNotNull(), "bad_submission_date": F.col("submission_date").isNotNull() & F.col("_date").isNull(),
-        "both_eyes": F.lower(F.concat_ws(" ", "claimed_duration", "treatment_duration")).rlike(r"both eyes|bilateral"),
-    }).drop("_date").withColumn("flagged", F.col("long_timeline") | F.col("bad_submission_date") | F.col("both_eyes"))
+    """(claimed_duration, submission_date, publication_date, animal_age_at_start, treatment_duration): days that the claimed
+    duration and the treatment add up to (weeks of 7, months of 30), and findings: a submission date that is none, more than
+    52 weeks of age and treatment where a date is known, treatment of both eyes."""
+    claimed, age, treated = (F.coalesce(c, F.lit("")) for c in ("claimed_duration", "animal_age_at_start", "treatment_duration"))
+    days = F.lit(0).cast("long")
+    for unit, size in (("day", 1), ("week", 7), ("month", 30)):
+        for text in (claimed, treated):
+            days = days + size * _total(_numbers(text, rf"(?i)(\d+)\s*{unit}s?"))
+    first = lambda text, unit: F.coalesce(F.nullif(F.regexp_extract(text, rf"(?i)(\d+)[-\s]*{unit}s?", 1), F.lit("")).cast("long"), F.lit(0))
+    begin, weeks = first(age, "week"), first(treated, "week") + 4 * first(treated, "month")
+    known = F.coalesce(_date(F.col("submission_date")), _date(F.col("publication_date"))).isNotNull()
+    findings = _named(
+        ("date_parse_error", (F.coalesce("submission_date", F.lit("")) != "") & _date(F.col("submission_date")).isNull()),
+        ("long_timeline", known & (begin > 0) & (weeks > 0) & (begin + weeks > 52)), ("both_eyes_concern", claimed.rlike(r"(?i)both\s*eyes")),
+    )
+    return rows.withColumns({"estimated_days": F.nullif(days, F.lit(0)), "findings": findings}).withColumn("flagged", F.size("findings") > 0)
+
+
+#: Sample sizes in a Methods section, alone and by group (fixed patterns).
+SIZES = (r"(?i)(?:n\s*[=＝]\s*|sample\s*size\s*(?:of|:)?\s*)(\d+)", r"(?i)(\d+)\s*(?:mice|rats|animals|samples|specimens|cells|wells?|replicates?)\s*(?:per|each|/)\s*(?:group|condition|treatment)")
+#: Tests as Methods and as Results name them (fixed patterns).
+TESTS = {
+    "anova": (r"(?i)\bANOVA\b|analysis\s*of\s*variance", r"(?i)\bANOVA\b|F\s*\(\d+"),
+    "ttest": (r"(?i)\bt[- ]test\b|Student'?s?\s*t", r"(?i)\bt[- ]test\b|Student'?s?\s*t|t\s*[=＝]|t\s*\(\d+\)"),
+    "nonparametric": (r"(?i)\bMann.Whitney\b|\bWilcoxon\b|\bKruskal.Wallis\b", ""),
+}
 
 
 def methods_agreement(rows: DataFrame) -> DataFrame:
-    """(methods_text, results_text): different sample sizes, ANOVA announced but only t tests reported, females where males only were used."""
-    methods, results = F.lower(F.coalesce("methods_text", F.lit(""))), F.lower(F.coalesce("results_text", F.lit("")))
-    sizes = lambda t: F.regexp_extract_all(t, F.lit(r"\bn\s*=\s*(\d{1,4})\b"), 1)
-    out = rows.withColumns({
-        "sample_sizes": F.array_sort(F.transform(F.array_union(sizes(methods), sizes(results)), lambda x: x.cast("int"))),
-        "test_mismatch": methods.rlike("anova") & results.rlike(r"t-?\s?test") & ~results.rlike("anova"),
-        "sex_mismatch": methods.rlike(r"\bmale\b") & ~methods.rlike(r"\bfemale") & results.rlike(r"\bfemale"),
-    })
-    return out.withColumn("sample_size_mismatch", F.size("sample_sizes") > 1).withColumn("flagged", F.col("sample_size_mismatch") | F.col("test_mismatch") | F.col("sex_mismatch"))
+    """(methods_text, results_text): different sample sizes within Methods; ANOVA there but only t tests in Results; only males
+    there but females in Results. Five checks are made, of which these can find something."""
+    methods, results = F.coalesce("methods_text", F.lit("")), F.coalesce("results_text", F.lit(""))
+    sizes = F.array_sort(F.array_distinct(F.concat(*[_numbers(methods, p) for p in SIZES])))
+    out = rows.withColumns({"n_values": sizes, "checks_performed": F.lit(5), **{name: methods.rlike(own) for name, (own, _) in TESTS.items()}})
+    findings = _named(
+        ("n_value_inconsistency", F.size("n_values") > 1), ("stat_method_contradiction", F.col("anova") & ~results.rlike(TESTS["anova"][1]) & results.rlike(TESTS["ttest"][1])),
+        ("gender_contradiction", methods.rlike(r"(?i)\bmale\b") & ~methods.rlike(r"(?i)\bfemale\b") & results.rlike(r"(?i)\bfemale\b")),
+    )
+    return out.withColumn("findings", findings).withColumn("flagged", F.size("findings") > 0)

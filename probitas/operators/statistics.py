@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.stats import chi2_sf_8, chi2_sf_9, test_p_value
@@ -63,20 +65,28 @@ def variation(rows: DataFrame) -> DataFrame:
     return out.withColumn("level", F.when(F.col("cv") < 0.01, "critical").when(F.col("cv") < 0.03, "warning")).where("level is not null")
 
 
-#: Share of a last digit above which it is flagged, by digit; and of 0 and 5 together. `strict` is the pipeline variant.
-DIGIT_LIMITS = {"default": {5: 0.15, 0: 0.20, None: 0.20, "both": 0.35}, "strict": {5: 0.12, 0: 0.12, None: 0.15, "both": 0.25}}
+#: By variant: shares over which digit 5, digit 0, and 0 and 5 together are (strongly, slightly) too frequent, and any other digit.
+DIGIT_LIMITS = {"default": {"5": (0.20, 0.15), "0": (0.20, 0.20), "0+5": (0.35, 0.35), "other": 0.20}, "strict": {"5": (0.18, 0.12), "0": (0.18, 0.12), "0+5": (0.35, 0.25), "other": 0.15}}
+
+
+@F.pandas_udf(T.IntegerType())
+def last_shown_digit(value: pd.Series) -> pd.Series:
+    """The last digit of the number as ten significant digits show it, that of the exponent of very large or small ones."""
+    return pd.Series([int(f"{abs(v):.10g}"[-1]) for v in value], dtype="Int32")
 
 
 def digit_preference(values: DataFrame, group: str = "group_id", value: str = "value", variant: str = "default") -> DataFrame:
-    """Last digits of the shortest text of each value (at least ten values) that are too frequent."""
-    limits = DIGIT_LIMITS[variant]
-    text = F.regexp_replace(F.format_string("%.10f", F.col(value)), r"\.?0+$", "")
-    text = F.when(F.abs(value) < 1e-10, "0").otherwise(F.when(text.contains("."), text).otherwise(F.format_string("%.0f", F.col(value))))
-    rows = values.where(F.col(value).isNotNull()).select(F.col(group).alias("group_id"), F.right(text, F.lit(1)).cast("int").alias("digit"))
+    """Groups of ten values or more whose last digits are too frequent; shares have three decimals. `strict` is the pipeline's
+    variant; it doesn't count 0 and 5 among the overrepresented digits."""
+    limits, v = DIGIT_LIMITS[variant], F.col(value).cast("double")
+    rows = values.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))).select(F.col(group).alias("group_id"), last_shown_digit(v).alias("digit"))
     counts = rows.groupBy("group_id").agg(F.count("*").alias("n"), *[F.count_if(F.col("digit") == d).alias(f"d{d}") for d in range(10)]).where("n >= 10")
-    kinds = [F.struct(F.lit(str(d)).alias("digit"), (F.col(f"d{d}") / F.col("n")).alias("share"), F.lit(limits.get(d, limits[None])).alias("most")) for d in range(10)]
-    kinds.append(F.struct(F.lit("0+5").alias("digit"), ((F.col("d0") + F.col("d5")) / F.col("n")).alias("share"), F.lit(limits["both"]).alias("most")))
-    return counts.select("group_id", "n", F.inline(F.array(*kinds))).where("share > most").select("group_id", "n", "digit", F.round("share", 3).alias("share"))
+    share = {d: F.round(F.col(f"d{d}") / F.col("n"), 3) for d in range(10)}
+    out = counts.select("group_id", "n", share[0].alias("share_0"), share[5].alias("share_5"), F.round(share[0] + share[5], 3).alias("share_0_5"), F.concat_ws(",", *[F.when(share[d] > limits["other"], str(d)) for d in range(10) if variant == "default" or d not in (0, 5)]).alias("overrepresented"))
+    for name, column in (("5", "share_5"), ("0", "share_0"), ("0+5", "share_0_5")):
+        strong, slight = limits[name]
+        out = out.withColumn("level" + column[5:], F.when(F.col(column) > strong, "strong").when(F.col(column) > slight, "slight"))
+    return out.where("level_5 is not null or level_0 is not null or level_0_5 is not null or overrepresented <> ''")
 
 
 #: Largest variation of differences, by level.
@@ -124,34 +134,114 @@ def test_consistency(rows: DataFrame) -> DataFrame:
     }).withColumn("flagged", F.col("p_mismatch") | F.col("impossible") | F.col("df_mismatch"))
 
 
-def cross_figure(series: DataFrame, tolerance: float = 0.001, min_subset: int = 2) -> DataFrame:
-    """Pairs of (label, pos, group_label, value) series: equal, near, contained in order, in constant ratio, or equal by group.
+def figure_series(series: DataFrame) -> DataFrame:
+    """(label, n, vs, gs): values and group labels of each series in order, from (label, pos, group_label, value)."""
+    rows = series.where("value is not null").groupBy("label").agg(F.array_sort(F.collect_list(F.struct("pos", F.col("value").cast("double").alias("v"), F.col("group_label").alias("g")))).alias("x"))
+    return rows.select("label", F.size("x").alias("n"), F.expr("transform(x, y -> y.v + 0D)").alias("vs"), F.expr("transform(x, y -> y.g)").alias("gs"))
+
+
+def _grid(v: Column, step: float | Column) -> Column:
+    """Cell of a value: its sign and the logarithm of its size, a cell every `step`; zero by itself."""
+    return F.when(F.abs(v) < 1e-300, F.lit(0).cast("long")).otherwise(F.signum(v).cast("long") * (F.floor(F.log(F.abs(v)) / step) + 10**12))
+
+
+def _around(cell: Column) -> Column:
+    return F.explode(F.when(cell == 0, F.array(cell)).otherwise(F.array(cell - 1, cell, cell + 1)))
+
+
+def _two(rows: DataFrame, side: str) -> DataFrame:
+    return rows.select(*[F.col(c).alias(c + side) for c in ("label", "n", "vs", "gs")])
+
+
+def _whole_matches(rows: DataFrame, tolerance: float, floor: float) -> DataFrame:
+    """Pairs a < b of one length that are equal, or at every place within the tolerance of the larger value (of 1 where both are under `floor`)."""
+    step = 2 * tolerance + 1e-6
+    keyed = rows.where("n > 0").select("label", "n", _grid(F.expr("vs[0]"), step).alias("f"), _grid(F.expr("vs[n - 1]"), step).alias("l"), _grid(F.expr("vs[div(n, 2)]"), step).alias("m"))
+    if floor:  # values under the floor are all alike
+        keyed = rows.where("n > 0").select("label", "n", *[_grid(F.when(F.abs(F.expr(at)) < floor, 0.0).otherwise(F.expr(at)), step).alias(k) for k, at in (("f", "vs[0]"), ("l", "vs[n - 1]"), ("m", "vs[div(n, 2)]"))])
+    left = keyed.select(F.col("label").alias("la"), "n", "f", "l", "m")
+    right = keyed.select(F.col("label").alias("lb"), "n", _around(F.col("f")).alias("f"), "l", "m").withColumn("l", _around(F.col("l"))).withColumn("m", _around(F.col("m")))
+    pairs = left.join(right, ["n", "f", "l", "m"]).where("la < lb").select("la", "lb").distinct()
+    both = pairs.join(_two(rows, "_a").withColumnRenamed("label_a", "la"), "la").join(_two(rows, "_b").withColumnRenamed("label_b", "lb"), "lb")
+    scale = "greatest(abs(x), abs(y))" if not floor else f"if(greatest(abs(x), abs(y)) < {floor}, 1D, greatest(abs(x), abs(y)))"
+    both = both.withColumn("rel", F.expr(f"array_max(zip_with(vs_a, vs_b, (x, y) -> coalesce(try_divide(abs(x - y), {scale}), 0D)))"))
+    equal = F.col("vs_a") == F.col("vs_b")
+    return both.where(equal | ((F.col("rel") <= tolerance) & F.lit(tolerance > 0))).select("la", "lb", F.col("n_a").alias("n"), F.when(equal, "exact_match").otherwise("near_match").alias("match_type"), F.when(~equal, F.round("rel", 6)).alias("detail"))
+
+
+def _subset_matches(rows: DataFrame, tolerance: float) -> DataFrame:
+    """Pairs where the shorter series (the second of two of one length) stands in the longer, within the tolerance of its own
+    values: the first place. They meet on the shorter's first two values."""
+    step = 2 * tolerance + 1e-6
+    short = rows.where("n >= 2").select(F.col("label").alias("s"), F.col("n").alias("ns"), _grid(F.expr("vs[0]"), step).alias("f"), _grid(F.expr("vs[1]"), step).alias("g"))
+    short = short.select("s", "ns", _around(F.col("f")).alias("f"), "g").withColumn("g", _around(F.col("g")))
+    pieces = F.expr("transform(sequence(0, n - 2), i -> struct(i as at, vs[i] as x, vs[i + 1] as y))")
+    long = rows.where("n >= 2").select(F.col("label").alias("l"), F.col("n").alias("nl"), F.inline(pieces)).select("l", "nl", "at", _grid(F.col("x"), step).alias("f"), _grid(F.col("y"), step).alias("g"))
+    pairs = short.join(long, ["f", "g"]).where("s <> l and at + ns <= nl and (ns < nl or l < s)").select("s", "l", "at").distinct()
+    both = pairs.join(_two(rows, "_s").withColumnRenamed("label_s", "s"), "s").join(_two(rows, "_l").withColumnRenamed("label_l", "l"), "l")
+    both = both.where(F.expr(f"forall(zip_with(slice(vs_l, at + 1, n_s), vs_s, (x, y) -> abs(x - y) <= {tolerance}D * abs(y)), z -> z)"))
+    found = both.groupBy("s", "l").agg(F.min("at").alias("at"), F.first("n_s").alias("n"))
+    return found.select(F.least("s", "l").alias("la"), F.greatest("s", "l").alias("lb"), "n", F.lit("subset_match").alias("match_type"), F.col("at").cast("double").alias("detail"))
+
+
+def _ratio_matches(rows: DataFrame) -> DataFrame:
+    """Pairs a < b of one length whose ratios a / b (where b isn't zero) vary by under 1 % of their mean, which isn't 1.
+
+    No ratio of n is further from the mean than sqrt(n) times their deviation, so the quotients of two places of a and of b
+    differ by a bounded factor: pairs meet on its logarithm at b's first two places that aren't zero. From 2,500 values
+    on that bounds nothing, and series of one length meet.
+    """
+    rows = rows.where("n >= 2").withColumn("p", F.expr("filter(sequence(0, n - 1), i -> abs(vs[i]) > 1e-10)")).withColumns({"p1": F.expr("get(p, 0)"), "p2": F.expr("get(p, 1)")})
+    step = F.when(F.col("n") < 2500, -2 * F.log(1 - 0.01 * F.sqrt(F.col("n"))) + 2 * F.log(1 + 0.01 * F.sqrt(F.col("n"))) + 1e-6).otherwise(1.0)
+    key = F.when(F.col("n") < 2500, _grid(F.expr("try_divide(vs[p1], vs[p2])"), step)).otherwise(F.lit(0).cast("long"))
+    b = rows.where("p2 is not null").select(F.col("label").alias("lb"), "n", "p1", "p2", key.alias("k"))
+    places = b.select("n", "p1", "p2").distinct()
+    a = rows.drop("p", "p1", "p2").join(places, "n").where("abs(vs[p1]) > 0 and abs(vs[p2]) > 0").select(F.col("label").alias("la"), "n", "p1", "p2", key.alias("k")).withColumn("k", _around(F.col("k")))
+    pairs = a.join(b, ["n", "p1", "p2", "k"]).where("la < lb").select("la", "lb").distinct()
+    both = pairs.join(_two(rows, "_a").withColumnRenamed("label_a", "la"), "la").join(_two(rows, "_b").withColumnRenamed("label_b", "lb"), "lb")
+    both = both.withColumn("r", F.expr("filter(zip_with(vs_a, vs_b, (x, y) -> if(abs(y) > 1e-10, x / y, null)), z -> z is not null)")).where("size(r) >= 2")
+    both = both.withColumn("m", F.expr("aggregate(r, 0D, (t, z) -> t + z) / size(r)")).withColumn("sd", F.expr("sqrt(aggregate(r, 0D, (t, z) -> t + (z - m) * (z - m)) / size(r))"))
+    found = both.where("sd < 0.01 * abs(m) and abs(m - 1) > 0.01")
+    return found.select("la", "lb", F.col("n_a").alias("n"), F.lit("ratio_match").alias("match_type"), F.round("m", 4).alias("detail"))
+
+
+def _first_of_groups(rows: DataFrame) -> DataFrame:
+    """(label, n, g, v): the first value of each group label of a series."""
+    first = F.expr("filter(transform(gs, (g, i) -> struct(g as g, vs[i] as v, array_position(gs, g) = i + 1 as f)), x -> x.g is not null and x.f)")
+    return rows.select("label", "n", F.inline(first)).drop("f")
+
+
+def cross_figure(series: DataFrame, tolerance: float = 0.001) -> DataFrame:
+    """Pairs la < lb of (label, pos, group_label, value) series: equal; near; one within the other; in constant ratio; of the
+    same groups with equal values by group. Equal pairs have no other match. detail is the largest relative difference, the
+    first place, or the ratio.
+
+    Pairs meet on grids of the rule's own tolerance with neighbours and are then verified, so all are found.
+    """
+    rows = figure_series(series)
+    whole = _whole_matches(rows, tolerance, 0.0)
+    exact = whole.where("match_type = 'exact_match'").select("la", "lb")
+    groups = _first_of_groups(rows).groupBy("label", "n").agg(F.array_sort(F.collect_list(F.struct("g", "v"))).alias("x")).where("size(x) = n and n >= 2").withColumn("h", F.xxhash64("x"))
+    by = groups.select(F.col("label").alias("la"), "n", "x", "h").join(groups.select(F.col("label").alias("lb"), F.col("x").alias("y"), "h"), "h").where("la < lb and x = y")
+    by = by.select("la", "lb", "n", F.lit("shared_group_exact_match").alias("match_type"), F.lit(None).cast("double").alias("detail"))
+    others = _subset_matches(rows, tolerance).unionByName(_ratio_matches(rows)).unionByName(by).join(exact, ["la", "lb"], "left_anti")
+    return whole.unionByName(others)
+
+
+def cross_figure_pipeline(series: DataFrame) -> DataFrame:
+    """The pipeline's variant, for series of two values or more: near is within 1 % (values under 1e-10 count as 1 for scale),
+    nothing is looked for inside others, and two or more common groups with equal values suffice.
 
-    Pairs meet on equal values: exact and near matches on place and a coarse value, subsets on value with one offset,
-    groups on group label and value. Ratios meet on the ratio of the first two values. Ties give the first offset.
+    Pairs that share two (group, value) meet on one that isn't the commonest of either, in one order for all series.
     """
-    w = Window.partitionBy("label")
-    rows = series.where("value is not null").withColumns({"pos": F.row_number().over(w.orderBy("pos")), "n": F.count("*").over(w)})
-    a = rows.select(F.col("label").alias("la"), F.col("pos").alias("pa"), F.col("value").alias("va"), F.col("n").alias("na"), F.col("group_label").alias("ga"))
-    b = rows.select(F.col("label").alias("lb"), F.col("pos").alias("pb"), F.col("value").alias("vb"), F.col("n").alias("nb"), F.col("group_label").alias("gb"))
-    # near: |a - b| <= tol * max(|a|, |b|) at every place; first values meet on a logarithmic grid and its neighbours
-    grid = lambda v: F.when(F.abs(v) <= 1e-300, F.lit(-(10**6))).otherwise(F.floor(F.log(F.abs(v)) / (2 * tolerance)))
-    one = a.where("pa = 1").withColumn("k", F.explode(F.array(*[grid(F.col("va")) + d for d in (-1, 0, 1)])))
-    first = one.join(b.where("pb = 1").withColumn("k", grid(F.col("vb"))), "k").where("la < lb and na = nb").select("la", "lb").distinct()
-    pairs = first.join(a, "la").join(b.withColumnRenamed("pb", "pa"), ["lb", "pa"])
-    rel = F.coalesce(F.try_divide(F.abs(F.col("va") - F.col("vb")), F.greatest(F.abs("va"), F.abs("vb"))), F.lit(0.0))
-    whole = pairs.groupBy("la", "lb").agg(F.max("na").alias("n"), F.max(F.abs(F.col("va") - F.col("vb"))).alias("gap"), F.max(rel).alias("rel"))
-    whole = whole.where((F.col("gap") == 0) | (F.col("rel") <= tolerance)).select("la", "lb", "n", F.when(F.col("gap") == 0, "exact_match").otherwise("near_match").alias("match_type"))
-    short = a.where(F.col("na") >= min_subset).withColumnRenamed("la", "s")
-    inside = short.join(b.withColumnRenamed("lb", "l"), F.col("va") == F.col("vb")).where("s != l and na < nb")
-    inside = inside.groupBy("s", "l", "na", (F.col("pb") - F.col("pa")).alias("offset")).agg(F.count("*").alias("same")).where("same = na").groupBy("s", "l", "na").agg(F.min("offset").alias("offset"))
-    inside = inside.select(F.least("s", "l").alias("la"), F.greatest("s", "l").alias("lb"), F.col("na").alias("n"), F.lit("subset_match").alias("match_type"))
-    steps = rows.where("pos <= 2").groupBy("label", "n").agg(F.min_by("value", "pos").alias("v1"), F.max_by("value", "pos").alias("v2")).where("v1 != 0 and n >= 2").withColumn("k", F.round(F.col("v2") / F.col("v1"), 1))
-    r1, r2 = steps.select(F.col("label").alias("la"), "n", F.explode(F.array(*[F.round(F.col("k") + d, 1) for d in (-0.1, 0.0, 0.1)])).alias("k")), steps.select(F.col("label").alias("lb"), F.col("n").alias("n2"), F.col("k").alias("k2"))
-    cand = r1.join(r2, (F.col("k") == F.col("k2")) & (F.col("n") == F.col("n2"))).where("la < lb").select("la", "lb").distinct()
-    ratio = cand.join(a, "la").join(b.withColumnRenamed("pb", "pa"), ["lb", "pa"]).withColumn("r", F.try_divide("va", "vb"))
-    ratio = ratio.groupBy("la", "lb").agg(F.max("na").alias("n"), F.count("r").alias("k"), F.stddev_pop("r").alias("sd"), F.avg("r").alias("m")).where("k = n and sd < 0.01 * abs(m) and abs(m - 1) > 0.01")
-    ratio = ratio.select("la", "lb", "n", F.lit("ratio_match").alias("match_type")).join(whole.where("match_type = 'exact_match'").select("la", "lb"), ["la", "lb"], "left_anti")
-    by = a.where("ga is not null").join(b, (F.col("ga") == F.col("gb")) & (F.col("va") == F.col("vb"))).where("la < lb").groupBy("la", "lb").agg(F.countDistinct("ga").alias("n"))
-    by = by.where("n >= 2").select("la", "lb", "n", F.lit("shared_group_match").alias("match_type"))
-    return whole.unionByName(inside).unionByName(ratio).unionByName(by)
+    rows = figure_series(series).where("n >= 2")
+    whole = _whole_matches(rows, 0.01, 1e-10)
+    exact = whole.where("match_type = 'exact_match'").select("la", "lb")
+    tokens = _first_of_groups(rows).select("label", "g", F.xxhash64("g", "v").alias("t"))
+    common = tokens.groupBy("t").agg(F.count("*").alias("df"))
+    sets = tokens.join(common, "t").groupBy("label").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("o"), F.collect_set("g").alias("g")).select("label", "g", F.col("o.t").alias("ts")).where("size(ts) >= 2")
+    seeds = sets.select("label", F.explode(F.expr("slice(ts, 1, size(ts) - 1)")).alias("t"))
+    pairs = seeds.withColumnRenamed("label", "la").join(seeds.withColumnRenamed("label", "lb"), "t").where("la < lb").select("la", "lb").distinct()
+    both = pairs.join(sets.toDF("la", "ga", "ta"), "la").join(sets.toDF("lb", "gb", "tb"), "lb").withColumn("n", F.size(F.array_intersect("ga", "gb")))
+    by = both.where((F.col("n") >= 2) & (F.size(F.array_intersect("ta", "tb")) == F.col("n"))).select("la", "lb", "n", F.lit("shared_group_exact_match").alias("match_type"), F.lit(None).cast("double").alias("detail"))
+    return whole.unionByName(_ratio_matches(rows).unionByName(by).join(exact, ["la", "lb"], "left_anti"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import math
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -37,15 +38,19 @@ def lexical_reuse(pairs: DataFrame, min_match: int = 50, top: int = 20) -> DataF
     return out.select("pair_id", F.round(ratio, 6).alias("ratio"), F.size("m.blocks").alias("block_count"), F.slice("m.blocks", 1, top).alias("blocks"), level.alias("level"), ((ratio > 0.6) | (F.size("m.blocks") > 0)).alias("flagged"))
 
 
-def reuse_candidates(left: DataFrame, right: DataFrame, run: int = 8) -> DataFrame:
-    """Pairs (a, b) of (id, text) rows that share a run of words: an equi-join on its digest."""
+def reuse_candidates(left: DataFrame, right: DataFrame, run: int = 50) -> DataFrame:
+    """Pairs (a, b) of (id, text) rows whose lower-cased texts share a block of `run` characters, and few others.
 
-    def grams(df: DataFrame, name: str) -> DataFrame:
-        rows = df.select(F.col("id").alias(name), words(F.col("text")).alias("w"))
-        runs = F.expr(f"if(size(w) < {run}, array(xxhash64(array_join(w, ' '))), transform(sequence(1, size(w) - {run} + 1), i -> xxhash64(array_join(slice(w, i, {run}), ' '))))")
-        return rows.where("size(w) > 0").select(name, F.explode(F.array_distinct(runs)).alias("h"))
+    Such a block holds one of the pieces of run // 2 characters that the left texts are cut into, end to end, so the pieces
+    meet with those that begin at any character of the right texts. Put the fewer, shorter texts on the right.
+    """
+    size = run // 2
 
-    return grams(left, "a").join(grams(right, "b"), "h").select("a", "b").distinct()
+    def pieces(df: DataFrame, name: str, step: int) -> DataFrame:
+        rows = df.select(F.col("id").alias(name), F.lower(F.coalesce("text", F.lit(""))).alias("t")).where(F.length("t") >= size)
+        return rows.select(name, F.explode(F.array_distinct(F.expr(f"transform(sequence(0, length(t) - {size}, {step}), i -> xxhash64(substr(t, i + 1, {size})))"))).alias("h"))
+
+    return pieces(left, "a", size).join(pieces(right, "b", 1), "h").select("a", "b").distinct()
 
 
 def semantic_similarity(rows: DataFrame, threshold: float = 0.8, top: int = 15) -> DataFrame:
@@ -68,35 +73,87 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.trim(text)), r"\s+"), lambda w: w != "")
 
 
+#: White space as str.split has it; marks of specific references by kind (fixed patterns).
+SPACE = r"[\s\x1c-\x1f\x85\p{Z}]+"
+REFERENCES = {
+    "figure_refs": r"(?i)(?:Figure|Fig\.?)\s*\d+", "table_refs": r"(?i)Table\s*\d+", "section_refs": r"(?i)(?:Section|page|paragraph|line)\s*\d+", "equation_refs": r"(?i)(?:Equation|Eq\.?)\s*\d+",
+}
+
+
 def review_texts(reviews: DataFrame) -> DataFrame:
-    """(paper_id, review_index, text): short, unspecific or generic reviews, and their five-word phrases shared with another of the paper."""
-    ws = words(F.coalesce("text", F.lit("")))
-    refs = F.regexp_count(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"\b(figure|fig\.|table|section|equation|eq\.)\s*\d+"))
-    generic = sum((F.lower("text").contains(p).cast("int") for p in GENERIC), F.lit(0))
-    rows = reviews.withColumns({"word_count": F.size(ws), "specific_references": refs, "generic_phrases": F.coalesce(generic, F.lit(0))}).withColumn("w", ws)
-    grams = rows.where("word_count >= 5").select("paper_id", "review_index", F.explode(F.array_distinct(F.expr("transform(sequence(0, word_count - 5), i -> array_join(slice(w, i + 1, 5), ' '))"))).alias("gram"))
-    shared = grams.join(grams.groupBy("paper_id", "gram").agg(F.count("*").alias("df")).where("df >= 2"), ["paper_id", "gram"]).groupBy("paper_id", "review_index").agg(F.count("*").alias("shared_phrases"))
-    out = rows.drop("w").join(shared, ["paper_id", "review_index"], "left").na.fill(0, ["shared_phrases"])
-    return out.withColumn("suspicious", (F.col("word_count") < 100) & (F.col("specific_references") < 2) | (F.col("generic_phrases") >= 3)).withColumn("flagged", F.col("suspicious") | (F.col("shared_phrases") > 5)).drop("text")
-
-
-def review_templates(reviews: DataFrame, ratio: float = 0.8) -> DataFrame:
-    """Per paper: pairs of sentences over 30 characters of different reviews that are alike; candidates share a three-word run."""
-    rows = reviews.select("paper_id", "review_index", F.posexplode(sentences(F.coalesce("text", F.lit("")), 30)).alias("k", "sentence"))
-    grams = rows.withColumn("w", words(F.col("sentence"))).select("paper_id", "review_index", "k", "sentence", F.explode(F.array_distinct(F.expr("if(size(w) < 3, array(array_join(w, ' ')), transform(sequence(0, size(w) - 3), i -> array_join(slice(w, i + 1, 3), ' ')))"))).alias("gram"))
-    a = grams.select("paper_id", "gram", F.struct("review_index", "k").alias("ka"), F.col("sentence").alias("sa"))
-    b = grams.select("paper_id", "gram", F.struct("review_index", "k").alias("kb"), F.col("sentence").alias("sb"))
-    pairs = a.join(b, ["paper_id", "gram"]).where("ka.review_index < kb.review_index").select("paper_id", "ka", "kb", "sa", "sb").distinct()
-    scored = pairs.withColumn("ratio", sequence_match(F.lower("sa"), F.lower("sb"), F.lit(10**6))["ratio"]).where(F.col("ratio") > ratio)
-    return scored.groupBy("paper_id").agg(F.count("*").alias("shared_sentences"), F.round(F.max("ratio"), 6).alias("max_ratio")).withColumn("flagged", F.col("shared_sentences") > 3)
-
-
-def reviewer_emails(rows: DataFrame) -> DataFrame:
-    """(name, email): institutional, free or unknown provider."""
+    """(paper_id, review_index, text): reviews under 100 words, with under two specific references, or with three stock phrases.
+
+    duplicated_phrases are the paper's five-word phrases that two or more of its reviews have, 20 at most; the paper is
+    flagged for more than five of them or any suspicious review.
+    """
+    text = F.coalesce("text", F.lit(""))
+    rows = reviews.select("paper_id", "review_index", F.filter(F.split(F.lower(text), SPACE), lambda w: w != "").alias("w"), *[F.regexp_count(text, F.lit(p)).alias(k) for k, p in REFERENCES.items()], sum((F.lower(text).contains(p).cast("int") for p in GENERIC), F.lit(0)).alias("generic_phrase_count"))
+    grams = rows.where(F.size("w") >= 5).select("paper_id", F.explode(F.array_distinct(F.expr("transform(sequence(0, size(w) - 5), i -> array_join(slice(w, i + 1, 5), ' '))"))).alias("gram"))
+    shared = grams.groupBy("paper_id", "gram").agg(F.count("*").alias("df")).where("df >= 2").groupBy("paper_id").agg(F.least(F.count("*"), F.lit(20)).cast("int").alias("duplicated_phrases"))
+    rows = rows.withColumns({"word_count": F.size("w"), "specific_references": sum((F.col(k) for k in REFERENCES), F.lit(0))}).drop("w")
+    rows = rows.withColumn("suspicious", (F.col("word_count") < 100) | (F.col("specific_references") < 2) | (F.col("generic_phrase_count") >= 3))
+    papers = rows.groupBy("paper_id").agg(F.bool_or("suspicious").alias("_any")).join(shared, "paper_id", "left").na.fill(0, ["duplicated_phrases"])
+    papers = papers.select("paper_id", "duplicated_phrases", (F.col("_any") | (F.col("duplicated_phrases") > 5)).alias("flagged"))
+    return rows.join(papers, "paper_id")
+
+
+#: Letters that are counted to bound a ratio; all other characters make one more class.
+LETTERS = "abcdefghijklmnopqrstuvwxyz "
+
+
+def _counted(text: Column) -> Column:
+    """How often each class of characters stands in a text."""
+    return F.array(*[F.length(text) - F.length(F.translate(text, c, "")) for c in LETTERS], F.length(F.translate(text, LETTERS, "")))
+
+
+def _alike(pairs: DataFrame, ratio: float) -> DataFrame:
+    """Pairs (sa, sb) whose sequence match is over `ratio`; only those whose characters in common allow it are matched."""
+    shared = F.aggregate(F.zip_with(_counted(F.col("sa")), _counted(F.col("sb")), lambda x, y: F.least(x, y)), F.lit(0), lambda total, x: total + x)
+    can = pairs.where(2.0 * shared > ratio * (F.length("sa") + F.length("sb")))
+    return can.withColumn("ratio", sequence_match(F.col("sa"), F.col("sb"), F.lit(10**6))["ratio"]).where(F.col("ratio") > ratio)
+
+
+def review_templates(reviews: DataFrame, ratio: float = 0.8, opening: float = 0.7) -> DataFrame:
+    """(paper_id, review_index, text): per paper of two or more reviews, the pairs of sentences (over 30 characters) of
+    different reviews that are alike, and how alike the reviews' openings are on average.
+
+    Equal sentences of a review are one row with a count. Texts can only be alike if their lengths are, so pairs meet
+    within a paper on the logarithm of the length and its neighbours, then by characters in common.
+    """
+    parts = F.transform(F.split(F.coalesce("text", F.lit("")), r"(?<=[.!?])\s+"), lambda s: F.lower(F.regexp_replace(s, r"^\s+|\s+$", "")))
+    rows = reviews.select("paper_id", "review_index", parts.alias("parts"))
+    told = rows.select("paper_id", "review_index", F.explode("parts").alias("s")).where(F.length("s") > 30).groupBy("paper_id", "review_index", "s").agg(F.count("*").alias("c"))
+    size = float(-math.log(ratio / (2 - ratio)))  # of lengths a ratio over `ratio` is possible up to this difference of logarithms
+    told = told.withColumn("g", F.floor(F.log(F.length("s")) / size))
+    a = told.select("paper_id", F.col("review_index").alias("ra"), F.col("s").alias("sa"), F.col("c").alias("ca"), F.explode(F.array(*[F.col("g") + d for d in (-1, 0, 1)])).alias("g"))
+    b = told.select("paper_id", F.col("review_index").alias("rb"), F.col("s").alias("sb"), F.col("c").alias("cb"), "g")
+    pairs = a.join(b, ["paper_id", "g"]).where("ra < rb").groupBy("paper_id", "sa", "sb").agg(F.sum(F.col("ca") * F.col("cb")).alias("times"))
+    shared = _alike(pairs, ratio).groupBy("paper_id").agg(F.sum("times").alias("shared_sentences"), F.round(F.max("ratio"), 3).alias("max_ratio"))
+    first = rows.select("paper_id", "review_index", F.substring(F.col("parts")[0], 1, 100).alias("s"))
+    both = first.select("paper_id", F.col("review_index").alias("ra"), F.col("s").alias("sa")).join(first.select("paper_id", F.col("review_index").alias("rb"), F.col("s").alias("sb")), "paper_id").where("ra < rb")
+    both = both.groupBy("paper_id", "sa", "sb").agg(F.count("*").alias("times"))
+    matched = both.withColumn("r", F.when(F.col("sa") == F.col("sb"), F.lit(1.0)).otherwise(F.round(sequence_match("sa", "sb", F.lit(10**6))["ratio"], 3)))
+    average = matched.groupBy("paper_id").agg((F.sum(F.col("r") * F.col("times")) / F.sum("times")).alias("a"))
+    papers = rows.groupBy("paper_id").agg(F.count("*").alias("reviews_compared")).where("reviews_compared >= 2")
+    out = papers.join(shared, "paper_id", "left").join(average, "paper_id", "left").na.fill(0, ["shared_sentences"])
+    return out.select("paper_id", "reviews_compared", "shared_sentences", "max_ratio", F.round("a", 3).alias("opening_similarity"), ((F.col("shared_sentences") > 3) | (F.col("a") > opening)).alias("flagged"))
+
+
+def reviewer_emails(rows: DataFrame, authors: DataFrame | None = None) -> DataFrame:
+    """(name, email): institutional, free or unknown provider; no class without an address. Free and unknown ones are suspicious.
+
+    With `authors` (name, paper_count) the publication record is judged too: none found, or one of no papers, is suspicious.
+    """
     email = F.lower(F.coalesce("email", F.lit("")))
     has = lambda marks: F.greatest(*[email.contains(m) for m in marks])
-    kind = F.when(email == "", "missing").when(has(INSTITUTIONAL), "institutional").when(has(FREE_MAIL), "free").otherwise("unknown")
-    return rows.withColumn("email_class", kind).withColumn("flagged", F.col("email_class").isin("free", "missing"))
+    kind = F.when(email == "", None).when(has(INSTITUTIONAL), "institutional").when(has(FREE_MAIL), "free_email").otherwise("unknown_domain")
+    out = rows.withColumn("email_class", kind)
+    flagged = F.coalesce(F.col("email_class").isin("free_email", "unknown_domain"), F.lit(False))
+    if authors is None:
+        return out.withColumn("flagged", flagged)
+    record = authors.groupBy(F.lower("name").alias("_n")).agg(F.max("paper_count").alias("paper_count"))
+    out = out.withColumn("_n", F.lower("name")).join(record, "_n", "left").drop("_n")
+    return out.withColumn("flagged", flagged | (F.coalesce("paper_count", F.lit(0)) == 0))
 
 
 def publication_rates(papers: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .plans import papers as _papers  # noqa: F401  registers its queries
 from .plans import queries as _plans
 
 flagship = _plans.flagship

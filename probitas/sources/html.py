@@ -6,7 +6,7 @@ import re
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SKIPPED = {"script", "style", "nav", "footer", "header", "aside"}
@@ -71,18 +71,48 @@ def page_tables(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "html").mapInPandas(run, "page_id long, table_number int, row int, cells array<string>")
 
 
-#: Kinds of supplementary links in order of preference, and their patterns.
-LINKS = [
-    ("figshare", r"https?://(?:\w+\.)?figshare\.com/[^\s)\]>\"']+"), ("doi", r"https?://(?:dx\.)?doi\.org/10\.[^\s)\]>\"']+"),
-    ("direct", r"https?://[^\s)\]>\"']+\.(?:xlsx?|csv|zip|txt|docx?|pdf)\b"), ("supplement", r"https?://[^\s)\]>\"']*suppl[^\s)\]>\"']*"),
-]
+#: Patterns of labels with a link after them, in order; of links by themselves; of labels; known hosts (fixed patterns).
+LABELLED = (
+    r"(?i)(S\d+\s*(?:File|Table|Figure|Dataset|Data|Text|Appendix)[^.]*?\.)\s*(https?://[^\s]+)", r"(?i)(Supporting\s+Information[^.]*?\.?)\s*(https?://[^\s]+)",
+    r"(?i)(Supplementary\s+(?:Material|Data|File|Figure|Table)[^.]*?)\s*(https?://[^\s]+)", r"(?i)(Data\s+Availability[^.]*?)\s*(https?://[^\s]+)",
+)
+FIGSHARE, DOI = r"https?://(?:www\.)?figshare\.com/\S+", r"(?:doi\.org/|DOI:?\s*)(10\.\d{4,}/[^\s.,;:]+)"
+LABEL = r"(?i)(S\d+\s*(?:File|Table|Figure|Dataset|Data|Text|Appendix))(?:[^.]*?)\.?\s*(?:\(([^)]+)\))?"
+HOSTS = ("figshare.com", "doi.org", "ncbi.nlm.nih.gov", "journals.plos.org", "biorxiv.org")
 
 
-def supplementary_links(papers: DataFrame) -> DataFrame:
-    """(doc_id, kind, url): links by the first kind that finds them, each URL once a document."""
-    def links(order: int, kind: str, pattern: str):
-        return F.transform(F.regexp_extract_all("text", F.lit(pattern), 0), lambda u: F.struct(F.lit(order).alias("ord"), F.lit(kind).alias("kind"), F.regexp_replace(u, r"[.,;]+$", "").alias("url")))
+def _link(url: Column, label: Column, source: str) -> Column:
+    name = F.lower(F.regexp_extract(url, r"^[^:]*://([^/?#]*)", 1))
+    host = name
+    for known in reversed(HOSTS):
+        host = F.when(name.contains(known), known).otherwise(host)
+    return F.struct(url.alias("url"), label.alias("label"), (F.lit("figshare.com") if source == "figshare_url_scan" else host).alias("host"), F.lit(source).alias("source"))
+
+
+def _links(text: Column) -> Column:
+    """All links of a text, by pattern and place, each URL once."""
+    trimmed = lambda c: F.regexp_replace(c, r"[.,;:]+$", "")
+    found = []
+    for pattern in LABELLED:
+        pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), 1).alias("label"), F.regexp_extract_all(text, F.lit(pattern), 2).alias("url"))
+        found.append(F.transform(pairs, lambda p: _link(trimmed(p["url"]), F.substring(F.regexp_replace(p["label"], r"^\s+|\s+$", ""), 1, 100), "labeled_si_pattern")))
+    found.append(F.transform(F.regexp_extract_all(text, F.lit(FIGSHARE), 0), lambda u: _link(trimmed(u), F.lit("figshare_link"), "figshare_url_scan")))
+    found.append(F.transform(F.regexp_extract_all(text, F.lit(DOI), 1), lambda d: _link(F.concat(F.lit("https://doi.org/"), d), F.concat(F.lit("DOI: "), F.substring(d, 1, 60)), "doi_pattern")))
+    return F.concat(*found)
 
-    found = F.flatten(F.array(*[links(order, *link) for order, link in enumerate(LINKS)]))
-    rows = papers.select("doc_id", F.inline(found))
-    return rows.groupBy("doc_id", "url").agg(F.min_by("kind", "ord").alias("kind"))
+
+def supplementary_links(papers: DataFrame) -> DataFrame:
+    """(doc_id, text) to (doc_id, place, url, label, host, source): labelled links, links to figshare, DOIs; the first of each URL."""
+    rows = papers.select("doc_id", _links(F.coalesce("text", F.lit(""))).alias("all"))
+    first = F.filter("all", lambda x, i: F.array_position(F.col("all")["url"], x["url"]) == i + 1)
+    return rows.select("doc_id", F.posexplode(first).alias("place", "x")).select("doc_id", "place", "x.*")
+
+
+def unresolved_labels(papers: DataFrame) -> DataFrame:
+    """(doc_id, place, label, file_type): labels of supplements that no link's label holds, each once, case aside."""
+    text = F.coalesce("text", F.lit(""))
+    pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(LABEL), 1).alias("label"), F.regexp_extract_all(text, F.lit(LABEL), 2).alias("type"))
+    rows = papers.select("doc_id", F.transform(F.array_distinct(_links(text)["label"]), F.lower).alias("known"), F.transform(pairs, lambda p: F.struct(F.trim(p["label"]).alias("label"), F.coalesce(F.nullif(F.trim(p["type"]), F.lit("")), F.lit("unknown")).alias("file_type"), F.lower(F.trim(p["label"])).alias("k"))).alias("all"))
+    rows = rows.withColumn("all", F.filter("all", lambda x: ~F.exists("known", lambda label: label.contains(x["k"]))))
+    first = F.filter("all", lambda x, i: F.array_position(F.col("all")["k"], x["k"]) == i + 1)
+    return rows.select("doc_id", F.posexplode(first).alias("place", "x")).select("doc_id", "place", "x.label", "x.file_type")
