@@ -39,7 +39,7 @@ _LETTERS, _NUMBERS = rf"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-{chr(0x24F)}",
 PLAIN = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^\s{_LETTERS}{_NUMBERS}]+|\s+(?!\S)|\s+")
 OTHER = re.compile(rf"[^\t\n\r -\x7e\xa0-{chr(0x24F)}]")
 #: Bytes of the words, ids and texts that a worker remembers, each with so many for its places in the tables; longer words aren't kept.
-CACHE_BYTES, ENTRY_BYTES, KEPT_BYTES = 256 << 20, 250, 1 << 12
+CACHE_BYTES, ENTRY_BYTES, KEPT_BYTES = 200 << 20, 400, 1 << 12
 #: Characters of the texts that are encoded in one go, a text at least.
 AT_ONCE = 1 << 20
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Batches, bounded_batches, column, save, texts_of
+from .common import Batches, bounded_batches, column, drop, save, texts_of
 from .components import components
 from .simhash import fingerprint, shingle_hashes, tree_links
 
@@ -185,8 +185,9 @@ def candidates(reps: DataFrame, similarity: float, radius: int) -> DataFrame:
     return save(_edges(shards, keys, ["fp", "sketch"], link), "similar-links")
 
 
-def exact(docs: DataFrame, groups: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Edges (a, b) that connect what exact similarity links within groups of candidates (node, root)."""
+def exact(docs: DataFrame, groups: DataFrame, shingle: int, similarity: float) -> tuple[DataFrame, bool]:
+    """Edges (a, b) that connect what exact similarity links within groups of candidates (node, root); whether they are
+    stars already, from each document to the smallest of its group, as they are where no group is cut into blocks."""
 
     def hashed(batches: Batches) -> Batches:
         for batch in batches:
@@ -199,9 +200,9 @@ def exact(docs: DataFrame, groups: DataFrame, shingle: int, similarity: float) -
 
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text").join(groups.select(F.col("node").alias("id"), "root"), "id")
     sets = save(texts.select("root", "id", "text").mapInArrow(hashed, "root long, id long, size long, hashes binary"), "similar-sets")
-    hot = save(_hot(sets), "similar-hot")
+    hot = save(_hot(sets), "similar-hot")  # empty but for groups of many or long texts
     if hot.isEmpty():
-        return _edges(sets, ["root"], ["hashes"], link)
+        return save(_edges(sets, ["root"], ["hashes"], link), "similar-exact"), True
     small = _edges(sets.join(hot, "root", "left_anti"), ["root"], ["hashes"], link)
     large = sets.join(hot.select("root"), "root", "left_semi")
     far = save(_from_first(large, hot), "similar-distances")  # of each to the one that names the group
@@ -210,7 +211,7 @@ def exact(docs: DataFrame, groups: DataFrame, shingle: int, similarity: float) -
     open_sets = save(large.join(rest, ["root", "id"], "left_semi"), "similar-rest")
     pairs = _edges(_in_blocks(open_sets, ["root"], _hot(open_sets), "id"), ["root", "i", "j"], ["hashes"], link)
     by_first = far.where((F.col("near") >= similarity - 1e-9) & (F.col("id") != F.col("root"))).select(F.col("id").alias("a"), F.col("root").alias("b"))
-    return small.unionByName(pairs).unionByName(by_first)
+    return small.unionByName(pairs).unionByName(by_first), False
 
 
 def _hot(sets: DataFrame) -> DataFrame:
@@ -245,14 +246,18 @@ def _from_first(sets: DataFrame, hot: DataFrame) -> DataFrame:
 
 def gone_ids(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 24) -> tuple[DataFrame, DataFrame]:
     """(doc_id) of the documents that go, all but the smallest of each group; and of those that have several rows."""
+    spark = docs.sparkSession
     rows = _described(docs, shingle)
     reps = save(rows.groupBy("digest").agg(F.min_by(F.struct("id", "fp", "sketch", "keys"), "id").alias("r")).select("digest", "r.*"), "similar-reps")
     several = save(rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"), "similar-several")
     same = rows.select("id", "digest").join(several, "id", "left_semi").join(reps.select("digest", F.col("id").alias("b")), "digest").select(F.col("id").alias("a"), "b")
     groups = components(candidates(reps, similarity, radius))
-    linked = components(exact(docs, groups, shingle, similarity).unionByName(same))
+    edges, stars = exact(docs, groups, shingle, similarity)
+    linked = edges.toDF("node", "root") if stars and several.isEmpty() else components(edges.unionByName(same))
     copies = rows.select("id").join(several, "id", "left_anti").join(reps.select("id"), "id", "left_anti")
     gone = save(copies.unionByName(linked.where("node != root").select(F.col("node").alias("id"))).distinct(), "similar-gone")
+    for done in (rows, reps):
+        drop(spark, done.scratch)
     return gone.withColumnRenamed("id", "doc_id"), several.withColumnRenamed("id", "doc_id")
 
 
