@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .. import scratch
 from ..functions.stats import binomial_tail, chi2_sf_9
 from .series import arrays, clean, decimals, informative, ranked
 
@@ -62,26 +63,54 @@ def arithmetic_sequences(cells: DataFrame, min_n: int = 6) -> DataFrame:
     return out.select(F.lit("approximate_arithmetic_sequence").alias("evidence_type"), "ds_a", F.col("match_type").alias("order_mode"), "n", F.round("cv", 8).alias("cv_of_diffs"), F.round("r2", 8).alias("r_squared"), F.round("slope", 8).alias("slope"), "severity", "confidence")
 
 
+def classes(series: DataFrame, *keys: str) -> tuple[DataFrame, DataFrame]:
+    """Of series (ds, keys...): one of each class of equal keys (the least ds), and (ds, rep) of all; both written down, as they are read again and again."""
+    series = series.select("ds", *keys)
+    of = scratch.save(series.groupBy(*keys).agg(F.min("ds").alias("rep")))
+    return of.select(F.col("rep").alias("ds"), *keys), scratch.save(series.join(of, list(keys)).select("ds", "rep"))
+
+
+def expanded(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of representatives as pairs (ds_a, ds_b) of all that they stand for, with `turned` where a stands for ds_b."""
+    out = pairs.join(members.select(F.col("rep").alias("a"), F.col("ds").alias("_x")), "a").join(members.select(F.col("rep").alias("b"), F.col("ds").alias("_y")), "b")
+    return out.withColumns({"ds_a": F.least("_x", "_y"), "ds_b": F.greatest("_x", "_y"), "turned": F.col("_x") > F.col("_y")}).drop("a", "b", "_x", "_y")
+
+
+def _rarest(tokens: DataFrame, least: Column) -> DataFrame:
+    """Of tokens (ds, n, t), each series' n - least + 1 rarest, in one order for all series.
+
+    Two series that share `least` tokens or more share one of these: the rarest that they have in common has at least
+    least - 1 tokens after it in both.
+    """
+    common = tokens.groupBy("t").agg(F.count("*").alias("df"))
+    place = F.row_number().over(Window.partitionBy("ds").orderBy("df", "t"))
+    return tokens.join(common, "t").withColumn("_r", place).where(F.col("_r") <= F.col("n") - least + 1).select("ds", "n", "t")
+
+
+def _meet(tokens: DataFrame) -> DataFrame:
+    """Pairs a < b of series of one length that share a token."""
+    a, b = tokens.select(F.col("ds").alias("a"), "n", "t"), tokens.select(F.col("ds").alias("b"), "n", "t")
+    return a.join(b, ["n", "t"]).where("a < b").select("a", "b").distinct()
+
+
 def near_duplicates(cells: DataFrame) -> DataFrame:
     """Pairs of equal length that agree at most places: in value, nearly, or in the last two decimals.
 
-    Pairs are candidates if they share a value (9 decimals) or a two-digit suffix at some place; every rule needs one.
-    Each pair is then counted by one equi-join on place. Series shorter than six values are left out.
+    The rules ask for at least three fifths of the places equal, or 68 % with equal suffixes, so pairs meet on the
+    rarest (place, value to 9 decimals) or (place, suffix) of that many. Equal series go in as one, as no rule names them.
+    Series shorter than six values are left out.
     """
-    rows = decimals(clean(cells)).withColumn("n", F.count("*").over(Window.partitionBy("ds")).cast("int")).where("n >= 6")
-    rows = rows.withColumns({"pos": F.row_number().over(Window.partitionBy("ds").orderBy("pos")), "key": F.round("value", 9)})
-    a = rows.select(F.col("ds").alias("ds_a"), "n", "pos", F.col("value").alias("va"), F.col("suffix2").alias("sa"), "key")
-    b = rows.select(F.col("ds").alias("ds_b"), "n", "pos", F.col("value").alias("vb"), F.col("suffix2").alias("sb"), "key")
-    seed = a.alias("a").join(b.alias("b"), (F.col("a.n") == F.col("b.n")) & (F.col("a.pos") == F.col("b.pos")) & (F.col("a.key") == F.col("b.key")) & (F.col("ds_a") < F.col("ds_b")))
-    seed = seed.groupBy("ds_a", "ds_b").agg(F.count("*").alias("same"), F.first("a.n").alias("n")).where("same >= 0.5 * n")
-    match = a.where("sa is not null").alias("a").join(b.where("sb is not null").alias("b"), (F.col("a.n") == F.col("b.n")) & (F.col("a.pos") == F.col("b.pos")) & (F.col("sa") == F.col("sb")) & (F.col("ds_a") < F.col("ds_b")))
-    match = match.groupBy("ds_a", "ds_b").agg(F.count("*").alias("same"), F.first("a.n").alias("n")).where("n >= 8 and same >= 0.68 * n")  # .85 of at least .8
-    pairs = seed.select("ds_a", "ds_b").union(match.select("ds_a", "ds_b")).distinct()
-    both = pairs.join(a, "ds_a").join(b.drop("key", "n"), ["ds_b", "pos"])
-    gap, scale = F.abs(F.col("va") - F.col("vb")), F.greatest(F.abs("va"), F.abs("vb"), F.lit(1.0))
-    found = both.groupBy("ds_a", "ds_b").agg(
-        F.count("*").cast("int").alias("n"), F.count_if(gap <= 1e-12).cast("int").alias("equal"), F.count_if(gap <= F.greatest(F.lit(1e-9), 1e-6 * scale)).cast("int").alias("near"),
-        F.count_if(F.col("sa").isNotNull() & F.col("sb").isNotNull()).cast("int").alias("valid"), F.count_if(F.col("sa") == F.col("sb")).cast("int").alias("same_suffix"),
+    rows = decimals(clean(cells)).groupBy("ds").agg(F.count("*").cast("int").alias("n"), F.array_sort(F.collect_list(F.struct("pos", F.expr("value + 0D").alias("v"), F.coalesce("suffix2", F.lit("")).alias("s")))).alias("x")).where("n >= 6")
+    series = rows.select("ds", "n", F.expr("transform(x, y -> y.v)").alias("vs"), F.expr("transform(x, y -> y.s)").alias("ss"))
+    one, members = classes(series, "n", "vs", "ss")
+    equal = one.select("ds", "n", F.posexplode(F.expr("transform(vs, v -> round(v, 9))")).alias("pos", "k")).select("ds", "n", F.xxhash64("n", "pos", "k").alias("t"))
+    suffix = one.where("n >= 8").select("ds", "n", F.posexplode("ss").alias("pos", "k")).where("k <> ''").select("ds", "n", F.xxhash64("n", "pos", "k").alias("t"))
+    pairs = _meet(_rarest(equal, F.ceil(0.6 * F.col("n")))).union(_meet(_rarest(suffix, F.ceil(0.68 * F.col("n"))))).distinct()
+    both = pairs.join(one.toDF("a", "n", "va", "sa"), "a").join(one.select(F.col("ds").alias("b"), F.col("vs").alias("vb"), F.col("ss").alias("sb")), "b")
+    count = lambda what: F.expr(f"cast(size(filter({what}, z -> z)) as int)")
+    found = both.select("a", "b", "n", count("zip_with(va, vb, (x, y) -> abs(x - y) <= 1e-12)").alias("equal"),
+        count("zip_with(va, vb, (x, y) -> abs(x - y) <= greatest(1e-9D, 1e-6D * greatest(abs(x), abs(y), 1D)))").alias("near"),
+        count("zip_with(sa, sb, (x, y) -> x <> '' and y <> '')").alias("valid"), count("zip_with(sa, sb, (x, y) -> x = y and x <> '')").alias("same_suffix"),
     ).where("equal < n").withColumn("diff", F.col("n") - F.col("equal"))
     n = F.col("n")
     graded = _graded([
@@ -90,7 +119,8 @@ def near_duplicates(cells: DataFrame) -> DataFrame:
         ((n >= 8) & (F.col("valid") >= F.greatest(F.lit(8), F.ceil(0.8 * n))) & (F.col("same_suffix") >= 0.85 * F.col("valid")), "positionwise_decimal_suffix2_reuse", 2, 0.74),
         ((F.col("equal") >= 0.83 * n) & (F.col("diff") <= 1), "small_sample_near_duplicate", 2, 0.70),
     ])
-    return found.withColumns(graded).where("severity is not null").select(F.lit("near_duplicate_numeric_series").alias("evidence_type"), "ds_a", "ds_b", "match_type", "n", F.col("equal").alias("equal_position_count"), F.col("near").alias("near_equal_count"), F.col("valid").alias("suffix2_valid_count"), F.col("same_suffix").alias("suffix2_equal_count"), "severity", "confidence")
+    found = expanded(found.withColumns(graded).where("severity is not null"), members)
+    return found.select(F.lit("near_duplicate_numeric_series").alias("evidence_type"), "ds_a", "ds_b", "match_type", "n", F.col("equal").alias("equal_position_count"), F.col("near").alias("near_equal_count"), F.col("valid").alias("suffix2_valid_count"), F.col("same_suffix").alias("suffix2_equal_count"), "severity", "confidence")
 
 
 def _grams(cells: DataFrame) -> DataFrame:
@@ -113,43 +143,57 @@ def fragments_within(cells: DataFrame) -> DataFrame:
 
 
 def fragments_across(cells: DataFrame) -> DataFrame:
-    """For each pair of series that share a fragment: the longest window size, and its least fragment."""
-    grams = _grams(cells).select("ds", "n", "w", "gram").distinct()
-    a, b = grams.select(F.col("ds").alias("ds_a"), F.col("n").alias("na"), "w", "gram"), grams.select(F.col("ds").alias("ds_b"), F.col("n").alias("nb"), "w", "gram")
-    found = a.join(b, ["w", "gram"]).where("ds_a < ds_b").groupBy("ds_a", "ds_b").agg(F.max("w").alias("w"), F.min(F.struct((-F.col("w")).alias("k"), "gram")).alias("g"), F.first(F.least("na", "nb")).alias("n"))
+    """For each pair of series that share a fragment: the longest window size, and its least fragment.
+
+    A shared window of four or five that isn't constant holds a shared one of three that isn't, so pairs meet on those
+    alone; equal series go in as one.
+    """
+    series = arrays(clean(cells)).where("n >= 6").withColumn("vs", F.expr("transform(vs, v -> round(v, 8) + 0D)"))
+    one, members = classes(series, "n", "vs")
+    windows = lambda w: F.expr(f"array_distinct(filter(transform(sequence(0, n - {w}), i -> slice(vs, i + 1, {w})), g -> array_min(g) < array_max(g)))")
+    one = one.select("ds", "n", *[windows(w).alias(f"w{w}") for w in (5, 4, 3)]).where("size(w3) > 0")
+    keys = one.select("ds", F.explode(F.expr("transform(w3, g -> xxhash64(g))")).alias("t"))
+    pairs = keys.toDF("a", "t").join(keys.toDF("b", "t"), "t").where("a < b").select("a", "b").distinct()
+    itself = members.groupBy("rep").agg(F.count("*").alias("k")).where("k > 1").join(one.select(F.col("ds").alias("rep")), "rep", "left_semi").select(F.col("rep").alias("a"), F.col("rep").alias("b"))
+    both = pairs.unionByName(itself).join(one.toDF("a", "na", "a5", "a4", "a3"), "a").join(one.toDF("b", "nb", "b5", "b4", "b3"), "b")
+    shared = both.select("a", "b", F.least("na", "nb").alias("n"), *[F.array_intersect(f"a{w}", f"b{w}").alias(f"g{w}") for w in (5, 4, 3)]).where("size(g3) > 0")
+    best = F.when(F.size("g5") > 0, F.struct(F.lit(5).alias("w"), F.array_min("g5").alias("g"))).when(F.size("g4") > 0, F.struct(F.lit(4).alias("w"), F.array_min("g4").alias("g"))).otherwise(F.struct(F.lit(3).alias("w"), F.array_min("g3").alias("g")))
+    found = expanded(shared.select("a", "b", "n", best.alias("x")), members).where("ds_a < ds_b").drop("turned").distinct().select("ds_a", "ds_b", "n", "x.w", F.expr("x.g[0]").alias("v"))
     strong = (F.col("w") >= 4) & (F.col("n") >= 8)
     return found.withColumns(_graded([(strong, None, 3, 0.86), (F.lit(True), None, 2, 0.74)])).select(
-        F.lit("repeated_numeric_fragment").alias("evidence_type"), "ds_a", "ds_b", "n", F.col("w").alias("fragment_length"), F.expr("g.gram[0]").alias("fragment_first_value"), F.round(F.col("w") / F.col("n"), 6).alias("coverage_ratio"), "severity", "confidence")
+        F.lit("repeated_numeric_fragment").alias("evidence_type"), "ds_a", "ds_b", "n", F.col("w").alias("fragment_length"), F.col("v").alias("fragment_first_value"), F.round(F.col("w") / F.col("n"), 6).alias("coverage_ratio"), "severity", "confidence")
 
 
 def similarity(cells: DataFrame) -> DataFrame:
     """Pairs of informative series (n >= 5) that are equal, near, permuted, rescaled, or contained in one another.
 
-    Near and permuted series meet on coarse means, first values and magnitudes of their values in order or sorted;
-    subsets on shared values, counted per value first; linear images on standardised first values. Each grid is tried
-    with its neighbours, and every candidate is then verified by the stated rule. The first rule that holds names a
-    pair: equal, near in order, permuted (equal or near), linear.
+    Equal series go in as one of their class; pairs within a class need no search. Near and permuted series meet on coarse
+    means, first values and magnitudes of their values in order or sorted, linear images on standardised values, subsets
+    on the shorter's rarest value. Each grid is tried with its neighbours, and every candidate is then verified by the
+    stated rule. The first rule that holds names a pair: equal, near in order, permuted (equal or near), linear.
     """
     series = informative(arrays(clean(cells)).where("n >= 5"))
-    series = series.withColumn("vs", F.expr("transform(vs, v -> v + 0D)")).withColumn("sorted", F.array_sort("vs"))
-    ordered = _close(series.where("n >= 8"), "vs", 1e-3).select("ds_a", "ds_b", "n", (F.col("gap") == 0).alias("exact"), F.lit(None).cast("boolean").alias("same"))
-    permuted = _close(series, "sorted", 1e-6).join(ordered, ["ds_a", "ds_b"], "left_anti")
-    of = series.select("ds", F.col("vs").alias("v"))
-    permuted = permuted.join(of.toDF("ds_a", "wa"), "ds_a").join(of.toDF("ds_b", "wb"), "ds_b")
+    series = series.withColumn("vs", F.expr("transform(vs, v -> v + 0D)"))
+    one, members = classes(series, "n", "vs")
+    one = one.withColumn("sorted", F.array_sort("vs"))
+    same = members.toDF("_x", "rep").join(members.toDF("_y", "rep"), "rep").where("_x < _y").join(one.select(F.col("ds").alias("rep"), "n"), "rep").select(F.col("_x").alias("ds_a"), F.col("_y").alias("ds_b"), "n", F.lit("same_order_exact").alias("match_type"))
+    ordered = _close(one.where("n >= 8"), "vs", 1e-3).select("a", "b", "n", F.lit("same_order_near").alias("match_type"))
+    permuted = _close(one, "sorted", 1e-6).join(ordered, ["a", "b"], "left_anti")
     equal = F.expr("forall(zip_with(va, vb, (x, y) -> round(x, 10) = round(y, 10)), z -> z)")
-    near = ordered.unionByName(permuted.select("ds_a", "ds_b", "n", (F.col("wa") == F.col("wb")).alias("exact"), equal.alias("same")))
-    line = _linear(series).join(near, ["ds_a", "ds_b"], "left_anti").withColumns(_graded([(F.lit(True), "linear_transform_near", 3, 0.88)]))
-    near = near.withColumns(_graded([
-        (F.col("exact"), "same_order_exact", 4, 0.99), (F.col("same").isNull(), "same_order_near", 3, 0.91),
-        (F.col("same"), "permutation_exact", 4, 0.98), (F.lit(True), "permutation_near", 3, 0.90),
-    ]))
-    inside = _subsets(cells.join(series.select("ds"), "ds", "left_semi")).withColumns(_graded([(F.col("n") >= 10, "permutation_subset_exact", 4, 0.96), (F.lit(True), "permutation_subset_exact", 3, 0.87)]))
-    columns = ["ds_a", "ds_b", "match_type", "n", "severity", "confidence"]
-    return near.select(columns).unionByName(line.select(columns)).unionByName(inside.select(columns)).withColumn("evidence_type", F.lit("raw_numeric_similarity"))
+    permuted = permuted.select("a", "b", "n", F.when(equal, "permutation_exact").otherwise("permutation_near").alias("match_type"))
+    near = ordered.unionByName(permuted)
+    line = expanded(_linear(one).join(near, ["a", "b"], "left_anti"), members).where(F.when(F.col("turned"), F.col("fits_a")).otherwise(F.col("fits_b")))
+    inside = _subsets(one)
+    found = same.unionByName(expanded(near, members).drop("turned")).unionByName(line.select("ds_a", "ds_b", "n", F.lit("linear_transform_near").alias("match_type"))).unionByName(expanded(inside, members).select("ds_a", "ds_b", "n", F.lit("permutation_subset_exact").alias("match_type")))
+    kind = F.col("match_type")
+    return found.withColumns({c: v for c, v in _graded([
+        (kind == "same_order_exact", None, 4, 0.99), (kind == "permutation_exact", None, 4, 0.98), (kind == "same_order_near", None, 3, 0.91), (kind == "permutation_near", None, 3, 0.90),
+        (kind == "linear_transform_near", None, 3, 0.88), (F.col("n") >= 10, None, 4, 0.96), (F.lit(True), None, 3, 0.87),
+    ]).items() if c != "match_type"}).select("ds_a", "ds_b", "match_type", "n", "severity", "confidence", F.lit("raw_numeric_similarity").alias("evidence_type"))
 
 
 def _close(series: DataFrame, values: str, tolerance: float) -> DataFrame:
-    """(ds_a, ds_b, n, va, vb, gap): pairs of one length whose arrays differ by at most tolerance times their largest value, or 1, anywhere.
+    """(a, b, n, va, vb): pairs a < b of one length whose arrays differ by at most tolerance times their largest value, or 1, anywhere.
 
     Such pairs are neighbours on a grid of the logarithm of the largest value, and on one, in units of twice the
     tolerance at that size, of the mean and of the first value. Only keys are dealt out; arrays are joined afterwards.
@@ -159,44 +203,58 @@ def _close(series: DataFrame, values: str, tolerance: float) -> DataFrame:
     rows = rows.withColumns({"size": F.greatest(F.expr("array_max(transform(v, x -> abs(x)))"), F.lit(1.0)), "mean": F.expr("aggregate(v, 0D, (s, x) -> s + x) / n"), "first": F.expr("v[0]"), "mid": F.expr("v[div(n, 2)]")})
     rows = rows.withColumn("level", F.floor(F.log("size") / step)).drop("v")
     cell = lambda name, at: F.floor(F.col(name) / (step * F.exp(step * (F.col(at) + 2))))
-    left = rows.select(F.col("ds").alias("ds_a"), "n", "level", cell("mean", "level").alias("m"), cell("first", "level").alias("f"), F.col("mid").alias("mid_a"), F.col("size").alias("size_a"))
+    left = rows.select(F.col("ds").alias("a"), "n", "level", cell("mean", "level").alias("m"), cell("first", "level").alias("f"), F.col("mid").alias("mid_a"), F.col("size").alias("size_a"))
     around = lambda name: F.explode(F.array(*[F.col(name) + d for d in (-1, 0, 1)]))
     right = rows.withColumn("level", around("level"))
-    right = right.select(F.col("ds").alias("ds_b"), "n", "level", cell("mean", "level").alias("m"), cell("first", "level").alias("f"), F.col("mid").alias("mid_b"), F.col("size").alias("size_b"))
+    right = right.select(F.col("ds").alias("b"), "n", "level", cell("mean", "level").alias("m"), cell("first", "level").alias("f"), F.col("mid").alias("mid_b"), F.col("size").alias("size_b"))
     for name in ("m", "f"):
         right = right.withColumn(name, around(name))
     scale = F.greatest("size_a", "size_b")
-    pairs = left.join(right, ["n", "level", "m", "f"]).where((F.col("ds_a") < F.col("ds_b")) & (F.abs(F.col("mid_a") - F.col("mid_b")) <= tolerance * scale))
+    pairs = left.join(right, ["n", "level", "m", "f"]).where((F.col("a") < F.col("b")) & (F.abs(F.col("mid_a") - F.col("mid_b")) <= tolerance * scale))
     of = series.select("ds", F.col(values).alias("v"))
-    found = pairs.select("ds_a", "ds_b", "n", scale.alias("scale")).join(of.toDF("ds_a", "va"), "ds_a").join(of.toDF("ds_b", "vb"), "ds_b")
-    found = found.withColumn("gap", F.expr("array_max(zip_with(va, vb, (x, y) -> abs(x - y)))"))
-    return found.where(F.col("gap") / F.col("scale") <= tolerance).drop("scale")
+    found = pairs.select("a", "b", "n", scale.alias("scale")).join(of.toDF("a", "va"), "a").join(of.toDF("b", "vb"), "b")
+    return found.where(F.expr("array_max(zip_with(va, vb, (x, y) -> abs(x - y))) / scale") <= tolerance).drop("scale")
+
 
+def _linear(series: DataFrame) -> DataFrame:
+    """(a, b, n, fits_a, fits_b): pairs a < b of equal length n >= 8 with R squared >= .999; whether the residual of b (of a)
+    on the other is small.
 
-def _linear(series: DataFrame, grid: float = 0.05) -> DataFrame:
-    """Pairs of equal length n >= 8 with R squared >= .999 and a small residual of b on a; candidates by step ratios."""
+    With standardised values x and y, or -y for a negative slope, the squares of x - y add up to 2 n (1 - r), so no place
+    differs by more than sqrt(.001 n). Pairs meet on a grid of that width, with its neighbours, at three places.
+    """
     rows = series.where("n >= 8").withColumn("mean", F.expr("aggregate(vs, 0D, (s, v) -> s + v) / n"))
-    rows = rows.withColumn("sd", F.expr("sqrt(aggregate(vs, 0D, (s, v) -> s + (v - mean) * (v - mean)) / n)")).where("sd > 1e-9")
-    z = rows.select("ds", "n", "vs", "sd", F.expr("transform(slice(vs, 1, 3), v -> try_divide(v - mean, sd))").alias("z"))
-    z = z.withColumn("z", F.expr("if(z[0] < 0, transform(z, x -> -x), z)"))  # a negative slope turns all signs
-    wide = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    cell = lambda k: F.floor(F.expr(f"z[{k}]") / F.sqrt(0.001 * F.col("n")) / 2).cast("long")  # noqa: E731  R squared .999 moves a point by that much at most
-    keyed = z.withColumns({f"c{k}": cell(k) for k in range(3)})
-    left = keyed.select(F.col("ds").alias("ds_a"), "n", F.col("vs").alias("va"), F.col("sd").alias("sa"), "c0", "c1", "c2")
-    right = keyed.select(F.col("ds").alias("ds_b"), F.col("n").alias("nb"), F.col("vs").alias("vb"), F.col("sd").alias("sb"), F.explode(F.transform(wide, lambda d: F.col("c0") + d)).alias("d0"), F.col("c1").alias("c1_"), F.col("c2").alias("c2_"))
-    pairs = left.join(right, (F.col("n") == F.col("nb")) & (F.col("c0") == F.col("d0")) & (F.col("ds_a") < F.col("ds_b")) & (F.abs(F.col("c1") - F.col("c1_")) <= 1) & (F.abs(F.col("c2") - F.col("c2_")) <= 1))
-    points = pairs.select("ds_a", "ds_b", "n", "sb", F.explode(F.arrays_zip("va", "vb")).alias("p")).select("ds_a", "ds_b", "n", "sb", "p.va", "p.vb")
-    found = points.groupBy("ds_a", "ds_b").agg(F.first("n").alias("n"), F.first("sb").alias("sb"), F.regr_r2("vb", "va").alias("r2"))
-    return found.where((F.col("r2") >= 0.999) & (F.col("sb") * F.sqrt(F.greatest(F.lit(0.0), 1 - F.col("r2"))) / F.greatest(F.col("sb"), F.lit(1.0)) <= 0.01))
-
-
-def _subsets(cells: DataFrame) -> DataFrame:
-    """Pairs of unequal length n >= 5 where the shorter's values, with repeats, all occur in the longer."""
-    counts = clean(cells).groupBy("ds", F.round("value", 10).alias("v")).agg(F.count("*").alias("c"))
-    counts = counts.withColumn("n", F.sum("c").over(Window.partitionBy("ds"))).where("n >= 5")
-    a, b = counts.select(F.col("ds").alias("s"), "v", F.col("c").alias("ca"), F.col("n").alias("ns")), counts.select(F.col("ds").alias("l"), "v", F.col("c").alias("cb"), F.col("n").alias("nl"))
-    found = a.join(b, "v").where("ns < nl").groupBy("s", "l", "ns").agg(F.sum(F.least("ca", "cb")).alias("shared")).where("shared = ns")
-    return found.select(F.least("s", "l").alias("ds_a"), F.greatest("s", "l").alias("ds_b"), F.col("ns").cast("int").alias("n"))
+    rows = rows.withColumn("sd", F.expr("sqrt(aggregate(vs, 0D, (s, v) -> s + (v - mean) * (v - mean)) / n)"))
+    z = rows.where("sd > 0").select("ds", "n", "sd", F.expr("transform(vs, v -> (v - mean) / sd)").alias("z"))
+    places = ("0", "div(n, 3)", "div(2 * n, 3)")
+    width = F.sqrt(0.001 * F.col("n")) + 1e-6
+    cell = lambda at, sign: F.floor(sign * F.expr(f"z[{at}]") / width).cast("int")
+    left = z.select(F.col("ds").alias("a"), "n", *[cell(at, 1).alias(f"c{k}") for k, at in enumerate(places)])
+    right = z.select(F.col("ds").alias("b"), "n", F.inline(F.array(*[F.struct(F.lit(sign).alias("sign"), *[cell(at, sign).alias(f"c{k}") for k, at in enumerate(places)]) for sign in (1, -1)])))
+    for k in range(3):
+        right = right.withColumn(f"c{k}", F.explode(F.array(*[F.col(f"c{k}") + d for d in (-1, 0, 1)])))
+    pairs = left.join(right, ["n", "c0", "c1", "c2"]).where("a < b").select("a", "b").distinct()
+    both = pairs.join(z.toDF("a", "n", "sa", "za"), "a").join(z.select(F.col("ds").alias("b"), F.col("sd").alias("sb"), F.col("z").alias("zb")), "b")
+    both = both.withColumn("r", F.expr("aggregate(zip_with(za, zb, (x, y) -> x * y), 0D, (s, v) -> s + v) / n")).withColumn("r2", F.least(F.lit(1.0), F.col("r") * F.col("r"))).where("r2 >= 0.999")
+    small = lambda s: F.col(s) * F.sqrt(1 - F.col("r2")) / F.greatest(F.col(s), F.lit(1.0)) <= 0.01
+    return both.select("a", "b", "n", small("sa").alias("fits_a"), small("sb").alias("fits_b"))
+
+
+def _subsets(series: DataFrame) -> DataFrame:
+    """(a, b, n): pairs of unequal length where the shorter's values (10 decimals), with repeats, all occur in the longer.
+
+    The longer has the shorter's rarest value too, so they meet on that alone.
+    """
+    values = F.expr("array_sort(transform(vs, v -> round(v, 10) + 0D))")
+    tokens = F.expr("transform(w, (v, i) -> xxhash64(v, i - array_position(w, v) + 1))")
+    rows = series.select("ds", "n", values.alias("w")).select("ds", "n", tokens.alias("ts"))
+    each = rows.select("ds", "n", F.explode("ts").alias("t"))
+    common = each.groupBy("t").agg(F.count("*").alias("df"))
+    rarest = each.join(common, "t").groupBy("ds").agg(F.min_by("t", F.struct("df", "t")).alias("t"), F.first("n").alias("ns")).withColumnRenamed("ds", "s")
+    pairs = rarest.join(each.select(F.col("ds").alias("l"), F.col("n").alias("nl"), "t"), "t").where("ns < nl").select("s", "l", "ns")
+    both = pairs.join(rows.select(F.col("ds").alias("s"), F.col("ts").alias("x")), "s").join(rows.select(F.col("ds").alias("l"), F.col("ts").alias("y")), "l")
+    found = both.where(F.size(F.array_except("x", "y")) == 0)
+    return found.select(F.col("s").alias("a"), F.col("l").alias("b"), F.col("ns").cast("int").alias("n"))
 
 
 def suffix_overrepresentation(cells: DataFrame) -> DataFrame:
@@ -215,22 +273,30 @@ def suffix_overrepresentation(cells: DataFrame) -> DataFrame:
 def suffix_reuse(cells: DataFrame, share: float = 0.85) -> DataFrame:
     """Pairs of series whose multisets of suffixes overlap by at least 85 % of the smaller.
 
-    A series of n suffixes shares at least t = ceil(.85 n) with such a larger one, so one of its n - t + 1 rarest
-    occurrences (of any order) is among the larger's: only these seed candidates, whose overlap is then counted.
+    A series of n suffixes shares at least t = ceil(.85 n) occurrences with such a larger one. In one order for all, the
+    rarest occurrences first, the first that they share has t - 1 after it in both. So only the smaller's n - t + 1 rarest
+    seed candidates, and they only find larger series in which enough comes after; the overlap is then counted. Series of
+    equal suffixes go in as one.
     """
     out = None
     for size in (2, 3):
         counts = decimals(clean(cells)).where(F.col(f"suffix{size}").isNotNull()).groupBy("ds", F.col(f"suffix{size}").cast("long").alias("s")).agg(F.count("*").alias("c"))
         tokens = counts.select("ds", F.explode(F.sequence(F.lit(1).cast("long"), F.col("c"))).alias("i"), "s").select("ds", (F.col("s") * (1 << 32) + F.col("i")).alias("t"))
-        common = tokens.groupBy("t").agg(F.count("*").alias("df"))
-        series = tokens.join(common, "t").groupBy("ds").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("o"))
-        series = series.select("ds", F.size("o").alias("n"), F.col("o.t").alias("ts")).where("n >= 8")
-        rare = series.select(F.col("ds").alias("x"), F.col("n").alias("nx"), F.col("ts").alias("tx"), F.explode(F.expr(f"slice(ts, 1, cast(n - ceil({share} * n) + 1 as int))")).alias("t"))
-        other = series.select(F.col("ds").alias("y"), F.col("n").alias("ny"), F.explode("ts").alias("t"))
-        seeds = rare.drop("tx").join(other, "t").where((F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y")))).select("x", "y").distinct()
-        pairs = seeds.join(series.select(F.col("ds").alias("x"), "n", F.col("ts").alias("tx")), "x").join(series.select(F.col("ds").alias("y"), F.col("ts").alias("ty")), "y")
-        found = pairs.select("x", "y", "n", F.size(F.array_intersect("tx", "ty")).alias("shared_suffix_count"))
-        found = found.where(F.col("shared_suffix_count") >= share * F.col("n")).select(F.least("x", "y").alias("ds_a"), F.greatest("x", "y").alias("ds_b"), "shared_suffix_count", "n", F.lit(size).alias("suffix_length"))
+        whole = tokens.groupBy("ds").agg(F.array_sort(F.collect_list("t")).alias("ts")).where("size(ts) >= 8")
+        one, members = classes(whole, "ts")
+        one = one.withColumn("n", F.size("ts"))
+        each = one.select("ds", "n", F.explode("ts").alias("t"))
+        common = each.groupBy("t").agg(F.count("*").alias("df"))
+        placed = each.join(common, "t").withColumn("k", F.row_number().over(Window.partitionBy("ds").orderBy("df", "t"))).drop("df")
+        need = F.ceil(share * F.col("n"))
+        x = placed.where(F.col("k") <= F.col("n") - need + 1).select(F.col("ds").alias("a"), F.col("n").alias("na"), "t", need.alias("need"))
+        y = placed.select(F.col("ds").alias("b"), F.col("n").alias("nb"), "t", F.col("k").alias("kb"))
+        seeds = x.join(y, "t").where("(na < nb or (na = nb and a < b)) and nb - kb + 1 >= need").select("a", "b").distinct()
+        pairs = seeds.join(one.select(F.col("ds").alias("a"), "n", F.col("ts").alias("ta")), "a").join(one.select(F.col("ds").alias("b"), F.col("ts").alias("tb")), "b")
+        found = pairs.select("a", "b", "n", F.size(F.array_intersect("ta", "tb")).alias("shared_suffix_count")).where(F.col("shared_suffix_count") >= share * F.col("n"))
+        found = expanded(found, members).drop("turned")
+        same = members.toDF("_x", "rep").join(members.toDF("_y", "rep"), "rep").where("_x < _y").join(one.select(F.col("ds").alias("rep"), "n"), "rep").select(F.col("_x").alias("ds_a"), F.col("_y").alias("ds_b"), "n", F.col("n").alias("shared_suffix_count"))
+        found = found.unionByName(same).withColumn("suffix_length", F.lit(size))
         out = found if out is None else out.unionByName(found)
     graded = out.withColumns(_graded([(F.col("n") >= 15, None, 3, 0.90), (F.lit(True), None, 2, 0.78)]))
     return graded.select(F.lit("decimal_suffix_reuse_across_datasets").alias("evidence_type"), "ds_a", "ds_b", "suffix_length", "n", "shared_suffix_count", F.round(F.col("shared_suffix_count") / F.col("n"), 6).alias("suffix_multiset_similarity"), "severity", "confidence")
