@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .. import scratch
+
 _NUMBER = r"[+-]?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d+)?"
 P_VALUE = re.compile(rf"\b(?:p[-\s]?value|p)\s*(<=|>=|=|<|>|≤|≥)\s*({_NUMBER})(?![A-Za-z0-9_])", re.I)
 MEAN_SD = [
@@ -80,33 +82,61 @@ def claim_counts(found: DataFrame) -> DataFrame:
     return found.groupBy("doc_id", "claim_type").agg(F.count("*").alias("claims"))
 
 
-def align(found: DataFrame, cells: DataFrame, mean_tol: float = 0.02, sd_tol: float = 0.05) -> DataFrame:
+def stated(found: DataFrame, pre_extracted: DataFrame | None = None, most: int = 200) -> DataFrame:
+    """Mean and deviation claims of each paper, `most` at most; those extracted before (doc_id, place, mean, sd) where a paper has none."""
+    wanted = found.where("claim_type = 'reported_mean_sd' and mean is not null and sd is not null").select("doc_id", "claim_id", "mean", "sd")
+    if pre_extracted is not None:
+        other = pre_extracted.join(wanted.select("doc_id"), "doc_id", "left_anti")
+        place = F.row_number().over(Window.partitionBy("doc_id").orderBy("place"))
+        wanted = wanted.unionByName(other.select("doc_id", F.format_string("PCL-%04d", place).alias("claim_id"), "mean", "sd"))
+    return wanted.withColumn("_k", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.length("claim_id"), "claim_id"))).where(F.col("_k") <= most).drop("_k")
+
+
+def align(found: DataFrame, cells: DataFrame, mean_tol: float = 0.02, sd_tol: float = 0.05, pre_extracted: DataFrame | None = None, most: int = 200) -> DataFrame:
     """Mean and deviation claims against series of three values or more, both within a relative tolerance.
 
     The tolerance join meets on a grid of the series' mean, as wide as the tolerance at that size, with its
-    neighbours; below 1 the scale is 1, so the grid is even there and logarithmic above.
+    neighbours; below 1 the scale is 1, so the grid is even there and logarithmic above. candidates are the first five by
+    difference; computed values and differences are given where there is but one.
     """
     series = cells.groupBy("ds").agg(F.count("*").alias("n"), F.avg("value").alias("m"), F.stddev_samp("value").alias("s")).where("n >= 3")
+
     def grid(v):
         big = F.signum(v) * (F.floor(F.log(F.greatest(F.abs(v), F.lit(1.0))) / (1.5 * mean_tol)) + F.ceil(F.lit(1 / mean_tol)))
         return F.when(F.abs(v) <= 1, F.floor(v / mean_tol)).otherwise(big).cast("long")
+
     wide = series.withColumn("g", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(-2), F.lit(2)), lambda d: grid(F.col("m")) + d))))
-    wanted = found.where("claim_type = 'reported_mean_sd'").select("doc_id", "claim_id", "mean", "sd").withColumn("g", grid(F.col("mean")))
+    wanted = stated(found, pre_extracted, most)
     rel = lambda r, c: F.abs(r - c) / F.greatest(F.abs(r), F.abs(c), F.lit(1.0))
-    pairs = wanted.join(wide, "g").withColumns({"mean_rel": rel(F.col("mean"), F.col("m")), "sd_rel": rel(F.col("sd"), F.col("s"))}).where((F.col("mean_rel") <= mean_tol) & (F.col("sd_rel") <= sd_tol)).drop("g").distinct()
+    pairs = wanted.withColumn("g", grid(F.col("mean"))).join(wide, "g").withColumns({"mean_rel": rel(F.col("mean"), F.col("m")), "sd_rel": rel(F.col("sd"), F.col("s"))}).where((F.col("mean_rel") <= mean_tol) & (F.col("sd_rel") <= sd_tol)).drop("g").distinct()
     strong = (F.col("mean_rel") <= mean_tol / 2) & (F.col("sd_rel") <= 0.6 * sd_tol)
     ordered = pairs.withColumns({"strong": strong, "k": F.row_number().over(Window.partitionBy("doc_id", "claim_id").orderBy("mean_rel", "sd_rel", "ds"))})
-    best = ordered.groupBy("doc_id", "claim_id").agg(F.count("*").alias("candidate_match_count"), F.count_if("strong").alias("strong_matches"), F.array_sort(F.collect_list(F.when(F.col("k") <= 5, F.struct("k", "ds")))).alias("candidates"))
-    out = wanted.drop("g").join(best, ["doc_id", "claim_id"], "left").na.fill(0, ["candidate_match_count", "strong_matches"])
+    only = F.struct(F.col("m").alias("computed_mean"), F.col("s").alias("computed_sd"), F.col("mean_rel").alias("mean_relative_diff"), F.col("sd_rel").alias("sd_relative_diff"))
+    best = ordered.groupBy("doc_id", "claim_id").agg(F.count("*").alias("candidate_match_count"), F.count_if("strong").alias("strong_matches"), F.array_sort(F.collect_list(F.when(F.col("k") <= 5, F.struct("k", "ds")))).alias("candidates"), F.min_by(only, "k").alias("_one"))
+    out = wanted.join(best, ["doc_id", "claim_id"], "left").na.fill(0, ["candidate_match_count", "strong_matches"])
+    out = out.withColumn("_one", F.when(F.col("candidate_match_count") == 1, F.col("_one"))).select(*[c for c in out.columns if c != "_one"], "_one.*")
     return out.withColumn("verdict", F.when(F.col("candidate_match_count") == 1, "matched").when(F.col("candidate_match_count") > 1, "ambiguous").otherwise("no_candidate"))
 
 
+def verdict_counts(aligned: DataFrame) -> DataFrame:
+    """One row: claims by verdict; a claim that nothing was aligned for is unverifiable."""
+    return aligned.agg(*[F.count_if(F.col("verdict") == v).alias(v) for v in ("matched", "ambiguous", "no_candidate", "unverifiable")], F.count("*").alias("validation_count"))
+
+
 def cross_validation(aligned: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Alignments with the ids of evidence on their candidate series, numbered."""
+    """Alignments with the ids of evidence on their candidate series, numbered by document and claim; none is reportable by itself."""
     by_series = evidence.select("evidence_id", F.explode(F.array_compact(F.array("ds_a", "ds_b"))).alias("ds"))
     linked = aligned.select("doc_id", "claim_id", F.explode("candidates").alias("c")).select("doc_id", "claim_id", "c.ds").join(by_series, "ds").groupBy("doc_id", "claim_id").agg(F.array_sort(F.collect_set("evidence_id")).alias("linked_evidence_ids"))
     out = aligned.join(linked, ["doc_id", "claim_id"], "left").withColumn("linked_evidence_ids", F.coalesce("linked_evidence_ids", F.array().cast("array<string>")))
-    return out.withColumns({"validation_id": F.format_string("XVAL-%04d", F.row_number().over(Window.orderBy("doc_id", "claim_id"))), "reportable": F.lit(False)})
+    rows = scratch.numbered(out, "_k", "doc_id", F.length("claim_id"), "claim_id")
+    return rows.withColumns({"validation_id": F.format_string("XVAL-%04d", "_k"), "reportable": F.lit(False)}).drop("_k")
+
+
+def merged(by_document: DataFrame) -> DataFrame:
+    """Claims of a paper's documents (doc_id, document_ord, claim_id, ...: main text and supplements) as one list: numbered anew
+    by document and place; the document's own number stays as document_claim_id."""
+    k = F.row_number().over(Window.partitionBy("doc_id").orderBy("document_ord", F.length("claim_id"), "claim_id"))
+    return by_document.withColumn("document_claim_id", F.col("claim_id")).withColumn("claim_id", F.format_string("PCL-%04d", k))
 
 
 def numeric_cells(text):

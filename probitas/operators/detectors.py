@@ -225,7 +225,7 @@ def _linear(series: DataFrame) -> DataFrame:
     """
     rows = series.where("n >= 8").withColumn("mean", F.expr("aggregate(vs, 0D, (s, v) -> s + v) / n"))
     rows = rows.withColumn("sd", F.expr("sqrt(aggregate(vs, 0D, (s, v) -> s + (v - mean) * (v - mean)) / n)"))
-    z = rows.where("sd > 0").select("ds", "n", "sd", F.expr("transform(vs, v -> (v - mean) / sd)").alias("z"))
+    z = rows.where("sd > 0").select("ds", "n", "sd", F.expr("transform(vs, v -> try_divide(v - mean, sd))").alias("z"))
     places = ("0", "div(n, 3)", "div(2 * n, 3)")
     width = F.sqrt(0.001 * F.col("n")) + 1e-6
     cell = lambda at, sign: F.floor(sign * F.expr(f"z[{at}]") / width).cast("int")

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .. import scratch
+
 #: Largest q value, severity and confidence that it gives at least.
 CALIBRATION = [(1e-6, 4, 0.97), (1e-4, 3, 0.92), (1e-3, 3, 0.88), (1e-2, 2, 0.76), (0.05, 1, 0.62)]
 LEVELS = ("informational", "low", "medium", "high", "critical")
@@ -23,14 +25,20 @@ def designed_downgrade(evidence: DataFrame, designed: DataFrame) -> DataFrame:
 def fdr(evidence: DataFrame) -> DataFrame:
     """Benjamini-Hochberg q values over the rows with a p value; the family is the declared hypotheses if they are more.
 
-    Ranks are taken in key order; with many rows, only counts by p value pass through the one ordered window.
+    Ranks are running counts of the distinct p values, which are dealt in ranges: what comes before a range (counts) and
+    after it (least q) is added from a row a range.
     """
     tested = evidence.where("p_value is not null")
-    by_p = tested.groupBy("p_value").agg(F.count("*").alias("k"), F.sum("fdr_hypothesis_count").alias("h"))
-    by_p = by_p.withColumn("rank", F.sum("k").over(Window.orderBy("p_value")))
-    size = tested.agg(F.greatest(F.count("*"), F.sum("fdr_hypothesis_count")).alias("m"))
-    q = by_p.crossJoin(F.broadcast(size)).withColumn("q", F.least(F.lit(1.0), F.col("p_value") * F.col("m") / F.col("rank")))  # one row
-    q = q.withColumn("q_value", F.min("q").over(Window.orderBy(F.desc("p_value")).rowsBetween(Window.unboundedPreceding, 0)))
+    by_p = scratch.in_order(tested.groupBy("p_value").agg(F.count("*").alias("k"), F.sum("fdr_hypothesis_count").alias("h")), "p_value")
+    size = by_p.agg(F.greatest(F.sum("k"), F.sum("h")).alias("m"))
+    ranges = by_p.groupBy("part").agg(F.sum("k").alias("ks"))
+    ranges = ranges.select("part", (F.sum("ks").over(Window.orderBy("part")) - F.col("ks")).alias("before"))
+    own = Window.partitionBy("part").orderBy("p_value")
+    ranked = by_p.join(F.broadcast(ranges), "part").crossJoin(F.broadcast(size)).withColumn("rank", F.col("before") + F.sum("k").over(own))  # one row
+    ranked = ranked.withColumn("q", F.least(F.lit(1.0), F.col("p_value") * F.col("m") / F.col("rank")))
+    least = ranked.groupBy("part").agg(F.min("q").alias("lq"))
+    least = least.select("part", F.min("lq").over(Window.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)).alias("after"))
+    q = ranked.join(F.broadcast(least), "part").withColumn("q_value", F.least(F.min("q").over(own.rowsBetween(0, Window.unboundedFollowing)), F.coalesce("after", F.lit(1.0))))
     return evidence.join(q.select("p_value", "q_value", F.col("m").alias("fdr_total_hypothesis_count")), "p_value", "left")
 
 
@@ -49,8 +57,35 @@ def calibrate(evidence: DataFrame) -> DataFrame:
 
 def number(evidence: DataFrame, *ties: str) -> DataFrame:
     """evidence_id by severity, confidence, type and the tie columns."""
-    order = Window.orderBy(F.desc("severity"), F.desc("confidence"), "evidence_type", *[F.asc_nulls_first(t) for t in ties])
-    return evidence.withColumns({"evidence_id": F.format_string("E-%04d", F.row_number().over(order)), "severity_label": F.element_at(F.array(*map(F.lit, LEVELS)), F.col("severity") + 1), "confidence_label": F.when(F.col("confidence") >= 0.95, "very_high").when(F.col("confidence") >= 0.8, "high").when(F.col("confidence") >= 0.6, "medium").otherwise("low")})
+    rows = scratch.numbered(evidence, "_k", F.desc("severity"), F.desc("confidence"), "evidence_type", *[F.asc_nulls_first(t) for t in ties])
+    return rows.withColumns({"evidence_id": F.format_string("E-%04d", "_k"), "severity_label": F.element_at(F.array(*map(F.lit, LEVELS)), F.col("severity") + 1), "confidence_label": F.when(F.col("confidence") >= 0.95, "very_high").when(F.col("confidence") >= 0.8, "high").when(F.col("confidence") >= 0.6, "medium").otherwise("low")}).drop("_k")
+
+
+#: Rows that go into the context of a report.
+CONTEXT_ROWS = 300
+
+
+def for_context(evidence: DataFrame, most: int = CONTEXT_ROWS) -> DataFrame:
+    """The first rows by evidence_id, and what each allows to be claimed: (evidence_id, severity_label, confidence, claim)."""
+    first = evidence.orderBy(F.length("evidence_id"), "evidence_id").limit(most)
+    return first.withColumn("claim", F.concat_ws(" ", F.concat(F.col("evidence_type"), F.lit(":")), "match_type", F.concat(F.lit("n = "), "n"), F.concat(F.lit("q = "), F.format_string("%.3g", "q_value"))))
+
+
+def pair_context(evidence: DataFrame, series: DataFrame) -> DataFrame:
+    """Rows of two series with whether these share file, sheet, range and label; reuse across sources unless all of the first three."""
+    about = series.select("ds", "file", "sheet", "range", F.trim("label").alias("label"))
+    out = evidence.where("ds_b is not null").join(about.toDF("ds_a", "file_a", "sheet_a", "range_a", "label_a"), "ds_a").join(about.toDF("ds_b", "file_b", "sheet_b", "range_b", "label_b"), "ds_b")
+    same = {f"same_{c}": F.col(f"{c}_a").eqNullSafe(F.col(f"{c}_b")) for c in ("file", "sheet", "range", "label")}
+    out = out.withColumns(same).drop(*[f"{c}_{side}" for c in ("file", "sheet", "range", "label") for side in "ab"])
+    return out.withColumn("cross_source_reuse_candidate", ~(F.col("same_file") & F.col("same_sheet") & F.col("same_range")))
+
+
+def scan_stats(cells: DataFrame, least: int, most_pairs: int | None = None) -> DataFrame:
+    """One row: pairs among the series of at least `least` values, and how many a limit would scan and skip (without one, none)."""
+    n = cells.groupBy("ds").agg(F.count("*").alias("n")).where(F.col("n") >= least).agg(F.count("*").alias("k"))
+    total = (F.col("k") * (F.col("k") - 1) / 2).cast("long")
+    scanned = total if most_pairs is None else F.least(total, F.lit(most_pairs).cast("long"))
+    return n.select(total.alias("pairwise_comparisons_total"), scanned.alias("pairwise_comparisons_scanned"), (total - scanned).alias("pairwise_comparisons_skipped"), (total > scanned).alias("pairwise_comparison_limit_reached"))
 
 
 def summary(evidence: DataFrame) -> DataFrame:

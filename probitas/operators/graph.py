@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -47,34 +48,83 @@ def pagerank(edges: DataFrame, vertices: DataFrame, damping: float = 0.85, toler
     return ranks.select("paper_id", "rank")
 
 
-def rings(edges: DataFrame, least: int = 3) -> DataFrame:
-    """(paper_id, ring) of strongly connected components of at least `least` papers; ring is the smallest paper of it.
-
-    Forward and backward colouring: the smallest vertex spreads along edges, then back among its colour; what both
-    reach is a component and goes; the rest is coloured again. Vertices without an edge in or out are trimmed first.
+#: Edges up to which a graph's rings are found in one task.
+ONE_TASK = 500_000
+
+
+def _components(src: list, dst: list) -> list[tuple]:
+    """(vertex, least vertex of its strongly connected component, size), by two depth-first walks."""
+    onward: dict = {}
+    back: dict = {}
+    for u, v in zip(src, dst):
+        onward.setdefault(u, []).append(v)
+        back.setdefault(v, []).append(u)
+    done, left_in_order = set(), []
+    for root in onward:
+        stack = [(root, iter(onward[root]))] if root not in done else []
+        done.add(root)
+        while stack:
+            at, rest = stack[-1]
+            nxt = next((v for v in rest if v not in done), None)
+            if nxt is None:
+                left_in_order.append(at)
+                stack.pop()
+            else:
+                done.add(nxt)
+                stack.append((nxt, iter(onward.get(nxt, ()))))
+    out, taken = [], set()
+    for root in reversed(left_in_order):
+        if root in taken:
+            continue
+        taken.add(root)
+        own, front = [root], [root]
+        while front:
+            for u in back.get(front.pop(), ()):
+                if u not in taken:
+                    taken.add(u)
+                    own.append(u)
+                    front.append(u)
+        out += [(v, min(own), len(own)) for v in own]
+    return out
+
+
+def rings(edges: DataFrame, least: int = 3, one_task: int = ONE_TASK) -> DataFrame:
+    """(paper_id, ring, size) of strongly connected components of at least `least` papers; ring is the smallest paper of it.
+
+    Vertices without an edge in or out are trimmed first. Up to `one_task` edges the rest is walked in one task. Beyond,
+    by forward and backward colouring: the smallest vertex spreads along edges, then back among its colour; what both
+    reach is a component and goes; the rest is trimmed and coloured again. Each step costs a round for every edge of the
+    longest path that a colour has to go.
     """
     left, found = scratch.save(edges.where("src != dst").select("src", "dst").distinct()), None
+    schema = f"paper_id {edges.schema['src'].dataType.simpleString()}, ring {edges.schema['src'].dataType.simpleString()}, size long"
     while True:
-        while True:  # a vertex in a cycle has edges both ways
+        many = left.count()
+        while many > one_task:  # a vertex in a cycle has edges both ways
             live = left.select(F.col("src").alias("v")).intersect(left.select(F.col("dst").alias("v")))
             kept = scratch.save(left.join(live.withColumnRenamed("v", "src"), "src", "left_semi").join(live.withColumnRenamed("v", "dst"), "dst", "left_semi").select("src", "dst"))
-            if kept.count() == left.count():
+            before, many, left = many, kept.count(), kept
+            if many == before:
                 break
-            left = kept
-        if left.isEmpty():
-            break
+        if many <= one_task:
+
+            def walk(batches):
+                parts = list(batches)  # one_task rows at most
+                rows = _components([v for p in parts for v in p["src"]], [v for p in parts for v in p["dst"]])
+                yield pd.DataFrame(rows, columns=["paper_id", "ring", "size"])
+
+            last = left.coalesce(1).mapInPandas(walk, schema).where(F.col("size") >= least)
+            return last if found is None else found.unionByName(last)
         nodes = left.select(F.col("src").alias("v")).distinct()
         colour = _spread(left, scratch.save(nodes.withColumn("c", F.col("v"))))
         ends = left.join(colour.select(F.col("v").alias("src"), F.col("c").alias("cs")), "src").join(colour.select(F.col("v").alias("dst"), F.col("c").alias("cd")), "dst")
         same = scratch.save(ends.where("cs = cd").select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("cs").alias("c")))
         core = _reach(same, scratch.save(colour.where("v = c")))
-        part = core.select(F.col("v").alias("paper_id"), F.col("c").alias("ring"))
+        sizes = core.groupBy("c").agg(F.count("*").alias("size")).where(F.col("size") >= least)
+        part = core.join(sizes, "c").select(F.col("v").alias("paper_id"), F.col("c").alias("ring"), "size")
         found = part if found is None else found.unionByName(part)
         gone = core.select("v")
         left = scratch.save(left.join(gone.withColumnRenamed("v", "src"), "src", "left_anti").join(gone.withColumnRenamed("v", "dst"), "dst", "left_anti"))
-    if found is None:
-        return edges.select(F.col("src").alias("paper_id"), F.col("src").alias("ring")).limit(0)
-    return found.withColumn("size", F.count("*").over(Window.partitionBy("ring"))).where(F.col("size") >= least)
 
 
 def _spread(edges: DataFrame, colour: DataFrame) -> DataFrame:

@@ -40,3 +40,10 @@ def short_citation(authors: Column, year: Column) -> Column:
     last = lambda k: F.element_at(F.split(F.element_at(authors, k), r"\s+"), -1)
     who = F.when(F.size(authors) == 0, "Unknown").when(F.size(authors) == 1, last(1)).when(F.size(authors) == 2, F.concat(last(1), F.lit(" & "), last(2))).otherwise(F.concat(last(1), F.lit(" et al.")))
     return F.concat(who, F.lit(" ("), F.coalesce(year.cast("string"), F.lit("n.d.")), F.lit(")"))
+
+
+def report_summary(reports: DataFrame) -> DataFrame:
+    """(title, risk_level, risk_score): each report in one line."""
+    score = F.coalesce(F.col("risk_score").cast("string"), F.lit("N/A"))
+    line = F.concat(F.lit("["), F.upper(F.coalesce("risk_level", F.lit("unknown"))), F.lit("] score="), score, F.lit("/100 — "), F.coalesce("title", F.lit("Unknown paper")))
+    return reports.withColumn("summary", line)

@@ -22,6 +22,16 @@ select ds, pos, value, {fixed}(value) as raw from (
   union all select ds + 8000000, pos, value + 100 * (1 + pos % 3) from b where ds % 3 = 2
 ) planted
 """
+#: Short series of line numbers, which repeat.
+LINES = """select ds, cast(row_number() over (partition by ds order by l_orderkey, l_linenumber) - 1 as int) as pos, value, {fixed}(value) as raw
+from (select l_suppkey * 100 + l_partkey % 50 as ds, l_orderkey, l_linenumber, l_linenumber + 0e0 as value from {lineitem}) l"""
+#: Numbers of three decimals by supplier and line; every third supplier's decimals are often 137, every fifth has a copy with
+#: other whole parts and one with a value changed.
+THOUSANDTHS = """
+with l as (select l_suppkey * 10 + l_linenumber as ds, cast(row_number() over (partition by l_suppkey, l_linenumber order by l_orderkey) - 1 as int) as pos, l_linenumber as whole, cast(case when l_suppkey % 3 = 0 and l_orderkey % 4 = 0 then 137 else (l_orderkey * 7919 + l_partkey) % 1000 end as int) as d from {lineitem}),
+p as (select ds, pos, whole, d from l union all select ds + 1000000, pos, whole + pos % 3, d from l where ds % 5 = 0 union all select ds + 2000000, pos, whole, case when pos = 1 then (d + 500) % 1000 else d end from l where ds % 5 = 1)
+select ds, pos, whole + d / 1000e0 as value, concat(cast(whole as string), '.', lpad(cast(d as string), 3, '0')) as raw from p
+"""
 #: Two-decimal rates of order lines by supplier.
 RATES = "select l_suppkey as ds, cast(l_linenumber as int) as pos, {column} as value, {fixed}({column}) as raw from {lineitem}"
 

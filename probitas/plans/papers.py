@@ -11,14 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import figures, graph, methodology, statistics, texts
 from ..sources import html
 from . import bindings as b
-from .queries import QUERIES, SQL, add, on, with_cells
-
-
-def replace(name: str, query, sql: str | None = None) -> None:
-    """Registers a query in place of one of that name."""
-    QUERIES.pop(name, None)
-    SQL.pop(name, None)
-    add(name, query, sql)
+from .queries import add, on
 
 
 def joined(*columns: str):
@@ -39,7 +32,7 @@ _REAGENTS = """select p_partkey as idx, case p_partkey % 3 when 0 then 'Anti-GFP
 case p_partkey % 5 when 0 then concat('ab', cast(10000 + p_partkey as string)) when 1 then '' when 2 then 'not a number' when 3 then concat('sc-', cast(1000 + p_partkey as string)) else concat(' S', cast(1000 + p_partkey % 9000 as string), ' ') end as catalog_number,
 case p_partkey % 8 when 0 then 'Abcam plc' when 1 then 'Santa Cruz Biotechnology' when 2 then 'Sigma-Aldrich' when 3 then 'THERMO FISHER' when 4 then 'Unknown' when 5 then '' when 6 then cast(null as string) else ' Roche ' end as vendor from {part}"""
 _VENDORS = "(values " + ", ".join(f"({k}, {quoted(name)}, {quoted('(?i)' + pattern)})" for k, (name, pattern) in enumerate(methodology.VENDORS)) + ") v(ord, key, pattern)"
-replace("m1_reagents", on(_REAGENTS, lambda df: joined("issues")(methodology.reagents(df))), f"""
+add("m1_reagents", on(_REAGENTS, lambda df: joined("issues")(methodology.reagents(df))), f"""
 with i as ({b.duck(_REAGENTS)}), k as (select idx, arg_min(key, ord) as key, arg_min(pattern, ord) as pattern from i join {_VENDORS} on contains(lower(trim(coalesce(vendor, ''))), key) group by idx),
 f as (select i.*, key, pattern, trim(catalog_number) as number, coalesce(vendor, '') as v from i left join k using (idx)),
 g as (select *, {names(("format_mismatch", "catalog_number <> '' and key is not null and not regexp_matches(number, pattern)"),
@@ -52,7 +45,7 @@ when 7 then concat(' PPL 70/', cast(1000 + s_suppkey % 9000 as string)) else cas
 _COUNTRY = " or ".join(f"country_key = '{c}' and not regexp_matches(number, {quoted('(?i)' + '|'.join(ps))})" for c, ps in methodology.APPROVALS.items())
 _ANYWHERE = quoted("(?i)" + "|".join(p for ps in methodology.APPROVALS.values() for p in ps))
 _FAKE = " or ".join(f"regexp_matches(number, {quoted(p)})" for p in methodology.FAKE_APPROVALS)
-replace("m2_ethics", on(_ETHICS, lambda df: joined("findings")(methodology.ethics(df))), f"""
+add("m2_ethics", on(_ETHICS, lambda df: joined("findings")(methodology.ethics(df))), f"""
 with r as ({b.duck(_ETHICS)}), n as (select *, trim(coalesce(approval_number, '')) as number, lower(trim(coalesce(country, 'unknown'))) as country_key from r),
 c as (select *, case when number = '' then 'missing' else {names(("likely_fabricated", _FAKE), ("too_short", "length(number) < 5"), ("format_mismatch_country", _COUNTRY))} end as first from n),
 f as (select *, case when first = '' and country_key = 'unknown' and not regexp_matches(number, {_ANYWHERE}) then 'format_unknown' else first end as findings from c)
@@ -63,7 +56,7 @@ case when o_orderkey % 3 = 0 then concat(cast(o_orderkey % 20 as string), ' mont
 case o_orderkey % 7 when 0 then 'soon' when 1 then cast(null as string) when 2 then '2020-02-30' else '2020-01-02T00' end as submission_date, case when o_orderkey % 2 = 0 then '2021-05-06' else '' end as publication_date from {orders}"""
 _BEGIN, _LASTS = "(o_orderkey % 30)", "(case when o_orderkey % 3 = 0 then 4 * (o_orderkey % 20) else o_orderkey % 40 + 4 end)"
 _DAYS = "(7 * (o_orderkey % 70) + o_orderkey % 5 + case when o_orderkey % 3 = 0 then 30 * (o_orderkey % 20) else 7 * (o_orderkey % 40) + 30 end)"
-replace("m3_timelines", on(_TIMES, lambda df: joined("findings")(methodology.timelines(df).select("o_orderkey", "estimated_days", "findings", "flagged"))), f"""
+add("m3_timelines", on(_TIMES, lambda df: joined("findings")(methodology.timelines(df).select("o_orderkey", "estimated_days", "findings", "flagged"))), f"""
 with f as (select o_orderkey, {_DAYS} as days, {names(("date_parse_error", "o_orderkey % 7 in (0, 2)"),
     ("long_timeline", f"(o_orderkey % 7 > 2 or o_orderkey % 2 = 0) and {_BEGIN} > 0 and {_LASTS} > 0 and {_BEGIN} + {_LASTS} > 52"), ("both_eyes_concern", "o_orderkey % 11 = 0"))} as findings from orders)
 select o_orderkey, nullif(days, 0) as estimated_days, findings, findings <> '' as flagged from f""")
@@ -72,7 +65,7 @@ _METHODS = """select l_orderkey, l_linenumber, l_partkey, concat(case when l_lin
 case when l_partkey % 4 = 0 then concat('; ', cast(l_partkey % 6 as string), ' mice per group') else '' end, '.') as methods_text,
 case l_partkey % 5 when 0 then concat('Student t, n=', cast(l_partkey % 7 as string), ' in female mice') when 1 then 'F (2, 8) and t = 3' when 2 then 't(7) in female mice' when 3 then 'no test, female' else cast(null as string) end as results_text from {lineitem}"""
 _VALUES = "case when l_partkey % 4 = 0 then list_sort(list_distinct([l_suppkey % 9, l_partkey % 6])) else [l_suppkey % 9] end"
-replace("m4_methods_agreement", on(_METHODS, lambda df: joined("findings", "n_values")(methodology.methods_agreement(df).drop("methods_text", "results_text"))), f"""
+add("m4_methods_agreement", on(_METHODS, lambda df: joined("findings", "n_values")(methodology.methods_agreement(df).drop("methods_text", "results_text"))), f"""
 with f as (select l_orderkey, l_linenumber, l_partkey, {_VALUES} as n, l_linenumber % 3 <> 2 as anova, l_linenumber % 3 = 2 as tt, {names(("n_value_inconsistency", f"len({_VALUES}) > 1"),
     ("stat_method_contradiction", "l_linenumber % 3 <> 2 and l_partkey % 5 in (0, 2)"), ("gender_contradiction", "l_linenumber <> 1 and l_partkey % 5 in (0, 2, 3)"))} as findings from lineitem)
 select l_orderkey, l_linenumber, l_partkey, array_to_string(n, ',') as n_values, 5 as checks_performed, anova, tt as ttest, tt as nonparametric, findings, findings <> '' as flagged from f""")
@@ -81,19 +74,19 @@ _REVIEWS = """select conv_id as paper_id, cast(turn as int) as review_index, con
 case when conv_id % 3 = 0 then concat('The authors should state more clearly what was done in step ', cast(turn as string), '! ') else '' end, text, case when turn % 2 = 1 then ' See Figure 2, fig. 3 and Table 4 on page 5, line 6 of this novel approach.' else ' A well written, interesting paper of good work.' end,
 case when conv_id % 3 = 0 then ' The authors should state more clearly what was done and why it was done that way' else '' end, case when conv_id % 5 = 0 then concat(' ', text, ' ', text, ' ', text, ' ', text) else '' end) as text from {conversations}"""
 _KINDS = {k: f"len(regexp_extract_all(text, {quoted(p)}))" for k, p in texts.REFERENCES.items()}
-replace("q3_review_texts", on(_REVIEWS, texts.review_texts), f"""
+add("q3_review_texts", on(_REVIEWS, texts.review_texts), f"""
 with r as ({b.duck(_REVIEWS)}), c as (select *, list_filter(string_split_regex(lower(text), '[\\s\\x1c-\\x1f\\x{{85}}\\p{{Z}}]+'), lambda w: w <> '') as w, {", ".join(f"{sql} as {k}" for k, sql in _KINDS.items())},
   {" + ".join(f"contains(lower(text), {quoted(p)})::int" for p in texts.GENERIC)} as generic_phrase_count from r),
 g as (select distinct paper_id, review_index, array_to_string(w[i : i + 4], ' ') as gram from c, range(1, len(w) - 3) t(i) where len(w) >= 5),
 d as (select paper_id, count(*) as k from (select paper_id, gram from g group by all having count(*) >= 2) group by paper_id),
 s as (select paper_id, review_index, {", ".join(_KINDS)}, generic_phrase_count, len(w) as word_count, {" + ".join(_KINDS)} as specific_references from c), t as (select *, word_count < 100 or specific_references < 2 or generic_phrase_count >= 3 as suspicious from s)
 select t.*, least(coalesce(k, 0), 20)::int as duplicated_phrases, bool_or(suspicious) over (partition by paper_id) or least(coalesce(k, 0), 20) > 5 as flagged from t left join d using (paper_id)""")
-replace("q5_review_templates", on(_REVIEWS, texts.review_templates))
+add("q5_review_templates", on(_REVIEWS, texts.review_templates))
 
 _MAILS = """select c_name as name, case when c_custkey % 6 = 5 then cast(null as string) when c_custkey % 6 = 4 then 'a@gmail.com.uni.edu' else concat('r', cast(c_custkey as string), '@', case c_custkey % 6 when 0 then 'GMail.com' when 1 then 'cs.example.edu' when 2 then 'example.com' else 'hospital.example.org' end) end as email from {customer}"""
 _CLASS = "case c_custkey % 6 when 0 then 'free_email' when 1 then 'institutional' when 2 then 'unknown_domain' when 5 then null else 'institutional' end"
 _AUTHORS = "select c_name as name, cast(c_custkey % 4 as int) as paper_count from {customer} where c_custkey % 7 <> 0"
-replace("q4_reviewer_emails", on(_MAILS, texts.reviewer_emails), f"""
+add("q4_reviewer_emails", on(_MAILS, texts.reviewer_emails), f"""
 select name, email, email_class, coalesce(email_class in ('free_email', 'unknown_domain'), false) as flagged from (select m.*, {_CLASS} as email_class from ({b.duck(_MAILS)}) m join customer on name = c_name)""")
 add("q4_reviewer_records", lambda s, d: texts.reviewer_emails(b.frame(s, d, _MAILS), b.frame(s, d, _AUTHORS)), f"""
 select m.name, m.email, {_CLASS} as email_class, a.paper_count, c_custkey % 6 in (0, 2) or coalesce(a.paper_count, 0) = 0 as flagged from ({b.duck(_MAILS)}) m join customer on m.name = c_name left join ({b.duck(_AUTHORS)}) a on a.name = m.name""")
@@ -104,7 +97,7 @@ _WORKS = "select concat('10.1/', cast(doc_id as string)) as doi, concat('title O
 _WORDS = "list_distinct(list_filter(regexp_extract_all(lower(coalesce({0}, '')), '[\\p{{L}}\\p{{N}}_]+'), lambda w: regexp_full_match(w, '[a-z]{{4,}}')))"
 _VAGUE = quoted("(?i)" + "|".join(graph.VAGUE))
 _OWN, _TITLE, _ABSTRACT = (_WORDS.format(x) for x in ("regexp_replace(claim_text, '\\[\\d+(?:[,–-]\\d+)*\\]', '', 'g')", "fetched_title", "abstract"))
-replace("g9_claim_support", lambda s, d: joined("issues")(graph.claim_support(graph.cited_works(b.frame(s, d, _CLAIMS), b.frame(s, d, _WORKS))).select("claim_index", "fetched_title", "title_overlap", "abstract_overlap", "issues", "suspicious")), f"""
+add("g9_claim_support", lambda s, d: joined("issues")(graph.claim_support(graph.cited_works(b.frame(s, d, _CLAIMS), b.frame(s, d, _WORKS))).select("claim_index", "fetched_title", "title_overlap", "abstract_overlap", "issues", "suspicious")), f"""
 with c as ({b.duck(_CLAIMS)}), w as ({b.duck(_WORKS)}), f as (select c.*, coalesce(x.title, y.title) as fetched_title, case when x.doi is not null then x.abstract else y.abstract end as abstract from c left join w x on x.doi = cited_doi left join w y on lower(y.title) = lower(cited_title)),
 k as (select *, {_OWN} as own, {_TITLE} as tw, {_ABSTRACT} as aw from f),
 o as (select *, case when len(own) > 0 and len(tw) > 0 then len(list_intersect(own, tw)) / len(own) end as t, case when len(own) > 0 and len(aw) > 0 then len(list_intersect(own, aw)) / len(own) end as a from k),
@@ -129,7 +122,7 @@ def _si_sql() -> str:
 links as (select doc_id, row_number() over (partition by doc_id order by ord, i)::int - 1 as place, url, label, case when source = 'figshare_url_scan' then 'figshare.com' else {host} end as host, source from f where k = 1)"""
 
 
-replace("s28_links", on(_SI, html.supplementary_links), f"with {_si_sql()} select * from links")
+add("s28_links", on(_SI, html.supplementary_links), f"with {_si_sql()} select * from links")
 add("s28_unresolved_labels", on(_SI, html.unresolved_labels), f"""with {_si_sql()}, u as (select doc_id, unnest(range(1, len(l) + 1)) as i, trim(unnest(l)) as label, coalesce(nullif(trim(unnest(t)), ''), 'unknown') as file_type
 from (select doc_id, regexp_extract_all(text, {quoted(html.LABEL)}, 1) as l, regexp_extract_all(text, {quoted(html.LABEL)}, 2) as t from r)),
 o as (select * from u where not exists (select 1 from links where links.doc_id = u.doc_id and contains(lower(links.label), lower(u.label)))), once as (select *, row_number() over (partition by doc_id, lower(label) order by i) as k from o)
@@ -140,12 +133,10 @@ for _variant, _name in (("default", "t4b_digit_preference"), ("strict", "c4_digi
     _limits = statistics.DIGIT_LIMITS[_variant]
     _over = ", ".join(f"case when f{d} > {_limits['other']} then '{d}' end" for d in range(10) if _variant == "default" or d not in (0, 5))
     _levels = ", ".join(f"case when {c} > {_limits[n][0]} then 'strong' when {c} > {_limits[n][1]} then 'slight' end as level{c[5:]}" for n, c in (("5", "share_5"), ("0", "share_0"), ("0+5", "share_0_5")))
-    replace(_name, on(_SHOWN, lambda df, v=_variant: statistics.digit_preference(df, variant=v)), f"""
+    add(_name, on(_SHOWN, lambda df, v=_variant: statistics.digit_preference(df, variant=v)), f"""
 with v as ({b.duck(_SHOWN)}), d as (select group_id, right(printf('%.10g', abs(value)), 1) as digit from v), c as (select group_id, count(*) as n, {", ".join(f"round(count(*) filter (digit = '{k}') / count(*), 3) as f{k}" for k in range(10))} from d group by group_id having count(*) >= 10),
 s as (select group_id, n, f0 as share_0, f5 as share_5, round(f0 + f5, 3) as share_0_5, concat_ws(',', {_over}) as overrepresented from c), l as (select *, {_levels} from s)
 select * from l where level_5 is not null or level_0 is not null or level_0_5 is not null or overrepresented <> ''""")
-for _old in ("t4b_digit_preference_strict",):
-    QUERIES.pop(_old, None)
 
 #: Series of order lines by supplier with copies: rescaled, rounded, shortened, permuted, with a group more; labels order the pairs.
 _FIGURES = """
@@ -176,7 +167,7 @@ m as (select la, lb, n, 'near_match' as match_type, round(rel, 6) as detail from
 select la, lb, n::int as n, match_type, detail from m anti join (from p where same) e on m.la = e.la and m.lb = e.lb union all select la, lb, n::int, 'exact_match', null from p where same"""
 
 
-replace("t6_cross_figure", on(_FIGURES, statistics.cross_figure), _pairs_sql(False))
+add("t6_cross_figure", on(_FIGURES, statistics.cross_figure), _pairs_sql(False))
 add("c1_cross_figure_pipeline", on(_FIGURES, statistics.cross_figure_pipeline), _pairs_sql(True))
 
 #: Texts whose numbers are columns; a supplier's lines make a paper.

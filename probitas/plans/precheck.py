@@ -1,16 +1,19 @@
-"""The whole raw-data precheck: all detectors, multiple testing, calibration, numbering."""
+"""The raw-data precheck and the path of a local case: all detectors, multiple testing, calibration, numbering, claims, report."""
 
 from __future__ import annotations
 
-import uuid
+import json
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import detectors, evidence
+from .. import scratch
+from ..operators import claims, detectors, evidence
+from ..sources import workbooks
 
-COLUMNS = {"ds_a": "long", "ds_b": "long", "match_type": "string", "n": "int", "p_value": "double", "fdr_hypothesis_count": "int", "severity": "int", "confidence": "double"}
+COLUMNS = {"match_type": "string", "n": "int", "p_value": "double", "fdr_hypothesis_count": "int", "severity": "int", "confidence": "double"}
 DETECTORS = (
     detectors.constant_series, detectors.arithmetic_sequences, detectors.near_duplicates, detectors.fragments_within, detectors.fragments_across,
     detectors.similarity, detectors.suffix_overrepresentation, detectors.suffix_reuse, detectors.last_digits,
@@ -18,26 +21,83 @@ DETECTORS = (
 
 
 def gather(cells: DataFrame, only: tuple = DETECTORS) -> DataFrame:
-    """Rows of the detectors in common columns, the rest as one JSON text."""
-    parts = []
+    """Rows of the detectors in common columns, the rest as one JSON text; each detector's rows are written down by themselves."""
+    cells, parts, kind = scratch.save(cells.select("ds", "pos", "value", "raw")), [], cells.schema["ds"].dataType
     for order, detect in enumerate(only):
         rows = detect(cells)
-        extra = [c for c in rows.columns if c not in COLUMNS and c != "evidence_type"]
-        common = [F.col(c).cast(t).alias(c) if c in rows.columns else F.lit(None).cast(t).alias(c) for c, t in COLUMNS.items()]
+        extra = [c for c in rows.columns if c not in COLUMNS and c not in ("evidence_type", "ds_a", "ds_b")]
+        common = [F.col(c).cast(t).alias(c) if c in rows.columns else F.lit(None).cast(t).alias(c) for c, t in (COLUMNS | {"ds_a": kind, "ds_b": kind}).items()]
         details = F.to_json(F.struct(*extra)) if extra else F.lit("{}")
-        parts.append(rows.select("evidence_type", *common, details.alias("statistics"), F.lit(order).alias("detector_ord")))
+        parts.append(scratch.save(rows.select("evidence_type", *common, details.alias("statistics"), F.lit(order).alias("detector_ord"))))
     return reduce(DataFrame.unionByName, parts)
 
 
 def precheck(cells: DataFrame, only: tuple = DETECTORS, designed: DataFrame | None = None) -> DataFrame:
-    """Numbered evidence. The detectors' rows are written once to the shared folder, if the session names one, and read by each later step."""
+    """Numbered evidence. `designed` (ds) are designed sequences, whose evidence is downgraded."""
     rows = gather(cells, only)
     if designed is not None:
         rows = evidence.designed_downgrade(rows, designed)
-    spark = cells.sparkSession
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if shared:
-        path = f"{shared.rstrip('/')}/precheck/{uuid.uuid4().hex}"
-        rows.write.parquet(path)
-        rows = spark.read.schema(rows.schema).parquet(path)
     return evidence.number(evidence.calibrate(evidence.fdr(rows)), "detector_ord", "ds_a", "ds_b", "statistics")
+
+
+@dataclass
+class Case:
+    """What a local case gives: tables, all lazy but for what is written down."""
+
+    files: DataFrame
+    errors: DataFrame
+    series: DataFrame
+    evidence: DataFrame
+    summary: DataFrame
+    findings: DataFrame
+    pairs: DataFrame
+    claims: DataFrame
+    alignments: DataFrame
+    validations: DataFrame
+    verdicts: DataFrame
+
+
+def run_case(spark: SparkSession, folder: str, papers: DataFrame, per_file: int | None = None, in_all: int | None = None, pre_extracted: DataFrame | None = None) -> Case:
+    """A case folder's workbooks through the precheck, and the claims of its paper (doc_id, text, as extracted elsewhere) against them."""
+    files, errors = workbooks.discover_case(spark, folder)
+    cells = scratch.save(workbooks.read_workbooks(spark, folder))
+    found = scratch.save(workbooks.segments(cells))
+    series = scratch.save(workbooks.in_loading_order(workbooks.labels(found, cells), per_file, in_all))
+    kept = series.where("not skipped")
+    values = found.join(kept.select("ds"), "ds", "left_semi").select("ds", "pos", "value", "raw")
+    rows = scratch.save(precheck(values, designed=kept.where("designed").select("ds")))
+    findings = evidence.for_context(rows)
+    told = scratch.save(claims.claims(papers))
+    aligned = claims.align(told, values, pre_extracted=pre_extracted)
+    return Case(files, errors, series, rows, evidence.summary(rows), findings, evidence.pair_context(rows, series), told, aligned, claims.cross_validation(aligned, findings), claims.verdict_counts(aligned))
+
+
+def as_text(case: Case, most: int = 20, cut: int = 500) -> str:
+    """The precheck as Markdown: summary, the first `most` findings with their statistics cut at `cut` characters, alignment counts."""
+    s, v = case.summary.first(), case.verdicts.first()
+    lines = ["### Raw-data precheck", "", f"- Overall risk: {s.overall}", f"- Highest confidence: {s.max_confidence}", f"- Evidence: {s.total} (critical={s.critical}, high={s.high}, medium={s.medium})", ""]
+    rows = case.findings.orderBy(F.length("evidence_id"), "evidence_id").limit(most).collect()
+    lines += ["#### Main evidence"] if rows else ["No evidence of raw-data fabrication reaches a threshold."]
+    for r in rows:
+        told = r.statistics if len(r.statistics) <= cut else r.statistics[:cut] + "..."
+        lines += [f"- **{r.evidence_id} | {r.severity_label} | confidence={r.confidence}**", f"  - Type: {r.evidence_type}", f"  - Basis: {r.claim}", f"  - Statistics: {told}"]
+    linked = case.validations.where("size(linked_evidence_ids) > 0").count()
+    lines += ["", "#### Reported statistics against workbooks", f"- matched={v.matched}, ambiguous={v.ambiguous}, no_candidate={v.no_candidate}, unverifiable={v.unverifiable}", f"- validations={v.validation_count}, linked to evidence={linked}"]
+    return "\n".join(lines)
+
+
+def write_report(case: Case, out: str) -> None:
+    """Sinks: evidence, series, alignments and validations as JSON tables, the text as report.md and report.html, the summary as report.json, under `out`."""
+    spark = case.evidence.sparkSession
+    for name in ("evidence", "series", "claims", "alignments", "validations", "pairs"):
+        getattr(case, name).write.mode("overwrite").json(f"{out}/{name}")
+    text = as_text(case)
+    body = text.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
+    summary = case.summary.first().asDict() | {"verdicts": case.verdicts.first().asDict()}
+    for name, content in (("report.md", text), ("report.html", f"<!doctype html><meta charset=utf-8><pre>{body}</pre>"), ("report.json", json.dumps(summary, ensure_ascii=False))):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/{name}")
+        stream = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
+        try:
+            stream.write(bytearray(content.encode()))
+        finally:
+            stream.close()

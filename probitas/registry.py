@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .plans import papers as _papers  # noqa: F401  registers its queries
 from .plans import queries as _plans
+from .plans import series as _series  # noqa: F401
 
 flagship = _plans.flagship
 

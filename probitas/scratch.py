@@ -7,6 +7,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -33,6 +35,20 @@ def save(df: DataFrame) -> DataFrame:
     return out
 
 
+def in_order(df: DataFrame, *order) -> DataFrame:
+    """df sorted by `order` over all, written down in ranges: with `part`, its range, and `place`, the place within it from 0."""
+    mark = F.monotonically_increasing_id()
+    return save(df.orderBy(*order).withColumn("_at", mark).withColumns({"part": F.shiftright("_at", 33).cast("int"), "place": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))}).drop("_at"))
+
+
+def numbered(df: DataFrame, name: str, *order) -> DataFrame:
+    """df with its place in the order of all rows, from 1; no task has more than a range of them."""
+    rows = in_order(df, *order)
+    ends = rows.groupBy("part").agg(F.count("*").alias("k"))
+    before = ends.select("part", (F.sum("k").over(Window.orderBy("part")) - F.col("k")).alias("before"))  # a row a range
+    return rows.join(F.broadcast(before), "part").withColumn(name, F.col("before") + F.col("place") + 1).drop("part", "place", "before")
+
+
 def drop(df: DataFrame) -> None:
     """Deletes a scratch table that nothing will read any more."""
     spark, path = df.sparkSession, getattr(df, "scratch", None)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .. import scratch
 from ..functions.numbers import coerce_number, decimal_metadata, display_text, format_decimals
 
 NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -72,9 +73,17 @@ def read_sheet_cells(data: bytes, name: str) -> list[tuple]:
     return out
 
 
+#: Names of workbooks that are read, in any case.
+WORKBOOKS = "*.[xX][lL][sStT][xXmM]"
+
+
+def workbook_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, content) of the workbooks under a path."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", WORKBOOKS).option("recursiveFileLookup", "true").load(path).select("path", "content")
+
+
 def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
     """Cells of all workbooks under a path; a workbook that can't be read gives one row with its error as txt and row 0."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xls[xm]").option("recursiveFileLookup", "true").load(path)
 
     def run(batches):
         for pdf in batches:
@@ -86,7 +95,21 @@ def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
                     rows.append((name, None, 0, 0, None, f"error: {e}", None))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in CELLS.split(", ")])
 
-    return files.select("path", "content").mapInPandas(run, CELLS)
+    return workbook_files(spark, path).mapInPandas(run, CELLS)
+
+
+def file_status(cells: DataFrame, series: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """(file, status, sheet_count, dataset_count, numeric_value_count, error): success; error if a workbook can't be read or,
+    of `asked` (file), isn't there or is of another kind; skipped if truncation left none of its series."""
+    read = cells.groupBy("file").agg(F.count_distinct("sheet").alias("sheet_count"), F.max(F.when(F.col("row") == 0, F.col("txt"))).alias("error"))
+    kept = series.groupBy("file").agg(F.count("*").alias("dataset_count"), F.sum("n").alias("numeric_value_count"))
+    out = (asked.select("file").distinct().join(read, "file", "left") if asked is not None else read).join(kept, "file", "left").na.fill(0, ["sheet_count", "dataset_count", "numeric_value_count"])
+    wrong = F.when(~F.lower("file").rlike(r"\.(xlsx|xlsm|xltx|xltm)$"), "error: not a workbook of a known kind").when(F.col("sheet_count") == 0, "error: there is no such file")
+    out = out.withColumn("error", F.coalesce("error", wrong))
+    cut = F.col("skipped") if "skipped" in series.columns else F.lit(False)
+    left_out = series.groupBy("file").agg(F.bool_and(cut).alias("_none"))
+    out = out.join(left_out, "file", "left")
+    return out.withColumn("status", F.when(F.col("error").isNotNull(), "error").when(F.col("_none"), "skipped").otherwise("success")).drop("_none")
 
 
 def numeric_cells(cells: DataFrame) -> DataFrame:
@@ -121,21 +144,68 @@ def segments(cells: DataFrame, max_gap: int = 2, min_n: int = 3) -> DataFrame:
     return out.withColumn("ds", F.concat_ws("::", "file", "sheet", "orientation", "line", "first", "last"))
 
 
+def letters(col: Column) -> Column:
+    """A column's letters."""
+    one = lambda at: F.char(F.lit(65) + at)
+    third, second = F.floor((col - 703) / 676).cast("int"), F.pmod(F.floor((col - 27) / 26).cast("int"), F.lit(26))
+    return F.concat(F.when(col > 702, one(third)).otherwise(""), F.when(col > 26, one(second)).otherwise(""), one(F.pmod(col - 1, F.lit(26))))
+
+
+def _nearest(points: DataFrame, texts: DataFrame, down: bool, reach: int) -> DataFrame:
+    """(id, txt): the nearest text up to `reach` cells above (or left of) each point (id, file, sheet, row, col)."""
+    steps = points.select("id", "file", "sheet", "row", "col", F.explode(F.sequence(F.lit(1), F.lit(reach))).alias("k"))
+    steps = steps.withColumn("row" if down else "col", F.col("row" if down else "col") - F.col("k"))
+    return steps.join(texts, ["file", "sheet", "row", "col"]).groupBy("id").agg(F.min_by("txt", "k").alias("txt"))
+
+
+def _texts(cells: DataFrame) -> DataFrame:
+    return cells.where("row > 0 and txt is not null").select("file", "sheet", "row", "col", F.regexp_replace("txt", r"^\s+|\s+$", "").alias("txt")).where("txt <> ''")
+
+
 def labels(found: DataFrame, cells: DataFrame) -> DataFrame:
-    """Per segment: header (nearest text up to five cells before it), title (nearest within five rows above and six columns), designed."""
-    heads = found.groupBy("file", "sheet", "orientation", "line", "first", "ds").agg(F.min("row").alias("r0"), F.min("col").alias("c0"), F.first("n").alias("n"), F.first("missing_count").alias("missing_count"))
-    texts = cells.where("txt is not null and row > 0").select("file", "sheet", F.col("row").alias("tr"), F.col("col").alias("tc"), "txt")
-    near = heads.join(texts, ["file", "sheet"])
-    column = (F.col("orientation") == "column") & (F.col("tc") == F.col("c0")) & (F.col("r0") - F.col("tr")).between(1, 5)
-    row = (F.col("orientation") == "row") & (F.col("tr") == F.col("r0")) & (F.col("c0") - F.col("tc")).between(1, 5)
-    title = F.col("txt").rlike(TITLE) & (F.col("r0") - F.col("tr")).between(1, 5) & (F.abs(F.col("tc") - F.col("c0")) <= 6)
-    far = F.when(F.col("orientation") == "column", F.col("r0") - F.col("tr")).otherwise(F.col("c0") - F.col("tc"))
-    best = near.groupBy("ds").agg(
-        F.min_by(F.when(column | row, F.col("txt")), F.when(column | row, far)).alias("header"),
-        F.min_by(F.when(title, F.col("txt")), F.when(title, F.struct(F.col("r0") - F.col("tr"), F.abs(F.col("tc") - F.col("c0")), "tc"))).alias("table_title"),
-    )
-    out = heads.join(best, "ds", "left").withColumn("header", F.coalesce("header", F.when(F.col("orientation") == "column", F.concat(F.lit("Column "), "line")).otherwise(F.concat(F.lit("Row "), "line"))))
-    return out.withColumn("label", F.concat_ws(" ", "file", "sheet", "header")).withColumn("designed", designed(F.col("label")))
+    """One row a segment: header (the nearest text up to five cells before it, else that in the first row or column, else its
+    place), title (the nearest within five rows above and six columns to either side), range, label, designed."""
+    heads = found.groupBy("ds", "file", "sheet", "orientation", "line", "first", "last").agg(F.min("row").alias("row"), F.min("col").alias("col"), F.max("row").alias("r1"), F.max("col").alias("c1"), F.first("n").alias("n"), F.first("missing_count").alias("missing_count")).withColumnRenamed("ds", "id")
+    texts, parts = _texts(cells), []
+    for orientation, down in (("column", True), ("row", False)):
+        own = heads.where(F.col("orientation") == orientation)
+        edge = texts.where("row = 1" if down else "col = 1").select("file", "sheet", "col" if down else "row", F.col("txt").alias("_edge"))
+        place = F.concat(F.lit("Column "), letters(F.col("col"))) if down else F.concat(F.lit("Row "), F.col("row").cast("string"))
+        own = own.join(_nearest(own, texts, down, 5), "id", "left").join(edge, ["file", "sheet", "col" if down else "row"], "left")
+        parts.append(own.withColumn("header", F.coalesce("txt", "_edge", place)).drop("txt", "_edge"))
+    out = parts[0].unionByName(parts[1])
+    titles = texts.where(F.col("txt").rlike(TITLE)).select("file", "sheet", F.col("row").alias("tr"), F.col("col").alias("tc"), "txt")
+    steps = heads.select("id", "file", "sheet", "row", "col", "c1", F.explode(F.expr("sequence(1, 5)")).alias("up")).withColumn("tr", F.col("row") - F.col("up"))
+    near = steps.join(titles, ["file", "sheet", "tr"]).where("tc between col - 6 and c1 + 6")
+    best = near.groupBy("id").agg(F.min_by("txt", F.struct("up", F.least(F.abs(F.col("tc") - F.col("col")), F.abs(F.col("tc") - F.col("c1"))).alias("d"), "tc")).alias("table_title"))
+    name = F.element_at(F.split("file", "/"), -1)
+    at = F.concat(letters(F.col("col")), F.col("row").cast("string"), F.lit(":"), letters(F.col("c1")), F.col("r1").cast("string"))
+    line = F.when(F.col("orientation") == "column", letters(F.col("col"))).otherwise(F.concat(F.lit("Row "), F.col("row").cast("string")))
+    out = out.join(best, "id", "left").withColumns({"range": at, "label": F.concat(F.concat_ws("/", name, "sheet", line), F.lit(" "), "header")})
+    out = out.withColumns({"dataset_id": F.concat_ws("::", name, "sheet", "orientation", "range"), "designed": designed(F.col("label")) | designed(F.col("header"))})
+    return out.withColumnRenamed("id", "ds").drop("row", "col", "r1", "c1")
+
+
+def cell_labels(found: DataFrame, cells: DataFrame) -> DataFrame:
+    """found with `cell_label`: the nearest text up to four cells left of a cell of a column, above a cell of a row, else its row or column."""
+    texts, parts = _texts(cells), []
+    for orientation, down in (("column", False), ("row", True)):
+        own = found.where(F.col("orientation") == orientation).withColumn("id", F.struct("ds", "pos"))
+        place = F.concat(F.lit("Column "), letters(F.col("col"))) if down else F.concat(F.lit("Row "), F.col("row").cast("string"))
+        parts.append(own.join(_nearest(own, texts, down, 4), "id", "left").withColumn("cell_label", F.coalesce("txt", place)).drop("txt", "id"))
+    return parts[0].unionByName(parts[1])
+
+
+def in_loading_order(series: DataFrame, per_file: int | None = None, in_all: int | None = None) -> DataFrame:
+    """Segments (as of `labels`) with `dataset_idx` from 0 by file, sheet, columns before rows, and place; `skipped` if limits leave them out."""
+    kind = F.when(F.col("orientation") == "column", 0).otherwise(1)
+    own = F.row_number().over(Window.partitionBy("file").orderBy("sheet", kind, "line", "first"))
+    out = series.withColumns({"_own": own, "_kind": kind})
+    kept = out if per_file is None else out.where(F.col("_own") <= per_file)
+    kept = scratch.numbered(kept, "_k", "file", "sheet", "_kind", "line", "first").withColumn("dataset_idx", (F.col("_k") - 1).cast("int"))
+    kept = kept.withColumn("skipped", F.lit(False) if in_all is None else F.col("_k") > in_all)
+    rest = out.limit(0) if per_file is None else out.where(F.col("_own") > per_file)
+    return kept.drop("_k").unionByName(rest.withColumns({"dataset_idx": F.lit(None).cast("int"), "skipped": F.lit(True)})).drop("_own", "_kind")
 
 
 def designed(label: Column) -> Column:
@@ -163,3 +233,19 @@ def case_files(files: DataFrame) -> DataFrame:
     rows = files.withColumns({"name": name, "role": role, "hinted": stem.isin(*PRIMARY)}).where("role is not null")
     order = Window.partitionBy("role").orderBy(F.desc("hinted"), F.when(F.col("hinted"), F.col("name")), F.desc("length"), "name")
     return rows.withColumn("primary", (F.col("role") == "paper") & (F.row_number().over(order) == 1))
+
+
+def discover_case(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Files of a case folder (not those of folders in it) as `case_files`, and errors (error): no such folder, no paper, no workbook."""
+    empty = spark.createDataFrame([], "path string, length long")
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return case_files(empty), spark.createDataFrame([(f"no such folder: {folder}",)], "error string")
+    if not fs.getFileStatus(path).isDirectory():
+        return case_files(empty), spark.createDataFrame([(f"not a folder: {folder}",)], "error string")
+    files = case_files(spark.read.format("binaryFile").load(folder).select("path", "length"))
+    have = files.agg(F.count_if(F.col("role") == "paper").alias("papers"), F.count_if(F.col("role") == "raw_data").alias("workbooks"))
+    errors = have.select(F.explode(F.array_compact(F.array(F.when(F.col("papers") == 0, "no PDF of the paper"), F.when(F.col("workbooks") == 0, "no workbook")))).alias("error"))
+    return files, errors

@@ -1,14 +1,20 @@
 """Known answers of the screens on small fixtures."""
 
+import difflib
 import io
 import math
+import random
+import re
 import zipfile
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+from probitas import scratch
 from probitas.functions import numbers, stats
-from probitas.operators import claims, detectors, evidence, graph, methodology, risk, statistics, texts
+from probitas.operators import claims, detectors, evidence, figures, graph, methodology, risk, statistics, texts
+from probitas.plans import precheck as precheck_plan
 from probitas.plans.precheck import precheck
 from probitas.sources import html, workbooks
 
@@ -106,6 +112,10 @@ def test_tools(spark):
     f = spark.createDataFrame([(l, i, None, v) for l, vs in {"a": [1.0, 2.5, 4.1], "b": [1.0, 2.5, 4.1], "c": [2.0, 5.0, 8.2], "d": [9.0, 1.0, 2.5, 4.1]}.items() for i, v in enumerate(vs)], "label string, pos int, group_label string, value double")
     got = {(r.la, r.lb, r.match_type) for r in statistics.cross_figure(f).collect()}
     assert {("a", "b", "exact_match"), ("a", "c", "ratio_match"), ("a", "d", "subset_match")} <= got
+    spread = {"p": [0.0, 12.0, 340.0, 5.5], "q": [0.0, 1.0, 28.1, 0.46], "r": [12.006, 340.2, 5.503], "s": [0.0, 12.0001, 340.001, 5.50001]}  # a zero first; ratios of 12 that vary by 1 %; rounded copies
+    f = spark.createDataFrame([(l, i, None, v) for l, vs in spread.items() for i, v in enumerate(vs)], "label string, pos int, group_label string, value double")
+    got = {(r.la, r.lb, r.match_type) for r in statistics.cross_figure(f).collect()}
+    assert {("p", "q", "ratio_match"), ("p", "r", "subset_match"), ("p", "s", "near_match"), ("p", "s", "subset_match")} <= got
 
 
 def test_claims(spark):
@@ -125,6 +135,9 @@ def test_graph(spark):
     nodes = spark.createDataFrame([(k,) for k in range(1, 8)], "paper_id long")
     kept = graph.restrict(edges, nodes)
     assert {(r.paper_id, r.ring) for r in graph.rings(kept).collect()} == {(1, 1), (2, 1), (3, 1)}
+    more = spark.createDataFrame([(k, k + 1) for k in range(1, 9)] + [(4, 2), (9, 6), (5, 5), (1, 4)], "src long, dst long")
+    rows = {(r.paper_id, r.ring, r["size"]) for r in graph.rings(more).collect()}
+    assert rows == {(r.paper_id, r.ring, r["size"]) for r in graph.rings(more, one_task=0).collect()} == {(k, 2, 3) for k in (2, 3, 4)} | {(k, 6, 4) for k in (6, 7, 8, 9)}
     assert graph.reciprocal(kept).collect() == [(4, 5)]
     ranks = {r.paper_id: r["rank"] for r in graph.pagerank(kept, nodes).collect()}
     assert sum(ranks.values()) == pytest.approx(1, abs=1e-6) and ranks[4] > ranks[7]
@@ -136,17 +149,177 @@ def test_texts_and_methods(spark):
     pairs = spark.createDataFrame([("same", long, long.upper()), ("none", "abc def", "xyz uvw"), ("null", None, "a")], "pair_id string, text_a string, text_b string")
     got = {r.pair_id: r for r in texts.lexical_reuse(pairs).collect()}
     assert got["same"].ratio == 1 and got["none"].ratio < 0.3 and not got["null"].flagged
-    items = spark.createDataFrame([(1, "Anti-X antibody", "ab12345", "Abcam plc"), (2, "Anti-X antibody", "", "Abcam"), (3, "salt", "??", "nobody")], "idx int, name string, catalog_number string, vendor string")
-    assert [r.flagged for r in methodology.reagents(items).orderBy("idx").collect()] == [False, True, True]
-    rows = spark.createDataFrame([("", "China"), ("12345", "US"), ("IACUC-2020-17", "us"), ("00 000", "Atlantis")], "approval_number string, country string")
-    assert [r.finding for r in methodology.ethics(rows).collect()] == ["missing", "placeholder", None, "unknown_format"]
-    both = spark.createDataFrame([("male mice n = 5, ANOVA", "n=6 t-test female")], "methods_text string, results_text string")
-    r = methodology.methods_agreement(both).first()
-    assert r.sample_size_mismatch and r.test_mismatch and r.sex_mismatch
+    items = spark.createDataFrame([(1, "Anti-X antibody", "ab12345", "Abcam plc"), (2, "Anti-X antibody", "", "Abcam"), (3, "salt", "??", "nobody"), (4, "salt", "??", ""), (5, "anti-X IgG", None, None), (6, "salt", "ZZ", "Biosharp")], "idx int, name string, catalog_number string, vendor string")
+    assert [r.issues for r in methodology.reagents(items).orderBy("idx").collect()] == [[], ["missing_catalog"], ["unrecognized_format"], [], [], ["unrecognized_format", "vague_vendor"]]
+    rows = spark.createDataFrame([("", "China"), ("12345", "US"), ("IACUC-2020-17", "us"), ("00 000", "Atlantis"), ("00 000", None), ("abc", "uk")], "approval_number string, country string")
+    assert [r.findings for r in methodology.ethics(rows).collect()] == [["missing"], ["likely_fabricated", "format_mismatch_country"], [], [], ["format_unknown"], ["likely_fabricated", "too_short", "format_mismatch_country"]]
+    both = spark.createDataFrame([("male mice n = 5, sample size of 6, ANOVA", "n=6 t-test female"), ("male and female, 8 mice per group, n = 8, t-test", "t(5) F (2, 3)"), ("ANOVA", None)], "methods_text string, results_text string")
+    got = methodology.methods_agreement(both).collect()
+    assert [r.findings for r in got] == [["n_value_inconsistency", "stat_method_contradiction", "gender_contradiction"], [], []] and got[1].n_values == [8] and got[1].ttest
+    times = spark.createDataFrame([("12 weeks, 3 days, both eyes", "soon", "2020-01-02", "8-week-old", "11 months 4 weeks"), ("5 days", None, None, "40 weeks", "40 weeks"), (None, "2020-02-30", None, None, None)], "claimed_duration string, submission_date string, publication_date string, animal_age_at_start string, treatment_duration string")
+    got = methodology.timelines(times).collect()
+    assert [r.findings for r in got] == [["date_parse_error", "long_timeline", "both_eyes_concern"], [], ["date_parse_error"]] and [r.estimated_days for r in got] == [12 * 7 + 3 + 330 + 28, 285, None]
     cite = spark.createDataFrame([(["Ann Lee"], 2020), (["Ann Lee", "Bo Ray"], 2021), (["A B", "C D", "E F"], None)], "a array<string>, y int").select(risk.short_citation(F.col("a"), F.col("y")).alias("c")).collect()
     assert [r.c for r in cite] == ["Lee (2020)", "Lee & Ray (2021)", "B et al. (n.d.)"]
 
 
+def brute_templates(reviews):
+    """By difflib over all pairs of sentences and openings."""
+    parts = [re.split(r"(?<=[.!?])\s+", r) for r in reviews]
+    told = [[x.strip().lower() for x in p if len(x.strip()) > 30] for p in parts]
+    ratio = lambda a, b: difflib.SequenceMatcher(None, a, b).ratio()
+    pairs = [(i, j) for i in range(len(reviews)) for j in range(i + 1, len(reviews))]
+    shared = sum(ratio(x, y) > 0.8 for i, j in pairs for x in told[i] for y in told[j])
+    first = [p[0].strip().lower()[:100] for p in parts]
+    average = sum(round(ratio(first[i], first[j]), 3) for i, j in pairs) / len(pairs)
+    return shared, round(average, 3), shared > 3 or average > 0.7
+
+
+def test_review_templates_by_brute_force(spark):
+    rng = random.Random(4)
+    words = "the paper presents a strong analysis of main results and methods are sound but figures need work this study shows clear novelty".split()
+    papers = {}
+    for k in range(25):
+        base = [" ".join(rng.choices(words, k=rng.randint(4, 14))) + "." for _ in range(6)]
+        own = []
+        for _ in range(rng.randint(2, 4)):
+            lines = [s if rng.random() < 0.4 else " ".join(w if rng.random() < 0.8 else w[:-1] + "x" for w in s.split()) for s in rng.sample(base, 4)]
+            own.append(" ".join(lines + [" ".join(rng.choices(words, k=8)) + "!"]))
+        papers[k] = own
+    papers[25] = ["The paper presents a strong analysis of the main results.", "This paper presents the strong analyses of these main result."]
+    rows = spark.createDataFrame([(k, i, t) for k, own in papers.items() for i, t in enumerate(own)] + [(99, 0, "alone in the world, this review is.")], "paper_id long, review_index int, text string")
+    got = {r.paper_id: (r.shared_sentences, r.opening_similarity, r.flagged) for r in texts.review_templates(rows).collect()}
+    assert got == {k: brute_templates(own) for k, own in papers.items()} and got[25][0] == 1 and any(v[0] > 3 for v in got.values())
+
+
+def test_reuse_candidates_share_fifty_characters(spark):
+    rng = random.Random(6)
+    left = [(k, "".join(rng.choices("abcd é", k=rng.randint(0, 300)))) for k in range(30)]
+    right = []
+    for k in range(30):
+        base, n = left[k][1], rng.choice((30, 49, 50, 60))
+        at = rng.randint(0, max(0, len(base) - n))
+        right.append((k, "".join(rng.choices("wxyz", k=20)) + base[at : at + n].upper() + "".join(rng.choices("wxyz", k=20))))
+    want = {(i, j) for i, x in left for j, y in right if any(x[p : p + 50] in y.lower() for p in range(len(x) - 49))}
+    schema = "id long, text string"
+    got = {tuple(r) for r in texts.reuse_candidates(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema)).collect()}
+    assert want <= got and len(want) >= 8 and len(got - want) < 15
+
+
+def test_salami_by_brute_force(spark):
+    rng = random.Random(3)
+    vocab = "effects of dose on growth in young mice rats cells under stress after long treatment trial".split()
+    rows = [(f"a{k % 4}", k, " ".join(rng.choices(vocab, k=rng.randint(5, 9))), 2000 + rng.randint(0, 6), rng.choice((10, 20, None)), rng.choice(("randomised design", "randomized designs", "cohort"))) for k in range(60)]
+    ratio = lambda a, b: difflib.SequenceMatcher(None, a, b).ratio()
+    want = {}
+    for x in rows:
+        for y in rows:
+            if x[0] == y[0] and x[1] < y[1]:
+                wa, wb = set(x[2].split()), set(y[2].split())
+                signals = [ratio(x[2], y[2]) > 0.65 and len(wa & wb) >= 5 and len(wa - wb) <= 5 and len(wb - wa) <= 5, x[4] is not None and x[4] == y[4], ratio(x[5], y[5]) > 0.8, abs(x[3] - y[3]) <= 1]
+                if sum(signals) >= 2:
+                    want[x[1], y[1]] = sum(signals)
+    table = spark.createDataFrame(rows, "author string, paper_id long, title string, year int, sample_size int, design string")
+    assert {(r.paper_id_a, r.paper_id_b): r.signals for r in texts.salami(table).collect()} == want and want
+
+
+def test_sequences_in_text():
+    text = "Control 1200 800.5 400\nvalues 45.2, 38.1, 31.0 here\npages 4 5 6 7\nfell from 90 to 80 to 70 (5.5 ± 1), (6.5 ± 1), (7 ± 2)\n10, 20, and 40 respectively"
+    got = figures.sequences(text)
+    assert ("table_row", [1200.0, 800.5, 400.0]) in got and ("table_row", [45.2, 38.1, 31.0]) in got and not any(v == [4.0, 5.0, 6.0, 7.0] for _, v in got)
+    assert ("parenthetical_groups", [5.5, 6.5, 7.0]) in got and ("textual_sequence", [90.0, 80.0, 70.0]) in got and ("table_row", [10.0, 20.0, 40.0]) in got  # the first of equal ones
+    assert len({tuple(v) for _, v in got}) == len(got) and [len(v) for _, v in got] == sorted((len(v) for _, v in got), reverse=True)
+
+
+def test_citation_existence(spark):
+    cites = spark.createDataFrame([(1, "Smith et al. (2019) Deep learning for cells. 10.1234/abc", "deep learning segments cells"), (2, "Lee 2001 On nothing", None)], "ref_id long, citation_text string, claim string")
+    queries = {(r.ref_id, r.place): r.query for r in graph.search_queries(cites).collect()}
+    assert queries[1, 0] == "10.1234/abc" and queries[1, 1].startswith("Smith et al. 2019 ") and (1, 2) not in queries
+    found = spark.createDataFrame([(1, 0, "Smith et al. (2019) Deep learning for cells", ["A B"]), (1, 1, "Other", [])], "ref_id long, place int, title string, authors array<string>")
+    got = {r.ref_id: r for r in graph.citation_existence(cites, found).collect()}
+    assert got[1].highly_relevant and got[1].assessment == "likely_supported" and got[1].severity == "low" and got[2].severity == "critical" and got[2].flagged
+
+
+def test_pairs_of_series_by_brute_force(spark):
+    """Near duplicates, similarity and suffix reuse over series with many copies, constants and common values."""
+    rng = random.Random(8)
+    base = [[round(rng.choice((1.25, 2.5, rng.uniform(0, 9))), 2) for _ in range(rng.choice((6, 8, 12)))] for _ in range(25)]
+    series = {}
+    for k, v in enumerate(base):
+        for w in (v, list(v), v[:-1] + [v[-1] + 1], v[::-1], [-2 * x + 3 for x in v], v[1:-1], [1.0] * len(v)):
+            series[len(series)] = w
+    c = spark.createDataFrame([(k, i, float(x), f"{x:.2f}") for k, v in series.items() for i, x in enumerate(v)], "ds long, pos int, value double, raw string")
+    got = {(r.ds_a, r.ds_b): (r.match_type, r.equal_position_count) for r in detectors.near_duplicates(c).collect()}
+    want = {}
+    for a, x in series.items():
+        for b, y in series.items():
+            n = len(x)
+            if a >= b or n != len(y) or n < 6:
+                continue
+            eq, suf = sum(abs(p - q) <= 1e-12 for p, q in zip(x, y)), sum(f"{p:.2f}"[-2:] == f"{q:.2f}"[-2:] for p, q in zip(x, y))
+            near, diff = sum(abs(p - q) <= max(1e-9, 1e-6 * max(abs(p), abs(q), 1)) for p, q in zip(x, y)), n - eq
+            if diff == 0:
+                continue
+            if n >= 8 and eq >= 0.85 * n and diff <= max(2, int(0.15 * n)):
+                want[a, b] = ("positionwise_near_duplicate", eq)
+            elif n >= 8 and near >= 0.9 * n and diff <= max(3, int(0.2 * n)):
+                want[a, b] = ("positionwise_near_equal", eq)
+            elif n >= 8 and suf >= 0.85 * n:
+                want[a, b] = ("positionwise_decimal_suffix2_reuse", eq)
+            elif eq >= 0.83 * n and diff <= 1:
+                want[a, b] = ("small_sample_near_duplicate", eq)
+    assert got == want and len(want) > 30
+    pairs = {(a, b) for a, x in series.items() for b, y in series.items() if a < b and min(len(x), len(y)) >= 8 and sum((Counter(f"{p:.2f}"[-2:] for p in x) & Counter(f"{q:.2f}"[-2:] for q in y)).values()) >= 0.85 * min(len(x), len(y))}
+    assert {(r.ds_a, r.ds_b) for r in detectors.suffix_reuse(c).collect()} == pairs
+    inside = {(min(a, b), max(a, b)) for a, x in series.items() for b, y in series.items() if 5 <= len(x) < len(y) and not Counter(round(v, 10) for v in x) - Counter(round(v, 10) for v in y)}
+    assert {(r.ds_a, r.ds_b) for r in detectors.similarity(c).where("match_type = 'permutation_subset_exact'").collect()} == inside and inside
+
+
+def test_linear_image_of_a_series_that_begins_at_its_mean(spark):
+    rng, rows = random.Random(5), {}
+    for k in range(40):
+        v = [0.0] + [rng.uniform(-5, 5) for _ in range(11)]
+        v[0] = sum(v[1:]) / 11
+        rows[2 * k], rows[2 * k + 1] = v, [2 * x + 3 + rng.gauss(0, 0.02) for x in v]
+    c = spark.createDataFrame([(k, i, x, "") for k, v in rows.items() for i, x in enumerate(v)], "ds long, pos int, value double, raw string")
+    assert {(2 * k, 2 * k + 1) for k in range(40)} <= {(r.ds_a, r.ds_b) for r in detectors.similarity(c).where("match_type = 'linear_transform_near'").collect()}
+
+
+def test_numbering_in_ranges(spark):
+    rows = spark.range(5000).select(F.col("id"), (F.col("id") * 7919 % 5000).alias("k")).repartition(7)
+    assert all(r.n == r.k + 1 for r in scratch.numbered(rows, "n", "k").collect())
+    p = spark.createDataFrame([(k, float(v), 1) for k, v in enumerate([0.001, 0.2, 0.2, 0.04, 0.9, 0.03])], "id int, p_value double, fdr_hypothesis_count int")
+    got = {r.id: r.q_value for r in evidence.fdr(p).collect()}
+    assert got == pytest.approx({0: 0.006, 1: 0.24, 2: 0.24, 3: 0.08, 4: 0.9, 5: 0.08})
+
+
+def test_case(spark, tmp_path):
+    folder = tmp_path / "case"
+    folder.mkdir()
+    values = [1.25, 2.35, 3.45, 4.55, 5.65, 6.75, 7.85, 8.95]
+    rows = {("A", 1): "Table 1 weights", ("B", 1): "Weight", ("C", 1): "Dose", ("D", 1): "Mass"} | {("A", r): f"S{r}" for r in range(2, 10)}
+    rows |= {(c, r): v for c in "BD" for r, v in enumerate(values, 2)} | {("C", r): 1.5 for r in range(2, 10)}
+    (folder / "Raw.XLSX").write_bytes(sheet(rows))
+    (folder / "paper.pdf").write_bytes(b"x")
+    (folder / "large.pdf").write_bytes(b"x" * 99)
+    mean, sd = sum(values) / 8, (sum((v - sum(values) / 8) ** 2 for v in values) / 7) ** 0.5
+    papers = spark.createDataFrame([("main", f"[Page 1]\nResults\nWeight was {mean:.3f} ± {sd:.3f}, then 99 ± 1.")], "doc_id string, text string")
+    case = precheck_plan.run_case(spark, str(folder), papers)
+    assert case.errors.isEmpty() and {(r.name, r.primary) for r in case.files.where("role = 'paper'").collect()} == {("paper.pdf", True), ("large.pdf", False)}
+    series = {r.range: r for r in case.series.where("orientation = 'column'").collect()}
+    assert set(series) == {"B2:B9", "C2:C9", "D2:D9"} and series["C2:C9"].designed and not series["B2:B9"].designed and series["B2:B9"].table_title == "Table 1 weights"
+    found = {(r.evidence_type, r.match_type): r for r in case.evidence.collect()}
+    assert ("raw_numeric_similarity", "same_order_exact") in found and found["constant_numeric_series", None].severity == 2  # high, less one for a designed series
+    verdicts = {r.claim_id: r for r in case.validations.collect()}
+    assert verdicts["PCL-0001"].verdict == "ambiguous" and verdicts["PCL-0001"].linked_evidence_ids and verdicts["PCL-0002"].verdict == "no_candidate"
+    precheck_plan.write_report(case, str(tmp_path / "out"))
+    text = (tmp_path / "out" / "report.md").read_text()
+    assert "#### Main evidence" in text and "ambiguous=1" in text and len(text.splitlines()) < 120 and spark.read.json(str(tmp_path / "out" / "evidence")).count() == case.evidence.count()
+    assert workbooks.discover_case(spark, str(tmp_path / "none"))[1].count() == 1
+    (tmp_path / "empty").mkdir()
+    assert workbooks.discover_case(spark, str(tmp_path / "empty"))[1].count() == 2
+
+
 def test_numbers(spark):
     df = spark.createDataFrame([("1,234.5",), ("45%",), ("abc",), (None,), (".5",), ("1e-3",)], "t string").select(numbers.coerce_number(F.col("t")).alias("v"))
     assert [r.v for r in df.collect()] == [1234.5, 0.45, None, None, 0.5, 0.001]
