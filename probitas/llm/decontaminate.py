@@ -23,6 +23,7 @@ Repeated items count once; repeated doc_ids are one document whose best score co
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import repeat
 
@@ -147,59 +148,92 @@ def _held(shared) -> Items:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, cut: float = CUT, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """(doc_id, item_id, score) for every document and item whose score reaches the cut."""
+    out = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, score double")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    for seeded in _slices(docs, benchmark, cut, slice_bytes):
+
+        def score(batches: Batches, seeded=seeded) -> Batches:
+            items, waiting, size = _held(seeded), {}, 0
+            for batch in batches:
+                for name, text in zip(column(batch, "doc_id").to_pylist(), texts_of(batch)):
+                    size += _wait(items, waiting, name, text)
+                    if size >= WAITING:
+                        yield _rows(*_scored(items, waiting))
+                        waiting, size = {}, 0
+            yield _rows(*_scored(items, waiting))
+
+        out = out.unionByName(texts.mapInArrow(score, "doc_id long, item_id long, score double").groupBy("doc_id", "item_id").agg(F.max("score").alias("score")))
+    return out
+
+
+def kept_rows(docs: DataFrame, benchmark: DataFrame, cut: float = CUT, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """The rows of docs whose text holds no item, all columns; each row is judged by itself, so nothing is joined."""
+    out = docs
+    for seeded in _slices(docs, benchmark, cut, slice_bytes):
+
+        def keep(batches: Batches, seeded=seeded) -> Batches:
+            items = _held(seeded)
+            for batch in batches:
+                waiting, size, bad = {}, 0, np.zeros(batch.num_rows, bool)
+                for row, text in enumerate(texts_of(batch)):
+                    size += _wait(items, waiting, row, text)
+                    if size >= WAITING:
+                        bad[_scored(items, waiting)[0]] = True
+                        waiting, size = {}, 0
+                bad[_scored(items, waiting)[0]] = True
+                yield batch.filter(pa.array(~bad))
+
+        out = out.mapInArrow(keep, docs.schema)
+    return out
+
+
+def _slices(docs: DataFrame, benchmark: DataFrame, cut: float, slice_bytes: int) -> Iterator:
+    """A broadcast of items with their grams' document counts for each slice of the benchmark."""
     spark = docs.sparkSession
     bounded_batches(spark)
     items = save(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null").distinct(), "items")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     slices = max(1, -(-total // slice_bytes))
-    out = spark.createDataFrame([], "doc_id long, item_id long, score double")
     for k in range(slices):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k)
-        rows = part.orderBy("item_id", "text").toArrow()  # about slice_bytes
-        out = out.unionByName(_slice(docs, list(zip(*(rows.column(c).to_pylist() for c in ("item_id", "text")))), cut))
-    return out
+        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k).orderBy("item_id", "text").toArrow()  # about slice_bytes
+        rows = list(zip(*(part.column(c).to_pylist() for c in ("item_id", "text"))))
+        plain = spark.sparkContext.broadcast((rows, cut, None))
 
+        def count(batches: Batches, plain=plain) -> Batches:
+            held = _held(plain)
+            found = np.zeros(len(held.grams), np.int64)
+            for batch in batches:
+                for text in texts_of(batch):
+                    found[np.unique(held.found(text.decode())[2])] += 1
+            here = np.nonzero(found)[0]
+            yield pa.RecordBatch.from_arrays([pa.array(here), pa.array(found[here])], ["gram", "n"])
 
-def _slice(docs: DataFrame, rows: list[tuple[int | None, str]], cut: float) -> DataFrame:
-    context, texts = docs.sparkSession.sparkContext, docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    plain = context.broadcast((rows, cut, None))  # of slice_bytes
-
-    def count(batches: Batches) -> Batches:
-        items = _held(plain)
-        total = np.zeros(len(items.grams), np.int64)
-        for batch in batches:
-            for text in texts_of(batch):
-                total[np.unique(items.found(text.decode())[2])] += 1
-        found = np.nonzero(total)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["gram", "n"])
-
-    got = texts.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()  # a row a gram of the slice
-    counts = np.zeros(len(Items(rows, cut).grams), np.int64)
-    counts[got.column("gram").to_numpy()] = got.column("n").to_numpy()
-    seeded = context.broadcast((rows, cut, counts))
-
-    def score(batches: Batches) -> Batches:
-        items = _held(seeded)
-        waiting: dict[int, dict[bytes, list[int | None]]] = {}
-        size = 0
-        for batch in batches:
-            for name, text in zip(column(batch, "doc_id").to_pylist(), texts_of(batch)):
-                for item, window in items.passages(text.decode()):
-                    waiting.setdefault(item, {}).setdefault(window.astype(np.int32).tobytes(), []).append(name)
-                    size += len(window)
-                    if size >= WAITING:
-                        yield _scored(items, waiting)
-                        waiting, size = {}, 0
-        yield _scored(items, waiting)
+        got = docs.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()  # a row a gram of the slice
+        counts = np.zeros(len(Items(rows, cut).grams), np.int64)
+        counts[got.column("gram").to_numpy()] = got.column("n").to_numpy()
+        plain.unpersist()
+        yield spark.sparkContext.broadcast((rows, cut, counts))
+
+
+Waiting = dict[int, dict[bytes, list]]
 
-    return texts.mapInArrow(score, "doc_id long, item_id long, score double").groupBy("doc_id", "item_id").agg(F.max("score").alias("score"))
 
+def _wait(items: Items, waiting: Waiting, name: int | None, text: bytes) -> int:
+    """Adds a text's passages to those that wait under its name; their words."""
+    size = 0
+    for item, window in items.passages(text.decode()):
+        waiting.setdefault(item, {}).setdefault(window.astype(np.int32).tobytes(), []).append(name)
+        size += len(window)
+    return size
 
-def _scored(items: Items, waiting: dict[int, dict[bytes, list[int | None]]]) -> pa.RecordBatch:
-    """Rows (doc_id, item_id, score) of the passages that reach their item's least score."""
-    names: list[int | None] = []
-    of: list[int | None] = []
-    scores: list[float] = []
+
+def _rows(names: list, of: list, scores: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(of, pa.int64()), pa.array(scores, pa.float64())], ["doc_id", "item_id", "score"])
+
+
+def _scored(items: Items, waiting: Waiting) -> tuple[list, list, list]:
+    """Names, items and scores of the passages that reach their item's least score."""
+    names, of, scores = [], [], []
     for item, by_window in waiting.items():
         words, windows = items.words[item], sorted(by_window, key=len)
         at = 0
@@ -218,4 +252,4 @@ def _scored(items: Items, waiting: dict[int, dict[bytes, list[int | None]]]) ->
                     of += [items.ids[item]] * len(own)
                     scores += [best / len(words)] * len(own)
             at = end
-    return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(of, pa.int64()), pa.array(scores, pa.float64())], ["doc_id", "item_id", "score"])
+    return names, of, scores

@@ -710,6 +710,10 @@ def test_decontamination_by_brute_force(spark):
         texts[k] = " ".join(words)
     want = brute_contaminated(texts, items)
     assert contaminated(spark, texts, items) == want and contaminated(spark, texts, items, slice_bytes=600) == want
+    docs, tests = spark.createDataFrame([*texts.items(), (None, items[30]), (7, texts[7])], "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string")
+    bad = {d for d, _ in want}
+    for size in (600, 1 << 20):
+        assert sorted(r.doc_id for r in decontaminate.kept_rows(docs, tests, slice_bytes=size).collect()) == sorted([k for k in texts if k not in bad] + [7] * (7 not in bad))
     assert any(0.5 <= v < 0.55 for v in want.values()) and len(want) > 300
 
 
