@@ -41,52 +41,55 @@ def chi2_sf(x: np.ndarray, df: int) -> np.ndarray:
     return total
 
 
-def beta_inc(a: float, b: float, x: float) -> float:
+_lgamma = np.vectorize(math.lgamma, otypes=[float])
+
+
+def beta_inc(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Regularised incomplete beta function, by its continued fraction."""
-    if x <= 0 or x >= 1:
-        return 0.0 if x <= 0 else 1.0
-    if x > (a + 1) / (a + b + 2):
-        return 1 - beta_inc(b, a, 1 - x)
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
-    tiny, c, d = 1e-300, 1.0, 1 / (1 - (a + b) * x / (a + 1))
-    value = d
+    a, b, x = (np.array(v, float) for v in np.broadcast_arrays(a, b, x))
+    turn = x > (a + 1) / (a + b + 2)
+    a, b, x = np.where(turn, b, a), np.where(turn, a, b), np.clip(np.where(turn, 1 - x, x), 0, 1)
+    inner = np.clip(x, 1e-300, 1 - 1e-16)
+    front = np.exp(_lgamma(a + b) - _lgamma(a) - _lgamma(b) + a * np.log(inner) + b * np.log1p(-inner)) / a
+    tiny, c = 1e-300, np.ones_like(x)
+    d = 1 / (1 - (a + b) * x / (a + 1))
+    value = d.copy()
     for m in range(1, 400):
         for even in (True, False):
             num = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)) if even else -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-            d = 1 + num * d
-            c = 1 + num / c
-            d = 1 / (d if abs(d) > tiny else tiny)
-            c = c if abs(c) > tiny else tiny
+            d, c = 1 + num * d, 1 + num / c
+            d, c = 1 / np.where(np.abs(d) > tiny, d, tiny), np.where(np.abs(c) > tiny, c, tiny)
             value *= d * c
-        if abs(d * c - 1) < 1e-15:
+        if (np.abs(d * c - 1) < 1e-15).all():
             break
-    return front * value
-
-
-def gamma_q(a: float, x: float) -> float:
-    """Regularised upper incomplete gamma function."""
-    if x <= 0:
-        return 1.0
-    scale = math.exp(a * math.log(x) - x - math.lgamma(a))
-    if x < a + 1:
-        term = total = 1 / a
-        k = a
-        while abs(term) > 1e-17 * abs(total):
-            k += 1
-            term *= x / k
-            total += term
-        return 1 - scale * total
-    b, c, d = x + 1 - a, 1e300, 1 / (x + 1 - a)
-    value = d
-    for i in range(1, 1000):
+    got = np.where(x <= 0, 0.0, np.where(x >= 1, 1.0, front * value))
+    return np.where(turn, 1 - got, got)
+
+
+def gamma_q(a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Regularised upper incomplete gamma function: by its series below a + 1, by its continued fraction above."""
+    a, x = (np.array(v, float) for v in np.broadcast_arrays(a, x))
+    low, inner = x < a + 1, np.maximum(x, 1e-300)
+    scale = np.exp(a * np.log(inner) - inner - _lgamma(a))
+    y = np.where(low, inner, 1.0)
+    term = total = 1 / a
+    for k in range(1, 2000):
+        term = term * y / (a + k)
+        total = total + term
+        if (term <= 1e-17 * total).all():
+            break
+    z = np.where(low, a + 2, inner)
+    step, c, d = z + 1 - a, np.full_like(a, 1e300), 1 / (z + 1 - a)
+    value = d.copy()
+    for i in range(1, 2000):
         num = -i * (i - a)
-        b += 2
-        d = 1 / (num * d + b)
-        c = b + num / c
-        value *= d * c
-        if abs(d * c - 1) < 1e-15:
+        step = step + 2
+        d = 1 / (num * d + step)
+        c = step + num / c
+        value = value * d * c
+        if (np.abs(d * c - 1) < 1e-15).all():
             break
-    return scale * value
+    return np.where(x <= 0, 1.0, np.where(low, 1 - scale * total, scale * value))
 
 
 @F.pandas_udf(T.DoubleType())
@@ -103,17 +106,13 @@ def chi2_sf_8(x: Column) -> Column:
 @F.pandas_udf(T.DoubleType())
 def test_p_value(kind: pd.Series, value: pd.Series, df: pd.Series, df1: pd.Series, df2: pd.Series) -> pd.Series:
     """Of a t (two-sided), F or chi-square statistic; null where it can't be had."""
-
-    def one(kind: str, v: float, d: float, d1: float, d2: float) -> float | None:
-        kind = (kind or "").lower()
-        if v is None or math.isnan(v):
-            return None
-        if kind == "t" and d > 0:
-            return beta_inc(d / 2, 0.5, d / (d + v * v))
-        if kind == "f" and d1 > 0 and d2 > 0 and v >= 0:
-            return beta_inc(d2 / 2, d1 / 2, d2 / (d2 + d1 * v))
-        if kind in ("chi2", "chi-square", "chi_square") and d > 0 and v >= 0:
-            return gamma_q(d / 2, v / 2)
-        return None
-
-    return pd.Series([one(*r) for r in zip(kind, value, df, df1, df2)], dtype="float64")
+    name, v = kind.fillna("").str.lower().to_numpy(), value.to_numpy(float)
+    d, d1, d2 = (x.to_numpy(float) for x in (df, df1, df2))
+    out = np.full(len(v), np.nan)
+    t = (name == "t") & (d > 0) & ~np.isnan(v)
+    out[t] = beta_inc(d[t] / 2, 0.5, d[t] / (d[t] + v[t] * v[t]))
+    f = (name == "f") & (d1 > 0) & (d2 > 0) & (v >= 0)
+    out[f] = beta_inc(d2[f] / 2, d1[f] / 2, d2[f] / (d2[f] + d1[f] * v[f]))
+    chi = np.isin(name, ("chi2", "chi-square", "chi_square")) & (d > 0) & (v >= 0)
+    out[chi] = gamma_q(d[chi] / 2, v[chi] / 2)
+    return pd.Series(out).astype("Float64").mask(np.isnan(out))

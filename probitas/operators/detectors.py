@@ -170,7 +170,7 @@ def similarity(cells: DataFrame) -> DataFrame:
     Equal series go in as one of their class; pairs within a class need no search. Near and permuted series meet on coarse
     means, first values and magnitudes of their values in order or sorted, linear images on standardised values, subsets
     on the shorter's rarest value. Each grid is tried with its neighbours, and every candidate is then verified by the
-    stated rule. The first rule that holds names a pair: equal, near in order, permuted (equal or near), linear.
+    stated rule. A constant right series counts as a linear image of any series of its length. The first rule that holds names a pair: equal, near in order, permuted (equal or near), linear.
     """
     series = informative(arrays(clean(cells)).where("n >= 5"))
     series = series.withColumn("vs", F.expr("transform(vs, v -> v + 0D)"))
@@ -183,6 +183,10 @@ def similarity(cells: DataFrame) -> DataFrame:
     permuted = permuted.select("a", "b", "n", F.when(equal, "permutation_exact").otherwise("permutation_near").alias("match_type"))
     near = ordered.unionByName(permuted)
     line = expanded(_linear(one).join(near, ["a", "b"], "left_anti"), members).where(F.when(F.col("turned"), F.col("fits_a")).otherwise(F.col("fits_b")))
+    flat = one.where("n >= 8 and aggregate(vs, 0D, (s, v) -> s + pow(v - vs[0], 2)) <= 1e-12").select(F.col("ds").alias("b"), "n")
+    flat = one.select(F.col("ds").alias("a"), "n").join(flat, "n").where("a <> b").withColumns({"x": F.least("a", "b"), "y": F.greatest("a", "b")})
+    flat = expanded(flat.join(near.select(F.col("a").alias("x"), F.col("b").alias("y")), ["x", "y"], "left_anti").select("a", "b", "n"), members).where("not turned")
+    line = line.select("ds_a", "ds_b", "n").unionByName(flat.select("ds_a", "ds_b", "n")).distinct()
     inside = _subsets(one)
     found = same.unionByName(expanded(near, members).drop("turned")).unionByName(line.select("ds_a", "ds_b", "n", F.lit("linear_transform_near").alias("match_type"))).unionByName(expanded(inside, members).select("ds_a", "ds_b", "n", F.lit("permutation_subset_exact").alias("match_type")))
     kind = F.col("match_type")

@@ -168,12 +168,28 @@ def publication_rates(papers: DataFrame) -> DataFrame:
 
 
 def salami(papers: DataFrame) -> DataFrame:
-    """(author, paper_id, title, year, sample_size, design): pairs of an author's papers with two or more of four signals."""
+    """(author, paper_id, title, year, sample_size, design): pairs of an author's papers with two or more of four signals.
+
+    Two signals need neighbouring years, equal sample sizes or titles alike. Papers meet on the first two, and on a title's
+    words, of which five must be shared: on one of all but the four commonest, in one order for all.
+    """
     rows = papers.select("author", "paper_id", "title", "year", "sample_size", "design", F.array_distinct(words(F.coalesce("title", F.lit("")))).alias("w"))
+    ids = rows.select("author", "paper_id", "year", "sample_size")
+    each = rows.select("author", "paper_id", F.explode("w").alias("t"))
+    common = each.groupBy("t").agg(F.count("*").alias("df"))
+    place = F.row_number().over(Window.partitionBy("author", "paper_id").orderBy(F.desc("df"), "t"))
+    rare = each.join(common, "t").withColumn("_r", place).where("_r > 4").select("author", "paper_id", "t")
+
+    def meet(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+        pairs = left.select("author", F.col("paper_id").alias("paper_id_a"), key).join(right.select("author", F.col("paper_id").alias("paper_id_b"), key), ["author", key])
+        return pairs.where("paper_id_a < paper_id_b").select("author", "paper_id_a", "paper_id_b")
+
+    near = ids.where("year is not null").withColumn("year", F.explode(F.array(F.col("year") - 1, F.col("year"), F.col("year") + 1)))
+    pairs = meet(near, ids, "year").unionByName(meet(ids, ids, "sample_size")).unionByName(meet(rare, rare, "t")).distinct()
     a, b = rows.select("author", *[F.col(c).alias(f"{c}_a") for c in rows.columns[1:]]), rows.select("author", *[F.col(c).alias(f"{c}_b") for c in rows.columns[1:]])
-    pairs = a.join(b, "author").where("paper_id_a < paper_id_b")
-    near = pairs.where((F.abs(F.col("year_a") - F.col("year_b")) <= 1) | (F.col("sample_size_a") == F.col("sample_size_b")) | (F.size(F.array_intersect("w_a", "w_b")) >= 5))  # two signals need one of these
-    near = near.withColumns({"t": sequence_match(F.lower("title_a"), F.lower("title_b"), F.lit(10**6))["ratio"], "d": sequence_match(F.lower("design_a"), F.lower("design_b"), F.lit(10**6))["ratio"]})
-    title = (F.col("t") > 0.65) & (F.size(F.array_intersect("w_a", "w_b")) >= 5) & (F.size(F.array_except("w_a", "w_b")) <= 5) & (F.size(F.array_except("w_b", "w_a")) <= 5)
-    signals = [title, F.col("sample_size_a") == F.col("sample_size_b"), (F.col("d") > 0.8) & (F.length("design_a") > 0), F.abs(F.col("year_a") - F.col("year_b")) <= 1]
-    return near.withColumn("signals", sum((F.coalesce(s, F.lit(False)).cast("int") for s in signals), F.lit(0))).where("signals >= 2").select("author", "paper_id_a", "paper_id_b", F.round("t", 6).alias("title_ratio"), "signals")
+    both = pairs.join(a, ["author", "paper_id_a"]).join(b, ["author", "paper_id_b"])
+    common_words = F.size(F.array_intersect("w_a", "w_b"))
+    can = (common_words >= 5) & (F.size("w_a") - common_words <= 5) & (F.size("w_b") - common_words <= 5)
+    both = both.withColumns({"t": sequence_match(F.lower("title_a"), F.lower("title_b"), F.lit(10**6))["ratio"], "d": sequence_match(F.lower("design_a"), F.lower("design_b"), F.lit(10**6))["ratio"]})
+    signals = [(F.col("t") > 0.65) & can, F.col("sample_size_a") == F.col("sample_size_b"), (F.col("d") > 0.8) & (F.length("design_a") > 0), F.abs(F.col("year_a") - F.col("year_b")) <= 1]
+    return both.withColumn("signals", sum((F.coalesce(s, F.lit(False)).cast("int") for s in signals), F.lit(0))).where("signals >= 2").select("author", "paper_id_a", "paper_id_b", F.round("t", 6).alias("title_ratio"), "signals")

@@ -85,7 +85,7 @@ s as (select c.*, z.n, z.sd, row_number() over (partition by c.ds order by value
 ranks as (select x.ds as ds_a, y.ds as ds_b, max(abs(x.value - y.value)) / greatest(max(abs(x.value)), max(abs(y.value)), 1) as sorted_rel, bool_and(round(x.value, 10) = round(y.value, 10)) as same from s x join s y on x.r = y.r and x.n = y.n and x.ds < y.ds group by x.ds, y.ds),
 place as (select x.ds as ds_a, y.ds as ds_b, any_value(x.n) as n, max(abs(x.value - y.value)) as gap, max(abs(x.value - y.value)) / greatest(max(abs(x.value)), max(abs(y.value)), 1) as rel, regr_r2(y.value, x.value) as r2, any_value(y.sd) as sb, any_value(x.sd) as sa from s x join s y on x.pos = y.pos and x.n = y.n and x.ds < y.ds group by x.ds, y.ds),
 pairs as (select ds_a, ds_b, n, case when gap = 0 then 'same_order_exact' when n >= 8 and rel <= 0.001 then 'same_order_near' when sorted_rel <= 1e-6 and same then 'permutation_exact' when sorted_rel <= 1e-6 then 'permutation_near'
-  when n >= 8 and sa > 1e-9 and sb > 1e-9 and r2 >= 0.999 and sb * sqrt(greatest(0, 1 - r2)) / greatest(sb, 1) <= 0.01 then 'linear_transform_near' end as match_type from place join ranks using (ds_a, ds_b)),
+  when n >= 8 and (sb * sb * n <= 1e-12 or (sa > 1e-9 and r2 >= 0.999 and sb * sqrt(greatest(0, 1 - r2)) / greatest(sb, 1) <= 0.01)) then 'linear_transform_near' end as match_type from place join ranks using (ds_a, ds_b)),
 c as (select ds, round(value, 10) as v, count(*) as k, any_value(n) as n from s group by ds, round(value, 10)),
 sub as (select least(x.ds, y.ds) as ds_a, greatest(x.ds, y.ds) as ds_b, any_value(x.n) as n, 'permutation_subset_exact' as match_type from c x join c y on x.v = y.v and x.n < y.n group by x.ds, y.ds having sum(least(x.k, y.k)) = any_value(x.n)),
 u as (from pairs where match_type is not null union all select * from sub)""", f"""
