@@ -54,13 +54,16 @@ def arithmetic_sequences(cells: DataFrame, min_n: int = 6) -> DataFrame:
         step = F.col("value") - F.lag("value").over(Window.partitionBy("ds").orderBy("at"))
         found = rows.withColumn("step", step).groupBy(F.col("ds").alias("ds_a")).agg(
             F.count("*").cast("int").alias("n"), F.stddev_pop("step").alias("sd"), F.avg(F.abs("step")).alias("size"),
-            F.regr_r2("value", F.col("at").cast("double")).alias("r2"), F.regr_slope("value", F.col("at").cast("double")).alias("slope"),
+            F.regr_r2("value", F.col("at").cast("double")).alias("r2"), F.regr_slope("value", F.col("at").cast("double")).alias("slope"), F.regr_intercept("value", F.col("at").cast("double")).alias("intercept"),
         ).where((F.col("n") >= min_n) & (F.col("size") > 1e-12))
         found = found.withColumn("cv", F.col("sd") / F.col("size"))
         graded = _graded([((F.col("n") >= n) & (F.col("cv") <= cv) & (F.col("r2") >= r2), mode, level, trust) for n, cv, r2, level, trust in ARITHMETIC[mode]])
         found = found.withColumns(graded).where("severity is not null")
+        off = F.abs(F.col("value") - F.col("intercept") - F.col("slope") * F.col("at"))
+        worst = rows.join(found.select(F.col("ds_a").alias("ds"), "slope", "intercept"), "ds").groupBy(F.col("ds").alias("ds_a")).agg(F.max(off).alias("max_residual"))
+        found = found.join(worst, "ds_a")
         out = found if out is None else out.unionByName(found)
-    return out.select(F.lit("approximate_arithmetic_sequence").alias("evidence_type"), "ds_a", F.col("match_type").alias("order_mode"), "n", F.round("cv", 8).alias("cv_of_diffs"), F.round("r2", 8).alias("r_squared"), F.round("slope", 8).alias("slope"), "severity", "confidence")
+    return out.select(F.lit("approximate_arithmetic_sequence").alias("evidence_type"), "ds_a", F.col("match_type").alias("order_mode"), "n", F.round("cv", 8).alias("cv_of_diffs"), F.round("r2", 8).alias("r_squared"), F.round("slope", 8).alias("slope"), F.round("max_residual", 8).alias("max_residual"), "severity", "confidence")
 
 
 def classes(series: DataFrame, *keys: str) -> tuple[DataFrame, DataFrame]:

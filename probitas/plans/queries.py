@@ -48,9 +48,9 @@ from (select ds, count(*)::int as n, min(round(value, 10)) = max(round(value, 10
 _MODES = []
 for _mode, _order, _cases in (("original_order", "pos", detectors.ARITHMETIC["original_order"]), ("sorted_values", "value, pos", detectors.ARITHMETIC["sorted_values"])):
     _rules = [(f"n >= {n} and cv <= {cv} and r2 >= {r2}", level, trust) for n, cv, r2, level, trust in _cases]
-    _MODES.append(f"""select 'approximate_arithmetic_sequence' as evidence_type, ds as ds_a, '{_mode}' as order_mode, n, round(cv, 8) as cv_of_diffs, round(r2, 8) as r_squared, round(slope, 8) as slope, {graded(_rules)}
-from (select ds, n, sd / size as cv, r2, slope from (select ds, count(*)::int as n, stddev_pop(step) as sd, avg(abs(step)) as size, regr_r2(value, place) as r2, regr_slope(value, place) as slope
-from (select *, row_number() over (partition by ds order by {_order}) as place, value - lag(value) over (partition by ds order by {_order}) as step from cells) group by ds) where n >= 6 and size > 1e-12) where {" or ".join(f"({r[0]})" for r in _rules)}""")
+    _MODES.append(f"""select 'approximate_arithmetic_sequence' as evidence_type, ds as ds_a, '{_mode}' as order_mode, n, round(cv, 8) as cv_of_diffs, round(r2, 8) as r_squared, round(slope, 8) as slope, round((select max(abs(c.value - f.intercept - f.slope * c.place)) from (select *, row_number() over (partition by ds order by {_order}) as place from cells) c where c.ds = f.ds), 8) as max_residual, {graded(_rules)}
+from (select ds, n, sd / size as cv, r2, slope, intercept from (select ds, count(*)::int as n, stddev_pop(step) as sd, avg(abs(step)) as size, regr_r2(value, place) as r2, regr_slope(value, place) as slope, regr_intercept(value, place) as intercept
+from (select *, row_number() over (partition by ds order by {_order}) as place, value - lag(value) over (partition by ds order by {_order}) as step from cells) group by ds) where n >= 6 and size > 1e-12) f where {" or ".join(f"({r[0]})" for r in _rules)}""")
 add("d2_arithmetic_sequences", on(b.CELLS, detectors.arithmetic_sequences), cells_sql(" union all ".join(_MODES)))
 
 add("d3_near_duplicates", on(b.CELLS, detectors.near_duplicates), with_cells("""

@@ -149,7 +149,11 @@ select c_name as title, case c_custkey % 3 when 0 then 'high' when 1 then 'low'
 add("r1_chain_filter", on("select o_orderkey as evidence_id, case o_orderstatus when 'O' then 'verified' when 'F' then 'collected' else 'refuted' end as status, o_orderpriority as category, o_totalprice > 100000 as escalated from {orders}", lambda df: risk.chain_filter(df, status="verified", escalated=True)), """
 select o_orderkey as evidence_id, 'verified' as status, o_orderpriority as category, true as escalated from orders where o_orderstatus = 'O' and o_totalprice > 100000""")
 add("s15_page_texts", lambda s, d: html.page_texts(s.read.parquet(f"{d}/pages.parquet")))
-add("s18_page_tables", lambda s, d: html.page_tables(s.read.parquet(f"{d}/pages.parquet")))
+#: Pages made of known parts.
+_PAGES = "select page_id, concat('<html><head><script>var x = 1;</script></head><nav>menu</nav><body><p> Page ', cast(page_id as string), ' </p><table></table><div>more<br>text</div><table><tr><th>a</th><td>', cast(page_id % 7 as string), '</td></tr><tr></tr><tr><td> x </td><td></td></tr></table><footer>end</footer></body></html>') as html from {pages}"
+add("s15_made_texts", on(_PAGES, html.page_texts), "select page_id, 'Page ' || page_id || chr(10) || 'more' || chr(10) || 'text' || chr(10) || 'a' || chr(10) || page_id % 7 || chr(10) || 'x' as text from pages")
+add("s18_page_tables", on(_PAGES, lambda df: html.page_tables(df).withColumn("cells", F.array_join("cells", "|"))), """
+select page_id, 2 as table_number, 0 as row, 'a|' || page_id % 7 as cells from pages union all select page_id, 2, 1, 'x|' from pages""")
 _COUNTED = "select l_suppkey as doc_id, l_linenumber as table_number, concat(case l_linenumber % 5 when 0 then '(1,234.5)' when 1 then '12%' when 2 then '7.5*' when 3 then 'n/a' else ' 8 ' end) as cell, l_orderkey from {lineitem}"
 add("x7_numeric_cells", on(_COUNTED, lambda df: df.withColumn("value", claims.numeric_cells(F.col("cell")))), """
 select l_suppkey as doc_id, l_linenumber as table_number, case l_linenumber % 5 when 0 then '(1,234.5)' when 1 then '12%' when 2 then '7.5*' when 3 then 'n/a' else ' 8 ' end as cell, l_orderkey, case l_linenumber % 5 when 0 then -1234.5 when 1 then 0.12 when 2 then 7.5 when 4 then 8 end::double as value from lineitem""")

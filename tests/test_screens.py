@@ -231,6 +231,20 @@ def test_sequences_in_text():
     assert len({tuple(v) for _, v in got}) == len(got) and [len(v) for _, v in got] == sorted((len(v) for _, v in got), reverse=True)
 
 
+def test_pipeline_checks(spark):
+    rng = random.Random(1)
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    numbers = [("fives", round(rng.uniform(1, 99)) + 0.5) for _ in range(60)] + [("even", round(10 ** rng.uniform(0, 4), 2)) for _ in range(400)]
+    p_values = [("fives", 0.0451 + 0.0001 * k) for k in range(40)] + [("even", (k + 0.5) / 100) for k in range(100)]
+    means, sizes = [("fives", 12.0, 0.01), ("even", 12.5, 3.0)], [("fives", 0, 4), ("fives", 1, 4), ("even", 0, 8)]
+    series = [("fives", "s", k, 10.0 + 2 * k) for k in range(8)] + [("even", "s", k, rng.random()) for k in range(8)]
+    got = {r.doc_id: r for r in figures.pipeline_checks(frame(numbers, "doc_id string, value double"), frame(p_values, "doc_id string, value double"), frame(means, "doc_id string, mean double, sd double"), frame(sizes, "doc_id string, place int, n int"), frame(series, "doc_id string, ds string, pos int, value double")).collect()}
+    one, other = got["fives"], got["even"]
+    assert (one.p_values, one.grim, one.variation, one.last_digits, one.progressions) == (True, False, True, True, True) and one.checks_run == "benford,p_values,grim,anomalous_precision"
+    assert (other.benford, other.p_values, other.grim, other.variation, other.progressions, other.repeats) == (False,) * 6
+    assert one.total_flagged_checks == sum((one.benford, one.p_values, one.grim, one.variation, one.last_digits, one.progressions, one.repeats))
+
+
 def test_citation_existence(spark):
     cites = spark.createDataFrame([(1, "Smith et al. (2019) Deep learning for cells. 10.1234/abc", "deep learning segments cells"), (2, "Lee 2001 On nothing", None)], "ref_id long, citation_text string, claim string")
     queries = {(r.ref_id, r.place): r.query for r in graph.search_queries(cites).collect()}
