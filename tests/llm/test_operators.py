@@ -244,12 +244,12 @@ def test_quality_rejects_repetition(spark):
     def words(n):
         return ["".join(rng.choices("abcdefghij", k=6)) for _ in range(n)]
 
-    run, short, line = words(20), words(6), " ".join(words(2))
+    run, short, line = words(40), words(6), " ".join(words(2))
     texts = {
         1: " ".join(words(200)),  # clean
         2: " ".join(words(150) + short + words(150) + short),  # 12 of 312 words repeat
-        3: " ".join(words(200) + run + words(60) + run),  # 40 of 300 words, in long n-grams
-        4: " ".join(words(100) + [w for _ in range(5) for w in short + words(9)] + words(20)),  # 30 of 195 words, in 5-grams only
+        3: " ".join(words(200) + run + words(60) + run),  # 80 of 340 words, in long n-grams
+        4: " ".join(words(5) + [w for _ in range(5) for w in short + words(9)] + words(5)),  # 30 of 85 words, in 5-grams only
         5: "\n".join(x for _ in range(20) for x in (" ".join(words(6)), line)),  # the line is 24 % but no 3-gram repeats
     }
     rows = quality.quality(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
