@@ -217,14 +217,14 @@ def test_quality_measures(text):
     assert got["n_dup_lines"] == len(lines) - len(set(lines))
 
 
-def brute_quality(text):
+def brute_quality(text, limits=quality.NGRAM_LIMITS, line_limit=quality.LINE_LIMIT):
     """(base_failed, kept) by the rules, from texts of space-separated words."""
     words, lines = (text or "").split(), [x for x in (text or "").split("\n") if x.split()]
     base = len(words) < 50 or 100 * len(brute_repeats(words, 3)) > 50 * len(words)
     chars = max(1, sum(map(len, words)))
     again = sum(sum(map(len, x.split())) for k, x in enumerate(lines) if x in lines[:k])
-    shares = [sum(len(words[i]) for i in brute_repeats(words, n)) / chars <= most for n, most in quality.NGRAM_LIMITS.items()]
-    return base, not base and again / chars <= quality.LINE_LIMIT and all(shares)
+    shares = [sum(len(words[i]) for i in brute_repeats(words, n)) / chars <= most for n, most in limits.items()]
+    return base, not base and again / chars <= line_limit and all(shares)
 
 
 def test_quality_rows(spark, odd, none):
@@ -233,7 +233,10 @@ def test_quality_rows(spark, odd, none):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumns({c: F.lit("x") for c in ("kept", "base_failed", "n_words")})
     want = {r.doc_id: brute_quality(r.text) for r in docs.collect()}
     rows = quality.quality(docs).collect()
-    assert {r.doc_id: (r.base_failed, r.kept) for r in rows} == want and any(not b and not k for b, k in want.values())
+    assert {r.doc_id: (r.base_failed, r.kept) for r in rows} == want
+    tight = {5: 0.1, 7: 0.1, 10: 0.05}
+    rows = quality.quality(docs, tight, 0.05).collect()
+    assert {r.doc_id: (r.base_failed, r.kept) for r in rows} == {r.doc_id: brute_quality(r.text, tight, 0.05) for r in docs.collect()} and any(not r.base_failed and not r.kept for r in rows)
     assert {r.doc_id for r in quality.kept_rows(docs).collect()} == {i for i, (_, k) in want.items() if k}
     assert quality.kept_rows(odd).columns == odd.columns
 
