@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from .. import scratch
 from ..functions.stats import binomial_tail, chi2_sf_9
-from .series import arrays, clean, decimals, informative, ranked
+from .series import arrays, clean, decimals, informative
 
 
 
@@ -47,21 +47,20 @@ ARITHMETIC = {
 
 
 def arithmetic_sequences(cells: DataFrame, min_n: int = 6) -> DataFrame:
-    """Series whose differences hardly vary, as they stand and sorted."""
+    """Series whose differences hardly vary, as they stand and sorted. A series is one row, and its line is fitted there."""
+    total = lambda what: f"aggregate({what}, 0D, (s, v) -> s + v)"
+    series = arrays(clean(cells)).where(F.col("n") >= min_n)
+    modes = F.array(F.struct(F.lit("original_order").alias("mode"), "vs"), F.struct(F.lit("sorted_values").alias("mode"), F.array_sort("vs").alias("vs")))
+    rows = series.select(F.col("ds").alias("ds_a"), "n", F.inline(modes)).withColumn("steps", F.expr("zip_with(slice(vs, 2, n - 1), slice(vs, 1, n - 1), (b, a) -> b - a)"))
+    rows = rows.withColumns({"size": F.expr(f"{total('transform(steps, v -> abs(v))')} / (n - 1)"), "_m": F.expr(f"{total('steps')} / (n - 1)"), "_y": F.expr(f"{total('vs')} / n"), "_xx": F.expr("n * (1D * n * n - 1) / 12")}).where("size > 1e-12")
+    rows = rows.withColumn("cv", F.expr(f"sqrt({total('transform(steps, v -> (v - _m) * (v - _m))')} / (n - 1)) / size"))
+    rows = rows.withColumns({"_xy": F.expr(total("transform(vs, (v, i) -> (v - _y) * (i - (n - 1) / 2D))")), "_yy": F.expr(total("transform(vs, v -> (v - _y) * (v - _y))"))})
+    rows = rows.withColumns({"slope": F.expr("_xy / _xx"), "r2": F.expr("if(_yy > 0, _xy * _xy / (_xx * _yy), 1D)")})
+    rows = rows.withColumn("max_residual", F.expr("array_max(transform(vs, (v, i) -> abs(v - _y - slope * (i - (n - 1) / 2D))))"))
     out = None
-    base = clean(cells)
-    for mode, rows in (("original_order", base.withColumn("at", F.row_number().over(Window.partitionBy("ds").orderBy("pos")))), ("sorted_values", ranked(base).withColumnRenamed("rank", "at"))):
-        step = F.col("value") - F.lag("value").over(Window.partitionBy("ds").orderBy("at"))
-        found = rows.withColumn("step", step).groupBy(F.col("ds").alias("ds_a")).agg(
-            F.count("*").cast("int").alias("n"), F.stddev_pop("step").alias("sd"), F.avg(F.abs("step")).alias("size"),
-            F.regr_r2("value", F.col("at").cast("double")).alias("r2"), F.regr_slope("value", F.col("at").cast("double")).alias("slope"), F.regr_intercept("value", F.col("at").cast("double")).alias("intercept"),
-        ).where((F.col("n") >= min_n) & (F.col("size") > 1e-12))
-        found = found.withColumn("cv", F.col("sd") / F.col("size"))
-        graded = _graded([((F.col("n") >= n) & (F.col("cv") <= cv) & (F.col("r2") >= r2), mode, level, trust) for n, cv, r2, level, trust in ARITHMETIC[mode]])
-        found = found.withColumns(graded).where("severity is not null")
-        off = F.abs(F.col("value") - F.col("intercept") - F.col("slope") * F.col("at"))
-        worst = rows.join(found.select(F.col("ds_a").alias("ds"), "slope", "intercept"), "ds").groupBy(F.col("ds").alias("ds_a")).agg(F.max(off).alias("max_residual"))
-        found = found.join(worst, "ds_a")
+    for mode, cases in ARITHMETIC.items():
+        graded = _graded([((F.col("n") >= n) & (F.col("cv") <= cv) & (F.col("r2") >= r2), mode, level, trust) for n, cv, r2, level, trust in cases])
+        found = rows.where(F.col("mode") == mode).withColumns(graded).where("severity is not null")
         out = found if out is None else out.unionByName(found)
     return out.select(F.lit("approximate_arithmetic_sequence").alias("evidence_type"), "ds_a", F.col("match_type").alias("order_mode"), "n", F.round("cv", 8).alias("cv_of_diffs"), F.round("r2", 8).alias("r_squared"), F.round("slope", 8).alias("slope"), F.round("max_residual", 8).alias("max_residual"), "severity", "confidence")
 
@@ -87,7 +86,7 @@ def _rarest(tokens: DataFrame, least: Column) -> DataFrame:
     """
     common = tokens.groupBy("t").agg(F.count("*").alias("df"))
     place = F.row_number().over(Window.partitionBy("ds").orderBy("df", "t"))
-    return tokens.join(common, "t").withColumn("_r", place).where(F.col("_r") <= F.col("n") - least + 1).select("ds", "n", "t")
+    return scratch.save(tokens.join(common, "t").withColumn("_r", place).where(F.col("_r") <= F.col("n") - least + 1).select("ds", "n", "t"))
 
 
 def _meet(tokens: DataFrame) -> DataFrame:
@@ -154,7 +153,7 @@ def fragments_across(cells: DataFrame) -> DataFrame:
     series = arrays(clean(cells)).where("n >= 6").withColumn("vs", F.expr("transform(vs, v -> round(v, 8) + 0D)"))
     one, members = classes(series, "n", "vs")
     windows = lambda w: F.expr(f"array_distinct(filter(transform(sequence(0, n - {w}), i -> slice(vs, i + 1, {w})), g -> array_min(g) < array_max(g)))")
-    one = one.select("ds", "n", *[windows(w).alias(f"w{w}") for w in (5, 4, 3)]).where("size(w3) > 0")
+    one = scratch.save(one.select("ds", "n", *[windows(w).alias(f"w{w}") for w in (5, 4, 3)]).where("size(w3) > 0"))
     keys = one.select("ds", F.explode(F.expr("transform(w3, g -> xxhash64(g))")).alias("t"))
     pairs = keys.toDF("a", "t").join(keys.toDF("b", "t"), "t").where("a < b").select("a", "b").distinct()
     itself = members.groupBy("rep").agg(F.count("*").alias("k")).where("k > 1").join(one.select(F.col("ds").alias("rep")), "rep", "left_semi").select(F.col("rep").alias("a"), F.col("rep").alias("b"))
@@ -180,11 +179,11 @@ def similarity(cells: DataFrame) -> DataFrame:
     one, members = classes(series, "n", "vs")
     one = one.withColumn("sorted", F.array_sort("vs"))
     same = members.toDF("_x", "rep").join(members.toDF("_y", "rep"), "rep").where("_x < _y").join(one.select(F.col("ds").alias("rep"), "n"), "rep").select(F.col("_x").alias("ds_a"), F.col("_y").alias("ds_b"), "n", F.lit("same_order_exact").alias("match_type"))
-    ordered = _close(one.where("n >= 8"), "vs", 1e-3).select("a", "b", "n", F.lit("same_order_near").alias("match_type"))
+    ordered = scratch.save(_close(one.where("n >= 8"), "vs", 1e-3).select("a", "b", "n", F.lit("same_order_near").alias("match_type")))
     permuted = _close(one, "sorted", 1e-6).join(ordered, ["a", "b"], "left_anti")
     equal = F.expr("forall(zip_with(va, vb, (x, y) -> round(x, 10) = round(y, 10)), z -> z)")
     permuted = permuted.select("a", "b", "n", F.when(equal, "permutation_exact").otherwise("permutation_near").alias("match_type"))
-    near = ordered.unionByName(permuted)
+    near = scratch.save(ordered.unionByName(permuted))
     line = expanded(_linear(one).join(near, ["a", "b"], "left_anti"), members).where(F.when(F.col("turned"), F.col("fits_a")).otherwise(F.col("fits_b")))
     flat = one.where("n >= 8 and aggregate(vs, 0D, (s, v) -> s + pow(v - vs[0], 2)) <= 1e-12").select(F.col("ds").alias("b"), "n")
     flat = one.select(F.col("ds").alias("a"), "n").join(flat, "n").where("a <> b").withColumns({"x": F.least("a", "b"), "y": F.greatest("a", "b")})
@@ -227,20 +226,22 @@ def _linear(series: DataFrame) -> DataFrame:
     """(a, b, n, fits_a, fits_b): pairs a < b of equal length n >= 8 with R squared >= .999; whether the residual of b (of a)
     on the other is small.
 
-    With standardised values x and y, or -y for a negative slope, the squares of x - y add up to 2 n (1 - r), so no place
-    differs by more than sqrt(.001 n). Pairs meet on a grid of that width, with its neighbours, at three places.
+    With standardised values x and y, or -y for a negative slope, the squares of x - y add up to 2 n (1 - r), at most .001 n.
+    So no projection to a unit vector differs by more than its root. Pairs meet on a grid of that width, with its
+    neighbours, of four projections to vectors of mixed signs, which are spread evenly however the values are.
     """
     rows = series.where("n >= 8").withColumn("mean", F.expr("aggregate(vs, 0D, (s, v) -> s + v) / n"))
     rows = rows.withColumn("sd", F.expr("sqrt(aggregate(vs, 0D, (s, v) -> s + (v - mean) * (v - mean)) / n)"))
-    z = rows.where("sd > 0").select("ds", "n", "sd", F.expr("transform(vs, v -> try_divide(v - mean, sd))").alias("z"))
-    places = ("0", "div(n, 3)", "div(2 * n, 3)")
+    z = scratch.save(rows.where("sd > 0").select("ds", "n", "sd", F.expr("transform(vs, v -> try_divide(v - mean, sd))").alias("z")))
     width = F.sqrt(0.001 * F.col("n")) + 1e-6
-    cell = lambda at, sign: F.floor(sign * F.expr(f"z[{at}]") / width).cast("int")
-    left = z.select(F.col("ds").alias("a"), "n", *[cell(at, 1).alias(f"c{k}") for k, at in enumerate(places)])
-    right = z.select(F.col("ds").alias("b"), "n", F.inline(F.array(*[F.struct(F.lit(sign).alias("sign"), *[cell(at, sign).alias(f"c{k}") for k, at in enumerate(places)]) for sign in (1, -1)])))
-    for k in range(3):
+    signed = [F.expr(f"aggregate(transform(z, (v, i) -> if(pmod(xxhash64(i, {k}), 2) = 0, v, -v)), 0D, (s, v) -> s + v) / sqrt(n)") for k in range(4)]
+    cells = scratch.save(z.select("ds", "n", *[(p / width).alias(f"p{k}") for k, p in enumerate(signed)]))
+    cell = lambda k, sign: F.floor(sign * F.col(f"p{k}")).cast("int")
+    left = cells.select(F.col("ds").alias("a"), "n", *[cell(k, 1).alias(f"c{k}") for k in range(4)])
+    right = cells.select(F.col("ds").alias("b"), "n", F.inline(F.array(*[F.struct(F.lit(sign).alias("sign"), *[cell(k, sign).alias(f"c{k}") for k in range(4)]) for sign in (1, -1)])))
+    for k in range(4):
         right = right.withColumn(f"c{k}", F.explode(F.array(*[F.col(f"c{k}") + d for d in (-1, 0, 1)])))
-    pairs = left.join(right, ["n", "c0", "c1", "c2"]).where("a < b").select("a", "b").distinct()
+    pairs = left.join(right, ["n", "c0", "c1", "c2", "c3"]).where("a < b").select("a", "b").distinct()
     both = pairs.join(z.toDF("a", "n", "sa", "za"), "a").join(z.select(F.col("ds").alias("b"), F.col("sd").alias("sb"), F.col("z").alias("zb")), "b")
     both = both.withColumn("r", F.expr("aggregate(zip_with(za, zb, (x, y) -> x * y), 0D, (s, v) -> s + v) / n")).withColumn("r2", F.least(F.lit(1.0), F.col("r") * F.col("r"))).where("r2 >= 0.999")
     small = lambda s: F.col(s) * F.sqrt(1 - F.col("r2")) / F.greatest(F.col(s), F.lit(1.0)) <= 0.01
@@ -254,7 +255,7 @@ def _subsets(series: DataFrame) -> DataFrame:
     """
     values = F.expr("array_sort(transform(vs, v -> round(v, 10) + 0D))")
     tokens = F.expr("transform(w, (v, i) -> xxhash64(v, i - array_position(w, v) + 1))")
-    rows = series.select("ds", "n", values.alias("w")).select("ds", "n", tokens.alias("ts"))
+    rows = scratch.save(series.select("ds", "n", values.alias("w")).select("ds", "n", tokens.alias("ts")))
     each = rows.select("ds", "n", F.explode("ts").alias("t"))
     common = each.groupBy("t").agg(F.count("*").alias("df"))
     rarest = each.join(common, "t").groupBy("ds").agg(F.min_by("t", F.struct("df", "t")).alias("t"), F.first("n").alias("ns")).withColumnRenamed("ds", "s")
@@ -294,7 +295,7 @@ def suffix_reuse(cells: DataFrame, share: float = 0.85) -> DataFrame:
         one = one.withColumn("n", F.size("ts"))
         each = one.select("ds", "n", F.explode("ts").alias("t"))
         common = each.groupBy("t").agg(F.count("*").alias("df"))
-        placed = each.join(common, "t").withColumn("k", F.row_number().over(Window.partitionBy("ds").orderBy("df", "t"))).drop("df")
+        placed = scratch.save(each.join(common, "t").withColumn("k", F.row_number().over(Window.partitionBy("ds").orderBy("df", "t"))).drop("df"))
         need = F.ceil(share * F.col("n"))
         x = placed.where(F.col("k") <= F.col("n") - need + 1).select(F.col("ds").alias("a"), F.col("n").alias("na"), "t", need.alias("need"))
         y = placed.select(F.col("ds").alias("b"), F.col("n").alias("nb"), "t", F.col("k").alias("kb"))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def clean(cells: DataFrame) -> DataFrame:
@@ -36,8 +35,3 @@ def low_information(cells: DataFrame) -> DataFrame:
     zero = F.abs("value") <= 1e-12
     found = cells.groupBy("ds").agg(F.count("*").alias("n"), F.count_if(zero).alias("z"))
     return found.where((F.col("z") == F.col("n")) | ((F.col("z") >= 0.8 * F.col("n")) & (F.col("n") - F.col("z") < 5))).select("ds")
-
-
-def ranked(cells: DataFrame) -> DataFrame:
-    """With rank by value within the series, from 1."""
-    return cells.withColumn("rank", F.row_number().over(Window.partitionBy("ds").orderBy("value", "pos")))

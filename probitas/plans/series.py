@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import claims, detectors, evidence, graph, risk, statistics, texts
-from ..sources import html, workbooks
+from ..sources import html, literature, workbooks
 from . import bindings as b
 from .papers import quoted
 from .precheck import precheck
@@ -157,3 +157,15 @@ select page_id, 2 as table_number, 0 as row, 'a|' || page_id % 7 as cells from p
 _COUNTED = "select l_suppkey as doc_id, l_linenumber as table_number, concat(case l_linenumber % 5 when 0 then '(1,234.5)' when 1 then '12%' when 2 then '7.5*' when 3 then 'n/a' else ' 8 ' end) as cell, l_orderkey from {lineitem}"
 add("x7_numeric_cells", on(_COUNTED, lambda df: df.withColumn("value", claims.numeric_cells(F.col("cell")))), """
 select l_suppkey as doc_id, l_linenumber as table_number, case l_linenumber % 5 when 0 then '(1,234.5)' when 1 then '12%' when 2 then '7.5*' when 3 then 'n/a' else ' 8 ' end as cell, l_orderkey, case l_linenumber % 5 when 0 then -1234.5 when 1 then 0.12 when 2 then 7.5 when 4 then 8 end::double as value from lineitem""")
+
+_WORKS = "select p_partkey as work_id, p_name as title, cast(2000 + p_size as int) as year, p_type as kind, p_brand as field from {part}"
+_ASKED_FOR = "select p_partkey as query_id, concat('The ', p_name, ' and ', p_name) as query from {part} where p_partkey % 20 = 1"
+_FOUND_SQL = """w as ({works}), k as (from w where year between 2005 and 2040), q as ({asked}), t as (select work_id, title, year, unnest(list_distinct(regexp_extract_all(lower(title), '[\\p{{L}}\\p{{N}}]+'))) as w from k), u as (select query_id, unnest(list_distinct(regexp_extract_all(lower(query), '[\\p{{L}}\\p{{N}}]+'))) as w from q),
+h as (select query_id, work_id, any_value(title) as title, any_value(year) as year, count(*) as hits from t join u on t.w = u.w group by query_id, work_id)""".format(works=b.duck(_WORKS), asked=b.duck(_ASKED_FOR))
+add("s24_search", lambda s, d: literature.search(b.frame(s, d, _WORKS), b.frame(s, d, _ASKED_FOR), 10, years=(2005, 2040)), f"""
+with {_FOUND_SQL}, r as (select *, row_number() over (partition by query_id order by hits desc, year desc, work_id)::int as place from h) select query_id, place, work_id, title, year, hits from r where place <= 10""")
+_IDS = "select concat('10.1/C', cast(c_custkey as string)) as doi from {customer}"
+_FIRST = "select concat('10.1/c', cast(c_custkey as string)) as doi, c_name as title, c_mktsegment as venue, cast(null as int) as citations from {customer} where c_custkey % 5 <> 0"
+_SECOND = "select concat('10.1/c', cast(c_custkey as string)) as doi, case when c_custkey % 3 = 0 then cast(null as string) else upper(c_name) end as title, cast(c_custkey % 50 as int) as citations from {customer} where c_custkey % 4 = 0"
+add("s25_lookup", lambda s, d: literature.lookup(b.frame(s, d, _IDS), b.frame(s, d, _FIRST), b.frame(s, d, _SECOND)), f"""
+with i as ({b.duck(_IDS)}), x as ({b.duck(_FIRST)}), y as ({b.duck(_SECOND)}) select i.doi, coalesce(y.title, x.title) as title, x.venue, coalesce(y.citations, x.citations) as citations, x.doi is not null or y.doi is not null as found from i left join x on x.doi = lower(i.doi) left join y on y.doi = lower(i.doi)""")
