@@ -52,9 +52,12 @@ def arithmetic_sequences(cells: DataFrame, min_n: int = 6) -> DataFrame:
     series = arrays(clean(cells)).where(F.col("n") >= min_n)
     modes = F.array(F.struct(F.lit("original_order").alias("mode"), "vs"), F.struct(F.lit("sorted_values").alias("mode"), F.array_sort("vs").alias("vs")))
     rows = series.select(F.col("ds").alias("ds_a"), "n", F.inline(modes)).withColumn("steps", F.expr("zip_with(slice(vs, 2, n - 1), slice(vs, 1, n - 1), (b, a) -> b - a)"))
+    rows = scratch.save(rows)  # written down, as later steps would evaluate these arrays again for each value they make
     rows = rows.withColumns({"size": F.expr(f"{total('transform(steps, v -> abs(v))')} / (n - 1)"), "_m": F.expr(f"{total('steps')} / (n - 1)"), "_y": F.expr(f"{total('vs')} / n"), "_xx": F.expr("n * (1D * n * n - 1) / 12")}).where("size > 1e-12")
+    rows = scratch.save(rows)
     rows = rows.withColumn("cv", F.expr(f"sqrt({total('transform(steps, v -> (v - _m) * (v - _m))')} / (n - 1)) / size"))
     rows = rows.withColumns({"_xy": F.expr(total("transform(vs, (v, i) -> (v - _y) * (i - (n - 1) / 2D))")), "_yy": F.expr(total("transform(vs, v -> (v - _y) * (v - _y))"))})
+    rows = scratch.save(rows.drop("steps"))
     rows = rows.withColumns({"slope": F.expr("_xy / _xx"), "r2": F.expr("if(_yy > 0, _xy * _xy / (_xx * _yy), 1D)")})
     rows = rows.withColumn("max_residual", F.expr("array_max(transform(vs, (v, i) -> abs(v - _y - slope * (i - (n - 1) / 2D))))"))
     out = None
