@@ -7,6 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from probitas.operators import claims
 from probitas.sources import literature
 
 
@@ -37,3 +38,37 @@ def test_search_of_common_words(spark):
     found = literature.search(works, queries, 3).where("query_id = 301").orderBy("place").collect()
     assert [(r.work_id, r.hits) for r in found] == [(1, 2), (401, 2), (801, 2)]
     assert time.monotonic() - start < 60
+
+
+def aligned_by_force(claimed, series, mean_tol=0.02, sd_tol=0.05):
+    rel = lambda r, x: abs(r - x) / max(abs(r), abs(x), 1.0)
+    out = {}
+    for name, mean, sd in claimed:
+        found = sorted((rel(mean, m), rel(sd, s), ds) for ds, m, s in series if rel(mean, m) <= mean_tol and rel(sd, s) <= sd_tol)
+        out[name] = (len(found), sum(a <= mean_tol / 2 and b <= 0.6 * sd_tol for a, b, _ in found), [d for *_, d in found[:5]], found[0][0] if len(found) == 1 else None)
+    return out
+
+
+def test_align_by_force(spark):
+    """Crowded, negative, small and repeated means, and limits that are met exactly."""
+    rng = random.Random(5)
+    cells, series = [], []
+    for ds in range(300):
+        middle, width = rng.choice([(25.5, 3.0), (0.3, 0.2), (-40.0, 5.0), (1.0, 1.0), (1e6, 2.0), (50.0, 2.0)])
+        m, s = round(middle + rng.uniform(-0.02, 0.02) * max(1, abs(middle)), 2), round(width * rng.uniform(0.9, 1.1), 2)
+        cells += [(ds, p, v) for p, v in enumerate((m - s, m, m + s))] if ds % 10 else [(ds, p, m) for p in range(3)]
+    rows = spark.createDataFrame(cells, "ds long, pos int, value double")
+    series = [tuple(r) for r in rows.groupBy("ds").agg(F.avg("value"), F.stddev_samp("value")).collect()]
+    claimed = [(str(k), m, s) for k, (_, m, s) in enumerate(series)] + [("q1", 49.0, 2.0), ("q2", 0.98, 0.95), ("q3", -40.0, 5.0), ("q4", 7e7, 1.0), ("q5", -0.01, 0.0)]
+    told = spark.createDataFrame([(n, "PCL-0001", "reported_mean_sd", m, s) for n, m, s in claimed], "doc_id string, claim_id string, claim_type string, mean double, sd double")
+    got = {r.doc_id: (r.candidate_match_count, r.strong_matches, [c.ds for c in r.candidates or []], r.mean_relative_diff) for r in claims.align(told, rows).collect()}
+    assert got == aligned_by_force(claimed, series)
+
+
+def test_align_where_all_are_alike(spark):
+    """30,000 claims that all match 30,000 series; every pair of them would be 900 million rows."""
+    rows = spark.range(90000).selectExpr("id % 30000 as ds", "cast(floor(id / 30000) as int) as pos", "100 + floor(id / 30000) + 1e-5D * (id % 30000) as value")
+    told = spark.range(30000).selectExpr("cast(id as string) as doc_id", "'PCL-0001' as claim_id", "'reported_mean_sd' as claim_type", "101 + 1e-5D * id as mean", "1D as sd")
+    start = time.monotonic()
+    assert claims.verdict_counts(claims.align(told, rows)).first().ambiguous == 30000
+    assert time.monotonic() - start < 120
