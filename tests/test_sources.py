@@ -1,5 +1,6 @@
 """Searches and alignments against brute force, and their work where many rows share a value."""
 
+import difflib
 import random
 import re
 import time
@@ -7,7 +8,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from probitas.operators import claims
+from probitas.operators import claims, texts
 from probitas.sources import literature
 
 
@@ -72,3 +73,24 @@ def test_align_where_all_are_alike(spark):
     start = time.monotonic()
     assert claims.verdict_counts(claims.align(told, rows)).first().ambiguous == 30000
     assert time.monotonic() - start < 120
+
+
+def test_common_length_bounds_the_match():
+    rng = random.Random(6)
+    for _ in range(300):
+        x, y = ("".join(rng.choices("ab cé😀", k=rng.randint(0, 40))) for _ in range(2))
+        row = [0] * (len(y) + 1)
+        for c in x:
+            row, old = [0], row
+            for j, d in enumerate(y):
+                row.append(old[j] + 1 if c == d else max(row[j], old[j + 1]))
+        assert texts.common_length(x, y) == row[-1] >= sum(m.size for m in difflib.SequenceMatcher(None, x, y).get_matching_blocks())
+
+
+def test_review_templates_of_repeated_papers(spark):
+    """Papers of the same texts have the same result, which is that of one alone."""
+    own = ["The figures need more work before this is sound. The study shows a clear novelty in its field.", "The figures need some work before it is sound. The study shows clear novelty in this field!"]
+    rows = spark.createDataFrame([(k, i, t) for k in range(5) for i, t in enumerate(own)], "paper_id long, review_index int, text string")
+    got = {tuple(r)[1:] for r in texts.review_templates(rows).collect()}
+    alone = {tuple(r)[1:] for r in texts.review_templates(rows.where("paper_id = 0")).collect()}
+    assert got == alone and len(got) == 1
