@@ -7,6 +7,7 @@ import random
 import re
 import zipfile
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -289,6 +290,37 @@ def test_pairs_of_series_by_brute_force(spark):
     assert {(r.ds_a, r.ds_b) for r in detectors.similarity(c).where("match_type = 'permutation_subset_exact'").collect()} == inside and inside
 
 
+def shuffled(spark):
+    """The session's shuffle files and their bytes."""
+    dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return {f: f.stat().st_size for d in dirs for f in Path(d.getPath()).rglob("shuffle_*.data")}
+
+
+@pytest.mark.parametrize("detect, ends", [(detectors.suffix_reuse, 30)])
+def test_candidates_are_not_dealt_out(spark, detect, ends):
+    """Series that any two of share many suffixes, but not enough: their pairs never reach the disk; copies of one are all paired."""
+    rng = random.Random(3)
+    series = [[100 * k + p + rng.randrange(ends) / 100 for p in range(60)] for k in range(400)]
+    series += [series[0][:-1] + [0.01 * (k % 2)] for k in range(4)]
+    rows = [(k, p, x, f"{x:.2f}") for k, v in enumerate(series) for p, x in enumerate(v)]
+    c = spark.createDataFrame(rows, "ds long, pos int, value double, raw string")
+    before, limit = shuffled(spark), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for large tables
+    try:
+        got = {(r.ds_a, r.ds_b) for r in detect(c).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert got == {(a, b) for a in (0, 400, 401, 402, 403) for b in (400, 401, 402, 403) if a < b}
+    assert sum(size for f, size in shuffled(spark).items() if f not in before) < 2 << 20
+
+
+def test_classes_larger_than_a_chunk(spark):
+    n = detectors.CHUNK + 100
+    c = spark.range(n).select(F.col("id").alias("ds"), F.explode(F.sequence(F.lit(0), F.lit(8))).alias("pos")).withColumn("value", F.col("pos") * 1.07).withColumn("raw", F.format_string("%.2f", "value"))
+    got = detectors.suffix_reuse(c).agg(F.count("*"), F.countDistinct("ds_a", "ds_b"), F.count_if(F.col("ds_a") >= F.col("ds_b"))).first()
+    assert tuple(got) == (n * (n - 1) // 2, n * (n - 1) // 2, 0)
+
+
 def test_linear_image_of_a_series_that_begins_at_its_mean(spark):
     rng, rows = random.Random(5), {}
     for k in range(40):
