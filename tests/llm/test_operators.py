@@ -399,6 +399,43 @@ def test_convolution_by_brute_force():
             assert grad.ravel()[k] == pytest.approx((ends[0] - ends[1]) / 2e-3, rel=0.05, abs=2e-4)
 
 
+def test_toxicity_in_pieces(monkeypatch):
+    """Long texts are learned from and scored as if whole."""
+    rng = random.Random(11)
+    clean = "the cat of and sat mat Dog der die und house tree sun".split()
+    rows = [(" ".join(rng.choices(clean, k=rng.choice((1, 2, 3, 60))) + ["vile stuff"] * (k % 2) + rng.choices(clean, k=rng.randint(1, 60))), k % 2) for k in range(120)]
+    texts = [t for t, _ in rows] + ["", " ", "x" * 200, "a", "..." * 50 + "b c"]
+    whole = toxicity.fit(rows)
+    scores = toxicity.Scorer(whole)(texts)
+    monkeypatch.setattr(toxicity, "CHARS", 16)
+    monkeypatch.setattr(toxicity, "PIECE", 5)
+    monkeypatch.setattr(toxicity, "NUMBER_BYTES", 1500)
+    assert [w for words in toxicity.pieces(texts[3]) for w in words] == toxicity.WORD.findall(texts[3].lower())
+    net = toxicity.fit(iter(rows))
+    assert np.allclose(net.filters, whole.filters, atol=0.02) and np.allclose(net.thresholds, whole.thresholds, atol=0.1)
+    assert [k for a, b in toxicity.portions(texts) for k in range(a, b)] == list(range(len(texts))) and not list(toxicity.portions([]))
+    got = toxicity.Scorer(whole)(texts)
+    assert [g[1] for g in got] == [s[1] for s in scores] and np.allclose([g[0] for g in got], [s[0] for s in scores], atol=1e-5)
+
+
+def test_toxicity_of_long_texts_on_the_driver(spark, monkeypatch):
+    """The learned texts come to the driver a few at a time, in the order of their ids."""
+    table = spark.createDataFrame([(k, f"t{k} " + "word " * 50_000) for k in range(60)], "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, toxic int")
+    seen, sent = [], []
+    collect = type(table).collect
+
+    def told(self):
+        got = collect(self)
+        sent.append(sum(len(str(r)) for r in got))
+        return got
+
+    monkeypatch.setattr(type(table), "collect", told)
+    monkeypatch.setattr(toxicity, "fit", lambda rows: seen.extend((t.split(" ", 1)[0], y) for t, y in rows) or toxicity.Net())
+    toxicity.train(table, labels, F.lit(True))
+    assert seen == [(f"t{k}", k % 2) for k in range(60)] and sum(sent) < 1 << 20
+
+
 def test_language(spark, odd, none, docs):
     model = langid.train(docs, F.col("doc_id") % 2 == 0, PIECES)
     got = langid.identify(docs, model).join(docs.select("doc_id", "lang"), "doc_id").where("doc_id % 2 = 1").collect()
