@@ -151,6 +151,8 @@ union all select concat('f', cast(k as string)), 100 - pos, group_label, value f
 union all select concat('h', cast(k as string)), pos, group_label, value * (1 + 0.006e0 * (pos % 2)) from s where k % 5 = 0
 union all select concat('i', cast(k as string)), pos, case when pos = 1 then 'other' else group_label end, case when pos = 1 then 5e0 else value end from s where k % 6 = 1
 """
+#: Lines can tie in it.
+_LINE_ORDER = "order by l_orderkey, l_linenumber"
 
 
 def _pairs_sql(pipeline: bool) -> str:
@@ -167,7 +169,7 @@ m as (select la, lb, n, 'near_match' as match_type, round(rel, 6) as detail from
 select la, lb, n::int as n, match_type, detail from m anti join (from p where same) e on m.la = e.la and m.lb = e.lb union all select la, lb, n::int, 'exact_match', null from p where same"""
 
 
-add("t6_cross_figure", on(_FIGURES, statistics.cross_figure), _pairs_sql(False))
+add("t6_cross_figure", on(_FIGURES, statistics.cross_figure, ties=_LINE_ORDER), _pairs_sql(False))
 add("c1_cross_figure_pipeline", on(_FIGURES, statistics.cross_figure_pipeline), _pairs_sql(True))
 
 #: Texts whose numbers are columns; a supplier's lines make a paper.
