@@ -170,7 +170,7 @@ select la, lb, n::int as n, match_type, detail from m anti join (from p where sa
 
 
 add("t6_cross_figure", on(_FIGURES, statistics.cross_figure, ties=_LINE_ORDER), _pairs_sql(False))
-add("c1_cross_figure_pipeline", on(_FIGURES, statistics.cross_figure_pipeline), _pairs_sql(True))
+add("c1_cross_figure_pipeline", on(_FIGURES, statistics.cross_figure_pipeline, ties=_LINE_ORDER), _pairs_sql(True))
 
 #: Texts whose numbers are columns; a supplier's lines make a paper.
 _PAPERS = """select l_orderkey as doc_id, concat('Group ', cast(l_linenumber as string), ' weighed ', cast(cast(l_quantity as decimal(6,1)) as string), ' ± 2.5 (p < 0.0', cast(l_linenumber as string), ', n = ', cast(cast(l_quantity as int) as string), ') or ', cast(cast(l_quantity as int) as string), '% of ID2020/133x; Fig. ', cast(l_linenumber as string), ' shows it') as text, l_linenumber from {lineitem}"""

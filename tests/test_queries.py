@@ -38,7 +38,7 @@ def test_query(spark, duck, name):
         assert rows(got) == rows(want)
 
 
-@pytest.mark.parametrize("name", ["t6_cross_figure"])
+@pytest.mark.parametrize("name", ["t6_cross_figure", "c1_cross_figure_pipeline"])
 def test_ties_in_file_order(spark, tmp_path, name):
     """Two lines of supplier 4 tie across files; in file order its series equals that of supplier 8. Spark reads larger files first."""
     (tmp_path / "lineitem.parquet").mkdir()
