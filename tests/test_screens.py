@@ -9,6 +9,7 @@ import zipfile
 from collections import Counter
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -315,6 +316,50 @@ def test_candidates_are_not_dealt_out(spark, detect, ends):
     assert sum(size for f, size in shuffled(spark).items() if f not in before) < 2 << 20
 
 
+def suffix_series():
+    """Random series of three decimals of many sizes; of some a part, a longer one and one with a few values changed."""
+    rng, series = random.Random(8), []
+    for n in (8, 9, 12, 20, 33, 60, 86, 86, 100, 140):
+        v = [rng.randrange(1000) for _ in range(n)]
+        series += [v, [137] * (n // 4) + v[n // 4 :], v[: n - n // 5], v + [rng.randrange(1000) for _ in range(n // 2)]]
+        series += [[rng.randrange(1000) for _ in range(k)] + v[k:] for k in (1, int(0.15 * n), int(0.15 * n) + 1)]
+    return series + [[rng.randrange(1000) for _ in range(86)] for _ in range(20)]
+
+
+def shared(x, y):
+    return sum((Counter(x) & Counter(y)).values())
+
+
+@pytest.mark.parametrize("groups", [48, 96])
+def test_signatures_rule_pairs_out(groups):
+    """No pair shares more than its signatures allow, and nearly all unlike pairs of one size are ruled out by them alone."""
+    series = suffix_series()
+    row = np.repeat(np.arange(len(series)), [len(x) for x in series])
+    signs = detectors._signatures(row, np.concatenate(series), len(series), groups)
+    for a, x in enumerate(series):
+        for b, y in enumerate(series):
+            assert 2 * shared(x, y) <= len(x) + len(y) - (signs[a] != signs[b]).sum()
+    unlike = [(a, b) for a in range(len(series) - 20, len(series)) for b in range(a + 1, len(series))]
+    assert sum((signs[a] != signs[b]).sum() <= 2 * 86 - 2 * 0.85 * 86 for a, b in unlike) <= 0.02 * len(unlike)
+
+
+@pytest.mark.parametrize("bit_bytes", [64 << 20, 0])
+def test_suffix_overlaps_by_brute_force(spark, monkeypatch, bit_bytes):
+    """Pair by pair, and, where rows of bits would be too wide, by products."""
+    monkeypatch.setattr(detectors, "BIT_BYTES", bit_bytes)
+    series = suffix_series()
+    c = spark.createDataFrame([(k, p, x / 1000, f"0.{x:03d}") for k, v in enumerate(series) for p, x in enumerate(v)], "ds long, pos int, value double, raw string")
+    want = {}
+    for size in (2, 3):
+        lists = [[x % 10**size for x in v] for v in series]
+        for a, x in enumerate(lists):
+            for b in range(a + 1, len(lists)):
+                if min(len(x), len(lists[b])) >= 8 and shared(x, lists[b]) >= 0.85 * min(len(x), len(lists[b])):
+                    want[a, b, size] = (min(len(x), len(lists[b])), shared(x, lists[b]))
+    got = {(r.ds_a, r.ds_b, r.suffix_length): (r.n, r.shared_suffix_count) for r in detectors.suffix_reuse(c).collect()}
+    assert got == want and len(want) > 50
+
+
 def test_classes_larger_than_a_chunk(spark):
     n = detectors.CHUNK + 100
     c = spark.range(n).select(F.col("id").alias("ds"), F.explode(F.sequence(F.lit(0), F.lit(8))).alias("pos")).withColumn("value", F.col("pos") * 1.07).withColumn("raw", F.format_string("%.2f", "value"))
