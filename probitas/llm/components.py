@@ -34,6 +34,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 
 def _mark(edges: DataFrame) -> tuple[int, int]:
-    """Count and order-free digest of the edges."""
-    row = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").bitwiseAND(F.lit((1 << 40) - 1))), F.lit(0))).first()
+    """Count and order-free digest of the edges, which are distinct; a sum of hashes would overflow beyond some 16 million."""
+    row = edges.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first()
     return row[0], row[1]

@@ -838,3 +838,11 @@ def test_url_query_equals_its_sql(spark):
     con.execute(f"create view pages as from '{SF}/pages.parquet'")
     got = sorted(map(str, map(tuple, queries.op7_url_filters(spark, SF).collect())))
     assert got == sorted(map(str, con.execute(queries.OP7_SQL).fetchall()))
+
+
+def test_digest_of_many_edges(spark):
+    """More edges than a sum of 40-bit hashes has room for; one edge more or another one makes another digest."""
+    n = 1 << 25
+    edges = spark.range(n).select((F.col("id") + 1).alias("u"), F.col("id").alias("v"))
+    count, digest = components._mark(edges)
+    assert count == n and digest != components._mark(edges.where("v > 0"))[1]
